@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, mixing, quality_rules, tokens
+from barloom.llm import decontaminate, line_dedup, mixing, near_dedup, quality_rules, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "_dedup.n_lines", "_dedup.n_deleted", "text")
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -33,6 +38,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.adaptive_quality(table(spark, sf_dir, "documents"))
     return judged.select(
@@ -65,17 +74,44 @@ SELECT doc_id, size, source_size, target,
 FROM g
 """
 
-OP9_BASE = ""
+OP2_SQL = r"""
+WITH l AS (
+  SELECT doc_id, pos, trim(x, E' \t\x0B\x0C\r') AS line, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w, x
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)),
+q AS (
+  SELECT doc_id, pos, md5(line) AS h, w, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS upto,
+         sum(w) OVER (PARTITION BY doc_id ORDER BY pos) - w AS before, sum(w) OVER (PARTITION BY doc_id) AS whole
+  FROM l WHERE w > 0),
+b AS (
+  SELECT *, list(h) OVER f AS a, max(pos) OVER f AS a_to, list(h) OVER g AS z, min(pos) OVER g AS z_from FROM q
+  WINDOW f AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING),
+         g AS (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+v AS (
+  SELECT doc_id, pos AS s, a_to AS e, md5(array_to_string(a, ',')) AS c FROM b WHERE whole - before >= 50
+  UNION SELECT doc_id, z_from, pos, md5(array_to_string(z, ',')) FROM b WHERE upto >= 50),
+o AS (SELECT *, first_value(doc_id) OVER u AS d0, first_value(e) OVER u AS e0 FROM v WINDOW u AS (PARTITION BY c ORDER BY doc_id, s, e)),
+gone AS (
+  SELECT DISTINCT q.doc_id, q.pos FROM o JOIN q ON o.doc_id = q.doc_id AND q.pos BETWEEN o.s AND o.e
+  WHERE o.doc_id <> o.d0 OR o.s > o.e0),
+left_over AS (
+  SELECT doc_id, count(*) AS n, string_agg(x, chr(10) ORDER BY pos) AS text FROM l ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_lines FROM l GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_lines - coalesce(left_over.n, 0), 0)::BIGINT AS n_deleted,
+       CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(left_over.text, '') END AS text
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN left_over USING (doc_id)
+"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_line_dedup": op2_line_dedup,
         "op3_mix": op3_mix,
         "op4_token_counts": op4_token_counts,
         "op7_decontaminate": op7_decontaminate,
+        "op8_near_dedup": op8_near_dedup,
         "op9_quality_rules": op9_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix": OP3_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op3_mix": OP3_SQL}
