@@ -104,19 +104,38 @@ def _blocks(items: DataFrame, block_bytes: int) -> Iterator[tuple[str, pd.DataFr
         yield hashlib.sha256(repr(pdf.values.tolist()).encode()).hexdigest(), pdf
 
 
+def _spread(items: DataFrame, n: int, block_bytes: int, item_id_col: str, item_text_col: str):
+    """Broadcasts the blocks; gives a function that makes (scanner, item ids) of each, on the executors."""
+    items = items.select(F.col(item_id_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text"))
+    context = items.sparkSession.sparkContext
+    blocks = [(key, context.broadcast(pdf)) for key, pdf in _blocks(items, block_bytes)]
+    return lambda: [(Scanner.of(f"{key}:{n}", b.value, n), b.value["item_id"].tolist()) for key, b in blocks]
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 10, block_bytes: int = 64 << 20, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows without a hit, with all their columns."""
+    scanners = _spread(items, n, block_bytes, item_id_col, item_text_col)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        built = [s for s, _ in scanners()]
+        for pdf in batches:
+            clean = [not any(s.scan(words)[0].any() for s in built) for words in map(fold, pdf[text_col])]
+            yield pdf.loc[np.array(clean, dtype=bool)]
+
+    return docs.mapInPandas(run, docs.schema)
+
+
 def find_contamination(
     docs: DataFrame, items: DataFrame, n: int = 10, block_bytes: int = 64 << 20,
     id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, item_ids (array, sorted as strings), spans (array of start, end)."""
-    spark = docs.sparkSession
-    items = items.select(F.col(item_id_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text"))
+    spread = _spread(items, n, block_bytes, item_id_col, item_text_col)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = [(key, spark.sparkContext.broadcast(pdf)) for key, pdf in _blocks(items, block_bytes)]
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanners = [(Scanner.of(f"{key}:{n}", b.value, n), b.value["item_id"].tolist()) for key, b in blocks]
+        scanners = spread()
         for pdf in batches:
             rows = []
             for text in pdf["text"]:

@@ -46,13 +46,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_r
     )
 
 
-def mix_sources(
-    docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, seed: str = "mix",
+def mix_plan(
+    docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, seed: str = "mix",
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, copies (times the mix takes it), taken (words)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+) -> tuple[DataFrame, DataFrame]:
+    """The documents' doc_id, source, size, h; and by source (``of``): source_size, target, base, threshold."""
     slim = scratch.write(
         docs.select(
             F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
@@ -72,17 +70,36 @@ def mix_sources(
     for shift in range(HASH_BITS - LEVEL_BITS, -1, -LEVEL_BITS):
         state = scratch.write(_refine(slim, state, shift))
     last = F.when(F.col("need") - F.col("below") > F.col("here") / 2, 1).otherwise(0)
-    state = state.select(
+    return slim, state.select(
         F.col("source").alias("of"), "source_size", "target", "base", (F.col("bucket") + last).alias("threshold")
     )
+
+
+def mix_sources(docs: DataFrame, **settings) -> DataFrame:
+    """One row per input row: doc_id, source, size, source_size, target, copies (times the mix takes it), taken (words)."""
+    slim, plan = mix_plan(docs, Scratch(docs.sparkSession), **settings)
     copies = F.col("base") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
     return (
-        slim.join(state, slim["source"].eqNullSafe(state["of"]))
+        slim.join(plan, slim["source"].eqNullSafe(plan["of"]))
         .withColumn("copies", copies.cast("long"))
         .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
     )
 
 
+def take_mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
+    """The documents that the mix takes, with all their columns, then struct ``_mix``: size, target, copies, taken.
+
+    Documents meet the plan, one row per source, where they are read; their texts are not shuffled.
+    """
+    _, plan = mix_plan(docs, Scratch(docs.sparkSession), seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **settings)
+    own = docs.columns
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("d"), F.col(source_col).alias("_s"), hash48(id_col, seed).alias("_h"), word_count(text_col).alias("_n"))
+    copies = F.col("base") + F.when(F.col("_h") < F.col("threshold"), 1).otherwise(0)
+    mixed = packed.join(plan, F.col("_s").eqNullSafe(F.col("of"))).withColumn("copies", copies.cast("long")).filter("copies > 0")
+    info = F.struct(F.col("_n").alias("size"), "target", "copies", (F.col("_n") * F.col("copies")).alias("taken"))
+    return mixed.select(*[F.col(f"d.`{c}`").alias(c) for c in own], info.alias("_mix"))
+
+
 def _refine(slim: DataFrame, state: DataFrame, shift: int) -> DataFrame:
     """Follow each source's budget into one bucket of the next bits: words below it, and words in it.
 

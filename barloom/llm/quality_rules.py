@@ -12,6 +12,7 @@ those of all documents. Repeated rows are judged alike. An empty table gives an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -24,8 +25,8 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 8
 #: Rates that have an upper fence, with the least distance that a fence keeps from the median.
-RATES = {"symbol_rate": 0.10, "dup_line_rate": 0.20, "repeat_rate": 0.15, "upper_rate": 0.25}
-FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long"
+RATES = {"symbol_rate": 0.10, "dup_line_rate": 0.40, "repeat_rate": 0.29, "upper_rate": 0.25, "stutter_rate": 0.20}
+FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_stutters long"
 
 
 def repeated_words(words: list[bytes], size: int = WINDOW) -> int:
@@ -63,6 +64,7 @@ def text_features(text: str | None) -> tuple[int, ...]:
     return (
         len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)),
         repeated_words(words), len(lines), len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")),
+        sum(map(eq, words, words[1:])),
     )
 
 
@@ -89,6 +91,7 @@ def with_rates(features: DataFrame) -> DataFrame:
         {
             "symbol_rate": per("n_symbols", "n_words"), "dup_line_rate": per("n_dup_lines", "n_lines"),
             "repeat_rate": per("n_repeat_words", "n_words"), "upper_rate": per("n_upper", "word_chars"),
+            "stutter_rate": per("n_stutters", "n_words"),
         }
     )
 
@@ -113,16 +116,16 @@ def adaptive_quality(
     scratch = Scratch(docs.sparkSession)
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
     rates = scratch.write(with_rates(base_features(named)))
-    every = fences(rates, [], accuracy, spread).drop("n_group")
+    every = fences(rates, [], accuracy, spread).first()  # one row
     by_lang = fences(rates, ["lang"], accuracy, spread)
     by_both = fences(rates, ["lang", "source"], accuracy, spread)
     limits = [f"max_{r}" for r in RATES]
-    a, b, c = by_both.alias("a"), by_lang.alias("b"), every.alias("c")
+    a, b = by_both.alias("a"), by_lang.alias("b")
     # one row per language and source: a small table, which Spark broadcasts if its written size allows
     table = scratch.write(
-        a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")), "left").join(c, F.lit(True), "left").select(
+        a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")), "left").select(
             F.col("a.lang").alias("of_lang"), F.col("a.source").alias("of_source"),
-            *[F.when(F.col("a.n_group") >= min_group, F.col(f"a.{x}")).when(F.col("b.n_group") >= min_group, F.col(f"b.{x}")).otherwise(F.col(f"c.{x}")).alias(x) for x in limits],
+            *[F.when(F.col("a.n_group") >= min_group, F.col(f"a.{x}")).when(F.col("b.n_group") >= min_group, F.col(f"b.{x}")).otherwise(F.lit(every[x])).cast("double").alias(x) for x in limits],
         )
     )
     joined = rates.join(table, rates["lang"].eqNullSafe(table["of_lang"]) & rates["source"].eqNullSafe(table["of_source"]), "left")

@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, line_dedup, mixing, near_dedup, quality_rules, tokens
+from barloom.llm import decontaminate, licenses, line_dedup, mixing, near_dedup, pii, quality_model, quality_rules, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key="registered-query")
+    return done.select("doc_id", F.size("_pii").cast("long").alias("n_values"), F.array_join("_pii.kind", ",").alias("kinds"), "text")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "_dedup.n_lines", "_dedup.n_deleted", "text")
@@ -30,6 +35,19 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = quality_model.train(docs, labels.filter(~held_out), "quality")
+    scored = quality_model.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.grade_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -49,6 +67,23 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_paths(docs: DataFrame) -> DataFrame:
+    """Documents as files of a tree: source / language / doc_id div 4096 / doc_id div 64 / name.
+
+    A text that opens with a line about licensing is named LICENSE-<doc_id>, and lies in one of the four directories
+    on its way, by doc_id modulo 4; all others are named <doc_id>.txt in the last.
+    """
+    level = F.array(F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), F.floor(F.col("doc_id") / 4096).cast("string"), F.floor(F.col("doc_id") / 64).cast("string"))
+    opens = F.coalesce(F.split_part("text", F.lit("\n"), F.lit(1)).rlike(licenses.MENTION), F.lit(False))
+    depth = F.when(opens, F.pmod("doc_id", F.lit(4)).cast("int") + 1).otherwise(4)
+    name = F.when(opens, F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat("doc_id", F.lit(".txt")))
+    return docs.select("doc_id", "text", F.concat_ws("/", F.slice(level, 1, depth), name).alias("path"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(document_paths(table(spark, sf_dir, "documents")))
+
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -104,12 +139,16 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN left_over USING (doc_id)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_pii,
         "op2_line_dedup": op2_line_dedup,
         "op3_mix": op3_mix,
         "op4_token_counts": op4_token_counts,
+        "op5_quality_model": op5_quality_model,
+        "op6_toxicity": op6_toxicity,
         "op7_decontaminate": op7_decontaminate,
         "op8_near_dedup": op8_near_dedup,
         "op9_quality_rules": op9_quality_rules,
+        "op10_licenses": op10_licenses,
     }
 
 
