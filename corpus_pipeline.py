@@ -1,15 +1,62 @@
-"""Corpus preparation: the training-data operators as a chain of stages over documents."""
+"""Corpus preparation: the training-data operators as a chain of stages over documents.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+stage's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barloom.llm import decontaminate, line_dedup, mixing, near_dedup, toxicity
+from barloom.llm.common import Scratch
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the severity model does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.keep_civil(docs, toxicity.train(docs.select("doc_id", "text"), labels))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later repeated runs of lines; a document of which nothing but blanks is left goes."""
+    done = line_dedup.dedup_lines(docs)
+    left = done.filter((F.col("_dedup.n_deleted") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.withColumn("n_chars", F.when(F.col("_dedup.n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("_dedup")
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return near_dedup.keep_representatives(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, and how often."""
+    mixed = mixing.take_mix(docs)
+    return mixed.select(*docs.columns, "_mix.size", "_mix.target", "_mix.copies", "_mix.taken")
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", dedup_near),
+    ("decontaminate", drop_leaks),
+    ("mix", mix),
+]
+#: SQL can express neither the severity model nor ProbMinHash; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each from the written result of the one before."""
+    scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = scratch.write(stage(spark, docs, sf_dir))
     return docs
