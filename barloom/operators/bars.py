@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.operators import kernels
-from barloom.operators.indicators import KEY, W, latest, sma, with_averages
+from barloom.operators.indicators import KEY, by_time, latest, sma, with_averages
 
 #: Column names of providers by standard name: fixed values.
 ALIASES = {
@@ -102,7 +102,7 @@ def latest_fundamentals(reports: DataFrame, order: list[str]) -> DataFrame:
 
 def daily_basics(bars: DataFrame, per_share: DataFrame) -> DataFrame:
     """Of the last bar: volume against the five bars before, and price to earnings (null for no or zero earnings)."""
-    before = W.rowsBetween(-5, -1)
+    before = by_time().rowsBetween(-5, -1)
     mean = F.when(F.count("volume").over(before) == 5, F.avg("volume").over(before))
     rows = latest(bars.withColumn("volume_ratio", F.col("volume") / F.nullif(mean, F.lit(0.0))))
     return rows.join(per_share, "symbol", "left").withColumn("pe", F.col("close") / F.nullif(F.col("eps"), F.lit(0.0)))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators import kernels
-from barloom.operators.indicators import KEY, W, lag, trailing
+from barloom.operators.indicators import KEY, above, by_time, lag, trailing
 
 MERGED = "symbol string, timeframe string, idx int, first_row int, last_row int, datetime timestamp, open double, high double, low double, close double, volume double, amount double"
 
@@ -71,7 +71,7 @@ def with_macd_area(lines: DataFrame, macd: DataFrame) -> DataFrame:
     """The sum of histogram bars of the stroke's sign between its ends: prefix sums joined at both ends."""
     h = F.coalesce("hist", F.lit(0.0))
     up, down = F.greatest(h, F.lit(0.0)), F.greatest(-h, F.lit(0.0))
-    sums = macd.select(*KEY, "datetime", F.sum(up).over(W).alias("u"), F.sum(down).over(W).alias("d"), up.alias("ui"), down.alias("di"))
+    sums = macd.select(*KEY, "datetime", F.sum(up).over(by_time()).alias("u"), F.sum(down).over(by_time()).alias("d"), up.alias("ui"), down.alias("di"))
     start = sums.select(*KEY, F.col("datetime").alias("start_time"), (F.col("u") - F.col("ui")).alias("u0"), (F.col("d") - F.col("di")).alias("d0"))
     end = sums.select(*KEY, F.col("datetime").alias("end_time"), F.col("u").alias("u1"), F.col("d").alias("d1"))
     joined = lines.join(start, [*KEY, "start_time"], "left").join(end, [*KEY, "end_time"], "left")
@@ -79,12 +79,13 @@ def with_macd_area(lines: DataFrame, macd: DataFrame) -> DataFrame:
     return joined.withColumn("macd_area", F.coalesce(F.greatest(F.round(area, 9), F.lit(0.0)), F.lit(0.0))).drop("u0", "u1", "d0", "d1")
 
 
-SW = Window.partitionBy(*KEY).orderBy("idx")
+def in_order():
+    return Window.partitionBy(*KEY).orderBy("idx")
 
 
 def locked(lines: DataFrame) -> DataFrame:
     """All strokes but the last, each confirmed when the next one is."""
-    return lines.withColumn("confirmed_at", F.lead("confirmed_at").over(SW)).filter("confirmed_at is not null")
+    return lines.withColumn("confirmed_at", F.lead("confirmed_at").over(in_order())).filter("confirmed_at is not null")
 
 
 CENTERS = "symbol string, timeframe string, idx int, start_stroke int, end_stroke int, zd double, zg double, low double, high double"
@@ -114,12 +115,12 @@ def with_center(lines: DataFrame, zones: DataFrame) -> DataFrame:
 
 def turning_points(lines: DataFrame) -> DataFrame:
     """Type-1 points (a new extreme with less force beyond the center) and the type-2 points two strokes later."""
-    prev = lambda c: F.lag(c, 2).over(SW)
+    prev = lambda c: F.lag(c, 2).over(in_order())
     weaker = (F.col("direction") == prev("direction")) & (prev("macd_area") > 0) & (F.col("macd_area") < prev("macd_area") * 0.9)
     buy = weaker & (F.col("direction") == "down") & (F.col("low") < prev("low")) & (F.col("end_price") < F.col("zd"))
     sell = weaker & (F.col("direction") == "up") & (F.col("high") > prev("high")) & (F.col("end_price") > F.col("zg"))
     one = lines.withColumn("t1", F.when(buy, "buy_1").when(sell, "sell_1")).withColumn("p1", F.col("end_price"))
-    newest = F.last(F.when(F.col("t1").isNotNull(), F.struct(F.col("idx").alias("i"), F.col("t1").alias("t"), F.col("p1").alias("p"), F.col("direction").alias("d"))), ignorenulls=True).over(SW.rowsBetween(Window.unboundedPreceding, 0))
+    newest = F.last(F.when(F.col("t1").isNotNull(), F.struct(F.col("idx").alias("i"), F.col("t1").alias("t"), F.col("p1").alias("p"), F.col("direction").alias("d"))), ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, 0))
     two = one.withColumn("n", newest)
     due = (F.col("n.i") == F.col("idx") - 2) & (F.col("direction") == F.col("n.d"))
     t2 = F.when(due & (F.col("n.t") == "buy_1") & (F.col("low") >= F.col("n.p")), "buy_2").when(due & (F.col("n.t") == "sell_1") & (F.col("high") <= F.col("n.p")), "sell_2")
@@ -131,7 +132,7 @@ def leaving_points(lines: DataFrame, zones: DataFrame, departure: str = "next_st
     "last_center_stroke": the center's own last stroke is the one that leaves."""
     shift = 1 if departure == "next_stroke" else 0
     z = zones.select(*KEY, (F.col("end_stroke") + shift).alias("idx"), "zd", "zg")
-    s = lines.select(*KEY, "idx", F.col("direction").alias("d0"), F.col("end_price").alias("e0"), *[F.lead(c).over(SW).alias(f"{c}_1") for c in ("direction", "low", "high", "end_price", "confirmed_at", "idx")])
+    s = lines.select(*KEY, "idx", F.col("direction").alias("d0"), F.col("end_price").alias("e0"), *[F.lead(c).over(in_order()).alias(f"{c}_1") for c in ("direction", "low", "high", "end_price", "confirmed_at", "idx")])
     j = z.join(s, [*KEY, "idx"])
     buy = (F.col("d0") == "up") & (F.col("e0") > F.col("zg")) & (F.col("direction_1") == "down") & (F.col("low_1") > F.col("zg"))
     sell = (F.col("d0") == "down") & (F.col("e0") < F.col("zd")) & (F.col("direction_1") == "up") & (F.col("high_1") < F.col("zd"))
@@ -177,7 +178,7 @@ def divergences(df: DataFrame, hist: str = "hist0", lookback: int = 60) -> DataF
 
 def bear_traps(df: DataFrame, kinds: DataFrame, ma: str = "ma60") -> DataFrame:
     """Per key's last row: the first test that fails, or trap: rising average, a recent close below it, now above, bullish divergence."""
-    base = F.lag(ma, 19).over(W)
+    base = F.lag(ma, 19).over(by_time())
     rising = (F.col(ma) - base) / F.greatest(F.abs(base), F.lit(1.0)) > 0
     dipped = F.max((F.col("close") < F.col(ma)).cast("int")).over(trailing(5)) == 1
     rows = df.select(*KEY, "datetime", rising.alias("rising"), dipped.alias("dipped"), (F.col("close") > F.col(ma)).alias("back"))
@@ -190,7 +191,7 @@ def bear_traps(df: DataFrame, kinds: DataFrame, ma: str = "ma60") -> DataFrame:
 def simple_divergence(df: DataFrame, price: str = "close", force: str = "hist0", back: int = 5) -> DataFrame:
     """Price below (above) and force above (below) their values some bars ago."""
     p, f = lag(price, back), lag(force, back)
-    kind = F.when((F.col(price) < p) & (F.col(force) > f), "bullish").when((F.col(price) > p) & (F.col(force) < f), "bearish").otherwise("none")
+    kind = F.when((F.col(price) < p) & above(force, f), "bullish").when((F.col(price) > p) & above(f, force), "bearish").otherwise("none")
     return df.withColumn("simple_divergence", kind)
 
 

@@ -9,11 +9,14 @@ from pyspark.sql import types as T
 from barloom.operators import kernels
 
 KEY = ["symbol", "timeframe"]
-W = Window.partitionBy(*KEY).orderBy("datetime")
+
+
+def by_time():
+    return Window.partitionBy(*KEY).orderBy("datetime")
 
 
 def trailing(n: int):
-    return W.rowsBetween(1 - n, 0)
+    return by_time().rowsBetween(1 - n, 0)
 
 
 def full(value: Column, x: str, n: int, least: int | None = None) -> Column:
@@ -32,7 +35,7 @@ def sma(x: str, n: int, least: int | None = None) -> Column:
 
 
 def lag(x: str, n: int = 1) -> Column:
-    return F.lag(x, n).over(W)
+    return F.lag(x, n).over(by_time())
 
 
 def with_macd(bars: DataFrame) -> DataFrame:
@@ -76,7 +79,7 @@ def with_averages(df: DataFrame) -> DataFrame:
     mean20 = F.nullif(sma("volume", 20, 10), F.lit(0.0))
     mean30 = F.nullif(sma("volume", 30), F.lit(0.0))
     return df.withColumns(averages | {
-        "n_rows": F.row_number().over(W),
+        "n_rows": F.row_number().over(by_time()),
         "volume_ratio": F.coalesce(F.col("volume") / mean20, F.lit(0.0)),
         "volume_ratio30": F.coalesce(F.col("volume") / mean30, F.lit(1.0)),
     })
@@ -95,7 +98,7 @@ def with_trends(df: DataFrame) -> DataFrame:
         "price_change": F.col("close") - lag("close"),
         "recent_high": F.max("close").over(trailing(20)),
         "recent_low": F.min("close").over(trailing(20)),
-        "breakout20": F.coalesce(F.col("close") >= F.max("close").over(W.rowsBetween(-20, -1)), F.lit(False)),
+        "breakout20": F.coalesce(F.col("close") >= F.max("close").over(by_time().rowsBetween(-20, -1)), F.lit(False)),
     })
     return df.withColumns({
         "boll_up": F.col("boll_mid") + 2 * F.col("boll_sd"),
@@ -110,7 +113,7 @@ def with_trends(df: DataFrame) -> DataFrame:
 
 def volume_price_state(df: DataFrame) -> DataFrame:
     """1 to 4: price over 5 bars up or down, mean volume of 5 bars above or not above that of the 5 bars before."""
-    df = df.withColumn("vol5", sma("volume", 5)).withColumn("vol5_before", F.lag("vol5", 5).over(W)).withColumn("close5", lag("close", 5))
+    df = df.withColumn("vol5", sma("volume", 5)).withColumn("vol5_before", F.lag("vol5", 5).over(by_time())).withColumn("close5", lag("close", 5))
     heavy = F.col("vol5") > F.col("vol5_before")
     state = F.when(F.col("close") > F.col("close5"), F.when(heavy, 1).otherwise(2)).otherwise(F.when(heavy, 3).otherwise(4))
     return df.withColumn("vp_state", F.when(F.col("vol5_before").isNotNull(), state))
