@@ -230,3 +230,16 @@ def concentration(holdings: DataFrame) -> DataFrame:
     """Amount of each holding and its share of the account."""
     amount: Column = F.col("shares") * F.col("cost")
     return holdings.withColumn("amount", amount).withColumn("share", F.col("amount") / F.nullif(F.sum("amount").over(Window.partitionBy("account_group")), F.lit(0.0)))
+
+
+def breakdown(trades: DataFrame, by: str) -> DataFrame:
+    """Trades, win rate, total and mean days by a label."""
+    return trades.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("pnl_pct") > 0).cast("int")).alias("win_rate"), F.sum("pnl_pct").alias("total_pnl"), F.avg("holding_days").alias("avg_days"))
+
+
+def best_of(reports: DataFrame, key: str) -> DataFrame:
+    """Of several parameter sets or strategies, the one with the best annual return; its lead if both traded."""
+    by = Window.partitionBy(key).orderBy(F.col("annual_return").desc(), "param")
+    rows = reports.withColumn("r", F.row_number().over(by)).withColumn("next_return", F.lead("annual_return").over(by)).withColumn("next_trades", F.lead("trade_count").over(by))
+    lead = F.when((F.col("trade_count") > 0) & (F.col("next_trades") > 0), F.col("annual_return") - F.col("next_return"))
+    return rows.filter("r = 1").select(key, "param", "ma", "annual_return", lead.alias("lead"))

@@ -72,3 +72,15 @@ def ranked_events(events: DataFrame, per_symbol: int = 1) -> DataFrame:
     """The best events of each symbol by weighted score, then the latest."""
     by = Window.partitionBy("symbol").orderBy((F.col("score") * F.col("weight")).desc(), F.col("confirmed_at").desc(), "event_id")
     return events.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= per_symbol).drop("r")
+
+
+def cross_events(df: DataFrame, buy_limit: int = 60, sell_limit: int = 60) -> DataFrame:
+    """An event per golden or death cross whose score reaches its limit."""
+    buy, sell = F.col("golden_cross") & (F.col("buy_score") >= buy_limit), F.col("death_cross") & (F.col("sell_score") >= sell_limit)
+    rows = df.withColumn("signal_type", F.when(buy, "golden_cross").when(sell, "death_cross")).filter("signal_type is not null")
+    return rows.withColumn("score", F.when(F.col("signal_type") == "golden_cross", F.col("buy_score")).otherwise(F.col("sell_score"))).withColumn("side", F.when(F.col("signal_type") == "golden_cross", "buy").otherwise("sell"))
+
+
+def current(events: DataFrame, expected: str, least: int = 0) -> DataFrame:
+    """Events confirmed on the expected trade date or later, with enough score."""
+    return events.filter((F.col("confirmed_at") >= expected) & (F.col("score") >= least))

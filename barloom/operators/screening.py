@@ -129,3 +129,14 @@ def group_acceptance(rows: DataFrame, groups: DataFrame, minimum: int = 2) -> Da
     return joined.rollup("grp").agg(F.count_if(F.col("score").isNotNull()).alias("candidates"), F.count_if(F.col("score") >= 85).alias("buys")).withColumn("accepted", F.col("candidates") >= minimum)
 
 
+def sell_gate(df: DataFrame, patience: int = 60, least: float = 5, profit: float = 30, loss: float = -12) -> DataFrame:
+    """Why a position should go (returns in percent)."""
+    reason = F.when((F.col("holding_days") > patience) & (F.col("profit_pct") < least), "stale").when(F.col("profit_pct") > profit, "profit").when(F.col("profit_pct") < loss, "loss").otherwise("hold")
+    return df.withColumn("reason", reason)
+
+
+def screen(df: DataFrame, tests: dict[str, Column]) -> DataFrame:
+    """Rows that pass all named tests; a null fails."""
+    for test in tests.values():
+        df = df.filter(F.coalesce(test, F.lit(False)))
+    return df

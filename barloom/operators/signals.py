@@ -120,3 +120,25 @@ def bar_predicates(df: DataFrame) -> DataFrame:
         "entry_cross": (F.col("dif0") > F.col("dea0")) & (lag("dif0") <= lag("dea0")) & (F.col("volume") > F.coalesce(lag("volume"), F.lit(0.0))),
         "exit_band": F.col("close") < F.col("boll_mid") * 0.97,
     })
+
+
+def exit_signals(df: DataFrame) -> DataFrame:
+    """F16: SELL 95 or REDUCE 80 for positions with risk flags or other reasons to leave."""
+    df = position_risk(df)
+    more = F.array_compact(F.array(
+        F.when(F.col("divergence") == "bearish", "bearish_divergence"), F.when(F.col("profit_pct") > 20, "profit_above_20"), F.when(~F.col("above_ma") & (F.col("profit_pct") > 0), "below_average"),
+    ))
+    df = df.withColumn("reasons", F.array_union("risk_flags", more)).filter(F.size("reasons") > 0)
+    action = F.when(F.col("action") == "SELL", "SELL").otherwise("REDUCE")
+    return df.withColumn("action", action).withColumn("score", F.when(F.col("action") == "SELL", 95).otherwise(80))
+
+
+def t_trading(df: DataFrame) -> DataFrame:
+    """what to do with the mobile part of a position."""
+    suggestion = (
+        F.when((F.col("regime") == "bear") & F.col("above_ma"), "sell_mobile")
+        .when((F.col("divergence") == "bullish") & (F.col("regime") == "bull"), "buy_mobile")
+        .when(F.col("divergence") == "bearish", "sell_mobile")
+        .otherwise("none")
+    )
+    return df.withColumn("suggestion", suggestion)

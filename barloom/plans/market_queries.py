@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.functions.symbols import business_expiry
@@ -134,7 +135,7 @@ def e14(spark, sf_dir):
     return screening.top(df.select("symbol", "composite"), 20, F.col("composite").desc(), F.col("symbol"))
 
 
-@query("e15_sizing", "SELECT s_suppkey::VARCHAR AS symbol, round(least(0.05 * CASE WHEN s_suppkey % 25 > 15 THEN 1.5 WHEN s_suppkey % 25 > 10 THEN 1.2 ELSE 1.0 END, 0.10), 6) AS ratio FROM supplier")
+@query("e15_sizing", "SELECT s_suppkey::VARCHAR AS symbol, round(least(0.05 * CASE WHEN s_suppkey % 25 > 15 THEN 1.5 WHEN s_suppkey % 25 > 10 THEN 1.2 ELSE 1.0 END, 0.10), 6)::DOUBLE AS ratio FROM supplier")
 def e15(spark, sf_dir):
     k = F.col("s_suppkey") % 25
     ratio = F.least(0.05 * F.when(k > 15, 1.5).when(k > 10, 1.2).otherwise(1.0), F.lit(0.10))
@@ -151,9 +152,9 @@ def e20(spark, sf_dir):
 REGIME = "WITH RECURSIVE " + BARS + "," + INDEX + "," + macd("idx", "im") + """,
 ia AS (SELECT *, avg(close) OVER (PARTITION BY symbol ORDER BY rn ROWS 19 PRECEDING) AS ma20, CASE WHEN rn >= 250 THEN avg(close) OVER (PARTITION BY symbol ORDER BY rn ROWS 249 PRECEDING) END AS ma250 FROM im),
 ib AS (SELECT datetime, close / ma250 - 1 AS p, ma20 / ma250 - 1 AS m, coalesce(ma250 / lag(ma250, 19) OVER (ORDER BY rn) - 1, 0) AS s, hist0 AS h, ma250 FROM ia),
-ic AS (SELECT *, round(0.1 + CASE WHEN p > 0.02 THEN 0.35 ELSE 0 END + CASE WHEN m > 0.01 THEN 0.25 ELSE 0 END + CASE WHEN s > 0.01 THEN 0.20 ELSE 0 END + CASE WHEN h > 0 THEN 0.10 ELSE 0 END, 4) AS bull,
-  round(0.1 + CASE WHEN p < -0.02 THEN 0.35 ELSE 0 END + CASE WHEN m < -0.01 THEN 0.25 ELSE 0 END + CASE WHEN s < -0.01 THEN 0.20 ELSE 0 END + CASE WHEN h < 0 THEN 0.10 ELSE 0 END, 4) AS bear,
-  round(0.1 + CASE WHEN abs(p) <= 0.02 THEN 0.35 ELSE 0 END + CASE WHEN abs(m) <= 0.01 THEN 0.35 ELSE 0 END + CASE WHEN abs(s) <= 0.01 THEN 0.2 ELSE 0 END, 4) AS calm FROM ib WHERE ma250 IS NOT NULL),
+ic AS (SELECT *, round(0.1 + CASE WHEN p > 0.02 THEN 0.35 ELSE 0 END + CASE WHEN m > 0.01 THEN 0.25 ELSE 0 END + CASE WHEN s > 0.01 THEN 0.20 ELSE 0 END + CASE WHEN h > 0 THEN 0.10 ELSE 0 END, 4)::DOUBLE AS bull,
+  round(0.1 + CASE WHEN p < -0.02 THEN 0.35 ELSE 0 END + CASE WHEN m < -0.01 THEN 0.25 ELSE 0 END + CASE WHEN s < -0.01 THEN 0.20 ELSE 0 END + CASE WHEN h < 0 THEN 0.10 ELSE 0 END, 4)::DOUBLE AS bear,
+  round(0.1 + CASE WHEN abs(p) <= 0.02 THEN 0.35 ELSE 0 END + CASE WHEN abs(m) <= 0.01 THEN 0.35 ELSE 0 END + CASE WHEN abs(s) <= 0.01 THEN 0.2 ELSE 0 END, 4)::DOUBLE AS calm FROM ib WHERE ma250 IS NOT NULL),
 regime AS (SELECT *, CASE WHEN greatest(bull, bear, calm) >= CASE WHEN calm > bull AND calm > bear THEN 0.6 ELSE 0.7 END OR greatest(bull, bear, calm) > list_sort([bull, bear, calm])[2]
   THEN CASE WHEN bull >= bear AND bull >= calm THEN 'bull' WHEN bear >= calm THEN 'bear' ELSE 'range' END ELSE 'range' END AS regime FROM ic)"""
 
@@ -392,3 +393,106 @@ def h14(spark, sf_dir):
     return pool.monitored(src.holdings(spark, sf_dir).filter("account % 4 = 0"), s.filter("s_suppkey % 3 = 0"), s)
 
 
+
+
+@query("e13_momentum_score", "WITH RECURSIVE " + BARS + "," + INDICATORS + """ SELECT symbol, (CASE WHEN rsi BETWEEN 30 AND 40 THEN 3 WHEN rsi BETWEEN 40 AND 50 THEN 2 WHEN rsi BETWEEN 50 AND 60 THEN 1 ELSE 0 END
+ + CASE WHEN hist0 > h1 AND hist0 < 0 THEN 2 WHEN hist0 > 0 AND h1 <= 0 THEN 3 ELSE 0 END + CASE WHEN close < ma20 - 2 * boll_sd THEN 2 WHEN close < ma20 THEN 1 ELSE 0 END)::INT AS momentum
+ FROM (SELECT *, lag(hist0) OVER (PARTITION BY symbol ORDER BY rn) AS h1 FROM cross_ind) WHERE back = 1""")
+def e13(spark, sf_dir):
+    df = ind.enriched(src.daily_bars(spark, sf_dir)).withColumn("hist0_before", ind.lag("hist0"))
+    last = ind.latest(df)
+    return last.select("symbol", screening.momentum_score(last).cast("int").alias("momentum"))
+
+
+@query("e16_sell_gate", snap_sql(" SELECT account, symbol, CASE WHEN holding_days > 60 AND profit_pct < 5 THEN 'stale' WHEN profit_pct > 30 THEN 'profit' WHEN profit_pct < -12 THEN 'loss' ELSE 'hold' END AS reason FROM pr", HOLD.lstrip(", ")))
+def e16(spark, sf_dir):
+    return screening.sell_gate(positions(spark, sf_dir)).select("account", "symbol", "reason")
+
+
+@query("e17_three_leg_screen", snap_sql(" SELECT symbol FROM snap WHERE (divergence = 'bullish' OR near_ma OR golden_cross) AND debt_ratio < 60 AND ocf_to_profit > 0.3 AND gross_margin > 10 AND market_cap > 30 AND roe > 10 AND pe > 0 AND pe < 30 AND avg_turnover BETWEEN 1 AND 5 ORDER BY symbol::INT LIMIT 4"))
+def e17(spark, sf_dir):
+    """The first four symbols in input order that pass all legs."""
+    tests = {
+        "technical": (F.col("divergence") == "bullish") | F.col("near_ma") | F.col("golden_cross"),
+        "safety": (F.col("debt_ratio") < 60) & (F.col("ocf_to_profit") > 0.3) & (F.col("gross_margin") > 10) & (F.col("market_cap") > 30),
+        "value": (F.col("roe") > 10) & (F.col("pe") > 0) & (F.col("pe") < 30), "turnover": F.col("avg_turnover").between(1, 5),
+    }
+    return screening.top(screening.screen(snapshot(spark, sf_dir), tests).select("symbol"), 4, F.col("symbol").cast("int"))
+
+
+@query("e18_value_screen", snap_sql(" SELECT symbol, roe FROM snap WHERE roe > 10 AND pe <= 20 AND debt_ratio < 50 AND market_cap BETWEEN 50 AND 500 ORDER BY roe DESC, symbol LIMIT 3"))
+def e18(spark, sf_dir):
+    tests = {"roe": F.col("roe") > 10, "pe": F.col("pe") <= 20, "debt": F.col("debt_ratio") < 50, "cap": F.col("market_cap").between(50, 500)}
+    return screening.top(screening.screen(snapshot(spark, sf_dir), tests).select("symbol", "roe"), 3, F.col("roe").desc(), F.col("symbol"))
+
+
+@query("e19_signal_summary", snap_sql(" SELECT symbol, action, score::INT AS score FROM sg WHERE score >= 85 ORDER BY score DESC, symbol, strategy LIMIT 5", STRAT.lstrip(", ")))
+def e19(spark, sf_dir):
+    rows = signals.strategy_signals(pool_rows(spark, sf_dir)).filter("score >= 85")
+    return screening.top(rows, 5, F.col("score").desc(), F.col("symbol"), F.col("strategy")).select("symbol", "action", "score")
+
+
+EXITS = """, ex AS (SELECT pr.account, pr.symbol, CASE WHEN pr.profit_pct <= -stop_loss OR (NOT pr.above_ma AND pr.slope < 0) THEN 'SELL' WHEN pr.profit_pct >= take_profit OR pr.regime = 'bear' AND pr.profit_pct < 0 OR divergence = 'bearish' OR pr.profit_pct > 20 OR NOT pr.above_ma AND pr.profit_pct > 0 THEN 'REDUCE' END AS action FROM pr JOIN snap USING (symbol))"""
+
+
+@query("f16_exit_signals", snap_sql(" SELECT account, symbol, action, CASE action WHEN 'SELL' THEN 95 ELSE 80 END::INT AS score FROM ex WHERE action IS NOT NULL", HOLD.lstrip(", "), EXITS.lstrip(", ")))
+def f16(spark, sf_dir):
+    rows = positions(spark, sf_dir).join(snapshot(spark, sf_dir).select("symbol", "divergence"), "symbol")
+    return signals.exit_signals(rows).select("account", "symbol", "action", "score")
+
+
+@query("f17_t_trading", snap_sql(" SELECT account, pr.symbol, CASE WHEN pr.regime = 'bear' AND pr.above_ma THEN 'sell_mobile' WHEN divergence = 'bullish' AND pr.regime = 'bull' THEN 'buy_mobile' WHEN divergence = 'bearish' THEN 'sell_mobile' ELSE 'none' END AS suggestion FROM pr JOIN snap USING (symbol)", HOLD.lstrip(", ")))
+def f17(spark, sf_dir):
+    rows = positions(spark, sf_dir).join(snapshot(spark, sf_dir).select("symbol", "divergence"), "symbol")
+    return signals.t_trading(rows).select("account", "symbol", "suggestion")
+
+
+@query("f20_merged_signals", snap_sql(" SELECT symbol, action, score::INT AS score, 'routed' AS origin FROM sg UNION ALL SELECT symbol, action, CASE action WHEN 'SELL' THEN 95 ELSE 80 END, 'exit' FROM ex WHERE action IS NOT NULL", STRAT.lstrip(", "), HOLD.lstrip(", "), EXITS.lstrip(", ")))
+def f20(spark, sf_dir):
+    routed = signals.strategy_signals(pool_rows(spark, sf_dir)).withColumn("origin", F.lit("routed"))
+    out = signals.exit_signals(positions(spark, sf_dir).join(snapshot(spark, sf_dir).select("symbol", "divergence"), "symbol")).withColumn("origin", F.lit("exit"))
+    both = routed.unionByName(out.select("symbol", "action", "score", "origin"), allowMissingColumns=True)
+    return both.orderBy(F.col("score").desc(), "symbol").select("symbol", "action", "score", "origin")
+
+
+@query("f21_bar_predicates", "WITH RECURSIVE " + BARS + "," + INDICATORS + " SELECT symbol, datetime::DATE::VARCHAR AS day FROM (SELECT *, lag(dif0) OVER (PARTITION BY symbol ORDER BY rn) AS d1, lag(dea0) OVER (PARTITION BY symbol ORDER BY rn) AS e1, lag(volume) OVER (PARTITION BY symbol ORDER BY rn) AS v1 FROM cross_ind) WHERE dif0 > dea0 AND d1 <= e1 AND volume > coalesce(v1, 0)")
+def f21(spark, sf_dir):
+    df = signals.bar_predicates(ind.enriched(src.daily_bars(spark, sf_dir))).filter("entry_cross")
+    return df.select("symbol", F.date_format("datetime", "yyyy-MM-dd").alias("day"))
+
+
+@query("g10_trade_pairs", """WITH t AS (SELECT l_suppkey::VARCHAR AS symbol, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) AS seq, CASE WHEN l_returnflag = 'R' THEN 'BUY' ELSE 'SELL' END AS side, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS flow FROM lineitem),
+ c AS (SELECT *, sum((side = 'BUY')::INT) OVER w AS nb, sum((side = 'SELL')::INT) OVER w AS ns FROM t WINDOW w AS (PARTITION BY symbol ORDER BY seq)),
+ k AS (SELECT *, ns - greatest(coalesce(max(ns - nb) OVER (PARTITION BY symbol ORDER BY seq), 0), 0) AS ks FROM c),
+ s AS (SELECT * FROM (SELECT *, coalesce(lag(ks) OVER (PARTITION BY symbol ORDER BY seq), 0) AS before FROM k WHERE side = 'SELL') WHERE ks > before)
+ SELECT b.symbol, b.nb::BIGINT AS k, b.seq AS buy_seq, s.seq AS sell_seq, b.flow + s.flow AS pnl FROM k b JOIN s ON s.symbol = b.symbol AND s.ks = b.nb WHERE b.side = 'BUY'""")
+def g10(spark, sf_dir):
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"]
+    t = src.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("symbol"), *order, F.when(F.col("l_returnflag") == "R", "BUY").otherwise("SELL").alias("side"), F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("flow"))
+    t = t.withColumn("seq", F.row_number().over(Window.partitionBy("symbol").orderBy(*order)))
+    return backtest.pair_trades(t).select("symbol", F.col("k").cast("long").alias("k"), "buy_seq", "sell_seq", "pnl")
+
+
+@query("g13_regime_breakdown", G + """, b AS (SELECT symbol, type, reason AS regime, pnl_pct, holding_days FROM tr) SELECT regime, count(*) AS n, round(avg((pnl_pct > 0)::INT), 6) AS win_rate, round(sum(pnl_pct), 4) AS total_pnl, round(avg(holding_days), 6) AS avg_days FROM b GROUP BY regime""")
+def g13(spark, sf_dir):
+    """The breakdown of trades by a label column; here their exit reason stands for the regime."""
+    out = backtest.breakdown(trades_of(spark, sf_dir).withColumn("regime", F.col("reason")), "regime")
+    return out.select("regime", "n", *r6("win_rate"), F.round("total_pnl", 4).alias("total_pnl"), *r6("avg_days"))
+
+
+@query("g15_strategy_comparison")
+def g15(spark, sf_dir):
+    return backtest.best_of(backtest.scan(src.daily_bars(spark, sf_dir), mas=(10, 20, 60)), "symbol")
+
+
+@query("h02_event_generation", "WITH RECURSIVE " + BARS + "," + INDICATORS + f" SELECT symbol, datetime::DATE::VARCHAR AS day, CASE WHEN golden_cross THEN 'golden_cross' ELSE 'death_cross' END AS signal_type, CASE WHEN golden_cross THEN {BUY} ELSE {SELL} END AS score FROM cross_ind WHERE (golden_cross AND {BUY} >= 60) OR (death_cross AND {SELL} >= 30)")
+def h02(spark, sf_dir):
+    """One event per cross whose score reaches its limit (60 to buy, 30 to sell, as no structure point adds to it)."""
+    df = scored(ind.enriched(src.daily_bars(spark, sf_dir)))
+    rows = pool.cross_events(df, 60, 30)
+    return rows.select("symbol", F.date_format("datetime", "yyyy-MM-dd").alias("day"), "signal_type", "score")
+
+
+@query("h05_currency_gate", f"WITH {EVENTS} SELECT seq FROM ids WHERE confirmed_at >= '2024-01-15' AND score >= 50")
+def h05(spark, sf_dir):
+    return pool.current(market_events(spark, sf_dir), "2024-01-15", 50).select("seq")
