@@ -56,13 +56,13 @@ def _counted(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def scored_pieces(pieces: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(piece, n) of distinct pieces and their numbers -> piece, license, score of those near a template.
+    """(pid, piece, n): distinct pieces, their md5 and numbers -> pid, license, score of those near a template.
 
     idf = ln((1 + N) / (1 + df)) + 1, over all pieces and templates.
     """
     spark = pieces.sparkSession
     templates = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(TEMPLATES)], "tpl int, license string, piece string")
-    tf = _counted(pieces, ["piece", "n"])
+    tf = _counted(pieces, ["pid", "n"])
     tpl = _counted(templates, ["tpl", "license"])
     df = tf.select("term", "n").unionByName(tpl.select("term", F.lit(1).cast("long").alias("n"))).groupBy("term").agg(F.sum("n").alias("df"))
     total = (pieces.agg(F.sum("n")).first()[0] or 0) + len(TEMPLATES)
@@ -70,12 +70,12 @@ def scored_pieces(pieces: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     weigh = lambda x: x.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     by_tpl = weigh(tpl).withColumn("tnorm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("tpl"))))
     sides = by_tpl.select("term", "tpl", "license", (F.col("w") / F.col("tnorm")).alias("tw"))
-    own = weigh(tf).select("piece", "term", "w")
-    norm = own.groupBy("piece").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("pnorm"))
-    dots = own.join(sides, "term").groupBy("piece", "tpl", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    scores = dots.join(norm, "piece").withColumn("score", F.round(F.col("dot") / F.col("pnorm"), 6)).filter(F.col("score") >= threshold)
-    best = scores.groupBy("piece").agg(F.min(F.struct((-F.col("score")).alias("neg"), "license")).alias("b"))
-    return best.select("piece", F.col("b.license").alias("license"), (-F.col("b.neg")).alias("score"))
+    own = weigh(tf).select("pid", "term", "w")
+    norm = own.groupBy("pid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("pnorm"))
+    dots = own.join(sides, "term").groupBy("pid", "tpl", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    scores = dots.join(norm, "pid").withColumn("score", F.round(F.col("dot") / F.col("pnorm"), 6)).filter(F.col("score") >= threshold)
+    best = scores.groupBy("pid").agg(F.min(F.struct((-F.col("score")).alias("neg"), "license")).alias("b"))
+    return best.select("pid", F.col("b.license").alias("license"), (-F.col("b.neg")).alias("score"))
 
 
 def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -90,9 +90,11 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     rows = scratch.write(
         named.select("doc_id", "path", directory.alias("dir"), is_file.alias("is_file"), F.monotonically_increasing_id().alias("row"), F.coalesce(pieces, F.array().cast("array<string>")).alias("pieces"))
     )
-    held = rows.select("row", F.explode("pieces").alias("piece"))
-    scored = scratch.write(scored_pieces(scratch.write(held.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))), threshold))
-    own = held.join(scored, "piece").groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("neg"), "license")).alias("b"))
+    # pieces go by their md5: a whole licence file must not travel along with each of its terms
+    held = rows.select("row", F.explode("pieces").alias("piece")).withColumn("pid", F.md5("piece"))
+    distinct = scratch.write(held.groupBy("pid").agg(F.first("piece").alias("piece"), F.count(F.lit(1)).alias("n")))
+    scored = scratch.write(scored_pieces(distinct, threshold))
+    own = held.select("row", "pid").join(scored, "pid").groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("neg"), "license")).alias("b"))
     slim = rows.select("row", "doc_id", "path", "dir", "is_file")
     slim = scratch.write(slim.join(own, "row", "left").select("doc_id", "path", "dir", "is_file", F.col("b.license").alias("own_license"), (-F.col("b.neg")).alias("own_score")))
 
