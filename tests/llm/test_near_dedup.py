@@ -83,6 +83,44 @@ def test_hot_group_of_near_copies(spark):
     assert [got[i] for i in range(len(texts))] == classes(texts)
 
 
+def couples(n, seed):
+    """Variants of one text that are below the threshold to each other, but for n couples of 0.80 to 0.81."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(1200)]
+    texts = []
+    for c in range(n):
+        apart, own = rng.sample(range(0, 1200, 6), 26), [[], []]
+        own[0], own[1] = apart[:13], apart[13:]
+        shared = [i + 3 for i in rng.sample(range(0, 1200, 6), 5)]
+        for side in (0, 1):
+            words = list(base)
+            for i in shared:
+                words[i] = f"s{c}"
+            for i in own[side]:
+                words[i] = f"o{c}.{side}.{i}"
+            texts.append(" ".join(words))
+    return texts
+
+
+def test_couples_of_a_large_group(spark):
+    """Links at the threshold between texts of which every bucket holds many."""
+    import numpy as np
+
+    texts = couples(400, 7)
+    names: dict = {}
+    rows = [[names.setdefault(s, len(names)) for s in bag(t)] for t in texts]
+    own = np.zeros((len(rows), len(names)), np.float32)
+    for i, r in enumerate(rows):
+        own[i, r] = 1
+    both, n = own @ own.T, own.sum(axis=1)
+    similar = both / (n[:, None] + n - both)
+    links = [(i, k) for i, k in np.argwhere(similar >= 0.8 - 1e-6).tolist() if i < k]
+    assert links == [(i, i + 1) for i in range(0, 800, 2)] and max(similar[i, k] for i, k in links) < 0.81
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert sum(got[i] != i - i % 2 for i in range(800)) == 0
+
+
 def test_odd_rows(spark):
     got = [(r.doc_id, r.class_id) for r in near_dedup.near_duplicates(odd(spark)).collect()]
     assert sorted(got, key=str) == sorted([(1, 1), (2, 1), (3, 3), (4, 4), (4, 4), (None, None), (5, 5), (6, 6), (7, 7), (8, 8)], key=str)
