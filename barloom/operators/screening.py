@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators import indicators
 
 
 def fundamental_leg(roe: float = 10, debt: float = 50, pe: float = 30, cap: tuple[float, float] = (50, 500)) -> Column:
@@ -103,6 +104,22 @@ def momentum_score(last: DataFrame) -> Column:
     return rsi + turn + band
 
 
+def momentum_arms(df: DataFrame) -> DataFrame:
+    """E13, its two rules on averages, as points ``arms``: two closes under MA20, then up and still below 1.03 of it; MA20 crossing above MA60."""
+    lag, above = indicators.lag, indicators.above
+    df = df.withColumns({"_ma20": lag("ma20"), "_ma60": lag("ma60"), "_c1": lag("close"), "_c2": lag("close", 2), "_m2": lag("ma20", 2)})
+    calm = above("_m2", "_c2") & above("_ma20", "_c1") & (F.col("close") > F.col("_c1")) & (F.col("close") < F.col("ma20") * 1.03)
+    cross = above("ma20", "ma60") & above("_ma60", "_ma20")
+    points = F.when(F.coalesce(calm, F.lit(False)), 2).otherwise(0) + F.when(F.coalesce(cross, F.lit(False)), 2).otherwise(0)
+    return df.withColumn("arms", points).drop("_ma20", "_ma60", "_c1", "_c2", "_m2")
+
+
+def composite(scores: DataFrame) -> DataFrame:
+    """Quality, valuation, momentum and volume of each symbol by weight; a score that could not be computed counts as 0."""
+    part = lambda c, w: F.coalesce(F.col(c), F.lit(0)) * w
+    return scores.withColumn("composite", F.round(part("quality", 0.35) + part("valuation", 0.25) + part("momentum", 0.2) + part("vol_score", 0.2), 6))
+
+
 def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
     """The best rows; each task keeps n rows, so nothing else is sorted or moved."""
     return df.orderBy(*order).limit(n)
@@ -135,6 +152,14 @@ def sell_gate(df: DataFrame, patience: int = 60, least: float = 5, profit: float
     return df.withColumn("reason", reason)
 
 
+def sell_gate_whole(df: DataFrame, heavy: float = -2, drop: float = -0.3, **settings) -> DataFrame:
+    """E16 with the volume pattern before and the fall of the return on equity (against ``roe_before``) after the other rules."""
+    df = sell_gate(df, **settings)
+    fell = F.when(F.col("roe_before") > 0, (F.coalesce("roe", F.lit(0.0)) - F.col("roe_before")) / F.col("roe_before") < drop)
+    reason = F.when(F.col("vol_score") < heavy, "volume").when(F.col("reason") != "hold", F.col("reason")).when(fell, "roe").otherwise("hold")
+    return df.withColumn("reason", reason)
+
+
 def screen(df: DataFrame, tests: dict[str, Column]) -> DataFrame:
     """Rows that pass all named tests; a null fails."""
     for test in tests.values():

@@ -44,8 +44,8 @@ def simple_regime(df: DataFrame) -> DataFrame:
     return df.withColumn("target_exposure", F.when(gap > 0.05, 0.7).when(gap < -0.05, 0.3).otherwise(0.5))
 
 
-def strategy_signals(df: DataFrame) -> DataFrame:
-    """What each strategy says of a pool row, routed by its regime; one row per signal."""
+def strategy_signals(df: DataFrame, only_trend: bool = False) -> DataFrame:
+    """What each strategy says of a pool row, routed by its regime; one row per signal. Or F05 alone, not routed."""
     f, b = F.col, lambda c: F.coalesce(F.col(c), F.lit(False))
     add = lambda *xs: sum((F.when(c, p).otherwise(0) for c, p in xs), f("selection_score"))
     bullish = f("divergence") == "bullish"
@@ -63,9 +63,15 @@ def strategy_signals(df: DataFrame) -> DataFrame:
     weak = (f("divergence") == "bearish") | ~b("above_ma")
     defensive = F.when(b("held") & weak, F.struct(F.lit("defensive").alias("strategy"), F.lit("REDUCE").alias("action"), F.greatest(f("selection_score"), F.lit(78)).cast("int").alias("score"))).otherwise(make("defensive", F.lit("BUY"), f("selection_score"), ~b("held") & b("bear_trap") & (f("selection_score") >= 72)))
     routed = F.when(f("regime") == "range", F.array(trend, reversion, breakout)).when(f("regime") == "bear", F.array(defensive)).otherwise(F.array(F.when(fires, breakout).otherwise(trend)))
+    routed = F.array(trend) if only_trend else routed
     return df.withColumn("s", F.explode(F.array_compact(routed))).select("symbol", "regime", "s.*")
 
 
+def trend_entries(df: DataFrame, limit: int = 10) -> DataFrame:
+    """the best trend entries (F05) by score."""
+    return strategy_signals(df, only_trend=True).orderBy(F.col("score").desc(), "symbol").limit(limit)
+
+
 def resolve_conflicts(signals: DataFrame) -> DataFrame:
     """one signal per symbol: SELL, REDUCE, ADD, BUY, then the score, then the strategy's name."""
     rank = F.when(F.col("action") == "SELL", 4).when(F.col("action") == "REDUCE", 3).when(F.col("action") == "ADD", 2).otherwise(1)
@@ -142,3 +148,15 @@ def t_trading(df: DataFrame) -> DataFrame:
         .otherwise("none")
     )
     return df.withColumn("suggestion", suggestion)
+
+
+def merged_signals(routed: DataFrame, positions: DataFrame) -> DataFrame:
+    """routed signals with the exits (F16), T trades (F17; no score, which counts as 0) and risk alerts (F13) of positions."""
+    cols = ["symbol", "action", "score", "origin"]
+    exits = exit_signals(positions).withColumn("origin", F.lit("exit"))
+    t = t_trading(positions).filter("suggestion <> 'none'").select("symbol", F.col("suggestion").alias("action"), F.lit(0).alias("score"), F.lit("t_trading").alias("origin"))
+    risk = position_risk(positions).filter("action <> 'HOLD'").withColumn("score", F.when(F.col("action") == "SELL", 90).otherwise(78)).withColumn("origin", F.lit("risk"))
+    out = routed.withColumn("origin", F.lit("routed")).select(cols)
+    for part in (exits, t, risk):
+        out = out.unionByName(part.select(cols))
+    return out.orderBy(F.col("score").desc(), "symbol", "origin", "action")

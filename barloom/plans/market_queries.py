@@ -10,7 +10,7 @@ from barloom.operators import backtest, chan, pool, screening, signals
 from barloom.operators import indicators as ind
 from barloom.plans.indicator_queries import r6, rsql
 from barloom.plans.sql import BARS, INDEX, INDICATORS, macd
-from barloom.plans.structure_queries import DIVERGENCE
+from barloom.plans.structure_queries import DIVERGENCE, d19
 from barloom.sources import tables as src
 
 QUERIES, SQL = {}, {}
@@ -496,3 +496,43 @@ def h02(spark, sf_dir):
 @query("h05_currency_gate", f"WITH {EVENTS} SELECT seq FROM ids WHERE confirmed_at >= '2024-01-15' AND score >= 50")
 def h05(spark, sf_dir):
     return pool.current(market_events(spark, sf_dir), "2024-01-15", 50).select("seq")
+
+
+# The whole items of which e13, e14, e16 and f20 above, held to their SQL, take a part.
+
+
+@query("e13_momentum_whole")
+def e13_whole(spark, sf_dir):
+    """All five rules."""
+    df = ind.enriched(src.daily_bars(spark, sf_dir)).withColumn("hist0_before", ind.lag("hist0"))
+    last = ind.latest(screening.momentum_arms(df))
+    return last.select("symbol", (screening.momentum_score(last) + F.col("arms")).cast("int").alias("momentum"))
+
+
+@query("e14_composite_whole")
+def e14_whole(spark, sf_dir):
+    """Quality, valuation, momentum and volume pattern of each symbol."""
+    fund = src.fundamentals(spark, sf_dir).withColumn("pb_mean", F.lit(2.4))
+    scores = screening.quality_score(fund).select("symbol", "quality").join(screening.valuation_score(fund).select("symbol", "valuation"), "symbol")
+    scores = scores.join(e13_whole(spark, sf_dir), "symbol", "left").join(d19(spark, sf_dir).select("symbol", F.col("score").alias("vol_score")), "symbol", "left")
+    return screening.top(screening.composite(scores).select("symbol", "composite"), 20, F.col("composite").desc(), F.col("symbol"))
+
+
+@query("e16_sell_gate_whole")
+def e16_whole(spark, sf_dir):
+    """With the volume pattern and the return on equity of the year before (fixed arithmetic, as in fundamentals)."""
+    roe = src.fundamentals(spark, sf_dir).select("symbol", "roe", (F.pmod(F.col("symbol").cast("long") * 9, F.lit(25)) + 1.5).alias("roe_before"))
+    vol = d19(spark, sf_dir).select("symbol", F.col("score").alias("vol_score"))
+    rows = positions(spark, sf_dir).join(roe, "symbol", "left").join(vol, "symbol", "left")
+    return screening.sell_gate_whole(rows).select("account", "symbol", "reason")
+
+
+@query("f11_trend_entries")
+def f11(spark, sf_dir):
+    return signals.trend_entries(pool_rows(spark, sf_dir)).select("symbol", "regime", "strategy", "action", "score")
+
+
+@query("f20_merged_whole")
+def f20_whole(spark, sf_dir):
+    held = positions(spark, sf_dir).join(snapshot(spark, sf_dir).select("symbol", "divergence"), "symbol")
+    return signals.merged_signals(signals.strategy_signals(pool_rows(spark, sf_dir)), held)

@@ -179,3 +179,40 @@ def test_streams_equal_batches(spark, tmp_path):
     events.write.parquet(f"{tmp_path}/events")
     stream.run_once(stream.dedup_events(spark.readStream.schema(events.schema).parquet(f"{tmp_path}/events")), f"{tmp_path}/once", f"{tmp_path}/c3")
     assert spark.read.parquet(f"{tmp_path}/once").count() == 2
+
+
+def test_whole_momentum_arms(spark):
+    from barloom.operators import indicators, screening
+
+    def arms(closes):
+        rows = [("X", "1d", datetime(2025, 1, 1) + timedelta(days=i), float(c), 1000.0) for i, c in enumerate(closes)]
+        df = indicators.with_averages(spark.createDataFrame(rows, "symbol string, timeframe string, datetime timestamp, close double, volume double"))
+        return [r.arms for r in screening.momentum_arms(df).orderBy("datetime").collect()]
+
+    assert arms([100.0] * 30 + [95, 94, 96])[-3:] == [0, 0, 2]  # two closes under MA20, then up
+    assert arms([100.0] * 30 + [95, 94, 105])[-1] == 0  # up too far
+    falls = [200.0 - i for i in range(80)]
+    cross = arms(falls + [121.0 + 6 * i for i in range(40)])
+    assert cross[80:].count(2) >= 1 and 4 not in cross
+
+
+def test_whole_composite_and_sell_gate(spark):
+    from barloom.operators import screening
+
+    rows = spark.createDataFrame([("A", 10, 4, 5, -3), ("B", 0, 0, None, 3)], "symbol string, quality int, valuation int, momentum int, vol_score int")
+    assert {r.symbol: r.composite for r in screening.composite(rows).collect()} == {"A": 4.9, "B": 0.6}
+    held = [(1, 10, 0.0, -3, 9.0, 9.0), (2, 90, 1.0, 0, 9.0, 9.0), (3, 10, 0.0, 0, 5.0, 10.0), (4, 10, 0.0, -2, 8.0, 10.0), (5, 10, 0.0, None, 1.0, None)]
+    got = screening.sell_gate_whole(spark.createDataFrame(held, "account int, holding_days int, profit_pct double, vol_score int, roe double, roe_before double"))
+    assert {r.account: r.reason for r in got.collect()} == {1: "volume", 2: "stale", 3: "roe", 4: "hold", 5: "hold"}
+
+
+def test_whole_merge_and_trend_entries(spark):
+    from barloom.plans import market_queries as q
+
+    sf = "/root/testdata/sf0.001"
+    got = [(r.origin, r.score) for r in q.f20_whole(spark, sf).collect()]
+    asked = {"t_trading": q.f17(spark, sf).filter("suggestion <> 'none'").count(), "risk": q.f13(spark, sf).filter("action <> 'HOLD'").count()}
+    assert {o: sum(x == o for x, _ in got) for o in asked} == asked and {o for o, _ in got} >= {"routed", "exit", "risk"}
+    assert len(got) == q.f20(spark, sf).count() + sum(asked.values()) and [s for _, s in got] == sorted((s for _, s in got), reverse=True)
+    top = q.f11(spark, sf).collect()
+    assert 0 < len(top) <= 10 and {r.strategy for r in top} == {"trend"} and "bear" not in {r.regime for r in top}
