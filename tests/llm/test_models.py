@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from barloom.llm import labelled as labelled_rows
 from barloom.llm import quality_model, registry, toxicity
 from tests.llm.fixtures import empty, odd
 
@@ -59,3 +60,13 @@ def test_odd_rows(spark, labelled):
         model = toxicity.train(docs, labels)
         assert toxicity.grade_documents(docs, model).count() == n
         assert toxicity.keep_civil(docs, model).count() <= n
+
+
+def test_a_repeated_id_is_one_labelled_row(spark):
+    rows = [(1, f"text {i % 40}") for i in range(400)] + [(i, f"own {i}") for i in range(2, 8)] + [(8, None), (8, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id long, toxic int")
+    got = labelled_rows.sample(docs, labels, "toxic", max_rows=8).collect()
+    again = labelled_rows.sample(docs.repartition(3), labels, "toxic", max_rows=8).collect()
+    assert sorted(r.doc_id for r in got) == list(range(1, 9)) and sorted(got) == sorted(again)
+    assert all(r.y == r.doc_id % 2 for r in got) and {r.text for r in got if 1 < r.doc_id < 8} == {f"own {i}" for i in range(2, 8)}
