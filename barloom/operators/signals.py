@@ -151,10 +151,11 @@ def t_trading(df: DataFrame) -> DataFrame:
 
 
 def merged_signals(routed: DataFrame, positions: DataFrame) -> DataFrame:
-    """routed signals with the exits (F16), T trades (F17; no score, which counts as 0) and risk alerts (F13) of positions."""
+    """routed signals with the exits (F16), T trades (F17, scored by market and side) and risk alerts (F13) of positions."""
     cols = ["symbol", "action", "score", "origin"]
     exits = exit_signals(positions).withColumn("origin", F.lit("exit"))
-    t = t_trading(positions).filter("suggestion <> 'none'").select("symbol", F.col("suggestion").alias("action"), F.lit(0).alias("score"), F.lit("t_trading").alias("origin"))
+    sure = F.when(F.col("regime") == "bull", F.when(F.col("suggestion") == "buy_mobile", 78).otherwise(76)).when(F.col("regime") == "bear", 74).otherwise(70)
+    t = t_trading(positions).filter("suggestion <> 'none'").select("symbol", F.col("suggestion").alias("action"), sure.alias("score"), F.lit("t_trading").alias("origin"))
     risk = position_risk(positions).filter("action <> 'HOLD'").withColumn("score", F.when(F.col("action") == "SELL", 90).otherwise(78)).withColumn("origin", F.lit("risk"))
     out = routed.withColumn("origin", F.lit("routed")).select(cols)
     for part in (exits, t, risk):

@@ -216,3 +216,14 @@ def test_whole_merge_and_trend_entries(spark):
     assert len(got) == q.f20(spark, sf).count() + sum(asked.values()) and [s for _, s in got] == sorted((s for _, s in got), reverse=True)
     top = q.f11(spark, sf).collect()
     assert 0 < len(top) <= 10 and {r.strategy for r in top} == {"trend"} and "bear" not in {r.regime for r in top}
+
+
+def test_whole_merge_scores_t_trades(spark):
+    from barloom.operators import signals
+
+    held = [("A", "bull", "bullish", False), ("B", "bull", "bearish", True), ("C", "bear", "none", True), ("D", "range", "bearish", True), ("E", "range", "bullish", True)]
+    schema = "symbol string, regime string, divergence string, above_ma boolean"
+    rows = spark.createDataFrame(held, schema).selectExpr("*", "1.0D AS slope", "1.0D AS profit_pct", "5 AS holding_days", "10.0D AS volatility_pct")
+    none = spark.createDataFrame([], "symbol string, action string, score int")
+    got = signals.merged_signals(none, rows).filter("origin = 't_trading'").collect()
+    assert [(r.symbol, r.action, r.score) for r in got] == [("A", "buy_mobile", 78), ("B", "sell_mobile", 76), ("C", "sell_mobile", 74), ("D", "sell_mobile", 70)]
