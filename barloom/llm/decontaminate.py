@@ -4,8 +4,9 @@ Words are runs of ``[0-9A-Za-z]`` and non-ASCII characters, with A-Z in lower ca
 words is a pattern (an item of fewer words is one pattern), written with a space at either end; a document is written
 alike and scanned once. Hits are mapped to word positions, and to character offsets of the original text.
 
-The automaton is built from a block of items whose patterns take at most ``block_bytes``: a benchmark beyond that is
-scanned in further blocks, so what is broadcast stays bounded however large the benchmark is.
+The automaton is built from a block of items whose patterns take at most ``block_bytes``; a benchmark beyond that is
+scanned in further blocks. All blocks are broadcast, and each Python worker keeps the automata of all: memory of the driver
+and the workers grows with the benchmark, which therefore must fit there.
 
 Cases: null or wordless texts have no words and no hits; null or wordless items have no patterns. Repeated items count
 once per item_id; repeated documents are judged alike. Empty tables give empty or hitless results. Other columns of
