@@ -96,10 +96,13 @@ def valuation_score(df: DataFrame) -> DataFrame:
     return df.withColumn("valuation", pe + ps + growth + pb)
 
 
-def momentum_score(last: DataFrame) -> Column:
-    """RSI bands, histogram turning up, lower band, position against averages."""
+def momentum_score(last: DataFrame, bars: int = 2) -> Column:
+    """RSI bands, histogram turning up (over two bars, or three with ``hist0_before2``), lower band, position against averages."""
+    rising = F.col("hist0") > F.col("hist0_before")
+    if bars == 3:
+        rising = rising & (F.col("hist0_before") > F.col("hist0_before2"))
     rsi = F.when(F.col("rsi").between(30, 40), 3).when(F.col("rsi").between(40, 50), 2).when(F.col("rsi").between(50, 60), 1).otherwise(0)
-    turn = F.when((F.col("hist0") > F.col("hist0_before")) & (F.col("hist0") < 0), 2).when((F.col("hist0") > 0) & (F.col("hist0_before") <= 0), 3).otherwise(0)
+    turn = F.when(rising & (F.col("hist0") < 0), 2).when((F.col("hist0") > 0) & (F.col("hist0_before") <= 0), 3).otherwise(0)
     band = F.when(F.col("close") < F.col("boll_low"), 2).when(F.col("close") < F.col("boll_mid"), 1).otherwise(0)
     return rsi + turn + band
 

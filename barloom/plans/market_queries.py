@@ -504,9 +504,9 @@ def h05(spark, sf_dir):
 @query("e13_momentum_whole")
 def e13_whole(spark, sf_dir):
     """All five rules."""
-    df = ind.enriched(src.daily_bars(spark, sf_dir)).withColumn("hist0_before", ind.lag("hist0"))
+    df = ind.enriched(src.daily_bars(spark, sf_dir)).withColumns({"hist0_before": ind.lag("hist0"), "hist0_before2": ind.lag("hist0", 2)})
     last = ind.latest(screening.momentum_arms(df))
-    return last.select("symbol", (screening.momentum_score(last) + F.col("arms")).cast("int").alias("momentum"))
+    return last.select("symbol", (screening.momentum_score(last, 3) + F.col("arms")).cast("int").alias("momentum"))
 
 
 @query("e14_composite_whole")

@@ -227,3 +227,12 @@ def test_whole_merge_scores_t_trades(spark):
     none = spark.createDataFrame([], "symbol string, action string, score int")
     got = signals.merged_signals(none, rows).filter("origin = 't_trading'").collect()
     assert [(r.symbol, r.action, r.score) for r in got] == [("A", "buy_mobile", 78), ("B", "sell_mobile", 76), ("C", "sell_mobile", 74), ("D", "sell_mobile", 70)]
+
+
+def test_whole_momentum_reads_three_bars(spark):
+    from barloom.operators import screening
+
+    rows = spark.createDataFrame([(-1.0, -2.0, -3.0), (-1.0, -2.0, -1.5), (1.0, -1.0, -2.0)], "hist0 double, hist0_before double, hist0_before2 double")
+    rows = rows.selectExpr("*", "90.0D AS rsi", "9.0D AS close", "1.0D AS boll_low", "2.0D AS boll_mid")
+    assert [r[0] for r in rows.select(screening.momentum_score(rows, 3)).collect()] == [2, 0, 3]
+    assert [r[0] for r in rows.select(screening.momentum_score(rows)).collect()] == [2, 2, 3]
