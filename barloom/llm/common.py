@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,14 +14,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session without one gets a folder of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="spark-barloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = _own_dir()
     return path.rstrip("/")
 
 
+@cache
+def _own_dir() -> str:
+    """One folder for a local session, whose executors are this process."""
+    return tempfile.mkdtemp(prefix="spark-barloom-")
+
+
 class Scratch:
     """Tables written to the shared folder while an operator runs.
 
@@ -42,8 +50,22 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         """Delete a table that nothing reads any more."""
         for file in df.inputFiles()[:1]:
-            folder = self.spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+            self._delete(file.rsplit("/", 1)[0])
+
+    def close(self) -> None:
+        """Delete all tables of this operator; for operators whose result does not read them."""
+        self._delete(self.root)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """The name, with as many more underscores before it as no column of the input has."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = "_" + name
+    return name
 
 
 def word_count(text: str | Column) -> Column:

@@ -4,25 +4,32 @@ Words are runs of ``[0-9A-Za-z]`` and non-ASCII characters, with A-Z in lower ca
 words is a pattern (an item of fewer words is one pattern), written with a space at either end; a document is written
 alike and scanned once. Hits are mapped to word positions, and to character offsets of the original text.
 
-The automaton is built from a block of items whose patterns take at most ``block_bytes``; a benchmark beyond that is
-scanned in further blocks. All blocks are broadcast, and each Python worker keeps the automata of all: memory of the driver
-and the workers grows with the benchmark, which therefore must fit there.
-
-Cases: null or wordless texts have no words and no hits; null or wordless items have no patterns. Repeated items count
-once per item_id; repeated documents are judged alike. Empty tables give empty or hitless results. Other columns of
-the inputs are ignored.
+The automaton is built from a block of items whose patterns take about ``block_bytes``. A benchmark beyond that comes in
+several blocks, which are scanned one after another: driver and workers hold one block at a time, and the documents are
+read once a block.
+
+Cases: null or wordless texts have no words and no hits; null or wordless items have no patterns. Very long texts and
+items are taken whole. Repeated items count once per item_id; repeated documents are judged alike. Overlapping windows hit
+a word once. Empty tables give empty or hitless results. Other columns are ignored by ``find_contamination`` and come
+back unchanged from ``drop_contaminated``, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from barloom.llm.arrow import filtered
+from barloom.llm.common import Scratch
 
 #: Bytes: A-Z to a-z; 0-9, a-z and all beyond ASCII stay; everything else parts words.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -49,7 +56,7 @@ def patterns(items: pd.DataFrame, n: int) -> dict[bytes, list[int]]:
 class Scanner:
     """The automaton of one block of items. Built where it is used: once in each Python worker."""
 
-    _built: dict[str, Scanner] = {}
+    _built: tuple[str, Scanner] | None = None  # of the latest block only
 
     def __init__(self, items: pd.DataFrame, n: int):
         import ahocorasick
@@ -62,9 +69,10 @@ class Scanner:
 
     @classmethod
     def of(cls, key: str, items: pd.DataFrame, n: int) -> Scanner:
-        if key not in cls._built:
-            cls._built[key] = cls(items, n)
-        return cls._built[key]
+        if cls._built is None or cls._built[0] != key:
+            cls._built = None
+            cls._built = (key, cls(items, n))
+        return cls._built[1]
 
     def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[int]]:
         """Which words are hit, and the positions of the items with occurring windows."""
@@ -94,59 +102,95 @@ def spans_of(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(items: DataFrame, block_bytes: int) -> Iterator[tuple[str, pd.DataFrame]]:
-    """The items in blocks of bounded size, read one after another."""
-    size = F.coalesce(F.octet_length("text"), F.lit(0)) * 10 + 64  # a window takes about ten words
-    total = items.agg(F.sum(size)).first()[0] or 0
-    n = max(1, -(-int(total) // block_bytes))
-    for k in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        pdf = part.orderBy("item_id").toPandas()
-        yield hashlib.sha256(repr(pdf.values.tolist()).encode()).hexdigest(), pdf
-
+def _blocks(items: DataFrame, block_bytes: int) -> Iterator[pd.DataFrame]:
+    """The items in blocks of bounded size, read one after another; no items make one empty block.
 
-def _spread(items: DataFrame, n: int, block_bytes: int, item_id_col: str, item_text_col: str):
-    """Broadcasts the blocks; gives a function that makes (scanner, item ids) of each, on the executors."""
+    An item's share is what its patterns take at most: a window of ``n`` words for each word. Blocks are ranges of the
+    items' hash whose bounds come from sums by 4,096 hash ranges, so a block exceeds the size only by one such range.
+    """
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) * 10 + 64  # a window takes about ten words
+    bucket = F.shiftrightunsigned(F.xxhash64("item_id", "text"), 52).alias("bucket")
+    sums = items.groupBy(bucket).agg(F.sum(size).alias("size")).orderBy("bucket").collect()  # at most 4,096 rows
+    cuts, total = [0], 0
+    for r in sums:
+        if total and total + r["size"] > block_bytes:
+            cuts.append(r["bucket"])
+            total = 0
+        total += r["size"]
+    for low, high in zip(cuts, [*cuts[1:], 4096], strict=True):
+        part = items if len(cuts) == 1 else items.filter((bucket >= low) & (bucket < high))
+        yield part.orderBy("item_id", "text").toPandas()
+
+
+def _by_block(rows: DataFrame, items: DataFrame, n: int, block_bytes: int, item_id_col: str, item_text_col: str, scan) -> DataFrame:
+    """``scan(rows, start, last)`` for one block of items after another; start gives the block's scanner and item ids.
+
+    A single block is scanned when the result is read. Of more, each is broadcast, scanned and written before the next, so
+    that memory holds one block and its automaton, however large the benchmark is.
+    """
     items = items.select(F.col(item_id_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text"))
-    context = items.sparkSession.sparkContext
-    blocks = [(key, context.broadcast(pdf)) for key, pdf in _blocks(items, block_bytes)]
-    return lambda: [(Scanner.of(f"{key}:{n}", b.value, n), b.value["item_id"].tolist()) for key, b in blocks]
+    context, scratch = items.sparkSession.sparkContext, Scratch(items.sparkSession)
+    blocks = _blocks(items, block_bytes)
+    block, shared = next(blocks), None
+    while block is not None:
+        following = next(blocks, None)
+        if shared:
+            shared.unpersist()
+        shared, key = context.broadcast(block), uuid.uuid4().hex
+        rows = scan(rows, lambda b=shared, k=key: (Scanner.of(k, b.value, n), b.value["item_id"].tolist()), following is None)
+        if following is not None:
+            rows = scratch.write(rows)
+        block = following
+    return rows
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 10, block_bytes: int = 64 << 20, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows without a hit, with all their columns."""
-    scanners = _spread(items, n, block_bytes, item_id_col, item_text_col)
+    """The rows without a hit, with all their columns. Each block scans what the one before left."""
+
+    def scan(rows, start, last):
+        def begin():
+            scanner, _ = start()
+            return lambda texts: [not scanner.scan(words)[0].any() for words in map(fold, texts)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        built = [s for s, _ in scanners()]
-        for pdf in batches:
-            clean = [not any(s.scan(words)[0].any() for s in built) for words in map(fold, pdf[text_col])]
-            yield pdf.loc[np.array(clean, dtype=bool)]
+        return filtered(rows, text_col, begin)
 
-    return docs.mapInPandas(run, docs.schema)
+    return _by_block(docs, items, n, block_bytes, item_id_col, item_text_col, scan)
 
 
 def find_contamination(
     docs: DataFrame, items: DataFrame, n: int = 10, block_bytes: int = 64 << 20,
     id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, item_ids (array, sorted as strings), spans (array of start, end)."""
-    spread = _spread(items, n, block_bytes, item_id_col, item_text_col)
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = slim.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanners = spread()
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                words = fold(text)
-                hit, ids = np.zeros(len(words), dtype=bool), set()
-                for scanner, names in scanners:
-                    more, own = scanner.scan(words)
-                    hit |= more
-                    ids.update(names[k] for k in own if names[k] is not None)
-                rows.append((len(words), int(hit.sum()), sorted(ids), [{"start": a, "end": b} for a, b in spans_of(text, hit)] if hit.any() else []))
-            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "item_ids", "spans"]).assign(doc_id=pdf["doc_id"].to_numpy())[["doc_id", "n_words", "n_hit", "item_ids", "spans"]]
-
-    return slim.mapInPandas(run, f"doc_id {kind}, n_words long, n_hit long, item_ids array<string>, spans array<struct<start: long, end: long>>")
+    """One row per document: doc_id, n_words, n_hit, item_ids (array, sorted as strings), spans (array of start, end).
+
+    An item without an id is in no ``item_ids``; its hits count as any other's.
+    """
+    # hits: of each block, the positions of hit words as bytes; ids: the items found
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.expr("cast(array() as array<binary>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("ids"))
+    between = rows.schema
+    final = StructType([between["doc_id"], *StructType.fromDDL("n_words long, n_hit long, item_ids array<string>, spans array<struct<start: long, end: long>>")])
+
+    def scan(rows, start, last):
+        types = to_arrow_schema(final if last else between)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scanner, names = start()
+            for batch in batches:
+                texts, out = batch.column(1).to_pylist(), []
+                for text, hits, ids in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                    words = fold(text)
+                    hit, own = scanner.scan(words)
+                    found = sorted({*ids, *(names[k] for k in own if names[k] is not None)})
+                    if not last:
+                        out.append(([*hits, np.flatnonzero(hit).astype(np.int32).tobytes()], found))
+                        continue
+                    for earlier in hits:
+                        hit[np.frombuffer(earlier, np.int32)] = True
+                    out.append((len(words), int(hit.sum()), found, [{"start": a, "end": b} for a, b in spans_of(text, hit)] if hit.any() else []))
+                kept = [batch.column(0)] if last else [batch.column(0), batch.column(1)]
+                made = [pa.array([r[i] for r in out], types.field(len(kept) + i).type) for i in range(4 if last else 2)]
+                yield pa.RecordBatch.from_arrays([*kept, *made], types.names)
+
+        return rows.mapInArrow(run, final if last else between)
+
+    return _by_block(rows, items, n, block_bytes, item_id_col, item_text_col, scan)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import Scratch, word_count
+from barloom.llm.common import Scratch, free_name, word_count
 
 SPACES = " \t\x0b\x0c\r"
 MIN_WORDS = 50
@@ -72,7 +72,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's columns, the text without later repeated runs, then struct ``_dedup``: runs, n_lines, n_deleted."""
+    """The input's columns, the text without later repeated runs, then struct ``_dedup`` (``__dedup`` if the input has that name, and so on): runs, n_lines, n_deleted."""
     runs = repeated_runs(docs, min_words, id_col, text_col).alias("r")
     own = docs.columns
     # struct columns keep the operator's names apart from the input's
@@ -95,4 +95,4 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
         F.coalesce("runs", F.expr("cast(array() as array<struct<from_pos:int,to_pos:int>>)")).alias("runs"), n_lines.alias("n_lines"),
         F.when(F.col("kept").isNull(), 0).otherwise(F.col("n_lines") - F.size("kept")).cast("long").alias("n_deleted"),
     )
-    return done.select(*[(new if c == text_col else F.col(f"d.`{c}`")).alias(c) for c in own], info.alias("_dedup"))
+    return done.select(*[(new if c == text_col else F.col(f"d.`{c}`")).alias(c) for c in own], info.alias(free_name(own, "_dedup")))

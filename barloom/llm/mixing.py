@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import Scratch, word_count
+from barloom.llm.common import Scratch, free_name, word_count
 
 HASH_BITS, LEVEL_BITS = 48, 12
 
@@ -87,7 +87,8 @@ def mix_sources(docs: DataFrame, **settings) -> DataFrame:
 
 
 def take_mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
-    """The documents that the mix takes, with all their columns, then struct ``_mix``: size, target, copies, taken.
+    """The documents that the mix takes, with all their columns, then struct ``_mix`` (``__mix`` if the input has that name,
+    and so on): size, target, copies, taken.
 
     Documents meet the plan, one row per source, where they are read; their texts are not shuffled.
     """
@@ -97,7 +98,7 @@ def take_mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_co
     copies = F.col("base") + F.when(F.col("_h") < F.col("threshold"), 1).otherwise(0)
     mixed = packed.join(plan, F.col("_s").eqNullSafe(F.col("of"))).withColumn("copies", copies.cast("long")).filter("copies > 0")
     info = F.struct(F.col("_n").alias("size"), "target", "copies", (F.col("_n") * F.col("copies")).alias("taken"))
-    return mixed.select(*[F.col(f"d.`{c}`").alias(c) for c in own], info.alias("_mix"))
+    return mixed.select(*[F.col(f"d.`{c}`").alias(c) for c in own], info.alias(free_name(own, "_mix")))
 
 
 def _refine(slim: DataFrame, state: DataFrame, shift: int) -> DataFrame:

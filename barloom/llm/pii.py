@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import free_name
+
 ROUNDS = 10
 
 #: Patterns by kind, in order of preference.
@@ -140,7 +142,7 @@ def _pseudonym(key: str, back: bool) -> str:
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", back: bool = False) -> DataFrame:
-    """The input's columns with pseudonyms in the text, then struct array ``_pii``: kind, value, pseudonym, in text order."""
+    """The input's columns with pseudonyms in the text, then struct array ``_pii`` (``__pii`` if the input has that name, and so on): kind, value, pseudonym, in text order."""
     own = docs.columns
     text = F.col(f"d.`{text_col}`")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("d"))
@@ -154,7 +156,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", back: bool =
         F.array_join(F.flatten(F.zip_with(rest, F.col("ps.pseudonym"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), ""),
     ).otherwise(text)
     hits = F.coalesce(F.filter("ps", lambda p: p["kind"].isNotNull()), F.expr("cast(array() as array<struct<kind:string,value:string,pseudonym:string>>)"))
-    return found.select(*[(woven if c == text_col else F.col(f"d.`{c}`")).alias(c) for c in own], hits.alias("_pii"))
+    return found.select(*[(woven if c == text_col else F.col(f"d.`{c}`")).alias(c) for c in own], hits.alias(free_name(own, "_pii")))
 
 
 def restore(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:

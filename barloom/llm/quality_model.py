@@ -4,22 +4,22 @@ Rates of each whole text are cut into quantile bins. Boosting goes round the fea
 on the current residuals, added to its lookup table at a small rate; then the pairs that explain most of what is left
 get tables of their own in the same way. A score is the logistic of an intercept plus one table entry per feature and pair.
 
-Cases: a null or empty text has the features of no words and gets a score like any other. Without labelled rows all
+Cases: a null or empty text has the features of no words and gets a score like any other; very long texts are read whole.
+A value equal to a bin's edge lies in the bin above. Without labelled rows all
 scores are 0.5. Repeated rows score alike; an empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import labelled
+from barloom.llm.arrow import with_computed
 from barloom.llm.quality_rules import text_features
 
 NAMES = [
@@ -162,14 +162,12 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, pair_rounds: int = 60,
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = labelled.MAX_ROWS) -> AdditiveModel:
     """Fit on a bounded sample of labelled rows; only their features come to the driver."""
+    picked = labelled.sample(docs, labels, label_col, max_rows).select(F.col("doc_id").cast("string").alias("doc_id"), "y", "text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame(feature_matrix(pdf["text"].tolist()), columns=NAMES).assign(y=pdf["y"].to_numpy(), doc_id=pdf["doc_id"].to_numpy())
+    def start():
+        return lambda texts: dict(zip(NAMES, feature_matrix(texts).T, strict=True))
 
-    picked = labelled.sample(docs, labels, label_col, max_rows)
-    kind = picked.schema["doc_id"].dataType.simpleString()
-    pdf = picked.mapInPandas(run, ", ".join(f"{n} double" for n in NAMES) + f", y int, doc_id {kind}").toPandas()
+    pdf = with_computed(picked, "text", start, ", ".join(f"{n} double" for n in NAMES)).toPandas()
     pdf = pdf.sort_values(["doc_id", *NAMES], ignore_index=True)  # the order of tasks must not matter
     return fit(pdf[NAMES].to_numpy(float), pdf["y"].to_numpy(float))
 
@@ -177,9 +175,4 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_ro
 def score(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1) of each whole text."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": model.score(feature_matrix(pdf["text"].tolist()))})
-
-    return slim.mapInPandas(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, score double")
+    return with_computed(slim, "text", lambda: lambda texts: {"score": model.score(feature_matrix(texts))}, "score double")

@@ -11,14 +11,13 @@ those of all documents. Repeated rows are judged alike. An empty table gives an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.arrow import with_computed
 from barloom.llm.common import Scratch
 
 SYMBOLS = "#*$%&|<>"
@@ -73,16 +72,10 @@ def base_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     slim = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("text"))
     names = [x.split()[0] for x in FEATURES.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = pdf[["doc_id", *keep]].copy()
-            counts = np.array([text_features(t) for t in pdf["text"]], dtype=np.int64).reshape(len(pdf), len(names))
-            for i, name in enumerate(names):
-                out[name] = counts[:, i]
-            yield out
+    def start():
+        return lambda texts: dict(zip(names, np.array([text_features(t) for t in texts], dtype=np.int64).reshape(len(texts), len(names)).T, strict=True))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "text")
-    return slim.mapInPandas(run, f"{schema}, {FEATURES}")
+    return with_computed(slim, "text", start, FEATURES)
 
 
 def with_rates(features: DataFrame) -> DataFrame:

@@ -12,13 +12,13 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.arrow import with_computed
+
 #: The pattern of byte-level pre-tokens.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -123,12 +123,12 @@ class Merger:
 def count_tokens(docs: DataFrame, vocab_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens). ``vocab_path`` must exist on every machine."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = slim.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         merger = Merger.of(vocab_path)
-        for pdf in batches:
-            texts, out, i = pdf["text"].tolist(), [], 0
+
+        def counted(texts: list[str]) -> dict[str, list[int]]:
+            out, i = [], 0
             while i < len(texts):  # a few MB of text at once
                 j, size = i, 0
                 while j < len(texts) and (j == i or size + len(texts[j]) < 4_000_000):
@@ -136,7 +136,8 @@ def count_tokens(docs: DataFrame, vocab_path: str, limit: int = 512, id_col: str
                     j += 1
                 out += merger.count(texts[i:j])
                 i = j
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in texts], "n_tokens": out})
+            return {"n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in texts], "n_tokens": out}
+
+        return counted
 
-    counted = slim.mapInPandas(run, f"doc_id {kind}, n_bytes long, n_tokens long")
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+    return with_computed(slim, "text", start, "n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

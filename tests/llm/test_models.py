@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.llm import labelled as labelled_rows
 from barloom.llm import quality_model, registry, toxicity
@@ -40,16 +41,31 @@ def test_ordinal_gradient_and_order():
         y.append(k)
     w, theta = toxicity.fit_ordinal(rows, np.array(y), 2)
     assert (np.diff(theta) > 0).all() and w[0] > 1
-    model = toxicity.OrdinalModel({b"bad": 0, b"x": 1}, w, theta)
+    model = toxicity.OrdinalModel({"bad": 0, "x": 1}, w, theta)
     out = toxicity.graded(model, ["x", "bad x", "bad bad bad bad x", None])
-    assert out["severity"].is_monotonic_increasing or (out["severity"][0] < out["severity"][1] < out["severity"][2])
+    assert out["severity"][0] < out["severity"][1] < out["severity"][2]
+
+
+def flags(spark, sf, held_out):
+    """(labelled toxic, flagged) of the rows in question, after learning from the others, or from all."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    fourth = F.pmod(F.xxhash64(F.lit("x"), "doc_id"), F.lit(4)) == 0
+    model = toxicity.train(docs, labels.filter(~fourth) if held_out else labels)
+    asked = labels.filter(fourth) if held_out else labels
+    rows = toxicity.grade_documents(docs, model).withColumnRenamed("toxic", "flag").join(asked, "doc_id").collect()
+    assert all(0 <= r.severity <= 3 and r.flag == (r.p_toxic > model.cut) for r in rows)
+    return [(r.toxic == 1, r.flag) for r in rows]
 
 
 def test_toxicity(spark):
-    rows = registry.op6_toxicity(spark, SF).withColumnRenamed("toxic", "flag").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()
-    toxic, clean = [r for r in rows if r.toxic == 1], [r for r in rows if r.toxic == 0]
-    assert np.mean([r.flag for r in toxic]) >= 0.5 and np.mean([r.flag for r in clean]) <= 0.01
-    assert all(0 <= r.severity <= 3 and r.flag == (r.p_toxic >= 0.5) for r in rows)
+    """4 to 5 % of the toxic labels are on texts without a telling word."""
+    found = flags(spark, SF, False)
+    assert np.mean([f for t, f in found if t]) >= 0.9 and np.mean([f for t, f in found if not t]) <= 0.01
+
+
+def test_toxicity_on_held_out_rows(spark):
+    found = flags(spark, SF.replace("0.01", "0.1"), True)
+    assert np.mean([f for t, f in found if t]) >= 0.85 and np.mean([f for t, f in found if not t]) <= 0.01
 
 
 @pytest.mark.parametrize("labelled", [True, False])
