@@ -6,14 +6,16 @@
    than all registers. Registers of two texts agree with the probability Jaccard similarity.
 3. Bands of registers are bucket keys. Only buckets with two nodes or more stay.
 4. In each bucket the node with the most company leads; each node is verified against its leaders, exactly. Links make
-   components, so tight groups of any size cost one comparison a member. Of buckets that then still hold different
-   components, small ones are compared in full across components; nodes of larger ones get longer bands, which part
-   them into smaller buckets, and the last level compares all of its buckets in full.
-5. One row per document with its class: the smallest id among linked documents.
+   components, so tight groups of any size cost one comparison a member.
+5. Buckets that then still hold different components are compared across components: small ones in full, larger ones by
+   their members' differences from the leader (see ``_differences``), which loses no link between texts that repeat no
+   shingle. Pairs of a larger bucket of which one text repeats a shingle are found by longer bands instead.
+6. One row per document with its class: the smallest id among linked documents.
 
 Cases: texts without words are classes of equal texts. Texts of fewer than five words have one shingle. Ties and
-repeated rows fall into one class. Null ids come after others as a class id. An empty table gives an empty result;
-other columns are ignored.
+repeated rows fall into one class. Null ids come after others as a class id. Very long texts are compared whole. An empty
+table gives an empty result; other columns are ignored by ``near_duplicates`` and come back unchanged from
+``keep_representatives``.
 """
 
 from __future__ import annotations
@@ -29,10 +31,11 @@ from barloom.llm.common import Scratch
 from barloom.llm.graph import components
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: (registers a band, bands) by level. A pair at the threshold shares a band with a chance of 99.94 % at the first level and
-#: 99.93 % at the second, 1 - (1 - 0.8 ** 16) ** 256: a link between crowded nodes is as likely to be seen as any other.
-LEVELS = ((8, 40), (16, 256))
-#: Buckets of up to so many nodes are compared in full where they hold several components.
+#: (registers a band, bands). A pair at the threshold shares a band with a chance of 99.94 %.
+BANDS = (8, 40)
+#: The same for pairs of a crowded bucket of which a text repeats a shingle: 99.93 %.
+LONG_BANDS = (16, 256)
+#: Buckets of up to so many nodes are compared pair by pair; both ways see all pairs of a bucket.
 CROWD = 48
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = 200_000
@@ -152,17 +155,17 @@ def _sharper(packed: DataFrame, rows: int, bands: int) -> DataFrame:
         for pdf in batches:
             for i in range(0, len(pdf), 200):
                 part = pdf.iloc[i : i + 200]
-                sh = [np.frombuffer(x, np.uint32) for x in part["sh"]]
+                sh = [np.frombuffer(x, np.uint64) for x in part["sh"]]
                 ct = [np.frombuffer(c, np.uint32) if len(c) else np.ones(len(x), np.uint32) for c, x in zip(part["ct"], sh, strict=True)]
                 d = np.repeat(np.arange(len(sh)), [len(x) for x in sh])
-                sig = signatures(d, mix64(np.concatenate(sh).astype(np.uint64)), np.concatenate(ct), len(sh), bands * rows)
+                sig = signatures(d, mix64(np.concatenate(sh)), np.concatenate(ct), len(sh), bands * rows)
                 yield pd.DataFrame({"node": part["node"].to_numpy(), "keys": list(band_keys(sig, bands, rows))})
 
     return packed.select("node", "sh", "ct").mapInPandas(run, "node binary, keys array<long>").select(F.explode("keys").alias("key"), "node")
 
 
 def _packed(nodes: DataFrame) -> DataFrame:
-    """node, sh (sorted 32-bit hashes of distinct shingles, as bytes), ct (their counts, empty if all are 1)."""
+    """node, sh (sorted 64-bit hashes of distinct shingles, as bytes), ct (their counts, empty if all are 1)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -171,17 +174,20 @@ def _packed(nodes: DataFrame) -> DataFrame:
                 d, e, w = shingles(texts[part])
                 n = part.stop - part.start
                 cut = np.searchsorted(d, np.arange(n + 1))
-                sh, ct = [], []
-                for i in range(n):
-                    h, at = np.unique((e[cut[i] : cut[i + 1]] >> np.uint64(32)).astype(np.uint32), return_index=True)
-                    c = w[cut[i] : cut[i + 1]][at].astype(np.uint32)
-                    sh.append(h.tobytes())
-                    ct.append(b"" if (c == 1).all() else c.tobytes())
+                sh = [e[cut[i] : cut[i + 1]].tobytes() for i in range(n)]
+                ct = [b"" if (c == 1).all() else c.astype(np.uint32).tobytes() for c in (w[cut[i] : cut[i + 1]] for i in range(n))]
                 yield pd.DataFrame({"node": pdf["node"].iloc[part].to_numpy(), "sh": sh, "ct": ct})
 
     return nodes.mapInPandas(run, "node binary, sh binary, ct binary")
 
 
+def _sides(pairs: DataFrame, packed: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the shingles and counts of both: sa, ca, sb, cb."""
+    left = packed.select(F.col("node").alias("a"), F.col("sh").alias("sa"), F.col("ct").alias("ca"))
+    right = packed.select(F.col("node").alias("b"), F.col("sh").alias("sb"), F.col("ct").alias("cb"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b")
+
+
 def _verified(pairs: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose exact similarity is at least the threshold."""
 
@@ -189,15 +195,57 @@ def _verified(pairs: DataFrame, packed: DataFrame, threshold: float) -> DataFram
         for pdf in batches:
             ok = []
             for sa, ca, sb, cb in zip(pdf["sa"], pdf["ca"], pdf["sb"], pdf["cb"], strict=True):
-                a, b = np.frombuffer(sa, np.uint32), np.frombuffer(sb, np.uint32)
+                a, b = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
                 wa = np.frombuffer(ca, np.uint32) if len(ca) else np.ones(len(a), np.uint32)
                 wb = np.frombuffer(cb, np.uint32) if len(cb) else np.ones(len(b), np.uint32)
                 ok.append(probability_jaccard(a, wa, b, wb) >= threshold - 1e-12)
             yield pdf.loc[np.array(ok, dtype=bool), ["a", "b"]]
 
-    left = packed.select(F.col("node").alias("a"), F.col("sh").alias("sa"), F.col("ct").alias("ca"))
-    right = packed.select(F.col("node").alias("b"), F.col("sh").alias("sb"), F.col("ct").alias("cb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInPandas(run, "a binary, b binary")
+    return _sides(pairs, packed).mapInPandas(run, "a binary, b binary")
+
+
+def difference_prefixes(x: np.ndarray, lead: np.ndarray, threshold: float) -> tuple[bool, np.ndarray, np.ndarray]:
+    """Whether the set x is below the threshold to the leader (far), and prefixes of its difference from it: short and long.
+
+    Let D(x) be the symmetric difference of x and the leader L, and c = (1 - t) / (1 + t). J(x, y) >= t just when
+    |x ^ y| <= c (|x| + |y|), and x ^ y is D(x) ^ D(y), so D(x) and D(y) share at least
+    (|D(x)| + |D(y)| - c (|x| + |y|)) / 2 elements. With y far, |D(y)| > c (|y| + |L|): they share more than
+    (|D(x)| + c (|L| - |x|)) / 2. With y not far, |D(y)| >= ||y| - |L||: they share at least (|D(x)| - c (|x| + |L|)) / 2.
+    In one order of all elements, here those that L lacks before those of L, sets that share o elements have one in
+    common among their first |D| - o + 1. The short prefix meets far partners, the long one partners that are not far.
+    """
+    added, removed = np.setdiff1d(x, lead, assume_unique=True), np.setdiff1d(lead, x, assume_unique=True)
+    d = np.concatenate([added, removed])
+    c = (1 - threshold) / (1 + threshold)
+    far = len(d) > c * (len(x) + len(lead)) + 1e-9
+    prefix = lambda shared: d[: max(0, len(d) - int(np.ceil(max(shared - 1e-9, 0))) + 1)]
+    return far, prefix((len(d) + c * (len(lead) - len(x))) / 2), prefix((len(d) - c * (len(x) + len(lead))) / 2)
+
+
+def _differences(pairs: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
+    """Of each node a and its leader b, both without repeated shingles: key, node, far, wide.
+
+    Keys are hashes of leader and element. Pairs of far nodes meet under the keys that are not wide (short prefixes of
+    both); a far node and one that is not meet under wide keys (the long prefix of the one, the short of the other).
+    Two nodes that are not far are linked by their leader.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), 500):
+                out = {"key": [], "node": [], "far": [], "wide": []}
+                for a, b, sa, sb in pdf[["a", "b", "sa", "sb"]].iloc[i : i + 500].itertuples(index=False):
+                    far, short, long = difference_prefixes(np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64), threshold)
+                    seed = mix64(np.frombuffer(bytes(b[:8]), np.uint64))
+                    for wide, part in ((False, short), (True, long)) if far else ((True, short),):
+                        out["key"].append(mix64((part ^ seed) * GOLDEN + np.uint64(wide)).view(np.int64))
+                        out["node"] += [a] * len(part)
+                        out["far"].append(np.full(len(part), far))
+                        out["wide"].append(np.full(len(part), wide))
+                if out["node"]:
+                    yield pd.DataFrame({k: v if k == "node" else np.concatenate(v) for k, v in out.items()})
+
+    return _sides(pairs, packed).filter("octet_length(ca) = 0 and octet_length(cb) = 0").mapInPandas(run, "key long, node binary, far boolean, wide boolean")
 
 
 def _labelled(rows: DataFrame, col: str, stars: DataFrame, name: str) -> DataFrame:
@@ -205,28 +253,30 @@ def _labelled(rows: DataFrame, col: str, stars: DataFrame, name: str) -> DataFra
     return rows.join(s, col, "left").withColumn(name, F.coalesce("_root", col)).drop("_root")
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, levels: tuple[tuple[int, int], ...] = LEVELS,
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: tuple[int, int] = BANDS, long_bands: tuple[int, int] = LONG_BANDS) -> DataFrame:
     """One row per input row: doc_id, node (md5 of its text), class_id, keeper (the node whose text represents the class)."""
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     named = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(text)).alias("node"), text.alias("text"))
     heads = scratch.write(named.groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    found = _shared(_bands(named.select("node", "text"), *levels[0]), scratch)
+    found = _shared(_bands(named.select("node", "text"), *bands), scratch)
 
     # shingles of the nodes that share a bucket, from one text of each
     wanted = heads.join(found.select("node").distinct(), "node", "left_semi").select(F.col("doc_id").alias("_d"), F.col("node").alias("_n"))
     one = named.join(wanted, named["doc_id"].eqNullSafe(F.col("_d")) & (named["node"] == F.col("_n")), "left_semi")
     packed = scratch.write(_packed(one.dropDuplicates(["doc_id", "node"]).select("node", "text")))
+    repeats = packed.filter("octet_length(ct) > 0").select("node")
 
-    stars, more, crowded = _link(found, None, None, packed, scratch, threshold, last=len(levels) == 1)
-    for i, (rows, bands) in enumerate(levels[1:], start=1):
-        if crowded.isEmpty():
-            break
-        found = _shared(_sharper(packed.join(crowded, "node", "left_semi"), rows, bands), scratch)
-        stars, more, crowded = _link(found, stars, more, packed, scratch, threshold, last=i == len(levels) - 1)
-    stars = components(stars.unionByName(more), scratch)
+    # each node and its leaders
+    leaders, led = _leaders(found, repeats, scratch)
+    stars = components(_verified(led, packed, threshold), scratch)
+    mixed = scratch.write(_mixed(found, stars))
+    small = scratch.write(_verified(_across(mixed.filter(F.col("n") <= CROWD), led), packed, threshold))
+    crowd = mixed.filter(F.col("n") > CROWD)
+    if not crowd.isEmpty():
+        stars = components(stars.unionByName(small), scratch)
+        small = _crowded(crowd, leaders, led, stars, packed, repeats, scratch, threshold, long_bands)
+    stars = components(stars.unionByName(small), scratch)
     scratch.drop(packed)
 
     roots = _labelled(heads, "node", stars, "root")
@@ -244,26 +294,51 @@ def _shared(keyed: DataFrame, scratch: Scratch) -> DataFrame:
     return found
 
 
-def _link(found: DataFrame, stars: DataFrame | None, more: DataFrame | None, packed: DataFrame, scratch: Scratch, threshold: float, last: bool):
-    """Stars with the links of these buckets; further links; and the nodes of large buckets that still hold several components.
-
-    ``stars`` and ``more`` are those of the level before. Further links join the components at the next level, or in the end.
-    """
+def _leaders(found: DataFrame, repeats: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The leader of each bucket (bucket, lead), without repeated shingles if any member is, and the pairs (a, b) of members and leaders."""
     company = found.groupBy("node").agg(F.sum("n").alias("company"))
-    leaders = found.join(company, "node").groupBy(F.col("key").alias("bucket")).agg(F.max(F.struct("company", "node")).alias("lead"))
-    led = found.join(leaders, F.col("key") == F.col("bucket")).filter(F.col("node") != F.col("lead.node"))
-    led = scratch.write(led.select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct())
-
-    # each node and its leaders
-    pairs = led if stars is None else _apart(led, stars)
-    links = _verified(pairs, packed, threshold)
-    stars = components(links if stars is None else stars.unionByName(more).unionByName(links), scratch)
-
-    # buckets that still hold several components: small ones in full, large ones at the next level; the last level all
-    mixed = scratch.write(_mixed(found, stars))
-    crowd = None if last else scratch.write(mixed.filter(F.col("n") > CROWD).select("node").distinct())
-    rest = scratch.write(_verified(_across(mixed if last else mixed.filter(F.col("n") <= CROWD), led), packed, threshold))
-    return stars, rest, crowd
+    company = company.join(repeats.withColumn("again", F.lit(1)), "node", "left").select("node", F.struct(F.col("again").isNull().alias("plain"), "company", "node").alias("rank"))
+    leaders = found.join(company, "node").groupBy(F.col("key").alias("bucket")).agg(F.max("rank").alias("best"))
+    leaders = scratch.write(leaders.select("bucket", F.col("best.node").alias("lead")))
+    led = found.join(leaders, F.col("key") == F.col("bucket")).filter(F.col("node") != F.col("lead"))
+    return leaders, scratch.write(led.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
+
+
+def _crowded(crowd: DataFrame, leaders: DataFrame, led: DataFrame, stars: DataFrame, packed: DataFrame, repeats: DataFrame, scratch: Scratch, threshold: float, long_bands: tuple[int, int]) -> DataFrame:
+    """Links across components within crowded buckets."""
+    crowd = scratch.write(_mixed(crowd.select("key", "node", "n"), stars))
+    crew = crowd.join(leaders, F.col("key") == F.col("bucket")).filter(F.col("node") != F.col("lead"))
+    crew = crew.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    parts = _labelled(scratch.write(_differences(crew, packed, threshold)), "node", stars, "root")
+    # only keys under which different components meet
+    several = parts.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_or("far").alias("f"), F.bool_and("far").alias("all_far"), F.bool_or("wide").alias("w"))
+    several = several.filter("lo != hi and f and not (w and all_far)").select(F.col("key").alias("of"))
+    parts = scratch.write(parts.join(several, F.col("key") == F.col("of"), "left_semi").distinct())
+    x, y = parts.select("key", "wide", "far", F.col("node").alias("x"), F.col("root").alias("rx")), parts.select(F.col("key").alias("k"), F.col("far").alias("fy"), F.col("node").alias("y"), F.col("root").alias("ry"))
+    meet = x.filter("far").join(y, (F.col("key") == F.col("k")) & (F.col("rx") != F.col("ry")) & F.when(F.col("wide"), ~F.col("fy")).otherwise(F.col("x") < F.col("y")))
+    pairs = meet.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+
+    # pairs with a text that repeats a shingle, from buckets that hold one
+    marked = crowd.join(repeats.withColumn("again", F.lit(True)), "node", "left").select("key", "node", F.coalesce("again", F.lit(False)).alias("again"))
+    holds = marked.filter("again").select("key").distinct()
+    nodes = scratch.write(marked.join(holds, "key", "left_semi").select("node", "again").distinct())
+    if not nodes.isEmpty():
+        found = _shared(_sharper(packed.join(nodes, "node", "left_semi"), *long_bands), scratch)
+        _, closer = _leaders(found, repeats, scratch)
+        links = _verified(_apart(closer, stars), packed, threshold)
+        stars = components(stars.unionByName(links), scratch)
+        rows = _mixed(found, stars).join(nodes, "node")
+        again = rows.filter("again").select("key", F.col("node").alias("x"), F.col("root").alias("rx"))
+        every = rows.select(F.col("key").alias("k"), F.col("node").alias("y"), F.col("root").alias("ry"))
+        more = again.join(every, (F.col("key") == F.col("k")) & (F.col("rx") != F.col("ry"))).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+        pairs = pairs.unionByName(more)
+        return scratch.write(_verified(_undone(pairs.distinct(), led), packed, threshold).unionByName(links))
+    return scratch.write(_verified(_undone(pairs.distinct(), led), packed, threshold))
+
+
+def _undone(pairs: DataFrame, led: DataFrame) -> DataFrame:
+    """The pairs (a > b) that were not compared as member and leader."""
+    return pairs.join(led.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
 def _apart(pairs: DataFrame, stars: DataFrame) -> DataFrame:
@@ -284,8 +359,7 @@ def _across(mixed: DataFrame, led: DataFrame) -> DataFrame:
     minor = mixed.filter("root != main").select("key", F.col("node").alias("x"), F.col("root").alias("rx"))
     every = mixed.select("key", F.col("node").alias("y"), F.col("root").alias("ry"))
     pairs = minor.join(every, "key").filter("rx != ry").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    done = led.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    return pairs.join(done, ["a", "b"], "left_anti")
+    return _undone(pairs, led)
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:

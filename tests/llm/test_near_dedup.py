@@ -56,6 +56,27 @@ def test_similarity_is_jaccard_without_weights():
     assert near_dedup.probability_jaccard(at(x), wt(x), at(y), wt(y)) == pytest.approx(jaccard(x, y))
 
 
+def test_difference_prefixes_lose_no_link():
+    """Two sets of which at least one is far from the leader and that are alike share a prefix element."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    pool = lambda *parts: np.unique(np.concatenate(parts)).astype(np.uint64)
+    met = 0
+    for _ in range(3000):
+        n = int(rng.integers(8, 90))
+        lead = pool(rng.choice(10**6, n))
+        own = rng.choice(10**6, int(rng.integers(0, n // 2 + 2))) + 10**6
+        x = pool(rng.choice(lead, int(len(lead) * rng.uniform(0.7, 1)), replace=False), own)
+        y = pool(rng.choice(x, int(np.ceil(len(x) * rng.uniform(0.85, 1))), replace=False), rng.choice(lead, int(rng.integers(0, 4))), rng.choice(10**6, int(rng.integers(0, 4))) + 10**7)
+        (fx, sx, wx), (fy, sy, wy) = (near_dedup.difference_prefixes(v, lead, 0.8) for v in (x, y))
+        same = len(np.intersect1d(x, y)) / len(np.union1d(x, y)) >= 0.8
+        if same and (fx or fy):
+            met += 1
+            assert len(np.intersect1d(sx, sy) if fx and fy else np.intersect1d(wx, sy) if fx else np.intersect1d(sx, wy))
+    assert met > 500
+
+
 def test_classes_equal_brute_force(spark):
     rows = spark.read.parquet(sf("documents")).orderBy("doc_id").select("doc_id", "text").collect()
     want = classes([r.text for r in rows])
@@ -102,11 +123,17 @@ def couples(n, seed):
     return texts
 
 
-def test_couples_of_a_large_group(spark):
-    """Links at the threshold between texts of which every bucket holds many."""
+@pytest.mark.parametrize("repeated", [False, True])
+def test_couples_of_a_large_group(spark, repeated):
+    """Links at the threshold between texts of which every bucket holds many, without and with a repeated shingle."""
     import numpy as np
 
-    texts = couples(400, 7)
+    texts = couples(120 if repeated else 400, 7)
+    if repeated:  # each couple's own word, often enough to repeat a shingle
+        docs = spark.createDataFrame([(i, t + f" r{i // 2}" * 6) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+        got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+        assert sum(got[i] != i - i % 2 for i in range(len(texts))) == 0
+        return
     names: dict = {}
     rows = [[names.setdefault(s, len(names)) for s in bag(t)] for t in texts]
     own = np.zeros((len(rows), len(names)), np.float32)
