@@ -204,8 +204,8 @@ def _verified(pairs: DataFrame, packed: DataFrame, threshold: float) -> DataFram
     return _sides(pairs, packed).mapInPandas(run, "a binary, b binary")
 
 
-def difference_prefixes(x: np.ndarray, lead: np.ndarray, threshold: float) -> tuple[bool, np.ndarray, np.ndarray]:
-    """Whether the set x is below the threshold to the leader (far), and prefixes of its difference from it: short and long.
+def difference_prefixes(x: np.ndarray, lead: np.ndarray, threshold: float) -> tuple[bool, int, np.ndarray, np.ndarray]:
+    """Whether the set x is below the threshold to the leader (far), the size of its difference D from it, and prefixes of D: short and long.
 
     Let D(x) be the symmetric difference of x and the leader L, and c = (1 - t) / (1 + t). J(x, y) >= t just when
     |x ^ y| <= c (|x| + |y|), and x ^ y is D(x) ^ D(y), so D(x) and D(y) share at least
@@ -219,12 +219,14 @@ def difference_prefixes(x: np.ndarray, lead: np.ndarray, threshold: float) -> tu
     c = (1 - threshold) / (1 + threshold)
     far = len(d) > c * (len(x) + len(lead)) + 1e-9
     prefix = lambda shared: d[: max(0, len(d) - int(np.ceil(max(shared - 1e-9, 0))) + 1)]
-    return far, prefix((len(d) + c * (len(lead) - len(x))) / 2), prefix((len(d) - c * (len(x) + len(lead))) / 2)
+    return far, len(d), prefix((len(d) + c * (len(lead) - len(x))) / 2), prefix((len(d) - c * (len(x) + len(lead))) / 2)
 
 
 def _differences(pairs: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
-    """Of each node a and its leader b, both without repeated shingles: key, node, far, wide.
+    """Of each node a and its leader b, both without repeated shingles: key, node, far, wide, size, d, left.
 
+    ``size`` and ``d`` are the sizes of the node's set and of its difference, ``left`` how many elements of the difference
+    are not before this one.
     Keys are hashes of leader and element. Pairs of far nodes meet under the keys that are not wide (short prefixes of
     both); a far node and one that is not meet under wide keys (the long prefix of the one, the short of the other).
     Two nodes that are not far are linked by their leader.
@@ -233,19 +235,23 @@ def _differences(pairs: DataFrame, packed: DataFrame, threshold: float) -> DataF
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i in range(0, len(pdf), 500):
-                out = {"key": [], "node": [], "far": [], "wide": []}
+                out = {"key": [], "node": [], "far": [], "wide": [], "size": [], "d": [], "left": []}
                 for a, b, sa, sb in pdf[["a", "b", "sa", "sb"]].iloc[i : i + 500].itertuples(index=False):
-                    far, short, long = difference_prefixes(np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64), threshold)
+                    x = np.frombuffer(sa, np.uint64)
+                    far, d, short, long = difference_prefixes(x, np.frombuffer(sb, np.uint64), threshold)
                     seed = mix64(np.frombuffer(bytes(b[:8]), np.uint64))
                     for wide, part in ((False, short), (True, long)) if far else ((True, short),):
                         out["key"].append(mix64((part ^ seed) * GOLDEN + np.uint64(wide)).view(np.int64))
                         out["node"] += [a] * len(part)
                         out["far"].append(np.full(len(part), far))
                         out["wide"].append(np.full(len(part), wide))
+                        out["size"].append(np.full(len(part), len(x)))
+                        out["d"].append(np.full(len(part), d))
+                        out["left"].append(d - np.arange(len(part)))
                 if out["node"]:
                     yield pd.DataFrame({k: v if k == "node" else np.concatenate(v) for k, v in out.items()})
 
-    return _sides(pairs, packed).filter("octet_length(ca) = 0 and octet_length(cb) = 0").mapInPandas(run, "key long, node binary, far boolean, wide boolean")
+    return _sides(pairs, packed).filter("octet_length(ca) = 0 and octet_length(cb) = 0").mapInPandas(run, "key long, node binary, far boolean, wide boolean, size long, d long, left long")
 
 
 def _labelled(rows: DataFrame, col: str, stars: DataFrame, name: str) -> DataFrame:
@@ -314,9 +320,13 @@ def _crowded(crowd: DataFrame, leaders: DataFrame, led: DataFrame, stars: DataFr
     several = parts.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_or("far").alias("f"), F.bool_and("far").alias("all_far"), F.bool_or("wide").alias("w"))
     several = several.filter("lo != hi and f and not (w and all_far)").select(F.col("key").alias("of"))
     parts = scratch.write(parts.join(several, F.col("key") == F.col("of"), "left_semi").distinct())
-    x, y = parts.select("key", "wide", "far", F.col("node").alias("x"), F.col("root").alias("rx")), parts.select(F.col("key").alias("k"), F.col("far").alias("fy"), F.col("node").alias("y"), F.col("root").alias("ry"))
-    meet = x.filter("far").join(y, (F.col("key") == F.col("k")) & (F.col("rx") != F.col("ry")) & F.when(F.col("wide"), ~F.col("fy")).otherwise(F.col("x") < F.col("y")))
-    pairs = meet.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    x = parts.select("key", "wide", *[F.col(c).alias(f"x_{c}") for c in ("node", "root", "far", "size", "d", "left")])
+    y = parts.select(F.col("key").alias("k"), *[F.col(c).alias(f"y_{c}") for c in ("node", "root", "far", "size", "d", "left")])
+    # of the elements that two alike nodes share, the first has so many not before it in both differences
+    shared = (F.col("x_d") + F.col("y_d") - (1 - threshold) / (1 + threshold) * (F.col("x_size") + F.col("y_size"))) / 2
+    once = F.when(F.col("wide"), ~F.col("y_far")).otherwise(F.col("x_node") < F.col("y_node"))
+    meet = x.filter("x_far").join(y, (F.col("key") == F.col("k")) & (F.col("x_root") != F.col("y_root")) & once & (F.least("x_left", "y_left") >= shared - 1e-6))
+    pairs = meet.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b"))
 
     # pairs with a text that repeats a shingle, from buckets that hold one
     marked = crowd.join(repeats.withColumn("again", F.lit(True)), "node", "left").select("key", "node", F.coalesce("again", F.lit(False)).alias("again"))

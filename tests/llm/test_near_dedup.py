@@ -69,11 +69,13 @@ def test_difference_prefixes_lose_no_link():
         own = rng.choice(10**6, int(rng.integers(0, n // 2 + 2))) + 10**6
         x = pool(rng.choice(lead, int(len(lead) * rng.uniform(0.7, 1)), replace=False), own)
         y = pool(rng.choice(x, int(np.ceil(len(x) * rng.uniform(0.85, 1))), replace=False), rng.choice(lead, int(rng.integers(0, 4))), rng.choice(10**6, int(rng.integers(0, 4))) + 10**7)
-        (fx, sx, wx), (fy, sy, wy) = (near_dedup.difference_prefixes(v, lead, 0.8) for v in (x, y))
+        (fx, dx, sx, wx), (fy, dy, sy, wy) = (near_dedup.difference_prefixes(v, lead, 0.8) for v in (x, y))
         same = len(np.intersect1d(x, y)) / len(np.union1d(x, y)) >= 0.8
         if same and (fx or fy):
             met += 1
-            assert len(np.intersect1d(sx, sy) if fx and fy else np.intersect1d(wx, sy) if fx else np.intersect1d(sx, wy))
+            px, py = (sx, sy) if fx and fy else (wx, sy) if fx else (sx, wy)
+            need = (dx + dy - (len(x) + len(y)) / 9) / 2
+            assert any(min(dx - np.flatnonzero(px == e)[0], dy - np.flatnonzero(py == e)[0]) >= need - 1e-6 for e in np.intersect1d(px, py))
     assert met > 500
 
 
