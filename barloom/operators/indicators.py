@@ -106,7 +106,9 @@ def with_trends(df: DataFrame) -> DataFrame:
         "ma60_distance": (F.col("close") - F.col("ma60")) / F.nullif(F.col("ma60"), F.lit(0.0)),
         "near_ma60": F.coalesce(F.abs(F.col("close") - F.col("ma60")) / F.nullif(F.col("ma60"), F.lit(0.0)) < 0.05, F.lit(False)),
         "above_ma60": F.coalesce(above("close", "ma60"), F.lit(False)),
+        "below_ma60": F.coalesce(above("ma60", "close"), F.lit(False)),
         "ma60_up": F.coalesce(above("ma60", "ma60_before"), F.lit(False)),
+        "ma60_down": F.coalesce(above("ma60_before", "ma60"), F.lit(False)),
         "volatility": full(F.stddev_pop("pct_change").over(trailing(20)), "pct_change", 20) * F.sqrt(F.lit(252.0)),
     })
 

@@ -48,7 +48,7 @@ def side_score(side: str, fresh: Column, opposite: Column) -> Column:
     else:
         cross = F.when(F.col("death_cross") & (F.col("zone") == "near"), 30)
         higher = F.when(F.col("higher_dif_rising") == F.lit(False), 15).otherwise(0) + F.when(F.col("higher_dif") < 0, 10).otherwise(0)
-        trend = F.when(~F.col("above_ma60") & ~F.col("ma60_up"), 10).otherwise(0) + F.when((F.col("volume_ratio") >= 1) & (F.col("price_change") < 0), 5).otherwise(0)
+        trend = F.when(F.col("below_ma60") & F.col("ma60_down"), 10).otherwise(0) + F.when((F.col("volume_ratio") >= 1) & (F.col("price_change") < 0), 5).otherwise(0)
     return F.greatest(F.coalesce(cross, F.lit(0)) + F.coalesce(fresh, F.lit(0)) + higher + trend - F.when(opposite, 30).otherwise(0), F.lit(0)).cast("int")
 
 
@@ -86,23 +86,22 @@ def quality_score(df: DataFrame) -> DataFrame:
 
 
 def valuation_score(df: DataFrame) -> DataFrame:
-    """Price to earnings and sales against the industry's median of positive values, price to book, and PEG (a negative one counts below 1.5)."""
+    """Price to earnings and sales against the industry's median of positive values, price to book against its own mean, and PEG where profits grow (one of a loss counts as below 1.5)."""
     df = median_by(df, "industry", "pe", "ps", positive=True)
     pe = F.when((F.col("pe") > 0) & (F.col("pe") < F.col("median_pe") * 0.7), 3).when((F.col("pe") > 0) & (F.col("pe") < F.col("median_pe")), 2).otherwise(0)
     ps = F.when((F.col("ps") > 0) & (F.col("ps") < F.col("median_ps") * 0.7), 2).when((F.col("ps") > 0) & (F.col("ps") < F.col("median_ps")), 1).otherwise(0)
-    peg = F.col("pe") / F.nullif(F.col("profit_growth") * 100, F.lit(0.0))
+    peg = F.when(F.col("profit_growth") > 0, F.col("pe") / (F.col("profit_growth") * 100))
     growth = F.when((peg > 0) & (peg < 1), 3).when(peg < 1.5, 2).otherwise(0)
     pb = F.when(F.col("pb") < F.col("pb_mean") * 0.6, 2).when(F.col("pb") < F.col("pb_mean") * 0.8, 1).otherwise(0)
     return df.withColumn("valuation", pe + ps + growth + pb)
 
 
-def momentum_score(last: DataFrame, bars: int = 2) -> Column:
-    """RSI bands, histogram turning up (over two bars, or three with ``hist0_before2``), lower band, position against averages."""
-    rising = F.col("hist0") > F.col("hist0_before")
-    if bars == 3:
-        rising = rising & (F.col("hist0_before") > F.col("hist0_before2"))
-    rsi = F.when(F.col("rsi").between(30, 40), 3).when(F.col("rsi").between(40, 50), 2).when(F.col("rsi").between(50, 60), 1).otherwise(0)
-    turn = F.when(rising & (F.col("hist0") < 0), 2).when((F.col("hist0") > 0) & (F.col("hist0_before") <= 0), 3).otherwise(0)
+def momentum_score(last: DataFrame) -> Column:
+    """E13, but for the rules on averages: RSI (20 to 30: 3, 30 to 40: 2, up to 20: 1), histogram rising below zero over three bars or just above it, lower and middle band."""
+    rising = (F.col("hist0") > F.col("hist0_before")) & (F.col("hist0_before") > F.col("hist0_before2"))
+    r = F.col("rsi")
+    rsi = F.when((r > 20) & (r < 30), 3).when((r > 30) & (r < 40), 2).when(r <= 20, 1).otherwise(0)
+    turn = F.when(rising & (F.col("hist0") < 0), 2).when((F.col("hist0") > 0) & (F.col("hist0_before") < 0), 3).otherwise(0)
     band = F.when(F.col("close") < F.col("boll_low"), 2).when(F.col("close") < F.col("boll_mid"), 1).otherwise(0)
     return rsi + turn + band
 
@@ -117,6 +116,19 @@ def momentum_arms(df: DataFrame) -> DataFrame:
     return df.withColumn("arms", points).drop("_ma20", "_ma60", "_c1", "_c2", "_m2")
 
 
+def volume_pattern(last5: DataFrame, position: DataFrame) -> DataFrame:
+    """D19 from each symbol's last five bars and its price position (is_low, is_high): +3 heavy volume with a rise below 2 % at a low, -3 very heavy volume with one below 1 % at a high, +1 a doji on volume that shrank."""
+    change = F.col("pct_change") * 100
+    shrunk = F.col("volume") < 0.8 * F.lag("volume").over(indicators.by_time())
+    doji = shrunk & (F.abs(change) < 1) & (F.abs(F.col("close") - F.col("open")) / F.nullif(F.col("open"), F.lit(0.0)) < 0.005)
+    seen = lambda c: F.max(F.coalesce(c, F.lit(False)).cast("int"))
+    flags = last5.withColumn("doji", doji).groupBy("symbol").agg(
+        seen((F.col("volume_ratio") > 1.5) & (change < 2)).alias("heavy"), seen((F.col("volume_ratio") > 2) & (change < 1)).alias("very"), seen(F.col("doji")).alias("doji")
+    )
+    flags = flags.join(position.select("symbol", "is_low", "is_high"), "symbol")
+    return flags.withColumn("score", F.col("heavy") * 3 * F.col("is_low").cast("int") - F.col("very") * 3 * F.col("is_high").cast("int") + F.col("doji"))
+
+
 def composite(scores: DataFrame) -> DataFrame:
     """Quality, valuation, momentum and volume of each symbol by weight; a score that could not be computed counts as 0."""
     part = lambda c, w: F.coalesce(F.col(c), F.lit(0)) * w

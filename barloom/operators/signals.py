@@ -9,8 +9,8 @@ from barloom.operators.indicators import by_time, lag, sma, with_macd
 
 
 def cuts(x: Column, high: float, low: float, weight: float) -> tuple[Column, Column]:
-    """Weights for a value above and below its cuts."""
-    return F.when(x > high, weight).otherwise(0.0), F.when(x < low, weight).otherwise(0.0)
+    """Weights for a value at or above its high cut, and at or below its low one."""
+    return F.when(x >= high, weight).otherwise(0.0), F.when(x <= low, weight).otherwise(0.0)
 
 
 def regimes(index_bars: DataFrame) -> DataFrame:
@@ -19,23 +19,20 @@ def regimes(index_bars: DataFrame) -> DataFrame:
     df = with_macd(bars).withColumn("ma20", sma("close", 20)).withColumn("ma250", sma("close", 250))
     df = df.withColumn("before", F.lag("ma250", 19).over(by_time())).filter("ma250 is not null")
     df = df.withColumns({"price_gap": F.col("close") / F.col("ma250") - 1, "ma_gap": F.col("ma20") / F.col("ma250") - 1, "slope": F.coalesce(F.col("ma250") / F.col("before") - 1, F.lit(0.0))})
-    parts = [cuts(F.col("price_gap"), 0.02, -0.02, 0.35), cuts(F.col("ma_gap"), 0.01, -0.01, 0.25), cuts(F.col("slope"), 0.01, -0.01, 0.20), cuts(F.col("hist0"), 0.0, 0.0, 0.10)]
-    base = F.lit(0.10)
-    flat = [(F.abs("price_gap") <= 0.02, 0.15, 0.20), (F.abs("ma_gap") <= 0.01, 0.20, 0.15), (F.abs("slope") <= 0.01, 0.10, 0.10)]
-    bull = F.round(sum((p[0] for p in parts), base), 4)
-    bear = F.round(sum((p[1] for p in parts), base), 4)
-    calm = F.round(sum((F.when(c, a + b).otherwise(0.0) for c, a, b in flat), base), 4)
+    parts = [cuts(F.col("price_gap"), 0.02, -0.02, 0.35), cuts(F.col("ma_gap"), 0.01, -0.01, 0.25), cuts(F.col("slope"), 0.01, -0.01, 0.20)]
+    parts.append((F.when(F.col("hist0") > 0, 0.10).otherwise(0.0), F.when(F.col("hist0") < 0, 0.10).otherwise(0.0)))
+    # what neither side claims is flat; what lies in a closer band counts once more
+    flat = [("price_gap", 0.02, 0.10, 0.03, 0.20), ("ma_gap", 0.01, 0.15, 0.015, 0.15), ("slope", 0.01, 0.20, 0.008, 0.10)]
+    bull = F.round(sum((p[0] for p in parts), F.lit(0.0)), 4)
+    bear = F.round(sum((p[1] for p in parts), F.lit(0.0)), 4)
+    calm = F.round(sum((F.when(F.abs(c) < cut, w).otherwise(0.0) + F.when(F.abs(c) <= band, more).otherwise(0.0) for c, cut, w, band, more in flat), F.lit(0.0)), 4)
     df = df.withColumns({"bull": bull, "bear": bear, "calm": calm})
     return df.withColumn("regime", decide(F.col("bull"), F.col("bear"), F.col("calm")))
 
 
 def decide(bull: Column, bear: Column, calm: Column) -> Column:
-    """The best score (ties: bull, bear, range) if it reaches its threshold or is strictly ahead; else range."""
-    best = F.when((bull >= bear) & (bull >= calm), "bull").when(bear >= calm, "bear").otherwise("range")
-    score = F.greatest(bull, bear, calm)
-    limit = F.when(best == "range", 0.60).otherwise(0.70)
-    second = F.array_sort(F.array(bull, bear, calm))[1]
-    return F.when((score >= limit) | (score > second), best).otherwise("range")
+    """Bull or bear if strictly ahead of both others; else range. (A side's own threshold changes nothing: to lead is enough.)"""
+    return F.when(bull > F.greatest(bear, calm), "bull").when(bear > F.greatest(bull, calm), "bear").otherwise("range")
 
 
 def simple_regime(df: DataFrame) -> DataFrame:
@@ -55,13 +52,14 @@ def strategy_signals(df: DataFrame, only_trend: bool = False) -> DataFrame:
     none = F.lit(None).cast("struct<strategy:string,action:string,score:int>")
     make = lambda name, action, score, ok: F.when(ok, F.struct(F.lit(name).alias("strategy"), action.alias("action"), score.cast("int").alias("score"))).otherwise(none)
     trend = make("trend", act, trend_score, (trend_score >= limit) & (f("regime") != "bear"))
-    back_score = add((bullish, 16), (f("price_change_pct") < 0, 12), (b("near_ma"), 8), (b("bear_trap"), 5))
+    back_score = add((bullish, 16), (b("near_ma"), 12), (f("price_change_pct") <= 0, 8), (f("volume_ratio") >= 1, 5))
     reversion = make("reversion", act, back_score, (back_score >= 70) & bullish)
     break_score = add((b("breakout"), 18), (f("volume_ratio") >= 1.6, 12), (f("slope") > 0, 8))
     fires = (break_score >= 78) & b("breakout") & (f("volume_ratio") >= 1.6)
     breakout = make("breakout", act, break_score - F.when(f("regime") == "range", 5).otherwise(0), fires)
     weak = (f("divergence") == "bearish") | ~b("above_ma")
-    defensive = F.when(b("held") & weak, F.struct(F.lit("defensive").alias("strategy"), F.lit("REDUCE").alias("action"), F.greatest(f("selection_score"), F.lit(78)).cast("int").alias("score"))).otherwise(make("defensive", F.lit("BUY"), f("selection_score"), ~b("held") & b("bear_trap") & (f("selection_score") >= 72)))
+    guard = sum((F.when(c, p).otherwise(0) for c, p in ((b("bear_trap"), 15), (bullish, 10), (f("slope") < 0, 5), (f("volume_ratio") > 1.5, 5))), F.lit(50))
+    defensive = F.when(b("held"), make("defensive", F.lit("REDUCE"), F.greatest(guard, F.lit(78)), weak)).otherwise(make("defensive", F.lit("BUY"), guard, b("bear_trap") & (guard >= 72)))
     routed = F.when(f("regime") == "range", F.array(trend, reversion, breakout)).when(f("regime") == "bear", F.array(defensive)).otherwise(F.array(F.when(fires, breakout).otherwise(trend)))
     routed = F.array(trend) if only_trend else routed
     return df.withColumn("s", F.explode(F.array_compact(routed))).select("symbol", "regime", "s.*")
@@ -139,23 +137,34 @@ def exit_signals(df: DataFrame) -> DataFrame:
     return df.withColumn("action", action).withColumn("score", F.when(F.col("action") == "SELL", 95).otherwise(80))
 
 
-def t_trading(df: DataFrame) -> DataFrame:
-    """what to do with the mobile part of a position."""
-    suggestion = (
-        F.when((F.col("regime") == "bear") & F.col("above_ma"), "sell_mobile")
-        .when((F.col("divergence") == "bullish") & (F.col("regime") == "bull"), "buy_mobile")
-        .when(F.col("divergence") == "bearish", "sell_mobile")
-        .otherwise("none")
-    )
-    return df.withColumn("suggestion", suggestion)
+def t_trading(df: DataFrame, step: float = 0.05) -> DataFrame:
+    """trades around a position by regime: suggestion (or none), confidence, t_change (a share), t_amount (of shares).
+
+    Bull: bullish divergence near the average on normal volume buys mobile shares, a bearish one sells them. Bear: a bearish
+    divergence sells 30 % of the base shares, a bullish one with a golden cross buys them back. Range: a bullish divergence
+    without a rise buys mobile shares, a bearish one sells them.
+    """
+    bull, bear = F.col("regime") == "bull", F.col("regime") == "bear"
+    up, down, some = F.col("divergence") == "bullish", F.col("divergence") == "bearish", F.col("mobile_shares") > 0
+    third = F.floor(F.col("base_shares") * 0.3).cast("long")
+    mobile = F.col("mobile_shares").cast("long")
+    rules = [
+        (bull & up & F.col("near_ma") & (F.col("volume_ratio") >= 1), "positive_t_buy", 78, 1, mobile),
+        (bull & down & some, "positive_t_sell", 76, -1, mobile),
+        (bear & down & (F.col("base_shares") > 0), "negative_t_sell", 74, -1, third),
+        (bear & up & F.col("golden_cross"), "negative_t_buy", 72, 1, third),
+        (~bull & ~bear & up & (F.col("price_change_pct") <= 0), "range_t_buy", 70, 1, mobile),
+        (~bull & ~bear & down & some, "range_t_sell", 70, -1, mobile),
+    ]
+    found = F.coalesce(*[F.when(ok, F.struct(F.lit(name).alias("suggestion"), F.lit(sure).alias("confidence"), F.lit(sign * step).alias("change"), amount.alias("amount"))) for ok, name, sure, sign, amount in rules])
+    return df.withColumn("_t", found).select("*", F.coalesce("_t.suggestion", F.lit("none")).alias("suggestion"), "_t.confidence", F.col("_t.change").alias("t_change"), F.col("_t.amount").alias("t_amount")).drop("_t")
 
 
 def merged_signals(routed: DataFrame, positions: DataFrame) -> DataFrame:
-    """routed signals with the exits (F16), T trades (F17, scored by market and side) and risk alerts (F13) of positions."""
+    """routed signals with the exits (F16), T trades (F17, scored by their confidence) and risk alerts (F13) of positions."""
     cols = ["symbol", "action", "score", "origin"]
     exits = exit_signals(positions).withColumn("origin", F.lit("exit"))
-    sure = F.when(F.col("regime") == "bull", F.when(F.col("suggestion") == "buy_mobile", 78).otherwise(76)).when(F.col("regime") == "bear", 74).otherwise(70)
-    t = t_trading(positions).filter("suggestion <> 'none'").select("symbol", F.col("suggestion").alias("action"), sure.alias("score"), F.lit("t_trading").alias("origin"))
+    t = t_trading(positions).filter("suggestion <> 'none'").select("symbol", F.col("suggestion").alias("action"), F.col("confidence").alias("score"), F.lit("t_trading").alias("origin"))
     risk = position_risk(positions).filter("action <> 'HOLD'").withColumn("score", F.when(F.col("action") == "SELL", 90).otherwise(78)).withColumn("origin", F.lit("risk"))
     out = routed.withColumn("origin", F.lit("routed")).select(cols)
     for part in (exits, t, risk):

@@ -10,7 +10,7 @@ from barloom.operators import backtest, chan, pool, screening, signals
 from barloom.operators import indicators as ind
 from barloom.plans.indicator_queries import r6, rsql
 from barloom.plans.sql import BARS, INDEX, INDICATORS, macd
-from barloom.plans.structure_queries import DIVERGENCE, d19
+from barloom.plans.structure_queries import DIVERGENCE, VOLUME_PATTERN, d19
 from barloom.sources import tables as src
 
 QUERIES, SQL = {}, {}
@@ -72,7 +72,7 @@ def e06(spark, sf_dir):
 
 
 BUY = "greatest(coalesce(CASE WHEN golden_cross THEN CASE zone WHEN 'above' THEN 50 WHEN 'near' THEN 30 ELSE 10 END + least(15, confirmation_count * 5) END, 0) + CASE WHEN coalesce(round(close - ma60, 9) > 0, false) AND coalesce(round(ma60 - ma60_before, 9) > 0, false) THEN 10 ELSE 0 END + CASE WHEN volume_ratio >= 1 THEN 5 ELSE 0 END, 0)::INT"
-SELL = "greatest(CASE WHEN death_cross AND zone = 'near' THEN 30 ELSE 0 END + CASE WHEN NOT coalesce(round(close - ma60, 9) > 0, false) AND NOT coalesce(round(ma60 - ma60_before, 9) > 0, false) THEN 10 ELSE 0 END + CASE WHEN volume_ratio >= 1 AND close < close1 THEN 5 ELSE 0 END, 0)::INT"
+SELL = "greatest(CASE WHEN death_cross AND zone = 'near' THEN 30 ELSE 0 END + CASE WHEN coalesce(round(ma60 - close, 9) > 0, false) AND coalesce(round(ma60_before - ma60, 9) > 0, false) THEN 10 ELSE 0 END + CASE WHEN volume_ratio >= 1 AND close < close1 THEN 5 ELSE 0 END, 0)::INT"
 
 
 def scored(df):
@@ -113,26 +113,34 @@ MEDIANS = """, m AS (SELECT industry, median(gross_margin) AS mg, median(rd_rati
 FUND = "WITH " + SNAP.split("snap AS (")[0].rstrip().rstrip(",") + MEDIANS
 
 
-@query("e11_quality_score", FUND + """ SELECT symbol, (CASE WHEN roe > 15 THEN 3 WHEN roe > 10 THEN 2 WHEN roe > 8 THEN 1 ELSE 0 END + CASE WHEN gross_margin > mg * 1.2 THEN 2 WHEN gross_margin > mg THEN 1 ELSE 0 END + CASE WHEN ocf_to_profit > 1 THEN 2 WHEN ocf_to_profit > 0.8 THEN 1 ELSE 0 END
- + CASE WHEN debt_ratio < 40 THEN 2 WHEN debt_ratio < 60 THEN 1 ELSE 0 END + CASE WHEN rd_ratio > mr * 1.2 THEN 2 WHEN rd_ratio > mr THEN 1 ELSE 0 END + CASE WHEN profit_growth > 0.3 THEN 2 WHEN profit_growth > 0.1 THEN 1 ELSE 0 END)::INT AS quality FROM fund JOIN m USING (industry)""")
+QUALITY = """(CASE WHEN roe > 15 THEN 3 WHEN roe > 10 THEN 2 WHEN roe > 8 THEN 1 ELSE 0 END + CASE WHEN gross_margin > mg * 1.2 THEN 2 WHEN gross_margin > mg THEN 1 ELSE 0 END + CASE WHEN ocf_to_profit > 1 THEN 2 WHEN ocf_to_profit > 0.8 THEN 1 ELSE 0 END
+ + CASE WHEN debt_ratio < 40 THEN 2 WHEN debt_ratio < 60 THEN 1 ELSE 0 END + CASE WHEN rd_ratio > mr * 1.2 THEN 2 WHEN rd_ratio > mr THEN 1 ELSE 0 END + CASE WHEN profit_growth > 0.3 THEN 2 WHEN profit_growth > 0.1 THEN 1 ELSE 0 END)::INT"""
+
+
+@query("e11_quality_score", FUND + f" SELECT symbol, {QUALITY} AS quality FROM fund JOIN m USING (industry)")
 def e11(spark, sf_dir):
     return screening.quality_score(src.fundamentals(spark, sf_dir)).select("symbol", "quality")
 
 
 VALUE = """(CASE WHEN pe > 0 AND pe < mp * 0.7 THEN 3 WHEN pe > 0 AND pe < mp THEN 2 ELSE 0 END + CASE WHEN ps > 0 AND ps < ms * 0.7 THEN 2 WHEN ps > 0 AND ps < ms THEN 1 ELSE 0 END
- + CASE WHEN pe / nullif(profit_growth * 100, 0) > 0 AND pe / nullif(profit_growth * 100, 0) < 1 THEN 3 WHEN pe / nullif(profit_growth * 100, 0) < 1.5 THEN 2 ELSE 0 END + CASE WHEN pb < 2.4 * 0.6 THEN 2 WHEN pb < 2.4 * 0.8 THEN 1 ELSE 0 END)::INT"""
+ + CASE WHEN profit_growth > 0 AND pe > 0 AND pe / (profit_growth * 100) < 1 THEN 3 WHEN profit_growth > 0 AND pe / (profit_growth * 100) < 1.5 THEN 2 ELSE 0 END + CASE WHEN pb < pb_mean * 0.6 THEN 2 WHEN pb < pb_mean * 0.8 THEN 1 ELSE 0 END)::INT"""
 
 
-@query("e12_valuation_score", FUND + f" SELECT symbol, {VALUE} AS valuation FROM fund JOIN m USING (industry)")
-def e12(spark, sf_dir):
-    return screening.valuation_score(src.fundamentals(spark, sf_dir).withColumn("pb_mean", F.lit(2.4))).select("symbol", "valuation")
+FUND_CTES = SNAP.split("snap AS (")[0].strip().rstrip(",") + MEDIANS
+#: The book moves slowly: a symbol's price to book has followed its price, so its own mean is that of its closes.
+OWN_PB = ", own AS (SELECT f.*, round(pb * ratio, 9) AS pb_mean FROM fund f LEFT JOIN (SELECT symbol, avg(close) / arg_max(close, datetime) AS ratio FROM bars GROUP BY symbol) USING (symbol))"
 
 
-@query("e14_composite_rank", FUND + f" SELECT symbol, round(0.35 * roe + 0.25 * {VALUE}, 6) AS composite FROM fund JOIN m USING (industry) ORDER BY composite DESC, symbol LIMIT 20")
-def e14(spark, sf_dir):
-    df = screening.valuation_score(src.fundamentals(spark, sf_dir).withColumn("pb_mean", F.lit(2.4)))
-    df = df.withColumn("composite", F.round(0.35 * F.col("roe") + 0.25 * F.col("valuation"), 6))
-    return screening.top(df.select("symbol", "composite"), 20, F.col("composite").desc(), F.col("symbol"))
+def valued(spark, sf_dir):
+    """Fundamentals with pb_mean, the symbol's own mean price to book, and the valuation score."""
+    ratio = src.daily_bars(spark, sf_dir).groupBy("symbol").agg((F.avg("close") / F.max_by("close", "datetime")).alias("ratio"))
+    fund = src.fundamentals(spark, sf_dir).join(ratio, "symbol", "left")
+    return screening.valuation_score(fund.withColumn("pb_mean", F.round(F.col("pb") * F.col("ratio"), 9)))
+
+
+@query("e12_valuation_score", "WITH RECURSIVE " + BARS + ", " + FUND_CTES + OWN_PB + f" SELECT symbol, {VALUE} AS valuation FROM own JOIN m USING (industry)")
+def e12(spark, sf_dir):
+    return valued(spark, sf_dir).select("symbol", "valuation")
 
 
 @query("e15_sizing", "SELECT s_suppkey::VARCHAR AS symbol, round(least(0.05 * CASE WHEN s_suppkey % 25 > 15 THEN 1.5 WHEN s_suppkey % 25 > 10 THEN 1.2 ELSE 1.0 END, 0.10), 6)::DOUBLE AS ratio FROM supplier")
@@ -152,11 +160,11 @@ def e20(spark, sf_dir):
 REGIME = "WITH RECURSIVE " + BARS + "," + INDEX + "," + macd("idx", "im") + """,
 ia AS (SELECT *, avg(close) OVER (PARTITION BY symbol ORDER BY rn ROWS 19 PRECEDING) AS ma20, CASE WHEN rn >= 250 THEN avg(close) OVER (PARTITION BY symbol ORDER BY rn ROWS 249 PRECEDING) END AS ma250 FROM im),
 ib AS (SELECT datetime, close / ma250 - 1 AS p, ma20 / ma250 - 1 AS m, coalesce(ma250 / lag(ma250, 19) OVER (ORDER BY rn) - 1, 0) AS s, hist0 AS h, ma250 FROM ia),
-ic AS (SELECT *, round(0.1 + CASE WHEN p > 0.02 THEN 0.35 ELSE 0 END + CASE WHEN m > 0.01 THEN 0.25 ELSE 0 END + CASE WHEN s > 0.01 THEN 0.20 ELSE 0 END + CASE WHEN h > 0 THEN 0.10 ELSE 0 END, 4)::DOUBLE AS bull,
-  round(0.1 + CASE WHEN p < -0.02 THEN 0.35 ELSE 0 END + CASE WHEN m < -0.01 THEN 0.25 ELSE 0 END + CASE WHEN s < -0.01 THEN 0.20 ELSE 0 END + CASE WHEN h < 0 THEN 0.10 ELSE 0 END, 4)::DOUBLE AS bear,
-  round(0.1 + CASE WHEN abs(p) <= 0.02 THEN 0.35 ELSE 0 END + CASE WHEN abs(m) <= 0.01 THEN 0.35 ELSE 0 END + CASE WHEN abs(s) <= 0.01 THEN 0.2 ELSE 0 END, 4)::DOUBLE AS calm FROM ib WHERE ma250 IS NOT NULL),
-regime AS (SELECT *, CASE WHEN greatest(bull, bear, calm) >= CASE WHEN calm > bull AND calm > bear THEN 0.6 ELSE 0.7 END OR greatest(bull, bear, calm) > list_sort([bull, bear, calm])[2]
-  THEN CASE WHEN bull >= bear AND bull >= calm THEN 'bull' WHEN bear >= calm THEN 'bear' ELSE 'range' END ELSE 'range' END AS regime FROM ic)"""
+ic AS (SELECT *, round(CASE WHEN p >= 0.02 THEN 0.35 ELSE 0 END + CASE WHEN m >= 0.01 THEN 0.25 ELSE 0 END + CASE WHEN s >= 0.01 THEN 0.20 ELSE 0 END + CASE WHEN h > 0 THEN 0.10 ELSE 0 END, 4)::DOUBLE AS bull,
+  round(CASE WHEN p <= -0.02 THEN 0.35 ELSE 0 END + CASE WHEN m <= -0.01 THEN 0.25 ELSE 0 END + CASE WHEN s <= -0.01 THEN 0.20 ELSE 0 END + CASE WHEN h < 0 THEN 0.10 ELSE 0 END, 4)::DOUBLE AS bear,
+  round(CASE WHEN abs(p) < 0.02 THEN 0.10 ELSE 0 END + CASE WHEN abs(m) < 0.01 THEN 0.15 ELSE 0 END + CASE WHEN abs(s) < 0.01 THEN 0.20 ELSE 0 END
+    + CASE WHEN abs(p) <= 0.03 THEN 0.20 ELSE 0 END + CASE WHEN abs(m) <= 0.015 THEN 0.15 ELSE 0 END + CASE WHEN abs(s) <= 0.008 THEN 0.10 ELSE 0 END, 4)::DOUBLE AS calm FROM ib WHERE ma250 IS NOT NULL),
+regime AS (SELECT *, CASE WHEN bull > bear AND bull > calm THEN 'bull' WHEN bear > bull AND bear > calm THEN 'bear' ELSE 'range' END AS regime FROM ic)"""
 
 
 @query("f02_regime", REGIME + " SELECT datetime::DATE::VARCHAR AS day, bull, bear, calm, regime FROM regime")
@@ -173,14 +181,15 @@ def f04(spark, sf_dir):
 
 STRAT = """, pl AS (SELECT *, CASE s_i % 3 WHEN 0 THEN 'bull' WHEN 1 THEN 'range' ELSE 'bear' END AS regime, s_i % 2 = 0 AS held, 40 + s_i % 50 AS selection_score FROM (SELECT *, symbol::INT AS s_i FROM snap)),
 ts AS (SELECT *, selection_score + CASE WHEN slope > 0 THEN 15 ELSE 0 END + CASE WHEN near_ma AND above_ma THEN 12 ELSE 0 END + CASE WHEN divergence = 'bullish' THEN 18 ELSE 0 END + CASE WHEN bear_trap THEN 15 ELSE 0 END + CASE WHEN golden_cross THEN 10 ELSE 0 END + CASE WHEN volume_ratio > 1.5 THEN 8 ELSE 0 END + CASE WHEN price_change_pct < 0 AND volume_ratio <= 1.2 THEN 6 ELSE 0 END AS tsc,
-  selection_score + CASE WHEN divergence = 'bullish' THEN 16 ELSE 0 END + CASE WHEN price_change_pct < 0 THEN 12 ELSE 0 END + CASE WHEN near_ma THEN 8 ELSE 0 END + CASE WHEN bear_trap THEN 5 ELSE 0 END AS rsc,
+  selection_score + CASE WHEN divergence = 'bullish' THEN 16 ELSE 0 END + CASE WHEN near_ma THEN 12 ELSE 0 END + CASE WHEN price_change_pct <= 0 THEN 8 ELSE 0 END + CASE WHEN volume_ratio >= 1 THEN 5 ELSE 0 END AS rsc,
+  50 + CASE WHEN bear_trap THEN 15 ELSE 0 END + CASE WHEN divergence = 'bullish' THEN 10 ELSE 0 END + CASE WHEN slope < 0 THEN 5 ELSE 0 END + CASE WHEN volume_ratio > 1.5 THEN 5 ELSE 0 END AS gsc,
   selection_score + CASE WHEN breakout THEN 18 ELSE 0 END + CASE WHEN volume_ratio >= 1.6 THEN 12 ELSE 0 END + CASE WHEN slope > 0 THEN 8 ELSE 0 END AS bsc, CASE WHEN held THEN 'ADD' ELSE 'BUY' END AS act FROM pl),
 fl AS (SELECT *, bsc >= 78 AND breakout AND volume_ratio >= 1.6 AS fires, tsc >= CASE WHEN regime = 'bull' THEN 75 ELSE 85 END AS tf, rsc >= 70 AND divergence = 'bullish' AS rf FROM ts),
 sg AS (SELECT symbol, regime, 'trend' AS strategy, act AS action, tsc AS score FROM fl WHERE tf AND (regime = 'range' OR regime = 'bull' AND NOT fires)
  UNION ALL SELECT symbol, regime, 'reversion', act, rsc FROM fl WHERE regime = 'range' AND rf
  UNION ALL SELECT symbol, regime, 'breakout', act, bsc - CASE WHEN regime = 'range' THEN 5 ELSE 0 END FROM fl WHERE fires AND regime <> 'bear'
- UNION ALL SELECT symbol, regime, 'defensive', 'REDUCE', greatest(selection_score, 78) FROM fl WHERE regime = 'bear' AND held AND (divergence = 'bearish' OR NOT above_ma)
- UNION ALL SELECT symbol, regime, 'defensive', 'BUY', selection_score FROM fl WHERE regime = 'bear' AND NOT held AND bear_trap AND selection_score >= 72)"""
+ UNION ALL SELECT symbol, regime, 'defensive', 'REDUCE', greatest(gsc, 78) FROM fl WHERE regime = 'bear' AND held AND (divergence = 'bearish' OR NOT above_ma)
+ UNION ALL SELECT symbol, regime, 'defensive', 'BUY', gsc FROM fl WHERE regime = 'bear' AND NOT held AND bear_trap AND gsc >= 72)"""
 
 
 def pool_rows(spark, sf_dir):
@@ -206,7 +215,7 @@ pr AS (SELECT account, h.symbol, round((close / cost - 1) * 100, 9) AS profit_pc
 
 
 def positions(spark, sf_dir):
-    df = src.holdings(spark, sf_dir).join(snapshot(spark, sf_dir).select("symbol", "close", "volatility_pct", "above_ma", "slope"), "symbol")
+    df = src.holdings(spark, sf_dir).join(snapshot(spark, sf_dir).select("symbol", "close", "volatility_pct", "above_ma", "slope", "divergence", "near_ma", "volume_ratio", "golden_cross", "price_change_pct"), "symbol")
     return df.withColumn("profit_pct", F.round((F.col("close") / F.col("cost") - 1) * 100, 9)).withColumn("regime", F.when(F.col("account") % 3 == 0, "bear").otherwise("bull"))
 
 
@@ -395,15 +404,6 @@ def h14(spark, sf_dir):
 
 
 
-@query("e13_momentum_score", "WITH RECURSIVE " + BARS + "," + INDICATORS + """ SELECT symbol, (CASE WHEN rsi BETWEEN 30 AND 40 THEN 3 WHEN rsi BETWEEN 40 AND 50 THEN 2 WHEN rsi BETWEEN 50 AND 60 THEN 1 ELSE 0 END
- + CASE WHEN hist0 > h1 AND hist0 < 0 THEN 2 WHEN hist0 > 0 AND h1 <= 0 THEN 3 ELSE 0 END + CASE WHEN close < ma20 - 2 * boll_sd THEN 2 WHEN close < ma20 THEN 1 ELSE 0 END)::INT AS momentum
- FROM (SELECT *, lag(hist0) OVER (PARTITION BY symbol ORDER BY rn) AS h1 FROM cross_ind) WHERE back = 1""")
-def e13(spark, sf_dir):
-    df = ind.enriched(src.daily_bars(spark, sf_dir)).withColumn("hist0_before", ind.lag("hist0"))
-    last = ind.latest(df)
-    return last.select("symbol", screening.momentum_score(last).cast("int").alias("momentum"))
-
-
 @query("e16_sell_gate", snap_sql(" SELECT account, symbol, CASE WHEN holding_days > 60 AND profit_pct < 5 THEN 'stale' WHEN profit_pct > 30 THEN 'profit' WHEN profit_pct < -12 THEN 'loss' ELSE 'hold' END AS reason FROM pr", HOLD.lstrip(", ")))
 def e16(spark, sf_dir):
     return screening.sell_gate(positions(spark, sf_dir)).select("account", "symbol", "reason")
@@ -437,20 +437,29 @@ EXITS = """, ex AS (SELECT pr.account, pr.symbol, CASE WHEN pr.profit_pct <= -st
 
 @query("f16_exit_signals", snap_sql(" SELECT account, symbol, action, CASE action WHEN 'SELL' THEN 95 ELSE 80 END::INT AS score FROM ex WHERE action IS NOT NULL", HOLD.lstrip(", "), EXITS.lstrip(", ")))
 def f16(spark, sf_dir):
-    rows = positions(spark, sf_dir).join(snapshot(spark, sf_dir).select("symbol", "divergence"), "symbol")
-    return signals.exit_signals(rows).select("account", "symbol", "action", "score")
+    return signals.exit_signals(positions(spark, sf_dir)).select("account", "symbol", "action", "score")
+
+
+def held(spark, sf_dir):
+    """Positions with their base and mobile shares (6 to 4), some of them in a range market."""
+    base = F.floor(F.col("shares") * 6 / 10).cast("long")
+    return positions(spark, sf_dir).withColumn("regime", F.when(F.col("account") % 3 == 1, "range").otherwise(F.col("regime"))).withColumns({"base_shares": base, "mobile_shares": F.col("shares") - base})
 
 
-@query("f17_t_trading", snap_sql(" SELECT account, pr.symbol, CASE WHEN pr.regime = 'bear' AND pr.above_ma THEN 'sell_mobile' WHEN divergence = 'bullish' AND pr.regime = 'bull' THEN 'buy_mobile' WHEN divergence = 'bearish' THEN 'sell_mobile' ELSE 'none' END AS suggestion FROM pr JOIN snap USING (symbol)", HOLD.lstrip(", ")))
+@query("f17_t_trading", snap_sql(""" SELECT account, symbol, coalesce(CASE WHEN r = 'bull' AND up AND near_ma AND volume_ratio >= 1 THEN 'positive_t_buy' WHEN r = 'bull' AND down AND mobile > 0 THEN 'positive_t_sell'
+  WHEN r = 'bear' AND down AND base > 0 THEN 'negative_t_sell' WHEN r = 'bear' AND up AND golden_cross THEN 'negative_t_buy' WHEN r = 'range' AND up AND price_change_pct <= 0 THEN 'range_t_buy' WHEN r = 'range' AND down AND mobile > 0 THEN 'range_t_sell' END, 'none') AS suggestion,
+  CASE suggestion WHEN 'positive_t_buy' THEN 78 WHEN 'positive_t_sell' THEN 76 WHEN 'negative_t_sell' THEN 74 WHEN 'negative_t_buy' THEN 72 WHEN 'range_t_buy' THEN 70 WHEN 'range_t_sell' THEN 70 END::INT AS confidence,
+  CASE WHEN suggestion LIKE '%buy' THEN 0.05 WHEN suggestion LIKE '%sell' THEN -0.05 END::DOUBLE AS t_change, CASE WHEN suggestion LIKE 'negative%' THEN floor(base * 0.3::DOUBLE)::BIGINT WHEN suggestion <> 'none' THEN mobile END AS t_amount
+ FROM (SELECT account, pr.symbol, CASE account % 3 WHEN 0 THEN 'bear' WHEN 1 THEN 'range' ELSE 'bull' END AS r, divergence = 'bullish' AS up, divergence = 'bearish' AS down, near_ma, volume_ratio, golden_cross, price_change_pct,
+  floor(shares * 6 / 10)::BIGINT AS base, shares - floor(shares * 6 / 10)::BIGINT AS mobile FROM pr JOIN snap USING (symbol))""", HOLD.lstrip(", ")))
 def f17(spark, sf_dir):
-    rows = positions(spark, sf_dir).join(snapshot(spark, sf_dir).select("symbol", "divergence"), "symbol")
-    return signals.t_trading(rows).select("account", "symbol", "suggestion")
+    return signals.t_trading(held(spark, sf_dir)).select("account", "symbol", "suggestion", "confidence", "t_change", "t_amount")
 
 
 @query("f20_merged_signals", snap_sql(" SELECT symbol, action, score::INT AS score, 'routed' AS origin FROM sg UNION ALL SELECT symbol, action, CASE action WHEN 'SELL' THEN 95 ELSE 80 END, 'exit' FROM ex WHERE action IS NOT NULL", STRAT.lstrip(", "), HOLD.lstrip(", "), EXITS.lstrip(", ")))
 def f20(spark, sf_dir):
     routed = signals.strategy_signals(pool_rows(spark, sf_dir)).withColumn("origin", F.lit("routed"))
-    out = signals.exit_signals(positions(spark, sf_dir).join(snapshot(spark, sf_dir).select("symbol", "divergence"), "symbol")).withColumn("origin", F.lit("exit"))
+    out = signals.exit_signals(positions(spark, sf_dir)).withColumn("origin", F.lit("exit"))
     both = routed.unionByName(out.select("symbol", "action", "score", "origin"), allowMissingColumns=True)
     return both.orderBy(F.col("score").desc(), "symbol").select("symbol", "action", "score", "origin")
 
@@ -498,26 +507,31 @@ def h05(spark, sf_dir):
     return pool.current(market_events(spark, sf_dir), "2024-01-15", 50).select("seq")
 
 
-# The whole items of which e13, e14, e16 and f20 above, held to their SQL, take a part.
+MOMENTUM = """, mo AS (SELECT symbol, (CASE WHEN rsi > 20 AND rsi < 30 THEN 3 WHEN rsi > 30 AND rsi < 40 THEN 2 WHEN rsi <= 20 THEN 1 ELSE 0 END
+ + CASE WHEN hist0 > h1 AND h1 > h2 AND hist0 < 0 THEN 2 WHEN hist0 > 0 AND h1 < 0 THEN 3 ELSE 0 END + CASE WHEN close < ma20 - 2 * boll_sd THEN 2 WHEN close < ma20 THEN 1 ELSE 0 END
+ + CASE WHEN round(m2 - k2, 9) > 0 AND round(m1 - close1, 9) > 0 AND close > close1 AND close < ma20 * 1.03 THEN 2 ELSE 0 END + CASE WHEN round(ma20 - ma60, 9) > 0 AND round(l1 - m1, 9) > 0 THEN 2 ELSE 0 END)::INT AS momentum
+ FROM (SELECT *, lag(hist0) OVER k AS h1, lag(hist0, 2) OVER k AS h2, lag(ma20) OVER k AS m1, lag(ma20, 2) OVER k AS m2, lag(ma60) OVER k AS l1, lag(close, 2) OVER k AS k2 FROM cross_ind WINDOW k AS (PARTITION BY symbol ORDER BY rn)) WHERE back = 1)"""
 
 
-@query("e13_momentum_whole")
-def e13_whole(spark, sf_dir):
-    """All five rules."""
+@query("e13_momentum_score", "WITH RECURSIVE " + BARS + "," + INDICATORS + MOMENTUM + " SELECT symbol, momentum FROM mo")
+def e13(spark, sf_dir):
     df = ind.enriched(src.daily_bars(spark, sf_dir)).withColumns({"hist0_before": ind.lag("hist0"), "hist0_before2": ind.lag("hist0", 2)})
     last = ind.latest(screening.momentum_arms(df))
-    return last.select("symbol", (screening.momentum_score(last, 3) + F.col("arms")).cast("int").alias("momentum"))
+    return last.select("symbol", (screening.momentum_score(last) + F.col("arms")).cast("int").alias("momentum"))
 
 
-@query("e14_composite_whole")
-def e14_whole(spark, sf_dir):
-    """Quality, valuation, momentum and volume pattern of each symbol."""
-    fund = src.fundamentals(spark, sf_dir).withColumn("pb_mean", F.lit(2.4))
-    scores = screening.quality_score(fund).select("symbol", "quality").join(screening.valuation_score(fund).select("symbol", "valuation"), "symbol")
-    scores = scores.join(e13_whole(spark, sf_dir), "symbol", "left").join(d19(spark, sf_dir).select("symbol", F.col("score").alias("vol_score")), "symbol", "left")
+@query("e14_composite_rank", "WITH RECURSIVE " + BARS + "," + INDICATORS + ", " + FUND_CTES + OWN_PB + MOMENTUM + VOLUME_PATTERN + f""" SELECT symbol, round(0.35 * {QUALITY} + 0.25 * {VALUE} + 0.2 * coalesce(momentum, 0) + 0.2 * coalesce(vol_score, 0), 6)::DOUBLE AS composite
+ FROM own JOIN m USING (industry) LEFT JOIN mo USING (symbol) LEFT JOIN vp USING (symbol) ORDER BY composite DESC, symbol LIMIT 20""")
+def e14(spark, sf_dir):
+    """Quality, valuation, momentum and volume pattern of each symbol by weight, the best 20."""
+    scores = screening.quality_score(valued(spark, sf_dir)).select("symbol", "quality", "valuation")
+    scores = scores.join(e13(spark, sf_dir), "symbol", "left").join(d19(spark, sf_dir).select("symbol", F.col("score").alias("vol_score")), "symbol", "left")
     return screening.top(screening.composite(scores).select("symbol", "composite"), 20, F.col("composite").desc(), F.col("symbol"))
 
 
+# The whole items of which e16 and f20 above, held to their SQL, take a part.
+
+
 @query("e16_sell_gate_whole")
 def e16_whole(spark, sf_dir):
     """With the volume pattern and the return on equity of the year before (fixed arithmetic, as in fundamentals)."""
@@ -534,5 +548,4 @@ def f11(spark, sf_dir):
 
 @query("f20_merged_whole")
 def f20_whole(spark, sf_dir):
-    held = positions(spark, sf_dir).join(snapshot(spark, sf_dir).select("symbol", "divergence"), "symbol")
-    return signals.merged_signals(signals.strategy_signals(pool_rows(spark, sf_dir)), held)
+    return signals.merged_signals(signals.strategy_signals(pool_rows(spark, sf_dir)), held(spark, sf_dir))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.operators import chan
+from barloom.operators import chan, screening
 from barloom.operators import indicators as ind
 from barloom.plans.indicator_queries import dated, r6
 from barloom.plans.sql import BARS, INDICATORS, from_indicators
@@ -188,13 +188,13 @@ def d18(spark, sf_dir):
     return last.select("symbol", votes(c <= F.col("q30"), c < 0.9 * F.col("ma120"), c < F.col("boll_low")).alias("is_low"), votes(c >= F.col("q70"), c > 1.2 * F.col("ma120"), c > F.col("boll_up")).alias("is_high"))
 
 
-@query("d19_volume_pattern", from_indicators(""", vp AS (SELECT symbol, back, volume_ratio >= 2 AND pct_change BETWEEN 0 AND 0.02 AND close <= recent_low + (recent_high - recent_low) * 0.3 AS up, volume_ratio >= 2 AND pct_change BETWEEN 0 AND 0.02 AND close >= recent_low + (recent_high - recent_low) * 0.7 AS dn, volume_ratio < 0.7 AND abs(close - open) <= 0.1 * (high - low) AS doji FROM cross_ind WHERE back <= 5)
- SELECT symbol, max(coalesce(up, false)::INT) * 3 - max(coalesce(dn, false)::INT) * 3 + max(coalesce(doji, false)::INT) AS score FROM vp GROUP BY symbol"""))
+VOLUME_PATTERN = """, vq AS (SELECT symbol, quantile_cont(close, 0.3) AS q30, quantile_cont(close, 0.7) AS q70 FROM cross_ind GROUP BY symbol),
+ vs AS (SELECT symbol, ((close <= q30)::INT + coalesce(close < 0.9 * ma120, false)::INT + coalesce(close < ma20 - 2 * boll_sd, false)::INT) >= 2 AS is_low, ((close >= q70)::INT + coalesce(close > 1.2 * ma120, false)::INT + coalesce(close > ma20 + 2 * boll_sd, false)::INT) >= 2 AS is_high FROM cross_ind JOIN vq USING (symbol) WHERE back = 1),
+ vd AS (SELECT *, volume < 0.8 * lag(volume) OVER (PARTITION BY symbol ORDER BY rn) AND abs(pct_change * 100) < 1 AND abs(close - open) / nullif(open, 0) < 0.005 AS doji FROM cross_ind WHERE back <= 5),
+ vp AS (SELECT symbol, (max(coalesce(volume_ratio > 1.5 AND pct_change * 100 < 2, false)::INT) * 3 * any_value(is_low)::INT - max(coalesce(volume_ratio > 2 AND pct_change * 100 < 1, false)::INT) * 3 * any_value(is_high)::INT + max(coalesce(doji, false)::INT))::INT AS vol_score FROM vd JOIN vs USING (symbol) GROUP BY symbol)"""
+
+
+@query("d19_volume_pattern", from_indicators(VOLUME_PATTERN + " SELECT symbol, vol_score AS score FROM vp"))
 def d19(spark, sf_dir):
-    df = ind.last_bars(ind.with_trends(ind.with_averages(src.daily_bars(spark, sf_dir))), 5)
-    span = F.col("recent_high") - F.col("recent_low")
-    heavy = (F.col("volume_ratio") >= 2) & F.col("pct_change").between(0, 0.02)
-    low, high = heavy & (F.col("close") <= F.col("recent_low") + span * 0.3), heavy & (F.col("close") >= F.col("recent_low") + span * 0.7)
-    doji = (F.col("volume_ratio") < 0.7) & (F.abs(F.col("close") - F.col("open")) <= 0.1 * (F.col("high") - F.col("low")))
-    seen = lambda c: F.max(F.coalesce(c, F.lit(False)).cast("int"))
-    return df.groupBy("symbol").agg((seen(low) * 3 - seen(high) * 3 + seen(doji)).alias("score"))
+    df = ind.with_trends(ind.with_averages(src.daily_bars(spark, sf_dir)))
+    return screening.volume_pattern(ind.last_bars(df, 5), d18(spark, sf_dir)).select("symbol", "score")

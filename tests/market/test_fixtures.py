@@ -218,21 +218,42 @@ def test_whole_merge_and_trend_entries(spark):
     assert 0 < len(top) <= 10 and {r.strategy for r in top} == {"trend"} and "bear" not in {r.regime for r in top}
 
 
-def test_whole_merge_scores_t_trades(spark):
+def test_t_trades_by_regime(spark):
+    """One case of each rule, and one that misses it: F17, and F20's score of it."""
     from barloom.operators import signals
 
-    held = [("A", "bull", "bullish", False), ("B", "bull", "bearish", True), ("C", "bear", "none", True), ("D", "range", "bearish", True), ("E", "range", "bullish", True)]
-    schema = "symbol string, regime string, divergence string, above_ma boolean"
-    rows = spark.createDataFrame(held, schema).selectExpr("*", "1.0D AS slope", "1.0D AS profit_pct", "5 AS holding_days", "10.0D AS volatility_pct")
-    none = spark.createDataFrame([], "symbol string, action string, score int")
-    got = signals.merged_signals(none, rows).filter("origin = 't_trading'").collect()
-    assert [(r.symbol, r.action, r.score) for r in got] == [("A", "buy_mobile", 78), ("B", "sell_mobile", 76), ("C", "sell_mobile", 74), ("D", "sell_mobile", 70)]
+    held = [
+        ("A", "bull", "bullish", True, 1.0, False, 1.0), ("B", "bull", "bearish", False, 0.5, False, 1.0), ("C", "bear", "bearish", False, 0.5, False, 1.0), ("D", "bear", "bullish", False, 0.5, True, 1.0),
+        ("E", "range", "bullish", False, 0.5, False, 0.0), ("F", "range", "bearish", False, 0.5, False, 1.0), ("G", "bull", "bullish", True, 0.9, True, -1.0), ("H", "bear", "bullish", True, 2.0, False, -1.0), ("I", "range", "bullish", True, 2.0, True, 0.1),
+    ]
+    schema = "symbol string, regime string, divergence string, near_ma boolean, volume_ratio double, golden_cross boolean, price_change_pct double"
+    rows = spark.createDataFrame(held, schema).selectExpr("*", "true AS above_ma", "1.0D AS slope", "1.0D AS profit_pct", "5 AS holding_days", "10.0D AS volatility_pct", "1000L AS base_shares", "400L AS mobile_shares")
+    got = {r.symbol: (r.suggestion, r.confidence, r.t_change, r.t_amount) for r in signals.t_trading(rows).collect()}
+    none = ("none", None, None, None)
+    assert got == {
+        "A": ("positive_t_buy", 78, 0.05, 400), "B": ("positive_t_sell", 76, -0.05, 400), "C": ("negative_t_sell", 74, -0.05, 300), "D": ("negative_t_buy", 72, 0.05, 300),
+        "E": ("range_t_buy", 70, 0.05, 400), "F": ("range_t_sell", 70, -0.05, 400), "G": none, "H": none, "I": none,
+    }
+    nothing = spark.createDataFrame([], "symbol string, action string, score int")
+    merged = signals.merged_signals(nothing, rows).filter("origin = 't_trading'").collect()
+    assert [(r.symbol, r.score) for r in merged] == [("A", 78), ("B", 76), ("C", 74), ("D", 72), ("E", 70), ("F", 70)]
+
+
+def test_regime_decision(spark):
+    """A tie is a range; to lead strictly is enough, whatever the score."""
+    from pyspark.sql import functions as F
+
+    from barloom.operators import signals
+
+    rows = spark.createDataFrame([(0.9, 0.0, 0.1), (0.35, 0.1, 0.3), (0.45, 0.45, 0.2), (0.4, 0.1, 0.4), (0.1, 0.8, 0.2), (0.1, 0.2, 0.9)], "a double, b double, c double")
+    assert [r[0] for r in rows.select(signals.decide(F.col("a"), F.col("b"), F.col("c"))).collect()] == ["bull", "bull", "range", "range", "bear", "range"]
 
 
-def test_whole_momentum_reads_three_bars(spark):
+def test_momentum_bands(spark):
     from barloom.operators import screening
 
-    rows = spark.createDataFrame([(-1.0, -2.0, -3.0), (-1.0, -2.0, -1.5), (1.0, -1.0, -2.0)], "hist0 double, hist0_before double, hist0_before2 double")
-    rows = rows.selectExpr("*", "90.0D AS rsi", "9.0D AS close", "1.0D AS boll_low", "2.0D AS boll_mid")
-    assert [r[0] for r in rows.select(screening.momentum_score(rows, 3)).collect()] == [2, 0, 3]
-    assert [r[0] for r in rows.select(screening.momentum_score(rows)).collect()] == [2, 2, 3]
+    base = "9.0D AS close", "1.0D AS boll_low", "2.0D AS boll_mid"
+    rows = spark.createDataFrame([(-1.0, -2.0, -3.0), (-1.0, -2.0, -1.5), (1.0, -1.0, -2.0), (1.0, 0.0, -2.0)], "hist0 double, hist0_before double, hist0_before2 double").selectExpr("*", "90.0D AS rsi", *base)
+    assert [r[0] for r in rows.select(screening.momentum_score(rows)).collect()] == [2, 0, 3, 0]
+    rows = spark.createDataFrame([(25.0,), (30.0,), (35.0,), (20.0,), (45.0,)], "rsi double").selectExpr("*", "0.0D AS hist0", "0.0D AS hist0_before", "0.0D AS hist0_before2", *base)
+    assert [r[0] for r in rows.select(screening.momentum_score(rows)).collect()] == [3, 0, 2, 1, 0]
