@@ -7,9 +7,9 @@
 3. Bands of registers are bucket keys. Only buckets with two nodes or more stay.
 4. In each bucket the node with the most company leads; each node is verified against its leaders, exactly. Links make
    components, so tight groups of any size cost one comparison a member.
-5. Buckets that then still hold different components are compared across components: small ones in full, larger ones by
-   their members' differences from the leader (see ``_differences``), which loses no link between texts that repeat no
-   shingle. Pairs of a larger bucket of which one text repeats a shingle are found by longer bands instead.
+5. Buckets that then still hold different components are compared across components: texts that repeat no shingle by
+   their differences from the leader (see ``_differences``), which loses no link. Pairs of which one text repeats a shingle
+   are compared one by one in small buckets and found by longer bands in larger ones.
 6. One row per document with its class: the smallest id among linked documents.
 
 Cases: texts without words are classes of equal texts. Texts of fewer than five words have one shingle. Ties and
@@ -35,7 +35,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS = (8, 40)
 #: The same for pairs of a crowded bucket of which a text repeats a shingle: 99.93 %.
 LONG_BANDS = (16, 256)
-#: Buckets of up to so many nodes are compared pair by pair; both ways see all pairs of a bucket.
+#: In buckets of up to so many nodes, pairs of which a text repeats a shingle are compared one by one.
 CROWD = 48
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = 200_000
@@ -276,13 +276,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # each node and its leaders
     leaders, led = _leaders(found, repeats, scratch)
     stars = components(_verified(led, packed, threshold), scratch)
-    mixed = scratch.write(_mixed(found, stars))
-    small = scratch.write(_verified(_across(mixed.filter(F.col("n") <= CROWD), led), packed, threshold))
-    crowd = mixed.filter(F.col("n") > CROWD)
-    if not crowd.isEmpty():
-        stars = components(stars.unionByName(small), scratch)
-        small = _crowded(crowd, leaders, led, stars, packed, repeats, scratch, threshold, long_bands)
-    stars = components(stars.unionByName(small), scratch)
+    marks = repeats.withColumn("again", F.lit(True))
+    mixed = scratch.write(_mixed(found, stars).join(marks, "node", "left").withColumn("again", F.coalesce("again", F.lit(False))))
+    more = scratch.write(_verified(_across(mixed.filter(F.col("n") <= CROWD), led), packed, threshold))
+    if not mixed.isEmpty():
+        stars = components(stars.unionByName(more), scratch)
+        more = _beyond_leaders(mixed, leaders, led, stars, packed, repeats, scratch, threshold, long_bands)
+    stars = components(stars.unionByName(more), scratch)
     scratch.drop(packed)
 
     roots = _labelled(heads, "node", stars, "root")
@@ -310,10 +310,9 @@ def _leaders(found: DataFrame, repeats: DataFrame, scratch: Scratch) -> tuple[Da
     return leaders, scratch.write(led.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
 
 
-def _crowded(crowd: DataFrame, leaders: DataFrame, led: DataFrame, stars: DataFrame, packed: DataFrame, repeats: DataFrame, scratch: Scratch, threshold: float, long_bands: tuple[int, int]) -> DataFrame:
-    """Links across components within crowded buckets."""
-    crowd = scratch.write(_mixed(crowd.select("key", "node", "n"), stars))
-    crew = crowd.join(leaders, F.col("key") == F.col("bucket")).filter(F.col("node") != F.col("lead"))
+def _beyond_leaders(mixed: DataFrame, leaders: DataFrame, led: DataFrame, stars: DataFrame, packed: DataFrame, repeats: DataFrame, scratch: Scratch, threshold: float, long_bands: tuple[int, int]) -> DataFrame:
+    """Links across components: of texts without repeated shingles in all buckets, of others in crowded ones."""
+    crew = mixed.filter("not again").join(leaders, F.col("key") == F.col("bucket")).filter(F.col("node") != F.col("lead"))
     crew = crew.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
     parts = _labelled(scratch.write(_differences(crew, packed, threshold)), "node", stars, "root")
     # only keys under which different components meet
@@ -328,8 +327,8 @@ def _crowded(crowd: DataFrame, leaders: DataFrame, led: DataFrame, stars: DataFr
     meet = x.filter("x_far").join(y, (F.col("key") == F.col("k")) & (F.col("x_root") != F.col("y_root")) & once & (F.least("x_left", "y_left") >= shared - 1e-6))
     pairs = meet.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b"))
 
-    # pairs with a text that repeats a shingle, from buckets that hold one
-    marked = crowd.join(repeats.withColumn("again", F.lit(True)), "node", "left").select("key", "node", F.coalesce("again", F.lit(False)).alias("again"))
+    # pairs with a text that repeats a shingle, from crowded buckets that hold one
+    marked = mixed.filter(F.col("n") > CROWD).select("key", "node", "again")
     holds = marked.filter("again").select("key").distinct()
     nodes = scratch.write(marked.join(holds, "key", "left_semi").select("node", "again").distinct())
     if not nodes.isEmpty():
@@ -365,11 +364,11 @@ def _mixed(found: DataFrame, stars: DataFrame) -> DataFrame:
 
 
 def _across(mixed: DataFrame, led: DataFrame) -> DataFrame:
-    """Pairs of one bucket, not compared yet, of different components: nodes outside the main component against all others."""
-    minor = mixed.filter("root != main").select("key", F.col("node").alias("x"), F.col("root").alias("rx"))
-    every = mixed.select("key", F.col("node").alias("y"), F.col("root").alias("ry"))
-    pairs = minor.join(every, "key").filter("rx != ry").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    return _undone(pairs, led)
+    """Pairs of one bucket, not compared yet, of different components and with a text that repeats a shingle: nodes outside the main component against all others."""
+    minor = mixed.filter("root != main").select("key", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("again").alias("ax"))
+    every = mixed.select(F.col("key").alias("k"), F.col("node").alias("y"), F.col("root").alias("ry"), F.col("again").alias("ay"))
+    pairs = minor.join(every, (F.col("key") == F.col("k")) & (F.col("rx") != F.col("ry")) & (F.col("ax") | F.col("ay")))
+    return _undone(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), led)
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
