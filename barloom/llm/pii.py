@@ -20,6 +20,8 @@ whatever their names, come back unchanged.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,8 +138,9 @@ REBUILT = f"""CASE k
 
 def _pseudonym(key: str, back: bool) -> str:
     """struct(kind, value, pseudonym) of a candidate m; kind is null if the value is not valid."""
-    clean = key.replace("\\", "").replace("'", "")
-    new = _let("ds", NUMBER, _let("ns", _feistel(clean, back), REBUILT))
+    # a digest: distinct keys stay distinct, whatever characters they have. It appears in plans and is enough to undo, as the key is
+    derived = hashlib.sha256(key.encode("utf-8")).hexdigest()
+    new = _let("ds", NUMBER, _let("ns", _feistel(derived, back), REBUILT))
     return _let("k", _kind("m"), f"IF({VALID}, named_struct('kind', k, 'value', m, 'pseudonym', {new}), named_struct('kind', CAST(NULL AS STRING), 'value', m, 'pseudonym', m))")
 
 

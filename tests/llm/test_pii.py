@@ -85,3 +85,8 @@ def test_odd_rows(spark):
     assert out.columns == [*odd(spark).columns, "_pii"]
     assert sorted(map(str, out.drop("_pii").collect())) == sorted(map(str, odd(spark).collect()))
     assert pii.pseudonymise(empty(spark), "k").count() == 0
+
+
+def test_keys_that_differ_by_a_quote_differ(spark):
+    docs = spark.createDataFrame([(1, "call +49 30 1234567 or write jane.roe@example.org")], "doc_id long, text string")
+    assert len({pii.pseudonymise(docs, key).first().text for key in ("ab", "a'b", "a\\b")}) == 3
