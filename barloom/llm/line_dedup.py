@@ -1,10 +1,14 @@
 """Line deduplication across documents by winnowing over line hashes (DataFrame operations only).
 
 Lines without a word are no part of the sequence of lines. A window is a shortest run of lines with at least
-``min_words`` words that begins, or that ends, at a given line. The line with the smallest hash in a window is its
-fingerprint: whoever shares a run of that many words shares its windows, hence a fingerprint. Fingerprints that occur
-at one place only are dropped; at the others, positions are joined by the window's content and matches grow both ways
-to the union of the windows that match. The first occurrence, by (id, text hash, line), stays; lines of later ones go.
+``min_words`` words that begins, or that ends, at a given line. Its fingerprint is its line with the smallest hash, the
+first of equal ones; only the positions of fingerprints are kept, one row however many windows chose it. Whoever shares
+a run of that many words shares its windows, hence a fingerprint, so that no match is lost.
+
+Positions are joined by fingerprint, and those that no other position shares are dropped. From each of the others, and
+from nowhere else, the match is extended both ways, line by line, to the windows that chose it: those alike in content
+match, and windows that touch grow together into one run. A fingerprint's positions are never paired with each other,
+so a hot one costs no more than its rows. The first occurrence, by (id, text hash, line), stays; lines of later ones go.
 
 Cases: a null text stays null, an empty one stays empty. Runs of fewer words stay. In one document a run goes if it
 repeats an earlier run that it does not overlap. Rows with equal id and text count as one document and are treated
@@ -23,43 +27,68 @@ SPACES = " \t\x0b\x0c\r"
 MIN_WORDS = 50
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Lines with words: id, t (text hash), pos, h (line hash), w (words)."""
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Each different (id, t) with its lines: id, t (text hash), lines (array of h: line hash, w: words)."""
     arrays = docs.filter(F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"),
         F.transform(F.split(text_col, "\n"), lambda x: F.struct(F.xxhash64(F.btrim(x, F.lit(SPACES))).alias("h"), word_count(x).alias("w"))).alias("lines"),
     )
-    once = arrays.groupBy("id", "t").agg(F.first("lines").alias("lines"))
-    return once.select("id", "t", F.posexplode("lines").alias("pos", "line")).select("id", "t", "pos", "line.h", "line.w").filter("w > 0")
-
-
-def _windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """Windows that begin or end at each line: id, t, from_pos, to_pos, fp (smallest line hash), content (two hashes)."""
-    doc = Window.partitionBy("id", "t")
-    seq = doc.orderBy("pos")
-    lines = lines.withColumn("upto", F.sum("w").over(seq)).withColumn("before", F.col("upto") - F.col("w")).withColumn("all", F.sum("w").over(doc))
-    ahead = doc.orderBy("before").rangeBetween(0, min_words - 1)
-    back = doc.orderBy("upto").rangeBetween(-(min_words - 1), 0)
-    hashes = lambda over: F.collect_list("h").over(over)
-    both = lines.select(
-        "id", "t", "pos", "all", "before", "upto",
-        hashes(ahead).alias("a"), F.max("pos").over(ahead).alias("a_to"), hashes(back).alias("b"), F.min("pos").over(back).alias("b_from"),
+    return arrays.groupBy("id", "t").agg(F.first("lines").alias("lines"))
+
+
+class _Frames:
+    """Lines with words, and the frames of the windows that begin and that end at each."""
+
+    def __init__(self, texts: DataFrame, min_words: int):
+        doc = Window.partitionBy("id", "t")
+        lines = texts.select("id", "t", F.posexplode("lines").alias("pos", "line")).select("id", "t", "pos", "line.h", "line.w").filter("w > 0")
+        lines = lines.withColumn("upto", F.sum("w").over(doc.orderBy("pos"))).withColumn("before", F.col("upto") - F.col("w"))
+        self.lines = lines.withColumn("all", F.sum("w").over(doc))
+        self.ahead = doc.orderBy("before").rangeBetween(0, min_words - 1)
+        self.back = doc.orderBy("upto").rangeBetween(-(min_words - 1), 0)
+        self.begins = F.col("all") - F.col("before") >= min_words
+        self.ends = F.col("upto") >= min_words
+
+
+def _fingerprints(texts: DataFrame, min_words: int) -> DataFrame:
+    """The lines that are the smallest of a window: id, t, pos, h."""
+    f = _Frames(texts, min_words)
+    least = F.min(F.struct("h", "pos"))
+    both = f.lines.select("id", "t", "all", "before", "upto", least.over(f.ahead).alias("a"), least.over(f.back).alias("b"))
+    chosen = F.array_distinct(F.array_compact(F.array(F.when(f.begins, F.col("a")), F.when(f.ends, F.col("b")))))
+    return both.select("id", "t", F.explode(chosen).alias("x")).select("id", "t", "x.pos", "x.h").distinct()
+
+
+def _extend(texts: DataFrame, places: DataFrame, min_words: int) -> DataFrame:
+    """The windows that chose one of the places (id, t, pos): id, t, from_pos, to_pos, content (two hashes)."""
+    here = texts.join(places.select("id", "t").distinct().withColumnsRenamed({"id": "p_id", "t": "p_t"}), F.col("id").eqNullSafe(F.col("p_id")) & (F.col("t") == F.col("p_t")), "left_semi")
+    f = _Frames(here, min_words)
+    run = F.collect_list(F.struct("h", "pos"))
+    both = f.lines.select("id", "t", "all", "before", "upto", run.over(f.ahead).alias("a"), run.over(f.back).alias("b"))
+    window = lambda x, ok: F.when(
+        ok,
+        F.struct(
+            F.element_at(x, 1)["pos"].alias("from_pos"), F.element_at(x, -1)["pos"].alias("to_pos"), F.array_min(x)["pos"].alias("pos"),
+            F.xxhash64(F.col(f"{x}.h")).alias("c1"), F.hash(F.col(f"{x}.h")).alias("c2"),
+        ),
     )
-    window = lambda x, a, b, ok: F.when(ok, F.struct(F.col(a).alias("from_pos"), F.col(b).alias("to_pos"), F.array_min(x).alias("fp"), F.xxhash64(x).alias("c1"), F.hash(x).alias("c2")))
-    stacked = F.array(
-        window("a", "pos", "a_to", F.col("all") - F.col("before") >= min_words),
-        window("b", "b_from", "pos", F.col("upto") >= min_words),
-    )
-    return both.select("id", "t", F.explode(F.array_distinct(F.array_compact(stacked))).alias("x")).select("id", "t", "x.*")
+    stacked = F.array_distinct(F.array_compact(F.array(window("a", f.begins), window("b", f.ends))))
+    windows = both.select("id", "t", F.explode(stacked).alias("x")).select("id", "t", "x.*")
+    p = places.select(F.col("id").alias("p_id"), F.col("t").alias("p_t"), F.col("pos").alias("p_pos"))
+    chose = F.col("id").eqNullSafe(F.col("p_id")) & (F.col("t") == F.col("p_t")) & (F.col("pos") == F.col("p_pos"))
+    return windows.join(p, chose, "left_semi").drop("pos")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Later repeated runs by document: id, t, runs (array of from_pos, to_pos: line positions, inclusive)."""
     scratch = Scratch(docs.sparkSession)
-    windows = scratch.write(_windows(_lines(docs, id_col, text_col), min_words))
+    texts = scratch.write(_texts(docs, id_col, text_col))
+    chosen = scratch.write(_fingerprints(texts, min_words))
+    spot = F.struct("id", "t", "pos")
+    shared = chosen.groupBy("h").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi")).filter("lo != hi").select("h")
+    places = scratch.write(chosen.join(shared, "h", "left_semi").select("id", "t", "pos"))
+    found = scratch.write(_extend(texts, places, min_words))
     place = F.struct("id", "t", "from_pos", "to_pos")
-    shared = windows.groupBy("fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo != hi").select("fp")
-    found = scratch.write(windows.join(shared, "fp", "left_semi"))
     first = found.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     elsewhere = ~F.col("id").eqNullSafe(F.col("first.id")) | (F.col("t") != F.col("first.t"))
     later = found.join(first, ["c1", "c2"]).filter(elsewhere | (F.col("from_pos") > F.col("first.to_pos")))
