@@ -227,9 +227,12 @@ def rebalance(scores: DataFrame, n: int) -> DataFrame:
 
 
 def concentration(holdings: DataFrame) -> DataFrame:
-    """Amount of each holding and its share of the account."""
+    """Amount of each holding and its share of the account; totals are partial sums joined back, as an account may hold many rows."""
     amount: Column = F.col("shares") * F.col("cost")
-    return holdings.withColumn("amount", amount).withColumn("share", F.col("amount") / F.nullif(F.sum("amount").over(Window.partitionBy("account_group")), F.lit(0.0)))
+    rows = holdings.withColumn("amount", amount)
+    totals = rows.groupBy(F.col("account_group").alias("_of")).agg(F.sum("amount").alias("_total"))
+    joined = rows.join(totals, rows["account_group"].eqNullSafe(totals["_of"]))
+    return joined.withColumn("share", F.col("amount") / F.nullif("_total", F.lit(0.0))).drop("_of", "_total")
 
 
 def breakdown(trades: DataFrame, by: str) -> DataFrame:

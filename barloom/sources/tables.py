@@ -5,7 +5,7 @@ Prices are an integer walk, exact in any engine: each line item moves its suppli
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BAR = ["symbol", "timeframe", "datetime", "open", "high", "low", "close", "volume", "amount", "is_closed"]
@@ -15,11 +15,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def walk(moves: DataFrame, order: list[str], value: str, step_mod: int = 201) -> DataFrame:
-    """Add ``step`` and ``cents``: a walk per symbol from 10000 cents, in the given order."""
+def walk(moves: DataFrame, order: list[str], value: str, part: Column | None = None, step_mod: int = 201) -> DataFrame:
+    """Add ``step`` and ``cents``: a walk per symbol from 10000 cents, in the given order.
+
+    ``part`` cuts the symbols' rows into pieces that follow each other in that order (days, say), for symbols with more
+    rows than one task should hold: each piece is summed by itself, from the sum of those before it.
+    """
     step = F.pmod(F.round(F.col(value) * 100).cast("long"), F.lit(step_mod)) - step_mod // 2
-    over = Window.partitionBy("symbol").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return moves.withColumn("step", step).withColumn("cents", F.sum("step").over(over) + 10000)
+    moves = moves.withColumn("step", step)
+    if part is None:
+        over = Window.partitionBy("symbol").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return moves.withColumn("cents", F.sum("step").over(over) + 10000)
+    moves = moves.withColumn("_part", part)
+    upto = Window.partitionBy("of").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    sums = moves.groupBy(F.col("symbol").alias("of"), F.col("_part").alias("piece")).agg(F.sum("step").alias("total"))
+    sums = sums.withColumn("so_far", F.coalesce(F.sum("total").over(upto), F.lit(0)))
+    within = Window.partitionBy("symbol", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    moves = moves.withColumn("cents", F.sum("step").over(within))
+    joined = moves.join(sums, moves["symbol"].eqNullSafe(sums["of"]) & moves["_part"].eqNullSafe(sums["piece"]))
+    return joined.withColumn("cents", F.col("cents") + F.col("so_far") + 10000).drop("_part", "of", "piece", "total", "so_far")
 
 
 def bars_of(moves: DataFrame, order: list[str], at: str, timeframe: str) -> DataFrame:
@@ -45,9 +59,9 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ticks by event type from ``events``."""
+    """Ticks by event type from ``events``; there are few types, so the walk goes by day."""
     moves = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.coalesce("value", F.lit(0.0)).alias("value"), F.lit(1).cast("long").alias("qty"))
-    return walk(moves, ["ts", "event_id"], "value")
+    return walk(moves, ["ts", "event_id"], "value", part=F.to_date("ts"))
 
 
 def hour_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
