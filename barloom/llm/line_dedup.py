@@ -18,13 +18,15 @@ come back unchanged.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import Scratch, free_name, word_count
 
 SPACES = " \t\x0b\x0c\r"
 MIN_WORDS = 50
+#: Parts that the rows of one key are dealt to.
+SALTS = 256
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -79,19 +81,28 @@ def _extend(texts: DataFrame, places: DataFrame, min_words: int) -> DataFrame:
     return windows.join(p, chose, "left_semi").drop("pos")
 
 
+def _of_several(rows: DataFrame, keys: list[str], place: Column) -> DataFrame:
+    """Rows whose keys other rows have too, with ``first``, the least place of all of them.
+
+    A hot key's rows are dealt by salt, so that none of its aggregates and joins lies in one task; what a key's firsts
+    are joined from is at most one row a salt.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id", "t"), F.lit(SALTS)).cast("int"))
+    some = salted.groupBy(*keys, "salt").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n"))
+    firsts = some.groupBy(*keys).agg(F.min("least").alias("first"), F.sum("n").alias("n"), F.collect_list("salt").alias("salts")).filter("n > 1")
+    return salted.join(firsts.select(*keys, "first", F.explode("salts").alias("salt")), [*keys, "salt"])
+
+
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Later repeated runs by document: id, t, runs (array of from_pos, to_pos: line positions, inclusive)."""
     scratch = Scratch(docs.sparkSession)
     texts = scratch.write(_texts(docs, id_col, text_col))
     chosen = scratch.write(_fingerprints(texts, min_words))
-    spot = F.struct("id", "t", "pos")
-    shared = chosen.groupBy("h").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi")).filter("lo != hi").select("h")
-    places = scratch.write(chosen.join(shared, "h", "left_semi").select("id", "t", "pos"))
+    places = scratch.write(_of_several(chosen, ["h"], F.struct("id", "t", "pos")).select("id", "t", "pos"))
     found = scratch.write(_extend(texts, places, min_words))
-    place = F.struct("id", "t", "from_pos", "to_pos")
-    first = found.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    alike = _of_several(found, ["c1", "c2"], F.struct("id", "t", "from_pos", "to_pos"))
     elsewhere = ~F.col("id").eqNullSafe(F.col("first.id")) | (F.col("t") != F.col("first.t"))
-    later = found.join(first, ["c1", "c2"]).filter(elsewhere | (F.col("from_pos") > F.col("first.to_pos")))
+    later = alike.filter(elsewhere | (F.col("from_pos") > F.col("first.to_pos")))
     by = Window.partitionBy("id", "t").orderBy("from_pos", "to_pos")
     reach = F.max("to_pos").over(by.rowsBetween(Window.unboundedPreceding, -1))
     islands = later.select("id", "t", "from_pos", "to_pos").withColumn("new", F.when(F.col("from_pos") <= reach + 1, 0).otherwise(1))
