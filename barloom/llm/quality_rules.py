@@ -4,9 +4,16 @@ Base features are exact and come from one pass over the whole texts. Quantile sk
 from partial sketches of each task) per language and source give each rate its own upper fence, in place of one fixed
 cut-off; documents meet their fences in a join with the small table of thresholds.
 
+A fence lies ``spread`` times the distance from the median to the ``high`` quantile above the median, so it follows what
+is usual in its group alone. A group's fence is drawn towards that of its language, and a language's towards that of all
+documents, with the weight of ``prior`` documents: small groups lean on the larger ones without a size at which the rule
+changes. A document fails a rate only if its count also exceeds the fence by more than chance explains: by ``noise``
+standard deviations of a count with the fence as its rate (and by ``noise`` at least, where the fence is 0).
+
 Cases: a null, empty or blank text has no words: all counts are 0 and the base rule rejects it. Null languages and
-sources form groups of their own. Groups of fewer than ``min_group`` documents use the fences of their language, then
-those of all documents. Repeated rows are judged alike. An empty table gives an empty result; other columns are ignored.
+sources form groups of their own. A rate equal to its fence is within it. Long texts are counted whole; the allowance for
+chance shrinks with their length. Repeated rows are judged alike and each counts in its group. An empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +30,11 @@ from barloom.llm.common import Scratch
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 8
-#: Rates that have an upper fence, with the least distance that a fence keeps from the median.
-RATES = {"symbol_rate": 0.10, "dup_line_rate": 0.40, "repeat_rate": 0.29, "upper_rate": 0.25, "stutter_rate": 0.20}
+#: Rates that have an upper fence: the count and what it is a part of.
+RATES = {
+    "symbol_rate": ("n_symbols", "n_words"), "dup_line_rate": ("n_dup_lines", "n_lines"), "repeat_rate": ("n_repeat_words", "n_words"),
+    "upper_rate": ("n_upper", "word_chars"), "stutter_rate": ("n_stutters", "n_words"),
+}
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_stutters long"
 
 
@@ -79,22 +89,25 @@ def base_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def with_rates(features: DataFrame) -> DataFrame:
-    per = lambda x, of: (F.col(x) / F.greatest(F.col(of), F.lit(1))).alias(x)
-    return features.withColumns(
-        {
-            "symbol_rate": per("n_symbols", "n_words"), "dup_line_rate": per("n_dup_lines", "n_lines"),
-            "repeat_rate": per("n_repeat_words", "n_words"), "upper_rate": per("n_upper", "word_chars"),
-            "stutter_rate": per("n_stutters", "n_words"),
-        }
-    )
+    return features.withColumns({r: F.col(n) / F.greatest(F.col(of), F.lit(1)) for r, (n, of) in RATES.items()})
 
 
-def fences(rates: DataFrame, by: list[str], accuracy: int = 1000, spread: float = 3.0) -> DataFrame:
-    """Upper fences by group: the 3rd quartile plus ``spread`` times the distance of the quartiles, at least a margin above the median."""
-    sketch = [F.percentile_approx(r, [0.25, 0.5, 0.75], accuracy).alias(r) for r in RATES]
+def fences(rates: DataFrame, by: list[str], accuracy: int = 1000, high: float = 0.75, spread: float = 3.0) -> DataFrame:
+    """Upper fences by group: the median plus ``spread`` times the distance from it to the ``high`` quantile."""
+    sketch = [F.percentile_approx(r, [0.5, high], accuracy).alias(r) for r in RATES]
     q = rates.groupBy(*by).agg(F.count(F.lit(1)).alias("n_group"), *sketch)
-    fence = lambda r, least: F.greatest(F.col(r)[2] + spread * (F.col(r)[2] - F.col(r)[0]), F.col(r)[1] + F.lit(least))
-    return q.select(*by, "n_group", *[fence(r, least).alias(f"max_{r}") for r, least in RATES.items()])
+    return q.select(*by, "n_group", *[(F.col(r)[0] + spread * (F.col(r)[1] - F.col(r)[0])).alias(f"max_{r}") for r in RATES])
+
+
+def exceeds(rate: str, noise: float) -> Column:
+    """Whether the count of a rate lies above its fence by more than chance explains.
+
+    Repeated words come in runs of a window, so their chance is that of runs.
+    """
+    n, of = RATES[rate]
+    expected = F.col(f"max_{rate}") * F.col(of)
+    run = WINDOW if rate == "repeat_rate" else 1
+    return F.col(n) > expected + noise * F.sqrt(F.greatest(expected, F.lit(float(run))) * run)
 
 
 def base_failed(min_words: int = 20, max_repeat_percent: int = 30) -> Column:
@@ -103,26 +116,31 @@ def base_failed(min_words: int = 20, max_repeat_percent: int = 30) -> Column:
 
 def adaptive_quality(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-    min_group: int = 50, accuracy: int = 1000, spread: float = 3.0,
+    prior: float = 50.0, accuracy: int = 1000, high: float = 0.75, spread: float = 3.0, noise: float = 4.0,
 ) -> DataFrame:
     """One row per document: doc_id, base features, rates, its fences, ``failed_rules``, base_failed and kept."""
     scratch = Scratch(docs.sparkSession)
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
     rates = scratch.write(with_rates(base_features(named)))
-    every = fences(rates, [], accuracy, spread).first()  # one row
-    by_lang = fences(rates, ["lang"], accuracy, spread)
-    by_both = fences(rates, ["lang", "source"], accuracy, spread)
+    every = fences(rates, [], accuracy, high, spread).first()  # one row
+    by_lang = fences(rates, ["lang"], accuracy, high, spread)
+    by_both = fences(rates, ["lang", "source"], accuracy, high, spread)
     limits = [f"max_{r}" for r in RATES]
+    drawn = lambda own, n, wider: (own * n + wider * prior) / (n + prior)
     a, b = by_both.alias("a"), by_lang.alias("b")
+
+    def fence(x: str) -> Column:
+        lang = drawn(F.col(f"b.{x}"), F.col("b.n_group"), F.lit(every[x]).cast("double"))
+        return drawn(F.col(f"a.{x}"), F.col("a.n_group"), lang).alias(x)
+
     # one row per language and source: a small table, which Spark broadcasts if its written size allows
     table = scratch.write(
-        a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")), "left").select(
-            F.col("a.lang").alias("of_lang"), F.col("a.source").alias("of_source"),
-            *[F.when(F.col("a.n_group") >= min_group, F.col(f"a.{x}")).when(F.col("b.n_group") >= min_group, F.col(f"b.{x}")).otherwise(F.lit(every[x])).cast("double").alias(x) for x in limits],
+        a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang"))).select(
+            F.col("a.lang").alias("of_lang"), F.col("a.source").alias("of_source"), *map(fence, limits)
         )
     )
     joined = rates.join(table, rates["lang"].eqNullSafe(table["of_lang"]) & rates["source"].eqNullSafe(table["of_source"]), "left")
-    failed = F.array_compact(F.array(*[F.when(F.col(r) > F.col(f"max_{r}"), F.lit(r)) for r in RATES]))
+    failed = F.array_compact(F.array(*[F.when(exceeds(r, noise), F.lit(r)) for r in RATES]))
     return (
         joined.withColumn("base_failed", base_failed())
         .withColumn("failed_rules", failed)

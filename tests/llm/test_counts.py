@@ -1,6 +1,7 @@
 """Operators 3, 4, 7 and 9 against brute force."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -148,3 +149,52 @@ def test_quality_rules_follow_the_group(spark):
     docs = spark.createDataFrame([*clean, *tables, (999, " | ".join(words), "en", "a")], "doc_id long, text string, lang string, source string")
     kept = {r.doc_id: r.kept for r in quality_rules.adaptive_quality(docs).collect()}
     assert not kept[999] and sum(kept.values()) == 120  # pipes are usual in b alone
+
+
+def verdicts(rows, prior=50.0, high=0.75, spread=3.0, noise=4.0):
+    """Which rates each row fails, with exact quantiles."""
+    at = lambda xs, p: sorted(xs)[max(math.ceil(p * len(xs)) - 1, 0)]
+    value = lambda r, k: r[quality_rules.RATES[k][0]] / max(r[quality_rules.RATES[k][1]], 1)
+
+    def fence(of, k):
+        xs = [value(r, k) for r in of]
+        return at(xs, 0.5) + spread * (at(xs, high) - at(xs, 0.5))
+
+    drawn = lambda own, n, wider: (own * n + wider * prior) / (n + prior)
+    out = []
+    for r in rows:
+        lang = [x for x in rows if x.lang == r.lang]
+        both = [x for x in lang if x.source == r.source]
+        failed = []
+        for k, (n, of) in quality_rules.RATES.items():
+            limit = drawn(fence(both, k), len(both), drawn(fence(lang, k), len(lang), fence(rows, k)))
+            run = 8 if k == "repeat_rate" else 1
+            if r[n] > limit * r[of] + noise * math.sqrt(max(limit * r[of], run) * run):
+                failed.append(k)
+        out.append((r.doc_id, tuple(failed), not r.base_failed and not failed))
+    return Counter(out)
+
+
+def test_quality_verdicts(spark):
+    docs = spark.read.parquet(sf("documents")).select("doc_id", "text", "lang", "source").unionByName(odd(spark).select("doc_id", "text", "lang", "source"))
+    rows = quality_rules.adaptive_quality(docs).collect()
+    got = Counter((r.doc_id, tuple(r.failed_rules), r.kept) for r in rows)
+    assert got == verdicts(rows) and any(k[1] for k in got)
+
+
+def test_quality_rules_spread(spark):
+    """The same rate passes where the source's own rates are spread, and fails where they are even."""
+    words = [f"w{i}" for i in range(200)]
+    pipes = lambda n: " ".join(w + ("|" if i < n else "") for i, w in enumerate(words))
+    even = [(i, pipes(4) + f" {i}", "en", "even") for i in range(400)]
+    wide = [(1000 + i, pipes(4 + i % 60) + f" {i}", "en", "wide") for i in range(400)]
+    docs = spark.createDataFrame([*even, *wide, (1, pipes(90), "en", "even"), (2000, pipes(90), "en", "wide")], "doc_id long, text string, lang string, source string")
+    gone = [(r.doc_id, r.source) for r in quality_rules.adaptive_quality(docs).filter("not kept").collect()]
+    assert gone == [(1, "even")]
+
+
+def test_quality_rules_small_group(spark):
+    """One document of a source is held to its language: no size of a group at which the rule changes."""
+    words = [f"w{i}" for i in range(200)]
+    docs = spark.createDataFrame([*[(i, " ".join(words) + f" {i}", "en", "a") for i in range(60)], (999, " | ".join(words), "en", "b"), (998, " ".join(words), None, None)], "doc_id long, text string, lang string, source string")
+    assert [r.doc_id for r in quality_rules.adaptive_quality(docs).filter("not kept").collect()] == [999]
