@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, licenses, line_dedup, mixing, near_dedup, pii, quality_model, quality_rules, tokens, toxicity
+from barloom.llm import (
+    decontaminate, fill_middle, licenses, line_dedup, mixing, near_dedup, packing, pii, prefix_trie, quality_model, quality_rules, tokens, toxicity,
+)
+from barloom.llm.common import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +87,33 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(document_paths(table(spark, sf_dir, "documents")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    turns = prefix_trie.numbered_turns(table(spark, sf_dir, "conversations"), scratch)
+    trie = prefix_trie.prefix_trie(prefix_trie.shared_openings(turns, scratch), scratch)
+    found = trie.nodes.join(prefix_trie.ends_digest(trie.ends), prefix_trie.KEY, "left")
+    return found.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+        F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"),
+    )
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda x: F.sha2(x.cast("binary"), 256)
+    return cut.select(
+        "doc_id", "_fim.n", "_fim.form", "_fim.prefix_chars", "_fim.middle_chars", digest(F.col("_fim.output")).alias("output_sha256"),
+        digest(fill_middle.restored("_fim.output", "_fim.form")).alias("restored_sha256"),
+    )
+
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -137,6 +167,46 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN left_over USING (doc_id)
 """
 
 
+OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place, role, text
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, max(place) AS own, conv_id - conv_id % 100 AS base FROM t GROUP BY conv_id),
+crc AS (SELECT i, list_reduce(list_prepend(i::UBIGINT, [k::UBIGINT FOR k IN range(8)]), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END) AS v FROM range(256) r(i)),
+tab AS (SELECT list(v ORDER BY i) AS tab FROM crc),
+hc AS (
+  SELECT c.*, (xor(list_reduce(list_prepend(4294967295::UBIGINT, [ord(x)::UBIGINT FOR x IN string_split(conv_id::VARCHAR, '')]), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255)::INT + 1])), 4294967295::UBIGINT) % 6)::BIGINT AS h FROM c, tab),
+path AS (
+  SELECT conv_id, list(x ORDER BY part, place) AS seq FROM (
+    SELECT hc.conv_id, 0 AS part, t.place, {'r': t.role, 't': t.text} AS x FROM hc JOIN t ON t.conv_id = hc.base AND t.place <= hc.h
+    UNION ALL SELECT hc.conv_id, 1, t.place, {'r': t.role, 't': t.text} FROM hc JOIN t ON t.conv_id = hc.conv_id AND t.place > hc.h)
+  GROUP BY conv_id),
+m AS (SELECT c.conv_id, coalesce(path.seq, []) AS seq, coalesce(len(path.seq), 0) AS turns FROM c LEFT JOIN path USING (conv_id)),
+p AS (SELECT conv_id, turns, d, md5(to_json(seq[:d])::VARCHAR) AS key, CASE WHEN d > 0 THEN md5(to_json(seq[:d - 1])::VARCHAR) END AS parent, CASE WHEN d > 0 THEN length(seq[d].t) ELSE 0 END AS chars,
+    [md5(to_json(seq[:k])::VARCHAR) FOR k IN range(d + 1)] AS up FROM (SELECT *, unnest(range(turns + 1)) AS d FROM m)),
+n AS (SELECT key, any_value(parent) AS parent, any_value(d) AS depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, bool_and(turns = d)::INT AS leaf, (count(*) - 1) * any_value(chars) AS saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (turns = d), '')) AS ends_sha256 FROM p GROUP BY key),
+s AS (SELECT a AS key, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM (SELECT leaf, saved, unnest(up) AS a FROM n) GROUP BY a),
+k AS (SELECT parent AS key, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent)
+SELECT n.conv_id, n.depth::BIGINT AS depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM n JOIN s USING (key) LEFT JOIN k USING (key) LEFT JOIN n q ON q.key = n.parent
+"""
+
+OP13_SQL = r"""
+WITH u AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+    sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+h AS (SELECT *, len(u) AS n, [('0x' || substr(x, 8 * i + 1, 8))::BIGINT FOR i IN range(4)] AS h FROM u),
+f AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS z,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[:a], '') AS p, array_to_string(u[a + 1:z], '') AS m, array_to_string(u[z + 1:], '') AS s FROM f)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -149,8 +219,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_dedup": op8_near_dedup,
         "op9_quality_rules": op9_quality_rules,
         "op10_licenses": op10_licenses,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_packing": op12_packing,
+        "op13_fill_middle": op13_fill_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op3_mix": OP3_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op3_mix": OP3_SQL, "op11_prefix_trie": OP11_SQL, "op13_fill_middle": OP13_SQL}
