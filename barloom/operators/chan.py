@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators import kernels
@@ -139,19 +139,97 @@ def leaving_points(lines: DataFrame, zones: DataFrame, departure: str = "next_st
     return j.withColumn("type", F.when(buy, "buy_3").when(sell, "sell_3")).filter("type is not null").select(*KEY, "type", F.col("idx_1").alias("stroke"), F.col("end_price_1").alias("price"), F.col("confirmed_at_1").alias("confirmed_at"))
 
 
-def chan_signals(bars: DataFrame, macd: DataFrame, gap: int = 4) -> DataFrame:
-    """All points of confirmed strokes, one per type and time."""
-    confirmed = locked(strokes(fractals(merged_bars(bars)), gap))
-    zones = centers(confirmed)
-    turned = turning_points(with_center(with_macd_area(confirmed, macd), zones))
-    rows = turned.select(*KEY, F.explode(F.array_compact(F.array("t1", "t2"))).alias("type"), F.col("idx").alias("stroke"), F.col("end_price").alias("price"), "confirmed_at")
-    rows = rows.withColumn("o", F.lit(0)).unionByName(leaving_points(confirmed, zones).withColumn("o", F.lit(1)))
-    one = rows.groupBy(*KEY, "type", "confirmed_at").agg(F.max_by(F.struct("stroke", "price"), F.struct("o", "stroke")).alias("s"))
+STRUCTURE = STROKES + ", locked_at timestamp, macd_area double, center int, center_start int, zd double, zg double, center_low double, center_high double"
+
+
+def structure(bars: DataFrame, gap: int = 4) -> DataFrame:
+    """D03 to D08 in one kernel call per key: every stroke with its area, lock time and the center that ends with it.
+
+    The row with idx -1 of each key holds how many bars (start_index), merged bars (end_index) and fractals (center_start)
+    it has. Only the columns that the kernel needs are sent to it.
+    """
+    names = [x.split()[0] for x in STRUCTURE.split(", ")]
+    whole = ["idx", "start_index", "end_index", "center", "center_start"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = kernels.structure_frame(pdf, gap)[names]
+        return out.astype(dict.fromkeys(whole, "Int32"))
+
+    return bars.select(*KEY, "datetime", "high", "low", "close").groupBy(*KEY).applyInPandas(run, STRUCTURE)
+
+
+def locked_strokes(rows: DataFrame) -> DataFrame:
+    """D07, D09 of ``structure``'s rows: locked strokes with the latest center (zd, zg) that ended before each."""
+    before = in_order().rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.when(F.col("center").isNotNull(), F.struct("zd", "zg"))
+    lines = rows.filter("idx >= 0 and locked_at is not null").withColumn("_c", F.last(ended, ignorenulls=True).over(before))
+    own = F.when(F.col("center").isNotNull(), F.struct("zd", "zg")).alias("own")
+    return lines.select(*KEY, *[x.split()[0] for x in STROKES.split(", ")[2:-1]], F.col("locked_at").alias("confirmed_at"), "macd_area", F.col("_c.zd").alias("zd"), F.col("_c.zg").alias("zg"), own)
+
+
+def points_of(rows: DataFrame, departure: str = "next_stroke") -> DataFrame:
+    """D10 to D13 of ``structure``'s rows: all points of locked strokes, one per type and time: windows over strokes, no join."""
+    lines = turning_points(locked_strokes(rows))
+    shift = 2 if departure == "next_stroke" else 1
+    of = lambda c, n: F.lag(c, n).over(in_order()) if n else F.col(c)
+    left, center = (lambda c: of(c, 1)), of("own", shift)
+    buy = (left("direction") == "up") & (left("end_price") > center["zg"]) & (F.col("direction") == "down") & (F.col("low") > center["zg"])
+    sell = (left("direction") == "down") & (left("end_price") < center["zd"]) & (F.col("direction") == "up") & (F.col("high") < center["zd"])
+    lines = lines.withColumn("t3", F.when(buy, "buy_3").when(sell, "sell_3"))
+    types = F.array_compact(F.array(*[F.struct(F.lit(o).alias("o"), F.col(c).alias("type")) for c, o in (("t1", 0), ("t2", 0), ("t3", 1))]))
+    found = lines.select(*KEY, F.explode(F.filter(types, lambda t: t["type"].isNotNull())).alias("t"), F.col("idx").alias("stroke"), F.col("end_price").alias("price"), "confirmed_at")
+    one = found.groupBy(*KEY, F.col("t.type").alias("type"), "confirmed_at").agg(F.max_by(F.struct("stroke", "price"), F.struct("t.o", "stroke")).alias("s"))
     return one.select(*KEY, "type", F.when(F.col("type").startswith("buy"), "buy").otherwise("sell").alias("side"), "s.stroke", "s.price", "confirmed_at")
 
 
-def fresh_signals(signals: DataFrame, bars: DataFrame, n: int = 5) -> DataFrame:
-    """Signals confirmed within the last n bars of their key."""
+def chan_signals(bars: DataFrame, gap: int = 4, departure: str = "next_stroke") -> DataFrame:
+    """All points of confirmed strokes, one per type and time."""
+    return points_of(structure(bars, gap), departure)
+
+
+def summary(rows: DataFrame, points: DataFrame, n_centers: int = 5, n_strokes: int = 20, n_points: int = 10, least: int = 10) -> DataFrame:
+    """By key the counts and the last centers, strokes and points; ``insufficient_data`` for fewer than ``least`` bars.
+
+    The last n of a key are bounded aggregates: ranked by window, kept below n, then collected.
+    """
+    heads = rows.filter("idx = -1").select(*KEY, F.col("start_index").alias("bars"), F.col("end_index").alias("merged_bars"), F.col("center_start").alias("fractals"))
+    lines = rows.filter("idx >= 0 and locked_at is not null")
+
+    def last(df: DataFrame, order: str, n: int, value: Column, name: str) -> DataFrame:
+        back = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.col(order).desc(), F.col("_v").desc()))
+        some = df.select(*KEY, order, value.alias("_v")).withColumn("_r", back).filter(F.col("_r") <= n)
+        return some.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_r")).alias("r"), "_v"))), lambda x: x["_v"]).alias(name))
+
+    counts = lines.groupBy(*KEY).agg(F.count(F.lit(1)).alias("strokes"), F.count("center").alias("centers"))
+    parts = [
+        counts, points.groupBy(*KEY).agg(F.count(F.lit(1)).alias("points")), last(lines, "idx", n_strokes, F.struct("direction", "end_price"), "latest_strokes"),
+        last(lines.filter("center is not null"), "idx", n_centers, F.struct("zd", "zg"), "latest_centers"), last(points, "confirmed_at", n_points, F.struct(F.substring("type", -1, 1).alias("k"), "type", "price"), "latest_points"),
+    ]
+    for part in parts:
+        heads = heads.join(part, KEY, "left")
+    enough = F.col("bars") >= least
+    out = heads.withColumn("status", F.when(enough, "ok").otherwise("insufficient_data"))
+    numbers = {c: F.when(enough, F.coalesce(c, F.lit(0))).otherwise(0).cast("int") for c in ("merged_bars", "fractals", "strokes", "centers", "points")}
+    lists = {c: F.when(enough, F.col(c)) for c in ("latest_strokes", "latest_centers", "latest_points")}
+    return out.withColumns(numbers | lists)
+
+
+def with_fresh(bars: DataFrame, points: DataFrame, n: int = 1) -> DataFrame:
+    """D15 for every bar: ``fresh``, the points confirmed within its last n bars, and their best score by side (20, 25 or 30 by type).
+
+    Points meet their bar by an equi-join and expire after n rows of the key.
+    """
+    worth = F.element_at(F.create_map(*[F.lit(x) for pair in (("1", 20), ("2", 25), ("3", 30)) for x in pair]), F.substring("type", -1, 1))
+    of = points.groupBy(*KEY, F.col("confirmed_at").alias("datetime")).agg(F.array_sort(F.collect_list(F.struct("type", "side", "price", "confirmed_at", worth.alias("worth")))).alias("_points"))
+    none = F.array().cast("array<struct<type:string,side:string,price:double,confirmed_at:timestamp,worth:int>>")
+    df = bars.join(of, [*KEY, "datetime"], "left").withColumn("_points", F.coalesce("_points", none))
+    df = df.withColumn("fresh", F.flatten(F.collect_list("_points").over(trailing(n))) if n > 1 else F.col("_points")).drop("_points")
+    best = lambda s: F.array_max(F.transform(F.filter("fresh", lambda p: p["side"] == s), lambda p: p["worth"]))
+    return df.withColumns({"fresh_buy": best("buy"), "fresh_sell": best("sell")})
+
+
+def fresh_signals(signals: DataFrame, bars: DataFrame, n: int = 1) -> DataFrame:
+    """D15 as of the last bar: signals confirmed within the last n bars of their key."""
     back = Window.partitionBy(*KEY).orderBy(F.col("datetime").desc())
     cutoff = bars.withColumn("_b", F.row_number().over(back)).filter(F.col("_b") <= n).groupBy(*KEY).agg(F.min("datetime").alias("_since"))
     return signals.join(cutoff, KEY).filter(F.col("confirmed_at") >= F.col("_since")).drop("_since")
@@ -176,7 +254,7 @@ def divergences(df: DataFrame, hist: str = "hist0", lookback: int = 60) -> DataF
     return full.join(wide, KEY, "left").select(*KEY, kind.alias("divergence"))
 
 
-def bear_traps(df: DataFrame, kinds: DataFrame, ma: str = "ma60") -> DataFrame:
+def bear_traps(df: DataFrame, kinds: DataFrame, ma: str = "ma250") -> DataFrame:
     """Per key's last row: the first test that fails, or trap: rising average, a recent close below it, now above, bullish divergence."""
     base = F.lag(ma, 19).over(by_time())
     rising = (F.col(ma) - base) / F.greatest(F.abs(base), F.lit(1.0)) > 0

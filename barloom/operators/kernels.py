@@ -10,12 +10,17 @@ def ewm(x: pd.Series, span: int, min_periods: int = 0) -> pd.Series:
     return x.ewm(span=span, adjust=False, min_periods=min_periods).mean()
 
 
+def macd_lines(close: pd.Series, fast: int = 12, slow: int = 26, signal: int = 9) -> tuple[pd.Series, pd.Series]:
+    """dif and dea with full warm-up."""
+    dif = ewm(close, fast, fast) - ewm(close, slow, slow)
+    return dif, ewm(dif, signal, signal)
+
+
 def macd_frame(pdf: pd.DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> pd.DataFrame:
     """Adds dif, dea, hist = 2 (dif - dea) with full warm-up; dif0, dea0, hist0 = dif0 - dea0 without; rsi (Wilder)."""
     pdf = pdf.sort_values("datetime", kind="stable")
     close = pdf["close"]
-    dif = ewm(close, fast, fast) - ewm(close, slow, slow)
-    dea = ewm(dif, signal, signal)
+    dif, dea = macd_lines(close, fast, slow, signal)
     plain = ewm(close, fast) - ewm(close, slow)
     plain_signal = ewm(plain, signal)
     return pdf.assign(dif=dif, dea=dea, hist=(dif - dea) * 2, dif0=plain, dea0=plain_signal, hist0=plain - plain_signal, rsi=wilder_rsi(close.to_numpy()))
@@ -62,51 +67,95 @@ def wilder_adx(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int = 14
 
 
 def merge_bars(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Join bars of which one lies within the other: first and last source row, high and low of each merged bar.
+    """First and last source row, high and low of each merged bar.
 
-    In an upward direction the joint bar takes the larger high and low, else the smaller ones; the direction is that of
-    the last two bars that both rose or both fell.
+    Against the merged bar so far, a bar's high and low move the same way (then it stands for itself, and that way is the
+    direction) or not (one lies within the other: they merge towards the direction, which is up at first).
     """
-    first: list[int] = []
-    last: list[int] = []
-    hi: list[float] = []
-    lo: list[float] = []
-    up = True
-
-    def turned(a: int, h: float, w: float) -> bool:
-        if h > hi[a] and w > lo[a]:
-            return True
-        return False if h < hi[a] and w < lo[a] else up
-
-    for i, (h, w) in enumerate(zip(high.tolist(), low.tolist(), strict=True)):
-        inside = bool(hi) and ((hi[-1] >= h and lo[-1] <= w) or (h >= hi[-1] and w <= lo[-1]))
-        if not inside:
-            up = turned(-1, h, w) if hi else up
-            first.append(i), last.append(i), hi.append(h), lo.append(w)
-            continue
-        up = turned(-2, hi[-1], lo[-1]) if len(hi) > 1 else up
-        pick = max if up else min
-        last[-1], hi[-1], lo[-1] = i, pick(hi[-1], h), pick(lo[-1], w)
-    return np.array(first, int), np.array(last, int), np.array(hi), np.array(lo)
+    starts: list[int] = []
+    tops: list[float] = []
+    floors: list[float] = []
+    towards, extreme = 1, (min, max)
+    for row, (h, w) in enumerate(zip(high.tolist(), low.tolist(), strict=True)):
+        if starts:
+            by_high, by_low = (h > tops[-1]) - (h < tops[-1]), (w > floors[-1]) - (w < floors[-1])
+            if by_high * by_low < 1:
+                pick = extreme[towards > 0]
+                tops[-1], floors[-1] = pick(tops[-1], h), pick(floors[-1], w)
+                continue
+            towards = by_high
+        starts.append(row)
+        tops.append(h)
+        floors.append(w)
+    first = np.array(starts, int)
+    return first, np.append(first[1:], len(high))[: len(first)] - 1, np.array(tops), np.array(floors)
+
+
+def turning(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """1 at merged bars strictly above both neighbours in high and low, -1 at those strictly below, else 0."""
+    out = np.zeros(len(high), int)
+    if len(high) > 2:
+        over = lambda x: (x[1:-1] > x[:-2]) & (x[1:-1] > x[2:])
+        out[1:-1] = (over(high) & over(low)).astype(int) - (over(-high) & over(-low)).astype(int)
+    return out
 
 
 def stroke_ends(index: np.ndarray, top: np.ndarray, price: np.ndarray, gap: int = 4) -> list[int]:
-    """Positions of the fractals that end strokes: kinds alternate, ``gap`` merged bars apart, tops above bottoms."""
+    """Positions of the fractals that end strokes: kinds alternate, ``gap`` merged bars apart, tops above bottoms.
+
+    With bottoms counted negative, a fractal of the same kind is more extreme if its value is larger, and a top lies above
+    a bottom if their sum is positive.
+    """
+    value = np.where(top, price, -price)
     ends: list[int] = []
-    for i in range(len(index)):
-        if not ends:
-            ends.append(i)
-            continue
-        p = ends[-1]
-        rises = price[i] > price[p]
-        if top[i] == top[p]:
-            if (rises if top[i] else price[i] < price[p]):
-                ends[-1] = i
-        elif index[i] - index[p] >= gap and (rises if top[i] else price[i] < price[p]):
+    for i, v in enumerate(value.tolist()):
+        if ends and top[ends[-1]] == top[i]:
+            ends[-1] = i if v > value[ends[-1]] else ends[-1]
+        elif not ends or (index[i] - index[ends[-1]] >= gap and v + value[ends[-1]] > 0):
             ends.append(i)
     return ends
 
 
+def structure_frame(pdf: pd.DataFrame, gap: int = 4) -> pd.DataFrame:
+    """All strokes of one key's bars, each with its histogram area, when it was locked, and the center that ends with it.
+
+    The row with idx -1 has the numbers of bars, merged bars and fractals; keys without strokes have it as well.
+    """
+    pdf = pdf.sort_values("datetime", kind="stable", ignore_index=True)
+    dif, dea = macd_lines(pdf["close"])
+    at, hist = pdf["datetime"].to_numpy(), ((dif - dea) * 2).fillna(0.0).to_numpy()
+    first, last, high, low = merge_bars(pdf["high"].to_numpy(), pdf["low"].to_numpy())
+    kind = turning(high, low)
+    found = np.flatnonzero(kind)
+    price = np.where(kind > 0, high, low)
+    value = kind * price
+    best: list[int] = []  # of consecutive ones of a kind the most extreme, the first of equals
+    for i in found.tolist():
+        if not best or kind[best[-1]] != kind[i]:
+            best.append(i)
+        elif value[i] > value[best[-1]]:
+            best[-1] = i
+    points = np.array(best, int)
+    ends = points[stroke_ends(points, kind[points] > 0, price[points], gap)] if len(points) else points
+    a, z = ends[:-1], ends[1:]
+    up = kind[z] > 0
+    sums = {s: np.append(0.0, np.cumsum(np.maximum(s * hist, 0.0))) for s in (1, -1)}
+    area = np.where(up, *(sums[s][last[z] + 1] - sums[s][last[a]] for s in (1, -1))) if len(a) else np.zeros(0)
+    confirmed = at[last[z + 1]] if len(a) else at[:0]
+    rows = pd.DataFrame({
+        "idx": np.arange(len(a)), "start_index": a, "end_index": z, "direction": np.where(up, "up", "down"), "start_price": price[a], "end_price": price[z],
+        "high": np.maximum(price[a], price[z]), "low": np.minimum(price[a], price[z]), "start_time": at[last[a]], "end_time": at[last[z]], "confirmed_at": confirmed,
+        "locked_at": np.append(confirmed[1:], np.array([np.datetime64("NaT")], dtype=at.dtype))[: len(a)], "macd_area": np.maximum(np.round(area, 9), 0.0),
+    })
+    names = ["center_start", "zd", "zg", "center_low", "center_high"]
+    for c in ("center", *names):
+        rows[c] = np.nan
+    for n, (i, j, *span) in enumerate(center_spans(rows["low"].to_numpy()[:-1], rows["high"].to_numpy()[:-1])):
+        rows.loc[j, ["center", *names]] = [n, i, *span]
+    counts = pd.DataFrame({"idx": [-1], "start_index": [len(pdf)], "end_index": [len(first)], "center_start": [float(len(points))]})
+    return pd.concat([counts, rows], ignore_index=True).assign(symbol=pdf["symbol"].iloc[0], timeframe=pdf["timeframe"].iloc[0])
+
+
 def center_spans(low: np.ndarray, high: np.ndarray) -> list[tuple[int, int, float, float, float, float]]:
     """(first stroke, last stroke, zd, zg, lowest, highest) of stretches of three or more strokes that overlap."""
     out, i = [], 0

@@ -97,47 +97,101 @@ def d07(spark, sf_dir):
     return chan.locked(chan.strokes(chan.fractals(merged(spark, sf_dir)))).select("symbol", "idx", text_time("confirmed_at"))
 
 
-def zones_of(spark, sf_dir):
-    lines = chan.locked(chan.strokes(chan.fractals(merged(spark, sf_dir))))
-    return lines, chan.centers(lines)
-
-
-@query("d08_centers")
+#: Locked strokes, their areas, centers by a scan that carries the open center, the center before each stroke, and all points.
+LOCKED = """
+ll AS (SELECT symbol, idx, direction, start_price, end_price, greatest(start_price, end_price) AS high, least(start_price, end_price) AS low, start_time, end_time, lead(confirmed_at) OVER (PARTITION BY symbol ORDER BY idx) AS confirmed_at FROM strokes),
+lk AS (SELECT *, max(low) OVER t AS zd3, min(high) OVER t AS zg3, count(*) OVER t AS n3 FROM ll WHERE confirmed_at IS NOT NULL WINDOW t AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
+cs AS (
+  SELECT symbol, idx, n3 = 3 AND zd3 < zg3 AS open, CASE WHEN n3 = 3 AND zd3 < zg3 THEN idx END AS first, CASE WHEN n3 = 3 AND zd3 < zg3 THEN idx + 2 END AS fin, zd3 AS zd, zg3 AS zg FROM lk WHERE idx = 0
+  UNION ALL
+  SELECT symbol, idx, keep OR seed, CASE WHEN keep THEN first WHEN seed THEN idx END, CASE WHEN keep THEN greatest(fin, idx) WHEN seed THEN idx + 2 END, CASE WHEN keep THEN zd ELSE zd3 END, CASE WHEN keep THEN zg ELSE zg3 END
+  FROM (SELECT l.symbol, l.idx, r.first, r.fin, r.zd, r.zg, l.zd3, l.zg3, r.open AND (l.idx <= r.fin OR (l.high >= r.zd AND l.low <= r.zg)) AS keep, l.n3 = 3 AND l.zd3 < l.zg3 AS seed
+    FROM cs r JOIN lk l ON l.symbol = r.symbol AND l.idx = r.idx + 1)),
+cg AS (SELECT symbol, first, max(fin) AS fin, any_value(zd) AS zd, any_value(zg) AS zg FROM cs WHERE open GROUP BY symbol, first),
+centers AS (SELECT c.symbol, row_number() OVER (PARTITION BY c.symbol ORDER BY first) - 1 AS idx, first, fin, zd, zg, (SELECT min(low) FROM lk WHERE lk.symbol = c.symbol AND lk.idx BETWEEN first AND fin) AS low, (SELECT max(high) FROM lk WHERE lk.symbol = c.symbol AND lk.idx BETWEEN first AND fin) AS high FROM cg c),
+cb AS (SELECT k.*, c.zd, c.zg FROM lk k LEFT JOIN (SELECT k.symbol, k.idx, arg_max(c.zd, c.fin) AS zd, arg_max(c.zg, c.fin) AS zg FROM lk k JOIN centers c ON c.symbol = k.symbol AND c.fin < k.idx GROUP BY k.symbol, k.idx) c USING (symbol, idx))"""
+POINTS = (
+    LOCKED
+    + """,
+area AS (SELECT s.symbol, s.idx, round(coalesce(sum(CASE WHEN s.direction = 'up' THEN greatest(hist, 0) ELSE greatest(-hist, 0) END), 0), 9) AS area FROM lk s JOIN mac c ON c.symbol = s.symbol AND c.datetime BETWEEN s.start_time AND s.end_time GROUP BY s.symbol, s.idx),
+p0 AS (SELECT b.*, coalesce(area, 0) AS area, lag(area, 2) OVER k AS area2, lag(low, 2) OVER k AS low2, lag(high, 2) OVER k AS high2 FROM cb b LEFT JOIN area USING (symbol, idx) WINDOW k AS (PARTITION BY b.symbol ORDER BY b.idx)),
+p1 AS (SELECT *, CASE WHEN area2 > 0 AND area < area2 * 0.9 THEN CASE WHEN direction = 'down' AND low < low2 AND end_price < zd THEN 'buy_1' WHEN direction = 'up' AND high > high2 AND end_price > zg THEN 'sell_1' END END AS t1 FROM p0),
+p2 AS (SELECT *, last_value(CASE WHEN t1 IS NOT NULL THEN idx END IGNORE NULLS) OVER k AS i1, last_value(CASE WHEN t1 IS NOT NULL THEN end_price END IGNORE NULLS) OVER k AS e1, last_value(t1 IGNORE NULLS) OVER k AS n1 FROM p1 WINDOW k AS (PARTITION BY symbol ORDER BY idx)),
+pt AS (
+  SELECT symbol, t1 AS type, 0 AS o, idx, end_price AS price, confirmed_at FROM p2 WHERE t1 IS NOT NULL
+  UNION ALL SELECT symbol, CASE n1 WHEN 'buy_1' THEN 'buy_2' ELSE 'sell_2' END, 0, idx, end_price, confirmed_at FROM p2 WHERE i1 = idx - 2 AND ((n1 = 'buy_1' AND direction = 'down' AND low >= e1) OR (n1 = 'sell_1' AND direction = 'up' AND high <= e1))
+  UNION ALL SELECT c.symbol, CASE WHEN a.direction = 'up' THEN 'buy_3' ELSE 'sell_3' END, 1, b.idx, b.end_price, b.confirmed_at FROM centers c JOIN lk a ON a.symbol = c.symbol AND a.idx = c.fin + 1 JOIN lk b ON b.symbol = c.symbol AND b.idx = c.fin + 2
+    WHERE (a.direction = 'up' AND a.end_price > c.zg AND b.direction = 'down' AND b.low > c.zg) OR (a.direction = 'down' AND a.end_price < c.zd AND b.direction = 'up' AND b.high < c.zd)),
+points AS (SELECT * EXCLUDE (r), split_part(type, '_', 1) AS side, (15 + 5 * right(type, 1)::INT)::INT AS worth FROM (SELECT *, row_number() OVER (PARTITION BY symbol, type, confirmed_at ORDER BY o DESC, idx DESC) AS r FROM pt) WHERE r = 1)"""
+)
+
+
+def points_sql(select: str, *more: str) -> str:
+    """On points, and bars with all indicators."""
+    return "WITH RECURSIVE " + ",".join([BARS, INDICATORS, MERGED, FRACTALS, STROKES, POINTS, *more]) + select
+
+
+def structure_of(spark, sf_dir):
+    return chan.structure(src.daily_bars(spark, sf_dir))
+
+
+@query("d08_centers", structure(" SELECT symbol, idx::INT AS idx, first::INT AS start_stroke, fin::INT AS end_stroke, zd, zg, low, high FROM centers", LOCKED))
 def d08(spark, sf_dir):
-    return zones_of(spark, sf_dir)[1].drop("timeframe")
+    rows = structure_of(spark, sf_dir).filter("center is not null")
+    return rows.select("symbol", F.col("center").alias("idx"), F.col("center_start").alias("start_stroke"), F.col("idx").alias("end_stroke"), "zd", "zg", F.col("center_low").alias("low"), F.col("center_high").alias("high"))
 
 
-@query("d09_center_before")
+@query("d09_center_before", structure(" SELECT symbol, idx::INT AS idx, zd, zg FROM cb", LOCKED))
 def d09(spark, sf_dir):
-    return chan.with_center(*zones_of(spark, sf_dir)).select("symbol", "idx", "zd", "zg")
+    return chan.locked_strokes(structure_of(spark, sf_dir)).select("symbol", "idx", "zd", "zg")
+
 
+TYPE3 = """SELECT c.symbol, '{rule}' AS departure, CASE WHEN a.direction = 'up' THEN 'buy_3' ELSE 'sell_3' END AS type, b.idx::INT AS stroke, b.end_price AS price, b.confirmed_at::DATE::VARCHAR AS confirmed_at FROM centers c JOIN lk a ON a.symbol = c.symbol AND a.idx = c.fin + {n} JOIN lk b ON b.symbol = c.symbol AND b.idx = c.fin + {n} + 1
+ WHERE (a.direction = 'up' AND a.end_price > c.zg AND b.direction = 'down' AND b.low > c.zg) OR (a.direction = 'down' AND a.end_price < c.zd AND b.direction = 'up' AND b.high < c.zd)"""
 
-@query("d12_type3_points")
+
+@query("d12_type3_points", structure(" " + " UNION ALL ".join(TYPE3.format(rule=r, n=n) for r, n in (("next_stroke", 1), ("last_center_stroke", 0))), LOCKED))
 def d12(spark, sf_dir):
-    """By the departure rule of the design text; the default rule finds none on centers of alternating strokes."""
-    return chan.leaving_points(*zones_of(spark, sf_dir), departure="last_center_stroke").withColumn("confirmed_at", F.date_format("confirmed_at", "yyyy-MM-dd")).drop("timeframe")
+    """By the default rule, which finds none on centers of alternating strokes, and by that of the design text."""
+    rows = structure_of(spark, sf_dir)
+    of = lambda rule: chan.points_of(rows, rule).filter("type like '%3'").withColumn("departure", F.lit(rule))
+    return of("next_stroke").unionByName(of("last_center_stroke")).select("symbol", "departure", "type", "stroke", "price", text_time("confirmed_at"))
 
 
 def signals_of(spark, sf_dir):
-    bars = src.daily_bars(spark, sf_dir)
-    return chan.chan_signals(bars, ind.with_macd(bars))
+    return chan.chan_signals(src.daily_bars(spark, sf_dir))
 
 
-@query("d10_chan_points")
+@query("d10_chan_points", points_sql(" SELECT symbol, type, side, idx::INT AS stroke, price, confirmed_at::DATE::VARCHAR AS confirmed_at FROM points"))
 def d10(spark, sf_dir):
-    """Types 1 and 2, deduplicated."""
-    return signals_of(spark, sf_dir).withColumn("confirmed_at", F.date_format("confirmed_at", "yyyy-MM-dd")).drop("timeframe")
+    """D10, D11, D13."""
+    return signals_of(spark, sf_dir).select("symbol", "type", "side", "stroke", "price", text_time("confirmed_at"))
 
 
-@query("d14_chan_summary")
+@query("d14_chan_summary", points_sql(""" SELECT s.symbol, CASE WHEN bars >= 10 THEN 'ok' ELSE 'insufficient_data' END AS status, (bars >= 10)::INT * m.merged_bars::INT AS merged_bars, (bars >= 10)::INT * coalesce(f.n, 0)::INT AS fractals, (bars >= 10)::INT * coalesce(l.n, 0)::INT AS strokes, (bars >= 10)::INT * coalesce(c.n, 0)::INT AS centers,
+  (bars >= 10)::INT * coalesce(p.n, 0)::INT AS points, CASE WHEN bars >= 10 THEN l.last END AS latest_strokes, CASE WHEN bars >= 10 THEN c.last END AS latest_centers, CASE WHEN bars >= 10 THEN p.last END AS latest_points
+ FROM (SELECT symbol, count(*) AS bars FROM nb GROUP BY symbol) s JOIN (SELECT symbol, count(*) AS merged_bars FROM merged GROUP BY symbol) m USING (symbol) LEFT JOIN (SELECT symbol, count(*) AS n FROM fractals GROUP BY symbol) f USING (symbol)
+ LEFT JOIN (SELECT symbol, count(*) AS n, string_agg(direction || printf('%.2f', end_price), ' ' ORDER BY idx) FILTER (idx >= z - 19) AS last FROM (SELECT *, max(idx) OVER (PARTITION BY symbol) AS z FROM lk) GROUP BY symbol) l USING (symbol)
+ LEFT JOIN (SELECT symbol, count(*) AS n, string_agg(printf('%.2f', zd) || '-' || printf('%.2f', zg), ' ' ORDER BY idx) FILTER (idx >= z - 4) AS last FROM (SELECT *, max(idx) OVER (PARTITION BY symbol) AS z FROM centers) GROUP BY symbol) c USING (symbol)
+ LEFT JOIN (SELECT symbol, count(*) AS n, string_agg(type || '@' || printf('%.2f', price), ' ' ORDER BY r DESC) FILTER (r <= 10) AS last FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY confirmed_at DESC, right(type, 1) DESC, type DESC, price DESC) AS r FROM points) GROUP BY symbol) p USING (symbol)"""))
 def d14(spark, sf_dir):
-    return signals_of(spark, sf_dir).groupBy("symbol").pivot("type", ["buy_1", "buy_2", "buy_3", "sell_1", "sell_2", "sell_3"]).count().na.fill(0)
-
-
-@query("d15_fresh_points")
+    rows = structure_of(spark, sf_dir)
+    found = chan.summary(rows, chan.points_of(rows))
+    price = lambda c: F.format_string("%.2f", c)
+    text = lambda c, f: F.array_join(F.transform(c, f), " ").alias(c)
+    return found.select(
+        "symbol", "status", "merged_bars", "fractals", "strokes", "centers", "points", text("latest_strokes", lambda x: F.concat(x["direction"], price(x["end_price"]))),
+        text("latest_centers", lambda x: F.concat(price(x["zd"]), F.lit("-"), price(x["zg"]))), text("latest_points", lambda x: F.concat(x["type"], F.lit("@"), price(x["price"]))),
+    )
+
+
+@query("d15_fresh_points", points_sql(""" SELECT symbol, datetime::DATE::VARCHAR AS day, n::INT AS bars, max(worth) FILTER (side = 'buy')::INT AS fresh_buy, max(worth) FILTER (side = 'sell')::INT AS fresh_sell, string_agg(type, ',' ORDER BY type, confirmed_at) AS types
+ FROM (SELECT c.symbol, c.datetime, n, p.worth, p.side, p.type, p.confirmed_at FROM (VALUES (1), (5)) v(n), cross_ind c JOIN cross_ind o ON o.symbol = c.symbol AND o.rn BETWEEN c.rn - 4 AND c.rn JOIN points p ON p.symbol = o.symbol AND p.confirmed_at = o.datetime WHERE o.rn > c.rn - n) GROUP BY symbol, datetime, n"""))
 def d15(spark, sf_dir):
-    found = chan.fresh_signals(signals_of(spark, sf_dir), src.daily_bars(spark, sf_dir), 60)
-    return found.select("symbol", "type", "price", text_time("confirmed_at"))
+    """Every bar with points confirmed within its last bar, and its last five."""
+    bars, points = src.daily_bars(spark, sf_dir), signals_of(spark, sf_dir)
+    of = lambda n: chan.with_fresh(bars, points, n).filter("size(fresh) > 0").withColumn("bars", F.lit(n))
+    return dated(of(1).unionByName(of(5))).select("symbol", "day", "bars", "fresh_buy", "fresh_sell", F.array_join(F.array_sort("fresh.type"), ",").alias("types"))
 
 
 DIVERGENCE = """
@@ -155,9 +209,9 @@ def d01(spark, sf_dir):
     return chan.divergences(ind.with_macd(src.daily_bars(spark, sf_dir))).select("symbol", "divergence")
 
 
-@query("d02_bear_trap", from_indicators(""" SELECT symbol, CASE WHEN NOT coalesce((ma60 - m19) / greatest(abs(m19), 1) > 0, false) THEN 'average_not_rising' WHEN NOT coalesce(dip = 1, false) THEN 'no_break'
- WHEN NOT coalesce(close > ma60, false) THEN 'not_recovered' WHEN divergence <> 'bullish' THEN 'no_divergence' ELSE 'trap' END AS reason
- FROM (SELECT *, lag(ma60, 19) OVER (PARTITION BY symbol ORDER BY rn) AS m19, max((close < ma60)::INT) OVER (PARTITION BY symbol ORDER BY rn ROWS 4 PRECEDING) AS dip FROM cross_ind) JOIN div USING (symbol) WHERE back = 1""", DIVERGENCE))
+@query("d02_bear_trap", from_indicators(""" SELECT symbol, CASE WHEN NOT coalesce((ma250 - m19) / greatest(abs(m19), 1) > 0, false) THEN 'average_not_rising' WHEN NOT coalesce(dip = 1, false) THEN 'no_break'
+ WHEN NOT coalesce(close > ma250, false) THEN 'not_recovered' WHEN divergence <> 'bullish' THEN 'no_divergence' ELSE 'trap' END AS reason
+ FROM (SELECT *, lag(ma250, 19) OVER (PARTITION BY symbol ORDER BY rn) AS m19, max((close < ma250)::INT) OVER (PARTITION BY symbol ORDER BY rn ROWS 4 PRECEDING) AS dip FROM cross_ind) JOIN div USING (symbol) WHERE back = 1""", DIVERGENCE))
 def d02(spark, sf_dir):
     df = ind.with_averages(ind.with_macd(src.daily_bars(spark, sf_dir)))
     return chan.bear_traps(df, chan.divergences(df)).select("symbol", "reason")
