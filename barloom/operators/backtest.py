@@ -18,11 +18,15 @@ def by_day():
     return Window.partitionBy("symbol").orderBy("day")
 
 
-def cross_signals(df: DataFrame) -> DataFrame:
-    """Golden crosses above the zero axis buy, death crosses near it sell."""
-    kind = F.when(F.col("golden_cross") & (F.col("zone") == "above"), "golden_above").when(F.col("death_cross") & (F.col("zone") == "near"), "death_near")
-    rows = df.withColumn("type", kind).filter("type is not null")
-    return rows.select("symbol", F.to_date("datetime").alias("day"), "type", F.when(F.col("type") == "golden_above", "buy").otherwise("sell").alias("side"))
+def collected_signals(df: DataFrame, points: DataFrame, least: int = 60) -> DataFrame:
+    """Structure points on the day of their confirmation, golden crosses above the zero axis (buy) and death crosses near it
+    (sell), of symbols with ``least`` bars."""
+    golden, death = F.col("golden_cross") & (F.col("zone") == "above"), F.col("death_cross") & (F.col("zone") == "near")
+    kind = F.when(golden, "macd_golden_cross_above").when(death, "zero_axis_death_cross")
+    rows = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("symbol"))).filter(F.col("_n") >= least)
+    crossed = rows.withColumn("type", kind).filter("type is not null").select("symbol", F.to_date("datetime").alias("day"), "type", F.when(golden, "buy").otherwise("sell").alias("side"))
+    enough = df.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select("symbol")
+    return crossed.unionByName(points.join(enough, "symbol", "left_semi").select("symbol", F.to_date("confirmed_at").alias("day"), "type", "side"))
 
 
 def win_trades(bars: DataFrame, signals: DataFrame, hold: int = 40, commission: float = 0.0003, stamp: float = 0.001, slippage: float = 0.0005) -> DataFrame:

@@ -148,6 +148,22 @@ def resample_sessions(bars: DataFrame, target: int, source: int, sessions=SESSIO
     return out.select("symbol", F.lit(f"{target}m").alias("timeframe"), F.col("_end").alias("datetime"), "open", "high", "low", "close", "volume", "amount", F.lit(True).alias("is_closed"))
 
 
+def lattice(minute_bars: DataFrame, frames: tuple[str, ...] = ("1m", "5m", "15m", "30m", "60m", "120m", "1d")) -> DataFrame:
+    """Bars of several timeframes, aligned to the clock and stamped with their end, of end-stamped minute bars.
+
+    Bars merge as they are (first open, extremes, last close, sums), so each minute bar goes to its bucket of every
+    timeframe at once. Buckets lie within days: input that is partitioned by (symbol, day) is not shuffled again.
+    """
+    minutes = MINUTES | {"1d": 1440}
+    end = F.unix_timestamp("datetime")
+    targets = F.array(*[F.struct(F.lit(t).alias("timeframe"), (F.ceil(end / (minutes[t] * 60)) * minutes[t] * 60).alias("end")) for t in frames])
+    rows = minute_bars.filter("is_closed").select("symbol", F.to_date(F.timestamp_seconds(end - 1)).alias("day"), "datetime", "open", "high", "low", "close", "volume", "amount", F.explode(targets).alias("t"))
+    out = rows.groupBy("symbol", "day", F.col("t.timeframe").alias("timeframe"), F.col("t.end").alias("end")).agg(
+        F.min_by("open", "datetime").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "datetime").alias("close"), F.sum("volume").alias("volume"), F.sum("amount").alias("amount")
+    )
+    return out.select("symbol", "timeframe", F.timestamp_seconds("end").alias("datetime"), "open", "high", "low", "close", "volume", "amount", F.lit(True).alias("is_closed"))
+
+
 def with_fallback(direct: DataFrame, derived: DataFrame, least: int = 40) -> DataFrame:
     """Direct bars, and derived ones of (symbol, timeframe) without any, if there are enough."""
     enough = derived.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select(*KEY)

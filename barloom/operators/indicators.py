@@ -113,6 +113,18 @@ def with_trends(df: DataFrame) -> DataFrame:
     })
 
 
+def with_long_trend(df: DataFrame) -> DataFrame:
+    """Slope, distance and side of the 250-bar average."""
+    slope = F.when(F.count("ma250").over(trailing(20)) >= 20, F.regr_slope("ma250", "n_rows").over(trailing(20))).otherwise(0.0)
+    distance = (F.col("close") - F.col("ma250")) / F.nullif(F.col("ma250"), F.lit(0.0))
+    return df.withColumns({
+        "ma250_slope": slope,
+        "ma250_distance": distance,
+        "near_ma250": F.coalesce(F.abs(distance) < 0.05, F.lit(False)),
+        "above_ma250": F.coalesce(above("close", "ma250"), F.lit(False)),
+    })
+
+
 def volume_price_state(df: DataFrame) -> DataFrame:
     """1 to 4: price over 5 bars up or down, mean volume of 5 bars above or not above that of the 5 bars before."""
     df = df.withColumn("vol5", sma("volume", 5)).withColumn("vol5_before", F.lag("vol5", 5).over(by_time())).withColumn("close5", lag("close", 5))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.symbols import event_id
+from barloom.operators.screening import TIMEFRAMES, by_timeframe
 
 
 def with_event_id(events: DataFrame) -> DataFrame:
@@ -68,17 +69,29 @@ def monitored(holdings: DataFrame, watchlist: DataFrame, candidates: DataFrame)
     return lists[0].unionByName(lists[1]).unionByName(lists[2]).groupBy("symbol").agg(F.min("priority").alias("priority"))
 
 
-def ranked_events(events: DataFrame, per_symbol: int = 1) -> DataFrame:
-    """The best events of each symbol by weighted score, then the latest."""
-    by = Window.partitionBy("symbol").orderBy((F.col("score") * F.col("weight")).desc(), F.col("confirmed_at").desc(), "event_id")
+def ranked_events(events: DataFrame, per_symbol: int = 1, *ties: Column) -> DataFrame:
+    """The best events of each symbol by weighted score, then the latest, then by ``ties`` (the event id if none)."""
+    by = Window.partitionBy("symbol").orderBy((F.col("score") * F.col("weight")).desc(), F.col("confirmed_at").desc(), *(ties or ["event_id"]))
     return events.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= per_symbol).drop("r")
 
 
-def cross_events(df: DataFrame, buy_limit: int = 60, sell_limit: int = 60) -> DataFrame:
-    """An event per golden or death cross whose score reaches its limit."""
-    buy, sell = F.col("golden_cross") & (F.col("buy_score") >= buy_limit), F.col("death_cross") & (F.col("sell_score") >= sell_limit)
-    rows = df.withColumn("signal_type", F.when(buy, "golden_cross").when(sell, "death_cross")).filter("signal_type is not null")
-    return rows.withColumn("score", F.when(F.col("signal_type") == "golden_cross", F.col("buy_score")).otherwise(F.col("sell_score"))).withColumn("side", F.when(F.col("signal_type") == "golden_cross", "buy").otherwise("sell"))
+def timeframe_events(df: DataFrame, buy_limit: int = 60, sell_limit: int = 60) -> DataFrame:
+    """H02 for every scored bar and side: an event per fresh point, else one for the cross if the score reaches its limit.
+
+    symbol, timeframe, side, signal_type, components (the point, then the cross), level (strong from the limit on), score,
+    weight (of the timeframe), price, confirmed_at.
+    """
+    crossed = {"buy": F.when(F.col("golden_cross"), F.concat(F.lit("macd_golden_cross_"), "zone")), "sell": F.when(F.col("death_cross") & (F.col("zone") == "near"), F.lit("zero_axis_death_cross"))}
+    of = lambda side: F.transform(F.filter("fresh", lambda p: p["side"] == side), lambda p: p["type"])
+    sides = []
+    for side, limit in (("buy", buy_limit), ("sell", sell_limit)):
+        points, score = of(side), F.col(f"{side}_score")
+        lone = F.when(crossed[side].isNotNull() & (score >= limit), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))
+        level = F.when(score >= limit, "strong").otherwise("structure")
+        sides.append(F.struct(F.lit(side).alias("side"), score.alias("score"), level.alias("level"), crossed[side].alias("crossed"), F.when(F.size(points) > 0, points).otherwise(lone).alias("points")))
+    rows = df.select("symbol", "timeframe", "close", "datetime", F.explode(F.array(*sides)).alias("s")).select("symbol", "timeframe", "close", "datetime", "s.*").withColumn("point", F.explode("points"))
+    weight = F.coalesce(by_timeframe(TIMEFRAMES), F.lit(1))
+    return rows.select("symbol", "timeframe", "side", F.coalesce("point", "crossed").alias("signal_type"), F.array_compact(F.array("point", "crossed")).alias("components"), "level", "score", weight.alias("weight"), F.col("close").alias("price"), F.col("datetime").alias("confirmed_at"))
 
 
 def current(events: DataFrame, expected: str, least: int = 0) -> DataFrame:

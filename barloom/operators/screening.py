@@ -43,11 +43,11 @@ def side_score(side: str, fresh: Column, opposite: Column) -> Column:
     """Score of a bar from its cross, the best fresh structure point (20, 25 or 30) and the next higher timeframe."""
     if side == "buy":
         cross = F.when(F.col("golden_cross"), F.when(F.col("zone") == "above", 50).when(F.col("zone") == "near", 30).otherwise(10) + F.least(F.lit(15), F.col("confirmation_count") * 5))
-        higher = F.when(F.col("higher_dif_rising"), 15).otherwise(0) + F.when(F.col("higher_dif") > 0, 10).otherwise(0)
+        higher = F.when(F.round("higher_change", 9) > 0, 15).otherwise(0) + F.when(F.col("higher_dif") > 0, 10).otherwise(0)
         trend = F.when(F.col("above_ma60") & F.col("ma60_up"), 10).otherwise(0) + F.when(F.col("volume_ratio") >= 1, 5).otherwise(0)
     else:
         cross = F.when(F.col("death_cross") & (F.col("zone") == "near"), 30)
-        higher = F.when(F.col("higher_dif_rising") == F.lit(False), 15).otherwise(0) + F.when(F.col("higher_dif") < 0, 10).otherwise(0)
+        higher = F.when(F.round("higher_change", 9) < 0, 15).otherwise(0) + F.when(F.col("higher_dif") < 0, 10).otherwise(0)
         trend = F.when(F.col("below_ma60") & F.col("ma60_down"), 10).otherwise(0) + F.when((F.col("volume_ratio") >= 1) & (F.col("price_change") < 0), 5).otherwise(0)
     return F.greatest(F.coalesce(cross, F.lit(0)) + F.coalesce(fresh, F.lit(0)) + higher + trend - F.when(opposite, 30).otherwise(0), F.lit(0)).cast("int")
 
@@ -92,7 +92,7 @@ def valuation_score(df: DataFrame) -> DataFrame:
     ps = F.when((F.col("ps") > 0) & (F.col("ps") < F.col("median_ps") * 0.7), 2).when((F.col("ps") > 0) & (F.col("ps") < F.col("median_ps")), 1).otherwise(0)
     peg = F.when(F.col("profit_growth") > 0, F.col("pe") / (F.col("profit_growth") * 100))
     growth = F.when((peg > 0) & (peg < 1), 3).when(peg < 1.5, 2).otherwise(0)
-    pb = F.when(F.col("pb") < F.col("pb_mean") * 0.6, 2).when(F.col("pb") < F.col("pb_mean") * 0.8, 1).otherwise(0)
+    pb = F.when((F.col("pb") > 0) & (F.col("pb") < F.col("pb_mean") * 0.6), 2).when((F.col("pb") > 0) & (F.col("pb") < F.col("pb_mean") * 0.8), 1).otherwise(0)
     return df.withColumn("valuation", pe + ps + growth + pb)
 
 
@@ -140,11 +140,34 @@ def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def next_higher(reports: DataFrame) -> DataFrame:
-    """For each (symbol, timeframe), the report of the next higher timeframe whose status is ok."""
-    up = Window.partitionBy("symbol").orderBy("ordinal").rowsBetween(1, Window.unboundedFollowing)
-    ok = F.when(F.col("status") == "ok", F.struct("timeframe", "dif", "dif_rising"))
-    return reports.withColumn("higher", F.first(ok, ignorenulls=True).over(up)).select("*", F.col("higher.timeframe").alias("higher_timeframe"), F.col("higher.dif").alias("higher_dif"), F.col("higher.dif_rising").alias("higher_dif_rising")).drop("higher")
+#: Timeframes in order, with their weights.
+TIMEFRAMES = {"1m": 1, "5m": 2, "15m": 3, "30m": 4, "60m": 5, "120m": 6, "1d": 8}
+
+
+def by_timeframe(values: dict) -> Column:
+    """A value for each timeframe; null for others."""
+    out = F
+    for name, value in values.items():
+        out = out.when(F.col("timeframe") == name, value)
+    return out
+
+
+def with_higher(df: DataFrame, least: int = 37) -> DataFrame:
+    """B06 as of every bar (n_rows, dif, dea): higher_timeframe, higher_dif and higher_change (of dif) of the last bar that had closed
+    by then of the next higher timeframe which had ``least`` of them.
+
+    An as-of join by forward fill: one window over all timeframes of a symbol, in which a bar that ends at the same time
+    comes first if its timeframe is the higher one.
+    """
+    ordinal = by_timeframe({t: i for i, t in enumerate(TIMEFRAMES)})
+    ok = (F.col("n_rows") >= least) & F.col("dea").isNotNull()
+    own = F.struct("timeframe", "dif", (F.col("dif") - indicators.lag("dif")).alias("change"), ok.alias("ok"))
+    df = df.withColumn("_o", ordinal).withColumn("_s", own)
+    upto = Window.partitionBy("symbol").orderBy("datetime", F.col("_o").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    last = {f"_h{i}": F.last(F.when(F.col("_o") == i, F.col("_s")), ignorenulls=True).over(upto) for i in range(1, len(TIMEFRAMES))}
+    df = df.withColumns(last)
+    found = F.coalesce(*[F.when((F.col("_o") < i) & F.col(f"_h{i}.ok"), F.col(f"_h{i}")) for i in range(1, len(TIMEFRAMES))])
+    return df.withColumn("_f", found).withColumns({"higher_timeframe": F.col("_f.timeframe"), "higher_dif": F.col("_f.dif"), "higher_change": F.col("_f.change")}).drop("_o", "_s", "_f", *last)
 
 
 def coverage(universe: DataFrame, done: DataFrame, excluded: DataFrame) -> DataFrame:
@@ -161,20 +184,45 @@ def group_acceptance(rows: DataFrame, groups: DataFrame, minimum: int = 2) -> Da
     return joined.rollup("grp").agg(F.count_if(F.col("score").isNotNull()).alias("candidates"), F.count_if(F.col("score") >= 85).alias("buys")).withColumn("accepted", F.col("candidates") >= minimum)
 
 
-def sell_gate(df: DataFrame, patience: int = 60, least: float = 5, profit: float = 30, loss: float = -12) -> DataFrame:
-    """Why a position should go (returns in percent)."""
-    reason = F.when((F.col("holding_days") > patience) & (F.col("profit_pct") < least), "stale").when(F.col("profit_pct") > profit, "profit").when(F.col("profit_pct") < loss, "loss").otherwise("hold")
-    return df.withColumn("reason", reason)
+def buy_gate(scores: DataFrame, single: float = 0.1) -> DataFrame:
+    """``buy`` where quality, valuation, momentum and volume pattern all reach their marks; ``ratio`` of the capital by their sum."""
+    q, v, m, w = (F.col(c) for c in ("quality", "valuation", "momentum", "vol_score"))
+    total = q + v + F.coalesce(m, F.lit(0)) + F.coalesce(w, F.lit(0))
+    ratio = F.least(0.05 * F.when(total > 15, 1.5).when(total > 12, 1.2).otherwise(1.0), F.lit(single))
+    return scores.withColumns({"buy": F.coalesce((q > 7) & (v > 5) & (m > 5) & (w > 2), F.lit(False)), "ratio": ratio})
 
 
-def sell_gate_whole(df: DataFrame, heavy: float = -2, drop: float = -0.3, **settings) -> DataFrame:
-    """E16 with the volume pattern before and the fall of the return on equity (against ``roe_before``) after the other rules."""
-    df = sell_gate(df, **settings)
+def sell_gate(df: DataFrame, patience: int = 60, least: float = 5, profit: float = 30, loss: float = -12, heavy: float = -2, drop: float = -0.3) -> DataFrame:
+    """Why a position should go (returns in percent): the volume pattern, holding without gain, gain, loss, or the fall of
+    the return on equity against ``roe_before``."""
     fell = F.when(F.col("roe_before") > 0, (F.coalesce("roe", F.lit(0.0)) - F.col("roe_before")) / F.col("roe_before") < drop)
-    reason = F.when(F.col("vol_score") < heavy, "volume").when(F.col("reason") != "hold", F.col("reason")).when(fell, "roe").otherwise("hold")
+    pct = F.col("profit_pct")
+    reason = F.when(F.col("vol_score") < heavy, "volume").when((F.col("holding_days") > patience) & (pct < least), "stale").when(pct > profit, "profit").when(pct < loss, "loss").when(fell, "roe").otherwise("hold")
     return df.withColumn("reason", reason)
 
 
+def turns(df: DataFrame) -> DataFrame:
+    """E17, its technical tests by bar: ``ma_up`` (the 250-bar average rose twice), ``turn_up`` (two falls of the close on two rises
+    of the histogram), ``heavy_flat`` (volume above 1.5 times its 20-bar mean, close within 5 % of that five bars ago)."""
+    lag, above = indicators.lag, indicators.above
+    cols = {"_m1": lag("ma250"), "_m2": lag("ma250", 2), "_k1": lag("close"), "_k2": lag("close", 2), "_k5": lag("close", 5), "_h1": lag("hist"), "_h2": lag("hist", 2)}
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return df.withColumns(cols).withColumns({
+        "ma_up": yes(above("ma250", "_m1") & above("_m1", "_m2")),
+        "turn_up": yes((F.col("close") < F.col("_k1")) & (F.col("_k1") < F.col("_k2")) & above("hist", "_h1") & above("_h1", "_h2")),
+        "heavy_flat": yes((F.col("volume_ratio") > 1.5) & (F.abs(F.col("close") / F.col("_k5") - 1) < 0.05)),
+    }).drop(*cols)
+
+
+def three_legs() -> dict[str, Column]:
+    """One of the technical tests, four tests of safety, return and price, turnover (ratios in percent)."""
+    c = F.col
+    return {
+        "technical": c("ma_up") | c("turn_up") | c("heavy_flat"), "debt": c("debt_ratio") <= 50, "receivables": c("receivables") <= c("cash"), "interest": c("interest") <= c("net_profit"),
+        "cash_flow": c("cash_flow") >= 0.5 * c("net_profit"), "value": (c("roe") > 10) & (c("pe") > 0) & (c("pe") < 30), "turnover": (c("avg_turnover") > 1) & (c("avg_turnover") < 5),
+    }
+
+
 def screen(df: DataFrame, tests: dict[str, Column]) -> DataFrame:
     """Rows that pass all named tests; a null fails."""
     for test in tests.values():

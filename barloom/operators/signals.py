@@ -130,7 +130,7 @@ def exit_signals(df: DataFrame) -> DataFrame:
     """F16: SELL 95 or REDUCE 80 for positions with risk flags or other reasons to leave."""
     df = position_risk(df)
     more = F.array_compact(F.array(
-        F.when(F.col("divergence") == "bearish", "bearish_divergence"), F.when(F.col("profit_pct") > 20, "profit_above_20"), F.when(~F.col("above_ma") & (F.col("profit_pct") > 0), "below_average"),
+        F.when(F.col("divergence") == "bearish", "bearish_divergence"), F.when(F.col("profit_pct") > 20, "profit_above_20"), F.when((F.col("volume_ratio") > 1.8) & F.col("death_cross"), "heavy_death_cross"), F.when(~F.col("above_ma") & (F.col("profit_pct") > 0), "below_average"),
     ))
     df = df.withColumn("reasons", F.array_union("risk_flags", more)).filter(F.size("reasons") > 0)
     action = F.when(F.col("action") == "SELL", "SELL").otherwise("REDUCE")
@@ -161,7 +161,7 @@ def t_trading(df: DataFrame, step: float = 0.05) -> DataFrame:
 
 
 def merged_signals(routed: DataFrame, positions: DataFrame) -> DataFrame:
-    """routed signals with the exits (F16), T trades (F17, scored by their confidence) and risk alerts (F13) of positions."""
+    """routed signals, one a symbol (F10), with the exits (F16), T trades (F17, scored by their confidence) and risk alerts (F13) of positions."""
     cols = ["symbol", "action", "score", "origin"]
     exits = exit_signals(positions).withColumn("origin", F.lit("exit"))
     t = t_trading(positions).filter("suggestion <> 'none'").select("symbol", F.col("suggestion").alias("action"), F.col("confidence").alias("score"), F.lit("t_trading").alias("origin"))
@@ -169,4 +169,4 @@ def merged_signals(routed: DataFrame, positions: DataFrame) -> DataFrame:
     out = routed.withColumn("origin", F.lit("routed")).select(cols)
     for part in (exits, t, risk):
         out = out.unionByName(part.select(cols))
-    return out.orderBy(F.col("score").desc(), "symbol", "origin", "action")
+    return out

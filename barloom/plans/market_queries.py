@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from barloom.functions.symbols import business_expiry
 from barloom.operators import backtest, chan, pool, screening, signals
+from barloom.operators import bars as bars_ops
 from barloom.operators import indicators as ind
 from barloom.plans.indicator_queries import r6, rsql
-from barloom.plans.sql import BARS, INDEX, INDICATORS, macd
-from barloom.plans.structure_queries import DIVERGENCE, VOLUME_PATTERN, d19
+from barloom.plans.sql import BARS, INDEX, INDICATORS, TICKS, macd
+from barloom.plans.structure_queries import DIVERGENCE, FRACTALS, MERGED, POINTS, STROKES, VOLUME_PATTERN, d19, points_sql
 from barloom.sources import tables as src
 
 QUERIES, SQL = {}, {}
@@ -29,11 +30,14 @@ def query(name: str, sql: str | None = None):
 SNAP = """
 fund AS (SELECT s_suppkey::VARCHAR AS symbol, s_nationkey AS industry, s_suppkey * 7 % 25 + 1.5::DOUBLE AS roe, (s_suppkey * 13 % 80 + 10)::DOUBLE AS debt_ratio, s_suppkey * 11 % 45 - 3.5::DOUBLE AS pe,
   (s_suppkey * 17 % 600 + 20)::DOUBLE AS market_cap, (s_suppkey * 5 % 50)::DOUBLE / 10 AS avg_turnover, (s_suppkey * 29 % 60 + 5)::DOUBLE AS gross_margin, s_acctbal / 10000 AS profit_growth,
-  (s_suppkey * 19 % 200)::DOUBLE / 100 AS ocf_to_profit, (s_suppkey * 3 % 12)::DOUBLE / 100 AS rd_ratio, (s_suppkey * 23 % 40)::DOUBLE / 10 + 0.5 AS pb, (s_suppkey * 31 % 90)::DOUBLE / 10 + 0.2 AS ps FROM supplier),
-snap AS (SELECT f.*, close, ma60_slope AS slope, round((close - ma60) / ma60 * 100, 9) AS close_vs_ma, volume_ratio, round(pct_change * 100, 9) AS price_change_pct, divergence, round(volatility * 100, 9) AS volatility_pct,
-    coalesce(abs(close - ma60) / ma60 < 0.05, false) AS near_ma, coalesce(round(close - ma60, 9) > 0, false) AS above_ma, coalesce(golden_cross, false) AS golden_cross, breakout20 AS breakout,
-    divergence = 'bullish' AND coalesce((ma60 - m19) / greatest(abs(m19), 1) > 0, false) AND coalesce(dip = 1, false) AND coalesce(close > ma60, false) AS bear_trap
-  FROM fund f JOIN (SELECT *, lag(ma60, 19) OVER (PARTITION BY symbol ORDER BY rn) AS m19, max((close < ma60)::INT) OVER (PARTITION BY symbol ORDER BY rn ROWS 4 PRECEDING) AS dip FROM cross_ind) c USING (symbol) JOIN div USING (symbol) WHERE back = 1),
+  (s_suppkey * 19 % 200)::DOUBLE / 100 AS ocf_to_profit, (s_suppkey * 3 % 12)::DOUBLE / 100 AS rd_ratio, (s_suppkey * 23 % 40)::DOUBLE / 10 + 0.5 AS pb, (s_suppkey * 31 % 90)::DOUBLE / 10 + 0.2 AS ps,
+  (s_suppkey * 37 % 100)::DOUBLE AS receivables, (s_suppkey * 41 % 140 + 20)::DOUBLE AS cash, (s_suppkey * 43 % 30)::DOUBLE AS interest, (s_suppkey * 47 % 120 - 10)::DOUBLE AS net_profit, (s_suppkey * 53 % 110)::DOUBLE AS cash_flow FROM supplier),
+snap AS (SELECT f.*, close, ma250_slope AS slope, round((close - ma250) / ma250 * 100, 9) AS close_vs_ma, volume_ratio30 AS volume_ratio, round(pct_change * 100, 9) AS price_change_pct, divergence, round(volatility * 100, 9) AS volatility_pct,
+    coalesce(abs(close - ma250) / ma250 < 0.05, false) AS near_ma, coalesce(round(close - ma250, 9) > 0, false) AS above_ma, coalesce(golden_cross, false) AS golden_cross, coalesce(death_cross, false) AS death_cross, breakout20 AS breakout,
+    divergence = 'bullish' AND coalesce((ma250 - m19) / greatest(abs(m19), 1) > 0, false) AND coalesce(dip = 1, false) AND coalesce(close > ma250, false) AS bear_trap,
+    coalesce(round(ma250 - p1, 9) > 0 AND round(p1 - p2, 9) > 0, false) AS ma_up, coalesce(close < close1 AND close1 < k2 AND round(hist - h1, 9) > 0 AND round(h1 - h2, 9) > 0, false) AS turn_up, coalesce(c.volume_ratio > 1.5 AND abs(close / k5 - 1) < 0.05, false) AS heavy_flat
+  FROM fund f JOIN (SELECT *, lag(ma250, 19) OVER k AS m19, max((close < ma250)::INT) OVER (PARTITION BY symbol ORDER BY rn ROWS 4 PRECEDING) AS dip, lag(ma250) OVER k AS p1, lag(ma250, 2) OVER k AS p2, lag(close, 2) OVER k AS k2, lag(close, 5) OVER k AS k5, lag(hist) OVER k AS h1, lag(hist, 2) OVER k AS h2
+    FROM cross_ind WINDOW k AS (PARTITION BY symbol ORDER BY rn)) c USING (symbol) JOIN div USING (symbol) WHERE back = 1 AND rn >= 250),
 sel AS (SELECT *, CASE WHEN NOT roe >= 10 THEN 'roe' WHEN NOT debt_ratio <= 50 THEN 'debt_ratio' WHEN NOT (pe > 0 AND pe <= 30) THEN 'pe' WHEN NOT market_cap BETWEEN 50 AND 500 THEN 'market_cap' ELSE 'pass' END AS fundamental_reason,
     avg_turnover BETWEEN 1 AND 3 AS t, volume_ratio >= 1.5 AND price_change_pct BETWEEN -3 AND 3 AND (slope > 0 AND abs(close_vs_ma) <= 5 OR divergence = 'bullish' OR bear_trap) AS v FROM snap)"""
 
@@ -43,14 +47,15 @@ def snap_sql(select: str, *more: str) -> str:
 
 
 def snapshot(spark, sf_dir):
-    """Latest technical state of every supplier with its fundamentals."""
-    df = ind.enriched(src.daily_bars(spark, sf_dir))
+    """Latest technical state of every supplier with 250 bars or more, with its fundamentals: the 250-bar average, volume against 30 bars."""
+    df = ind.with_long_trend(ind.enriched(src.daily_bars(spark, sf_dir)))
     kinds = chan.divergences(df)
     traps = chan.bear_traps(df, kinds)
-    last = ind.latest(df).join(kinds, ind.KEY).join(traps, ind.KEY)
+    last = ind.latest(screening.turns(df)).filter("n_rows >= 250").join(kinds, ind.KEY).join(traps, ind.KEY)
+    flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
     tech = last.select(
-        "symbol", "close", F.col("ma60_slope").alias("slope"), F.round(F.col("ma60_distance") * 100, 9).alias("close_vs_ma"), "volume_ratio", F.round(F.col("pct_change") * 100, 9).alias("price_change_pct"), "divergence",
-        F.round(F.col("volatility") * 100, 9).alias("volatility_pct"), F.col("near_ma60").alias("near_ma"), F.col("above_ma60").alias("above_ma"), F.coalesce("golden_cross", F.lit(False)).alias("golden_cross"), F.col("breakout20").alias("breakout"), "bear_trap",
+        "symbol", "close", F.col("ma250_slope").alias("slope"), F.round(F.col("ma250_distance") * 100, 9).alias("close_vs_ma"), F.col("volume_ratio30").alias("volume_ratio"), F.round(F.col("pct_change") * 100, 9).alias("price_change_pct"), "divergence",
+        F.round(F.col("volatility") * 100, 9).alias("volatility_pct"), F.col("near_ma250").alias("near_ma"), F.col("above_ma250").alias("above_ma"), flag("golden_cross"), flag("death_cross"), F.col("breakout20").alias("breakout"), "bear_trap", "ma_up", "turn_up", "heavy_flat",
     )
     return src.fundamentals(spark, sf_dir).join(tech, "symbol")
 
@@ -71,36 +76,99 @@ def e06(spark, sf_dir):
     return screening.funnel(screening.select_stocks(snapshot(spark, sf_dir)))
 
 
-BUY = "greatest(coalesce(CASE WHEN golden_cross THEN CASE zone WHEN 'above' THEN 50 WHEN 'near' THEN 30 ELSE 10 END + least(15, confirmation_count * 5) END, 0) + CASE WHEN coalesce(round(close - ma60, 9) > 0, false) AND coalesce(round(ma60 - ma60_before, 9) > 0, false) THEN 10 ELSE 0 END + CASE WHEN volume_ratio >= 1 THEN 5 ELSE 0 END, 0)::INT"
-SELL = "greatest(CASE WHEN death_cross AND zone = 'near' THEN 30 ELSE 0 END + CASE WHEN coalesce(round(ma60 - close, 9) > 0, false) AND coalesce(round(ma60_before - ma60, 9) > 0, false) THEN 10 ELSE 0 END + CASE WHEN volume_ratio >= 1 AND close < close1 THEN 5 ELSE 0 END, 0)::INT"
+#: Scores of bars of ``sc``: indicators with the best fresh points (fb, fs) and the next higher timeframe (hd its dif, hc its change).
+BUY = "greatest(coalesce(CASE WHEN golden_cross THEN CASE zone WHEN 'above' THEN 50 WHEN 'near' THEN 30 ELSE 10 END + least(15, confirmation_count * 5) END, 0) + coalesce(fb, 0) + CASE WHEN hc > 0 THEN 15 ELSE 0 END + CASE WHEN hd > 0 THEN 10 ELSE 0 END + CASE WHEN coalesce(round(close - ma60, 9) > 0, false) AND coalesce(round(ma60 - ma60_before, 9) > 0, false) THEN 10 ELSE 0 END + CASE WHEN volume_ratio >= 1 THEN 5 ELSE 0 END - CASE WHEN fs IS NOT NULL THEN 30 ELSE 0 END, 0)::INT"
+SELL = "greatest(CASE WHEN death_cross AND zone = 'near' THEN 30 ELSE 0 END + coalesce(fs, 0) + CASE WHEN hc < 0 THEN 15 ELSE 0 END + CASE WHEN hd < 0 THEN 10 ELSE 0 END + CASE WHEN coalesce(round(ma60 - close, 9) > 0, false) AND coalesce(round(ma60_before - ma60, 9) > 0, false) THEN 10 ELSE 0 END + CASE WHEN volume_ratio >= 1 AND close < close1 THEN 5 ELSE 0 END - CASE WHEN fb IS NOT NULL THEN 30 ELSE 0 END, 0)::INT"
+FRESH = """
+fp AS (SELECT symbol, confirmed_at AS datetime, max(worth) FILTER (side = 'buy') AS fb, max(worth) FILTER (side = 'sell') AS fs FROM points GROUP BY symbol, confirmed_at)"""
+SCORED = FRESH + f""",
+sc AS (SELECT *, {BUY} AS buy_score, {SELL} AS sell_score FROM (SELECT c.*, fb, fs, NULL::DOUBLE AS hd, NULL::DOUBLE AS hc FROM cross_ind c LEFT JOIN fp USING (symbol, datetime)))"""
+
+
+def with_points(bars):
+    """Enriched bars of any timeframes with the structure points confirmed at each."""
+    return chan.with_fresh(ind.enriched(bars), chan.chan_signals(bars))
 
 
 def scored(df):
-    """Buy and sell scores of bars of one timeframe (no higher one, no structure points)."""
-    df = df.withColumn("higher_dif", F.lit(None).cast("double")).withColumn("higher_dif_rising", F.lit(None).cast("boolean"))
-    none, never = F.lit(None).cast("int"), F.lit(False)
-    return df.withColumn("buy_score", screening.side_score("buy", none, never)).withColumn("sell_score", screening.side_score("sell", none, never))
+    """Buy and sell scores of bars with their fresh points; daily bars have no higher timeframe."""
+    if "higher_dif" not in df.columns:
+        df = df.withColumns({"higher_dif": F.lit(None).cast("double"), "higher_change": F.lit(None).cast("double")})
+    buy, sell = F.col("fresh_buy"), F.col("fresh_sell")
+    return df.withColumns({"buy_score": screening.side_score("buy", buy, sell.isNotNull()), "sell_score": screening.side_score("sell", sell, buy.isNotNull())})
 
 
-@query("e07_side_scores", "WITH RECURSIVE " + BARS + "," + INDICATORS + f" SELECT symbol, datetime::DATE::VARCHAR AS day, {BUY} AS buy_score, {SELL} AS sell_score FROM cross_ind WHERE golden_cross OR death_cross")
+@query("e07_side_scores", points_sql(" SELECT symbol, datetime::DATE::VARCHAR AS day, fb::INT AS fresh_buy, fs::INT AS fresh_sell, buy_score, sell_score FROM sc WHERE golden_cross OR death_cross OR fb IS NOT NULL OR fs IS NOT NULL", SCORED))
 def e07(spark, sf_dir):
-    df = scored(ind.enriched(src.daily_bars(spark, sf_dir))).filter("golden_cross or death_cross")
-    return df.select("symbol", F.date_format("datetime", "yyyy-MM-dd").alias("day"), "buy_score", "sell_score")
+    """E07, E08 of every daily bar that has a cross or a point."""
+    df = scored(with_points(src.daily_bars(spark, sf_dir))).filter("golden_cross or death_cross or fresh_buy is not null or fresh_sell is not null")
+    return df.select("symbol", F.date_format("datetime", "yyyy-MM-dd").alias("day"), "fresh_buy", "fresh_sell", "buy_score", "sell_score")
 
 
-@query("e09_zero_axis_scan", "WITH RECURSIVE " + BARS + "," + INDICATORS + f" SELECT symbol, datetime::DATE::VARCHAR AS day, zone, (CASE zone WHEN 'above' THEN 3 WHEN 'near' THEN 2 ELSE 1 END * 100 + {BUY})::INT AS score FROM cross_ind WHERE golden_cross AND rn >= 120")
+@query("e09_zero_axis_scan", points_sql(" SELECT symbol, datetime::DATE::VARCHAR AS day, zone, (CASE zone WHEN 'above' THEN 3 WHEN 'near' THEN 2 ELSE 1 END * 100 + buy_score)::INT AS score FROM sc WHERE golden_cross AND rn >= 120", SCORED))
 def e09(spark, sf_dir):
     """The scan of every day at once."""
-    found = screening.zero_axis_scan(scored(ind.enriched(src.daily_bars(spark, sf_dir))), 120)
+    found = screening.zero_axis_scan(scored(with_points(src.daily_bars(spark, sf_dir))), 120)
     return found.select("symbol", F.date_format("datetime", "yyyy-MM-dd").alias("day"), "zone", F.col("score").cast("int").alias("score"))
 
 
-@query("b06_next_higher", """WITH t AS (SELECT event_type AS symbol, user_id % 7 AS ordinal, sum(value) AS dif, count(*) % 3 <> 0 AS ok FROM events GROUP BY ALL)
- SELECT a.symbol, a.ordinal, (SELECT min(b.ordinal) FROM t b WHERE b.symbol = a.symbol AND b.ordinal > a.ordinal AND b.ok) AS higher_timeframe FROM t a""")
+#: Bars of all timeframes from ticks; ``symbol`` holds the timeframe as well, so that all that goes by symbol goes by both.
+LATTICE = TICKS + """,
+minutes AS (SELECT symbol, to_timestamp((floor(epoch(ts) / 60) + 1) * 60)::TIMESTAMP AS datetime, arg_min(c - step, rn) / 100.0 AS open, max(greatest(c, c - step)) / 100.0 AS high, min(least(c, c - step)) / 100.0 AS low, arg_max(c, rn) / 100.0 AS close, count(*)::DOUBLE AS volume, sum(c)::DOUBLE AS amount FROM tick GROUP BY ALL),
+bars AS (SELECT symbol || '@' || timeframe AS symbol, timeframe, to_timestamp(ceil(epoch(m.datetime) / 60 / n) * n * 60)::TIMESTAMP AS datetime, arg_min(open, m.datetime) AS open, max(high) AS high, min(low) AS low, arg_max(close, m.datetime) AS close, sum(volume) AS volume, sum(amount) AS amount
+  FROM minutes m, (VALUES ('1m', 1), ('5m', 5), ('15m', 15), ('30m', 30), ('60m', 60), ('120m', 120), ('1d', 1440)) f(timeframe, n) GROUP BY symbol, timeframe, ceil(epoch(m.datetime) / 60 / n) * n)"""
+HIGHER = """
+fr0 AS (SELECT split_part(symbol, '@', 1) AS of, CASE timeframe WHEN '1m' THEN 0 WHEN '5m' THEN 1 WHEN '15m' THEN 2 WHEN '30m' THEN 3 WHEN '60m' THEN 4 WHEN '120m' THEN 5 ELSE 6 END AS ordinal, timeframe, datetime, dif, dif - lag(dif) OVER (PARTITION BY symbol ORDER BY rn) AS change, rn >= 37 AND dea IS NOT NULL AS ok FROM cross_ind),
+hg AS (SELECT *, """ + ", ".join(f"last_value(CASE WHEN ordinal = {i} THEN {{'t': timeframe, 'd': dif, 'c': change, 'ok': ok}} END IGNORE NULLS) OVER (PARTITION BY of ORDER BY datetime, -ordinal ROWS UNBOUNDED PRECEDING) AS h{i}" for i in range(1, 7)) + """ FROM fr0),
+hi AS (SELECT of || '@' || timeframe AS symbol, datetime, CASE """ + " ".join(f"WHEN ordinal < {i} AND h{i}.ok THEN h{i}" for i in range(1, 7)) + """ END AS h FROM hg)"""
+
+
+def lattice_sql(select: str, *more: str) -> str:
+    return "WITH RECURSIVE " + ",".join([LATTICE, INDICATORS, MERGED, FRACTALS, STROKES, POINTS, HIGHER, *more]) + select
+
+
+def lattice(spark, sf_dir):
+    """Bars of 1m to 1d of the ticks."""
+    return bars_ops.lattice(src.minute_bars(spark, sf_dir))
+
+
+@query("b07_timeframe_lattice", "WITH " + LATTICE + " SELECT split_part(symbol, '@', 1) AS symbol, timeframe, strftime(datetime, '%Y-%m-%d %H:%M') AS at, open, high, low, close, volume, amount FROM bars")
+def b07(spark, sf_dir):
+    """B05 and the clock side of B01, B02: bars of all timeframes by one shuffle."""
+    return lattice(spark, sf_dir).select("symbol", "timeframe", F.date_format("datetime", "yyyy-MM-dd HH:mm").alias("at"), "open", "high", "low", "close", "volume", "amount")
+
+
+@query("b06_next_higher", lattice_sql(" SELECT split_part(symbol, '@', 1) AS symbol, split_part(symbol, '@', 2) AS timeframe, strftime(datetime, '%Y-%m-%d %H:%M') AS at, h.t AS higher_timeframe, round(h.d, 6) AS higher_dif, sign(round(h.c, 9))::INT AS higher_turn FROM hi WHERE h IS NOT NULL"))
 def b06(spark, sf_dir):
-    e = src.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("symbol"), (F.col("user_id") % 7).alias("ordinal")).agg(F.sum("value").alias("dif"), F.count(F.lit(1)).alias("n"))
-    r = e.withColumn("timeframe", F.col("ordinal")).withColumn("status", F.when(F.col("n") % 3 != 0, "ok").otherwise("short")).withColumn("dif_rising", F.col("dif") > 0)
-    return screening.next_higher(r).select("symbol", "ordinal", "higher_timeframe")
+    """For each bar, the last closed bar of the next higher timeframe that had enough of them by then."""
+    df = screening.with_higher(ind.crosses(ind.with_averages(ind.with_macd(lattice(spark, sf_dir))))).filter("higher_timeframe is not null")
+    return df.select("symbol", "timeframe", F.date_format("datetime", "yyyy-MM-dd HH:mm").alias("at"), "higher_timeframe", *r6("higher_dif"), F.signum(F.round("higher_change", 9)).cast("int").alias("higher_turn"))
+
+
+SCORED_HIGHER = FRESH + f""",
+sc AS (SELECT *, {BUY} AS buy_score, {SELL} AS sell_score FROM (SELECT c.*, fb, fs, h.d AS hd, round(h.c, 9) AS hc, h.t AS ht FROM cross_ind c LEFT JOIN fp USING (symbol, datetime) LEFT JOIN hi USING (symbol, datetime)))"""
+
+
+def scored_lattice(spark, sf_dir):
+    return scored(screening.with_higher(with_points(lattice(spark, sf_dir))))
+
+
+@query("e08_timeframe_scores", lattice_sql(" SELECT split_part(symbol, '@', 1) AS symbol, timeframe, strftime(datetime, '%Y-%m-%d %H:%M') AS at, ht AS higher_timeframe, fb::INT AS fresh_buy, fs::INT AS fresh_sell, buy_score, sell_score FROM sc WHERE golden_cross OR death_cross OR fb IS NOT NULL OR fs IS NOT NULL", SCORED_HIGHER))
+def e08(spark, sf_dir):
+    """E07, E08 over all timeframes, with the next higher one as of each bar."""
+    df = scored_lattice(spark, sf_dir).filter("golden_cross or death_cross or fresh_buy is not null or fresh_sell is not null")
+    return df.select("symbol", "timeframe", F.date_format("datetime", "yyyy-MM-dd HH:mm").alias("at"), "higher_timeframe", "fresh_buy", "fresh_sell", "buy_score", "sell_score")
+
+
+@query("h03_timeframe_events", lattice_sql(""", se AS (SELECT split_part(symbol, '@', 1) AS of, timeframe, datetime, side, CASE side WHEN 'buy' THEN buy_score ELSE sell_score END AS score, CASE WHEN side = 'buy' AND golden_cross THEN 'macd_golden_cross_' || zone WHEN side = 'sell' AND death_cross AND zone = 'near' THEN 'zero_axis_death_cross' END AS crossing, symbol AS key FROM sc, (VALUES ('buy'), ('sell')) s(side)),
+ ee AS (SELECT of AS symbol, e.timeframe, e.datetime, e.side, e.score, coalesce(p.type, crossing) AS signal_type, CASE WHEN score >= 60 THEN 'strong' ELSE 'structure' END AS level, score * CASE e.timeframe WHEN '1m' THEN 1 WHEN '5m' THEN 2 WHEN '15m' THEN 3 WHEN '30m' THEN 4 WHEN '60m' THEN 5 WHEN '120m' THEN 6 ELSE 8 END AS weighted
+   FROM se e LEFT JOIN points p ON p.symbol = e.key AND p.confirmed_at = e.datetime AND p.side = e.side WHERE (crossing IS NOT NULL AND score >= 60) OR p.type IS NOT NULL)
+ SELECT symbol, timeframe, strftime(datetime, '%Y-%m-%d %H:%M') AS at, side, signal_type, level, score, weighted::INT AS weighted FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY weighted DESC, datetime DESC, timeframe, signal_type) AS r FROM ee) WHERE r <= 20""", SCORED_HIGHER))
+def h03_timeframes(spark, sf_dir):
+    """Each symbol's twenty best events of all timeframes, by score times weight, then the latest."""
+    events = pool.timeframe_events(scored_lattice(spark, sf_dir))
+    best = pool.ranked_events(events, 20, F.col("timeframe"), F.col("signal_type"))
+    return best.select("symbol", "timeframe", F.date_format("confirmed_at", "yyyy-MM-dd HH:mm").alias("at"), "side", "signal_type", "level", "score", (F.col("score") * F.col("weight")).alias("weighted"))
 
 
 @query("e10_coverage", "SELECT count(*) FILTER (s_suppkey % 5 <> 0) AS eligible, count(*) FILTER (s_suppkey % 5 <> 0 AND s_suppkey % 3 <> 0)::BIGINT AS successful FROM supplier")
@@ -123,7 +191,7 @@ def e11(spark, sf_dir):
 
 
 VALUE = """(CASE WHEN pe > 0 AND pe < mp * 0.7 THEN 3 WHEN pe > 0 AND pe < mp THEN 2 ELSE 0 END + CASE WHEN ps > 0 AND ps < ms * 0.7 THEN 2 WHEN ps > 0 AND ps < ms THEN 1 ELSE 0 END
- + CASE WHEN profit_growth > 0 AND pe > 0 AND pe / (profit_growth * 100) < 1 THEN 3 WHEN profit_growth > 0 AND pe / (profit_growth * 100) < 1.5 THEN 2 ELSE 0 END + CASE WHEN pb < pb_mean * 0.6 THEN 2 WHEN pb < pb_mean * 0.8 THEN 1 ELSE 0 END)::INT"""
+ + CASE WHEN profit_growth > 0 AND pe > 0 AND pe / (profit_growth * 100) < 1 THEN 3 WHEN profit_growth > 0 AND pe / (profit_growth * 100) < 1.5 THEN 2 ELSE 0 END + CASE WHEN pb > 0 AND pb < pb_mean * 0.6 THEN 2 WHEN pb > 0 AND pb < pb_mean * 0.8 THEN 1 ELSE 0 END)::INT"""
 
 
 FUND_CTES = SNAP.split("snap AS (")[0].strip().rstrip(",") + MEDIANS
@@ -143,13 +211,6 @@ def e12(spark, sf_dir):
     return valued(spark, sf_dir).select("symbol", "valuation")
 
 
-@query("e15_sizing", "SELECT s_suppkey::VARCHAR AS symbol, round(least(0.05 * CASE WHEN s_suppkey % 25 > 15 THEN 1.5 WHEN s_suppkey % 25 > 10 THEN 1.2 ELSE 1.0 END, 0.10), 6)::DOUBLE AS ratio FROM supplier")
-def e15(spark, sf_dir):
-    k = F.col("s_suppkey") % 25
-    ratio = F.least(0.05 * F.when(k > 15, 1.5).when(k > 10, 1.2).otherwise(1.0), F.lit(0.10))
-    return src.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("symbol"), F.round(ratio, 6).alias("ratio"))
-
-
 @query("e20_group_acceptance", "SELECT n_name AS grp, count(*) FILTER (s_acctbal > 3000) AS candidates, count(*) FILTER (s_acctbal > 8000) AS buys, count(*) FILTER (s_acctbal > 3000) >= 2 AS accepted FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY ROLLUP (n_name)")
 def e20(spark, sf_dir):
     s = src.table(spark, sf_dir, "supplier").join(src.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
@@ -215,7 +276,7 @@ pr AS (SELECT account, h.symbol, round((close / cost - 1) * 100, 9) AS profit_pc
 
 
 def positions(spark, sf_dir):
-    df = src.holdings(spark, sf_dir).join(snapshot(spark, sf_dir).select("symbol", "close", "volatility_pct", "above_ma", "slope", "divergence", "near_ma", "volume_ratio", "golden_cross", "price_change_pct"), "symbol")
+    df = src.holdings(spark, sf_dir).join(snapshot(spark, sf_dir).select("symbol", "close", "volatility_pct", "above_ma", "slope", "divergence", "near_ma", "volume_ratio", "golden_cross", "death_cross", "price_change_pct"), "symbol")
     return df.withColumn("profit_pct", F.round((F.col("close") / F.col("cost") - 1) * 100, 9)).withColumn("regime", F.when(F.col("account") % 3 == 0, "bear").otherwise("bull"))
 
 
@@ -241,19 +302,20 @@ def f19(spark, sf_dir):
     return signals.valued_positions(positions(spark, sf_dir).withColumn("price", F.col("close"))).select("symbol", "shares", *r6("avg_cost", "market_value", "profit_rate"))
 
 
-TRADES = """, sig AS (SELECT symbol, datetime AS d, rn AS i, CASE WHEN golden_cross AND zone = 'above' THEN 'golden_above' WHEN death_cross AND zone = 'near' THEN 'death_near' END AS type FROM cross_ind WHERE (golden_cross AND zone = 'above') OR (death_cross AND zone = 'near')),
-lastrow AS (SELECT symbol, max(rn) AS last_i FROM cross_ind GROUP BY symbol),
-en AS (SELECT s.symbol, s.type, s.d, s.i + 1 AS entry_i, (SELECT min(x.i) FROM sig x WHERE x.symbol = s.symbol AND x.type = 'death_near' AND x.i > s.i) AS sell_i, last_i FROM sig s JOIN lastrow USING (symbol) WHERE s.type = 'golden_above' AND s.i < last_i),
+TRADES = """, lastrow AS (SELECT symbol, max(rn) AS last_i FROM cross_ind GROUP BY symbol HAVING max(rn) >= 60),
+sig AS (SELECT symbol, datetime AS d, rn AS i, CASE WHEN golden_cross AND zone = 'above' THEN 'macd_golden_cross_above' WHEN death_cross AND zone = 'near' THEN 'zero_axis_death_cross' END AS type, CASE WHEN golden_cross THEN 'buy' ELSE 'sell' END AS side FROM cross_ind JOIN lastrow USING (symbol) WHERE (golden_cross AND zone = 'above') OR (death_cross AND zone = 'near')
+  UNION ALL SELECT p.symbol, c.datetime, c.rn, p.type, p.side FROM points p JOIN cross_ind c ON c.symbol = p.symbol AND c.datetime = p.confirmed_at JOIN lastrow l ON l.symbol = p.symbol),
+en AS (SELECT s.symbol, s.type, s.d, s.i + 1 AS entry_i, (SELECT min(x.i) FROM sig x WHERE x.symbol = s.symbol AND x.side = 'sell' AND x.i > s.i) AS sell_i, last_i FROM sig s JOIN lastrow USING (symbol) WHERE s.side = 'buy' AND s.i < last_i),
 ex AS (SELECT *, CASE WHEN sell_i > entry_i THEN sell_i + 1 END AS by_sell, least(coalesce(CASE WHEN sell_i > entry_i THEN sell_i + 1 END, entry_i + 40), entry_i + 40) AS want FROM en),
 tr AS (SELECT ex.symbol, ex.type, CASE WHEN want > last_i THEN 'window_end' WHEN by_sell IS NOT NULL AND by_sell <= entry_i + 40 THEN 'chan_sell' ELSE 'timeout' END AS reason,
     (CASE WHEN want > last_i THEN o.close ELSE o.open END * (1 - 0.0003 - 0.001 - 0.0005) / (e.open * (1 + 0.0003 + 0.0005)) - 1) * 100 AS pnl_pct, date_diff('day', d, o.datetime) AS holding_days
   FROM ex JOIN cross_ind e ON e.symbol = ex.symbol AND e.rn = entry_i JOIN cross_ind o ON o.symbol = ex.symbol AND o.rn = least(want, last_i))"""
-G = "WITH RECURSIVE " + BARS + "," + INDICATORS + TRADES
+G = "WITH RECURSIVE " + ",".join([BARS, INDICATORS, MERGED, FRACTALS, STROKES, POINTS]) + TRADES
 
 
 def trades_of(spark, sf_dir):
     bars = src.daily_bars(spark, sf_dir)
-    return backtest.win_trades(bars, backtest.cross_signals(ind.crosses(ind.with_macd(bars))))
+    return backtest.win_trades(bars, backtest.collected_signals(ind.crosses(ind.with_macd(bars)), chan.chan_signals(bars)))
 
 
 @query("g04_trades", G + " SELECT symbol, type, reason, round(pnl_pct, 6) AS pnl_pct, holding_days::INT AS holding_days FROM tr")
@@ -402,22 +464,10 @@ def h14(spark, sf_dir):
     return pool.monitored(src.holdings(spark, sf_dir).filter("account % 4 = 0"), s.filter("s_suppkey % 3 = 0"), s)
 
 
-
-
-@query("e16_sell_gate", snap_sql(" SELECT account, symbol, CASE WHEN holding_days > 60 AND profit_pct < 5 THEN 'stale' WHEN profit_pct > 30 THEN 'profit' WHEN profit_pct < -12 THEN 'loss' ELSE 'hold' END AS reason FROM pr", HOLD.lstrip(", ")))
-def e16(spark, sf_dir):
-    return screening.sell_gate(positions(spark, sf_dir)).select("account", "symbol", "reason")
-
-
-@query("e17_three_leg_screen", snap_sql(" SELECT symbol FROM snap WHERE (divergence = 'bullish' OR near_ma OR golden_cross) AND debt_ratio < 60 AND ocf_to_profit > 0.3 AND gross_margin > 10 AND market_cap > 30 AND roe > 10 AND pe > 0 AND pe < 30 AND avg_turnover BETWEEN 1 AND 5 ORDER BY symbol::INT LIMIT 4"))
+@query("e17_three_leg_screen", snap_sql(" SELECT symbol FROM snap WHERE (ma_up OR turn_up OR heavy_flat) AND debt_ratio <= 50 AND receivables <= cash AND interest <= net_profit AND cash_flow >= 0.5 * net_profit AND roe > 10 AND pe > 0 AND pe < 30 AND avg_turnover > 1 AND avg_turnover < 5 ORDER BY symbol::INT LIMIT 4"))
 def e17(spark, sf_dir):
     """The first four symbols in input order that pass all legs."""
-    tests = {
-        "technical": (F.col("divergence") == "bullish") | F.col("near_ma") | F.col("golden_cross"),
-        "safety": (F.col("debt_ratio") < 60) & (F.col("ocf_to_profit") > 0.3) & (F.col("gross_margin") > 10) & (F.col("market_cap") > 30),
-        "value": (F.col("roe") > 10) & (F.col("pe") > 0) & (F.col("pe") < 30), "turnover": F.col("avg_turnover").between(1, 5),
-    }
-    return screening.top(screening.screen(snapshot(spark, sf_dir), tests).select("symbol"), 4, F.col("symbol").cast("int"))
+    return screening.top(screening.screen(snapshot(spark, sf_dir), screening.three_legs()).select("symbol"), 4, F.col("symbol").cast("int"))
 
 
 @query("e18_value_screen", snap_sql(" SELECT symbol, roe FROM snap WHERE roe > 10 AND pe <= 20 AND debt_ratio < 50 AND market_cap BETWEEN 50 AND 500 ORDER BY roe DESC, symbol LIMIT 3"))
@@ -426,13 +476,7 @@ def e18(spark, sf_dir):
     return screening.top(screening.screen(snapshot(spark, sf_dir), tests).select("symbol", "roe"), 3, F.col("roe").desc(), F.col("symbol"))
 
 
-@query("e19_signal_summary", snap_sql(" SELECT symbol, action, score::INT AS score FROM sg WHERE score >= 85 ORDER BY score DESC, symbol, strategy LIMIT 5", STRAT.lstrip(", ")))
-def e19(spark, sf_dir):
-    rows = signals.strategy_signals(pool_rows(spark, sf_dir)).filter("score >= 85")
-    return screening.top(rows, 5, F.col("score").desc(), F.col("symbol"), F.col("strategy")).select("symbol", "action", "score")
-
-
-EXITS = """, ex AS (SELECT pr.account, pr.symbol, CASE WHEN pr.profit_pct <= -stop_loss OR (NOT pr.above_ma AND pr.slope < 0) THEN 'SELL' WHEN pr.profit_pct >= take_profit OR pr.regime = 'bear' AND pr.profit_pct < 0 OR divergence = 'bearish' OR pr.profit_pct > 20 OR NOT pr.above_ma AND pr.profit_pct > 0 THEN 'REDUCE' END AS action FROM pr JOIN snap USING (symbol))"""
+EXITS = """, ex AS (SELECT pr.account, pr.symbol, CASE WHEN pr.profit_pct <= -stop_loss OR (NOT pr.above_ma AND pr.slope < 0) THEN 'SELL' WHEN pr.profit_pct >= take_profit OR pr.regime = 'bear' AND pr.profit_pct < 0 OR divergence = 'bearish' OR pr.profit_pct > 20 OR volume_ratio > 1.8 AND death_cross OR NOT pr.above_ma AND pr.profit_pct > 0 THEN 'REDUCE' END AS action FROM pr JOIN snap USING (symbol))"""
 
 
 @query("f16_exit_signals", snap_sql(" SELECT account, symbol, action, CASE action WHEN 'SELL' THEN 95 ELSE 80 END::INT AS score FROM ex WHERE action IS NOT NULL", HOLD.lstrip(", "), EXITS.lstrip(", ")))
@@ -456,12 +500,38 @@ def f17(spark, sf_dir):
     return signals.t_trading(held(spark, sf_dir)).select("account", "symbol", "suggestion", "confidence", "t_change", "t_amount")
 
 
-@query("f20_merged_signals", snap_sql(" SELECT symbol, action, score::INT AS score, 'routed' AS origin FROM sg UNION ALL SELECT symbol, action, CASE action WHEN 'SELL' THEN 95 ELSE 80 END, 'exit' FROM ex WHERE action IS NOT NULL", STRAT.lstrip(", "), HOLD.lstrip(", "), EXITS.lstrip(", ")))
+MERGE = """tt AS (SELECT account, pr.symbol, CASE account % 3 WHEN 0 THEN 'bear' WHEN 1 THEN 'range' ELSE 'bull' END AS r, divergence = 'bullish' AS up, divergence = 'bearish' AS down, near_ma, volume_ratio, golden_cross, price_change_pct,
+  floor(shares * 6 / 10)::BIGINT AS base, shares - floor(shares * 6 / 10)::BIGINT AS mobile FROM pr JOIN snap USING (symbol)),
+ta AS (SELECT *, CASE WHEN r = 'bull' AND up AND near_ma AND volume_ratio >= 1 THEN 'positive_t_buy' WHEN r = 'bull' AND down AND mobile > 0 THEN 'positive_t_sell'
+  WHEN r = 'bear' AND down AND base > 0 THEN 'negative_t_sell' WHEN r = 'bear' AND up AND golden_cross THEN 'negative_t_buy' WHEN r = 'range' AND up AND price_change_pct <= 0 THEN 'range_t_buy' WHEN r = 'range' AND down AND mobile > 0 THEN 'range_t_sell' END AS suggestion FROM tt),
+rk AS (SELECT account, symbol, CASE WHEN profit_pct <= -stop_loss OR (NOT above_ma AND slope < 0) THEN 'SELL' WHEN profit_pct >= take_profit OR (CASE account % 3 WHEN 0 THEN true ELSE false END AND profit_pct < 0) THEN 'REDUCE' END AS action FROM pr),
+resolved AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY CASE action WHEN 'SELL' THEN 4 WHEN 'REDUCE' THEN 3 WHEN 'ADD' THEN 2 ELSE 1 END DESC, score DESC, strategy) AS r FROM sg) WHERE r = 1),
+merged AS (
+  SELECT symbol, action, score::INT AS score, 'routed' AS origin FROM resolved
+  UNION ALL SELECT symbol, action, CASE action WHEN 'SELL' THEN 95 ELSE 80 END, 'exit' FROM ex WHERE action IS NOT NULL
+  UNION ALL SELECT symbol, suggestion, CASE suggestion WHEN 'positive_t_buy' THEN 78 WHEN 'positive_t_sell' THEN 76 WHEN 'negative_t_sell' THEN 74 WHEN 'negative_t_buy' THEN 72 ELSE 70 END, 't_trading' FROM ta WHERE suggestion IS NOT NULL
+  UNION ALL SELECT symbol, action, CASE action WHEN 'SELL' THEN 90 ELSE 78 END, 'risk' FROM rk WHERE action IS NOT NULL)"""
+MERGED_SIGNALS = [x.lstrip(", ") for x in (STRAT, HOLD, EXITS, MERGE)]
+
+
+def merged_of(spark, sf_dir):
+    """Routed signals, one a symbol, with exits, T trades and risk alerts of the positions."""
+    routed = signals.resolve_conflicts(signals.strategy_signals(pool_rows(spark, sf_dir)))
+    return signals.merged_signals(routed, held(spark, sf_dir))
+
+
+@query("f20_merged_signals", snap_sql(" SELECT symbol, action, score, origin FROM merged", *MERGED_SIGNALS))
 def f20(spark, sf_dir):
-    routed = signals.strategy_signals(pool_rows(spark, sf_dir)).withColumn("origin", F.lit("routed"))
-    out = signals.exit_signals(positions(spark, sf_dir)).withColumn("origin", F.lit("exit"))
-    both = routed.unionByName(out.select("symbol", "action", "score", "origin"), allowMissingColumns=True)
-    return both.orderBy(F.col("score").desc(), "symbol").select("symbol", "action", "score", "origin")
+    return merged_of(spark, sf_dir)
+
+
+@query("e19_signal_summary", snap_sql(""" SELECT * FROM (SELECT 'signal' AS part, symbol, action AS what, score FROM merged WHERE score >= 85 ORDER BY score DESC, symbol, origin, action LIMIT 5)
+ UNION ALL SELECT * FROM (SELECT 'candidate', symbol, fundamental_reason, (CASE WHEN fundamental_reason = 'pass' THEN 40 ELSE 0 END + CASE WHEN t THEN 25 ELSE 0 END + CASE WHEN v THEN 35 ELSE 0 END)::INT AS score FROM sel ORDER BY score DESC, symbol::INT LIMIT 5)""", *MERGED_SIGNALS))
+def e19(spark, sf_dir):
+    """The five best candidates, and the five best of all signals that reach 85."""
+    best = screening.top(screening.select_stocks(snapshot(spark, sf_dir)), 5, F.col("score").desc(), F.col("symbol").cast("int"))
+    urgent = screening.top(merged_of(spark, sf_dir).filter("score >= 85"), 5, F.col("score").desc(), F.col("symbol"), F.col("origin"), F.col("action"))
+    return urgent.select(F.lit("signal").alias("part"), "symbol", F.col("action").alias("what"), "score").unionByName(best.select(F.lit("candidate").alias("part"), "symbol", F.col("fundamental_reason").alias("what"), "score"))
 
 
 @query("f21_bar_predicates", "WITH RECURSIVE " + BARS + "," + INDICATORS + " SELECT symbol, datetime::DATE::VARCHAR AS day FROM (SELECT *, lag(dif0) OVER (PARTITION BY symbol ORDER BY rn) AS d1, lag(dea0) OVER (PARTITION BY symbol ORDER BY rn) AS e1, lag(volume) OVER (PARTITION BY symbol ORDER BY rn) AS v1 FROM cross_ind) WHERE dif0 > dea0 AND d1 <= e1 AND volume > coalesce(v1, 0)")
@@ -470,11 +540,11 @@ def f21(spark, sf_dir):
     return df.select("symbol", F.date_format("datetime", "yyyy-MM-dd").alias("day"))
 
 
-@query("g10_trade_pairs", """WITH t AS (SELECT l_suppkey::VARCHAR AS symbol, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) AS seq, CASE WHEN l_returnflag = 'R' THEN 'BUY' ELSE 'SELL' END AS side, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS flow FROM lineitem),
- c AS (SELECT *, sum((side = 'BUY')::INT) OVER w AS nb, sum((side = 'SELL')::INT) OVER w AS ns FROM t WINDOW w AS (PARTITION BY symbol ORDER BY seq)),
- k AS (SELECT *, ns - greatest(coalesce(max(ns - nb) OVER (PARTITION BY symbol ORDER BY seq), 0), 0) AS ks FROM c),
- s AS (SELECT * FROM (SELECT *, coalesce(lag(ks) OVER (PARTITION BY symbol ORDER BY seq), 0) AS before FROM k WHERE side = 'SELL') WHERE ks > before)
- SELECT b.symbol, b.nb::BIGINT AS k, b.seq AS buy_seq, s.seq AS sell_seq, b.flow + s.flow AS pnl FROM k b JOIN s ON s.symbol = b.symbol AND s.ks = b.nb WHERE b.side = 'BUY'""")
+@query("g10_trade_pairs", """WITH t AS MATERIALIZED (SELECT l_suppkey::VARCHAR AS symbol, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) AS seq, l_returnflag = 'R' AS buy, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS flow FROM lineitem),
+ c AS MATERIALIZED (SELECT *, sum(buy::INT) OVER w AS nb, sum((NOT buy)::INT) OVER w AS ns FROM t WINDOW w AS (PARTITION BY symbol ORDER BY seq)),
+ k AS MATERIALIZED (SELECT *, CASE WHEN buy THEN nb ELSE ns - greatest(max(ns - nb) OVER (PARTITION BY symbol ORDER BY seq), 0) END AS k FROM c),
+ e AS MATERIALIZED (SELECT *, coalesce(lag(k) OVER (PARTITION BY symbol, buy ORDER BY seq), 0) AS before FROM k)
+ SELECT symbol, k::BIGINT AS k, max(CASE WHEN buy THEN seq END) AS buy_seq, max(CASE WHEN NOT buy THEN seq END) AS sell_seq, sum(flow) AS pnl FROM e WHERE k > before GROUP BY symbol, k HAVING count(*) = 2""")
 def g10(spark, sf_dir):
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"]
     t = src.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("symbol"), *order, F.when(F.col("l_returnflag") == "R", "BUY").otherwise("SELL").alias("side"), F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("flow"))
@@ -494,12 +564,13 @@ def g15(spark, sf_dir):
     return backtest.best_of(backtest.scan(src.daily_bars(spark, sf_dir), mas=(10, 20, 60)), "symbol")
 
 
-@query("h02_event_generation", "WITH RECURSIVE " + BARS + "," + INDICATORS + f" SELECT symbol, datetime::DATE::VARCHAR AS day, CASE WHEN golden_cross THEN 'golden_cross' ELSE 'death_cross' END AS signal_type, CASE WHEN golden_cross THEN {BUY} ELSE {SELL} END AS score FROM cross_ind WHERE (golden_cross AND {BUY} >= 60) OR (death_cross AND {SELL} >= 30)")
+@query("h02_event_generation", points_sql(""", se AS (SELECT symbol, datetime, side, CASE side WHEN 'buy' THEN buy_score ELSE sell_score END AS score, CASE WHEN side = 'buy' AND golden_cross THEN 'macd_golden_cross_' || zone WHEN side = 'sell' AND death_cross AND zone = 'near' THEN 'zero_axis_death_cross' END AS crossing FROM sc, (VALUES ('buy'), ('sell')) s(side))
+ SELECT e.symbol, e.datetime::DATE::VARCHAR AS day, e.side, coalesce(p.type, crossing) AS signal_type, CASE WHEN p.type IS NULL OR crossing IS NULL THEN coalesce(p.type, crossing) ELSE p.type || ',' || crossing END AS components, CASE WHEN score >= 60 THEN 'strong' ELSE 'structure' END AS level, score
+ FROM se e LEFT JOIN points p ON p.symbol = e.symbol AND p.confirmed_at = e.datetime AND p.side = e.side WHERE (crossing IS NOT NULL AND score >= 60) OR p.type IS NOT NULL""", SCORED))
 def h02(spark, sf_dir):
-    """One event per cross whose score reaches its limit (60 to buy, 30 to sell, as no structure point adds to it)."""
-    df = scored(ind.enriched(src.daily_bars(spark, sf_dir)))
-    rows = pool.cross_events(df, 60, 30)
-    return rows.select("symbol", F.date_format("datetime", "yyyy-MM-dd").alias("day"), "signal_type", "score")
+    """One event per fresh point, else one for a cross whose score reaches 60."""
+    events = pool.timeframe_events(scored(with_points(src.daily_bars(spark, sf_dir))))
+    return events.select("symbol", F.date_format("confirmed_at", "yyyy-MM-dd").alias("day"), "side", "signal_type", F.array_join("components", ",").alias("components"), "level", "score")
 
 
 @query("h05_currency_gate", f"WITH {EVENTS} SELECT seq FROM ids WHERE confirmed_at >= '2024-01-15' AND score >= 50")
@@ -524,28 +595,34 @@ def e13(spark, sf_dir):
  FROM own JOIN m USING (industry) LEFT JOIN mo USING (symbol) LEFT JOIN vp USING (symbol) ORDER BY composite DESC, symbol LIMIT 20""")
 def e14(spark, sf_dir):
     """Quality, valuation, momentum and volume pattern of each symbol by weight, the best 20."""
+    return screening.top(screening.composite(all_scores(spark, sf_dir)).select("symbol", "composite"), 20, F.col("composite").desc(), F.col("symbol"))
+
+
+SCORES = [FUND_CTES, OWN_PB.lstrip(", "), MOMENTUM.lstrip(", "), VOLUME_PATTERN.lstrip(", ")]
+
+
+def all_scores(spark, sf_dir):
+    """Quality, valuation, momentum and volume pattern of each symbol."""
     scores = screening.quality_score(valued(spark, sf_dir)).select("symbol", "quality", "valuation")
-    scores = scores.join(e13(spark, sf_dir), "symbol", "left").join(d19(spark, sf_dir).select("symbol", F.col("score").alias("vol_score")), "symbol", "left")
-    return screening.top(screening.composite(scores).select("symbol", "composite"), 20, F.col("composite").desc(), F.col("symbol"))
+    return scores.join(e13(spark, sf_dir), "symbol", "left").join(d19(spark, sf_dir).select("symbol", F.col("score").alias("vol_score")), "symbol", "left")
 
 
-# The whole items of which e16 and f20 above, held to their SQL, take a part.
+@query("e15_buy_gate", "WITH RECURSIVE " + ",".join([BARS, INDICATORS, *SCORES]) + f""" SELECT symbol, coalesce(q > 7 AND v > 5 AND m > 5 AND w > 2, false) AS buy, round(least(0.05::DOUBLE * CASE WHEN q + v + coalesce(m, 0) + coalesce(w, 0) > 15 THEN 1.5 WHEN q + v + coalesce(m, 0) + coalesce(w, 0) > 12 THEN 1.2 ELSE 1 END, 0.1::DOUBLE), 6) AS ratio
+ FROM (SELECT symbol, {QUALITY} AS q, {VALUE} AS v, momentum AS m, vol_score AS w FROM own JOIN m USING (industry) LEFT JOIN mo USING (symbol) LEFT JOIN vp USING (symbol))""")
+def e15(spark, sf_dir):
+    """Whether a symbol's four scores pass the gate to buy, and the share of the capital that their sum gives."""
+    return screening.buy_gate(all_scores(spark, sf_dir)).select("symbol", "buy", F.round("ratio", 6).alias("ratio"))
 
 
-@query("e16_sell_gate_whole")
-def e16_whole(spark, sf_dir):
-    """With the volume pattern and the return on equity of the year before (fixed arithmetic, as in fundamentals)."""
+@query("e16_sell_gate", snap_sql(""" SELECT account, symbol, CASE WHEN vol_score < -2 THEN 'volume' WHEN holding_days > 60 AND profit_pct < 5 THEN 'stale' WHEN profit_pct > 30 THEN 'profit' WHEN profit_pct < -12 THEN 'loss' WHEN roe_before > 0 AND (roe - roe_before) / roe_before < -0.3 THEN 'roe' ELSE 'hold' END AS reason
+ FROM pr JOIN (SELECT symbol, roe, symbol::INT * 9 % 25 + 1.5::DOUBLE AS roe_before FROM fund) USING (symbol) LEFT JOIN vp USING (symbol)""", HOLD.lstrip(", "), VOLUME_PATTERN.lstrip(", ")))
+def e16(spark, sf_dir):
+    """With the volume pattern, and the return on equity of the year before (fixed arithmetic, as in fundamentals)."""
     roe = src.fundamentals(spark, sf_dir).select("symbol", "roe", (F.pmod(F.col("symbol").cast("long") * 9, F.lit(25)) + 1.5).alias("roe_before"))
     vol = d19(spark, sf_dir).select("symbol", F.col("score").alias("vol_score"))
-    rows = positions(spark, sf_dir).join(roe, "symbol", "left").join(vol, "symbol", "left")
-    return screening.sell_gate_whole(rows).select("account", "symbol", "reason")
+    return screening.sell_gate(positions(spark, sf_dir).join(roe, "symbol", "left").join(vol, "symbol", "left")).select("account", "symbol", "reason")
 
 
 @query("f11_trend_entries")
 def f11(spark, sf_dir):
     return signals.trend_entries(pool_rows(spark, sf_dir)).select("symbol", "regime", "strategy", "action", "score")
-
-
-@query("f20_merged_whole")
-def f20_whole(spark, sf_dir):
-    return signals.merged_signals(signals.strategy_signals(pool_rows(spark, sf_dir)), held(spark, sf_dir))

@@ -76,6 +76,7 @@ avgs AS (
   FROM mac),
 ind AS (
   SELECT *, CASE WHEN count(ma60) OVER t20 >= 20 THEN regr_slope(ma60, rn) OVER t20 ELSE 0 END AS ma60_slope,
+    CASE WHEN count(ma250) OVER t20 >= 20 THEN regr_slope(ma250, rn) OVER t20 ELSE 0 END AS ma250_slope,
     {_ma(20, 'close', None, 'stddev_pop')} AS boll_sd, {_ma(20, 'pct_change', None, 'stddev_pop')} * sqrt(252) AS volatility,
     lag(ma60, 5) {K} AS ma60_before, max(close) OVER t20 AS recent_high, min(close) OVER t20 AS recent_low,
     coalesce(close >= max(close) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), false) AS breakout20,

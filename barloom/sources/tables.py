@@ -70,6 +70,12 @@ def hour_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_of(t, ["ts", "event_id"], "end", "60m")
 
 
+def minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """End-stamped 1-minute bars of the ticks."""
+    t = ticks(spark, sf_dir).withColumn("end", F.date_trunc("minute", "ts") + F.expr("interval 1 minute"))
+    return bars_of(t, ["ts", "event_id"], "end", "1m")
+
+
 def index_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One index series: per day the mean of the symbols' closes, summed in cents."""
     cents = F.round(F.col("close") * 100).cast("long")
@@ -88,6 +94,7 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
         (part(17, 600) + 20).alias("market_cap"), (part(5, 50) / 10).alias("avg_turnover"), (part(29, 60) + 5).alias("gross_margin"),
         (F.col("s_acctbal") / 10000).alias("profit_growth"), (part(19, 200) / 100).alias("ocf_to_profit"), (part(3, 12) / 100).alias("rd_ratio"),
         (part(23, 40) / 10 + 0.5).alias("pb"), (part(31, 90) / 10 + 0.2).alias("ps"),
+        part(37, 100).alias("receivables"), (part(41, 140) + 20).alias("cash"), part(43, 30).alias("interest"), (part(47, 120) - 10).alias("net_profit"), part(53, 110).alias("cash_flow"),
     )
 
 
