@@ -239,9 +239,31 @@ def concentration(holdings: DataFrame) -> DataFrame:
     return joined.withColumn("share", F.col("amount") / F.nullif("_total", F.lit(0.0))).drop("_of", "_total")
 
 
-def breakdown(trades: DataFrame, by: str) -> DataFrame:
-    """Trades, win rate, total and mean days by a label."""
-    return trades.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("pnl_pct") > 0).cast("int")).alias("win_rate"), F.sum("pnl_pct").alias("total_pnl"), F.avg("holding_days").alias("avg_days"))
+def unmatched_entries(trades: DataFrame) -> DataFrame:
+    """Purchases that no effective sale closes."""
+    pairs = pair_trades(trades).select("symbol", F.col("buy_seq").alias("seq"))
+    return trades.filter("side = 'BUY'").join(pairs, ["symbol", "seq"], "left_anti")
+
+
+def regime_on(rows: DataFrame, regimes: DataFrame, day: str = "day") -> DataFrame:
+    """``regime`` as of each row's day: a dated regime holds until the day before the next; ``unknown`` before the first.
+
+    There is one regime a day, so each is spread over the days it holds and met by an equi-join.
+    """
+    dated = regimes.select(F.to_date("datetime").alias("_from"), "regime")
+    until = F.coalesce(F.date_sub(F.lead("_from").over(Window.orderBy("_from")), 1), F.date_add("_from", 3650))
+    spread = dated.withColumn("_until", until).select("regime", F.explode(F.sequence("_from", "_until")).alias(day))
+    return rows.join(spread, day, "left").withColumn("regime", F.coalesce("regime", F.lit("unknown")))
+
+
+def breakdown(trades: DataFrame, signals: DataFrame, pnl: str = "pnl_pct") -> DataFrame:
+    """By regime of either side: trades, signals, win rate, profit to loss, mean days, total."""
+    value = F.col(pnl)
+    gain, loss = F.avg(F.when(value > 0, value)), F.abs(F.avg(F.when(value < 0, value)))
+    t = trades.groupBy("regime").agg(F.count(F.lit(1)).alias("trade_count"), F.avg((value > 0).cast("int")).alias("win_rate"), (F.coalesce(gain, F.lit(0.0)) / F.nullif(loss, F.lit(0.0))).alias("profit_loss_ratio"), F.avg("holding_days").alias("avg_holding_days"), F.sum(value).alias("total_pnl"))
+    s = signals.groupBy("regime").agg(F.count(F.lit(1)).alias("signal_count"))
+    counts = {c: F.coalesce(c, F.lit(0)) for c in ("trade_count", "signal_count")}
+    return t.join(s, "regime", "full").withColumns(counts | {c: F.coalesce(c, F.lit(0.0)) for c in ("win_rate", "profit_loss_ratio", "avg_holding_days", "total_pnl")})
 
 
 def best_of(reports: DataFrame, key: str) -> DataFrame:

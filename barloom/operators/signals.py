@@ -41,8 +41,12 @@ def simple_regime(df: DataFrame) -> DataFrame:
     return df.withColumn("target_exposure", F.when(gap > 0.05, 0.7).when(gap < -0.05, 0.3).otherwise(0.5))
 
 
-def strategy_signals(df: DataFrame, only_trend: bool = False) -> DataFrame:
-    """What each strategy says of a pool row, routed by its regime; one row per signal. Or F05 alone, not routed."""
+def strategy_signals(df: DataFrame, only_trend: bool = False, only_reduce: bool = False) -> DataFrame:
+    """What each strategy says of a pool row, routed by its regime; one row per signal. Or F05 alone, not routed.
+
+    Trend entries of symbols not held wait for the portfolio (``allowed``, if the rows have it); ``only_reduce`` stops those
+    that add to a position.
+    """
     f, b = F.col, lambda c: F.coalesce(F.col(c), F.lit(False))
     add = lambda *xs: sum((F.when(c, p).otherwise(0) for c, p in xs), f("selection_score"))
     bullish = f("divergence") == "bullish"
@@ -51,7 +55,9 @@ def strategy_signals(df: DataFrame, only_trend: bool = False) -> DataFrame:
     act = F.when(b("held"), "ADD").otherwise("BUY")
     none = F.lit(None).cast("struct<strategy:string,action:string,score:int>")
     make = lambda name, action, score, ok: F.when(ok, F.struct(F.lit(name).alias("strategy"), action.alias("action"), score.cast("int").alias("score"))).otherwise(none)
-    trend = make("trend", act, trend_score, (trend_score >= limit) & (f("regime") != "bear"))
+    free = F.coalesce("allowed", F.lit(True)) if "allowed" in df.columns else F.lit(True)
+    open_ = F.when(b("held"), F.lit(not only_reduce)).otherwise(free)
+    trend = make("trend", act, trend_score, (trend_score >= limit) & (f("regime") != "bear") & open_)
     back_score = add((bullish, 16), (b("near_ma"), 12), (f("price_change_pct") <= 0, 8), (f("volume_ratio") >= 1, 5))
     reversion = make("reversion", act, back_score, (back_score >= 70) & bullish)
     break_score = add((b("breakout"), 18), (f("volume_ratio") >= 1.6, 12), (f("slope") > 0, 8))
@@ -98,11 +104,48 @@ def position_risk(df: DataFrame) -> DataFrame:
     return df.withColumn("action", action).withColumn("position_change", F.when(action == "SELL", -1.0).when(action == "REDUCE", -0.25).otherwise(0.0))
 
 
-def portfolio_gate(df: DataFrame, cap: float = 1.0) -> DataFrame:
-    """exposure, deepest loss, and whether new positions are allowed."""
-    out = df.agg(F.least(F.round(F.sum("exposure"), 9), F.lit(1.5)).alias("exposure"), F.greatest(-F.min("profit_pct"), F.lit(0.0)).alias("drawdown_pct"))
-    reason = F.when(F.col("drawdown_pct") > 20, "drawdown").when(F.col("exposure") > cap, "exposure").otherwise("allowed")
-    return out.withColumn("reason", reason).withColumn("allowed", reason == "allowed")
+def portfolio_stats(positions: DataFrame, *by: str, base: float = 0.25) -> DataFrame:
+    """exposure (``base`` for a position that states none, 1.5 at most in sum) and the deepest loss, which also stands for
+    the loss of the day; of all positions, or by columns."""
+    loss = F.greatest(F.coalesce(-F.min("profit_pct"), F.lit(0.0)), F.lit(0.0)) / 100
+    stated = F.coalesce("exposure", F.lit(base)) if "exposure" in positions.columns else F.lit(base)
+    out = positions.groupBy(*by).agg(F.least(F.round(F.coalesce(F.sum(stated), F.lit(0.0)), 9), F.lit(1.5)).alias("exposure"), loss.alias("drawdown"))
+    return out.withColumn("day_loss", F.col("drawdown"))
+
+
+def account_days(holdings: DataFrame, bars: DataFrame) -> DataFrame:
+    """F15 by account and trade day: value, exposure (positions at 25 %), drawdown from the account's peak, and the loss of the day.
+
+    Holdings (account, symbol, shares, cost, holding_days before the last trade day) are spread over the calendar by an
+    equi-join on days, priced by the last close until then (the cost before the first); values sum by account and day.
+    """
+    days = bars.select(F.to_date("datetime").alias("day")).distinct()
+    own = holdings.withColumn("_last", days.agg(F.max("day")).scalar()).select("account", "symbol", "shares", "cost", F.explode(F.sequence(F.date_sub("_last", F.col("holding_days")), F.col("_last"))).alias("day"))
+    prices = bars.select("symbol", F.to_date("datetime").alias("day"), "close")
+    line = own.join(days, "day", "left_semi").join(prices, ["symbol", "day"], "left")
+    by = Window.partitionBy("account", "symbol").orderBy("day")
+    line = line.withColumn("price", F.coalesce(F.last("close", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)), F.col("cost")))
+    line = line.withColumn("before", F.coalesce(F.lag("price").over(by), F.col("cost")))
+    of = lambda c: F.sum(F.col("shares") * F.col(c))
+    out = line.groupBy("account", "day").agg(of("price").alias("value"), of("before").alias("before"), of("cost").alias("paid"), F.least(F.count(F.lit(1)) * 0.25, F.lit(1.5)).alias("exposure"))
+    upto = Window.partitionBy("account").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    ratio = F.col("value") / F.nullif("paid", F.lit(0.0))
+    out = out.withColumn("_r", ratio).withColumn("drawdown", F.coalesce(1 - F.col("_r") / F.greatest(F.max("_r").over(upto), F.lit(1.0)), F.lit(0.0)))
+    return out.withColumn("day_loss", F.greatest(F.coalesce(1 - F.col("value") / F.nullif("before", F.lit(0.0)), F.lit(0.0)), F.lit(0.0))).drop("_r", "before", "paid")
+
+
+def portfolio_gate(stats: DataFrame, max_drawdown: float = 0.20, max_day_loss: float = 0.02, cap: float = 1.0, disable_new: bool = False, only_reduce: bool = False, despite_drawdown: bool = False) -> DataFrame:
+    """the flags of portfolio statistics, and whether new positions are allowed. Two switches are set by hand;
+    ``despite_drawdown`` lets losses flag but not block."""
+    b = lambda c: F.round(c, 9)
+    flags = [
+        (F.lit(disable_new), "manual_disable_new_positions", True), (b("drawdown") > max_drawdown, "portfolio_drawdown_limit", not despite_drawdown), (b("day_loss") > max_day_loss, "single_day_drawdown_limit", not despite_drawdown),
+        (b("exposure") > cap, "manual_exposure_limit", True), (F.lit(only_reduce), "only_reduce_positions", True),
+    ]
+    blocked = F.lit(False)
+    for ok, _, blocks in flags:
+        blocked = (blocked | ok) if blocks else blocked
+    return stats.withColumns({"flags": F.array_compact(F.array(*[F.when(ok, name) for ok, name, _ in flags])), "allowed": ~blocked})
 
 
 def valued_positions(df: DataFrame) -> DataFrame:

@@ -122,7 +122,18 @@ def c22_volume_sums(spark, sf_dir):
     return dated(df).select("symbol", "day", F.round(ratio, 6).alias("short_long_ratio"), F.round(F.sum("dif0").over(ind.trailing(5)), 6).alias("dif_sum"), F.coalesce(F.signum(F.round(F.col("ma250") - ind.lag("ma250"), 9)), F.lit(0.0)).cast("int").alias("ma250_direction"))
 
 
-@query("c19_adx_trend")
+#: Wilder's sums from the 14th change on, then the mean of the index from the 14th of those.
+ADX = """
+dm AS (SELECT *, CASE WHEN u > d AND u > 0 THEN u ELSE 0 END AS plus, CASE WHEN d > u AND d > 0 THEN d ELSE 0 END AS minus FROM (SELECT *, high - lag(high) OVER k AS u, lag(low) OVER k - low AS d, greatest(high - low, abs(high - lag(close) OVER k), abs(low - lag(close) OVER k)) AS tr FROM cross_ind WINDOW k AS (PARTITION BY symbol ORDER BY rn))),
+ds AS (SELECT *, sum(tr) OVER w AS t14, sum(plus) OVER w AS p14, sum(minus) OVER w AS m14 FROM dm WINDOW w AS (PARTITION BY symbol ORDER BY rn ROWS 13 PRECEDING)),
+wr AS (SELECT symbol, rn, t14::DOUBLE AS t, p14::DOUBLE AS p, m14::DOUBLE AS m FROM ds WHERE rn = 15
+  UNION ALL SELECT d.symbol, d.rn, r.t - r.t / 14 + d.tr, r.p - r.p / 14 + d.plus, r.m - r.m / 14 + d.minus FROM wr r JOIN ds d ON d.symbol = r.symbol AND d.rn = r.rn + 1),
+dx AS (SELECT symbol, rn, CASE WHEN t <> 0 AND p + m <> 0 THEN 100.0::DOUBLE * abs(p / t - m / t) / (p / t + m / t) ELSE 0 END AS x FROM wr),
+dy AS (SELECT *, avg(x) OVER (PARTITION BY symbol ORDER BY rn ROWS 13 PRECEDING) AS x14 FROM dx),
+ax AS (SELECT symbol, rn, x14 AS adx FROM dy WHERE rn = 28 UNION ALL SELECT d.symbol, d.rn, (r.adx * 13 + d.x) / 14 FROM ax r JOIN dy d ON d.symbol = r.symbol AND d.rn = r.rn + 1)"""
+
+
+@query("c19_adx_trend", from_indicators(" SELECT symbol, round(adx, 6) AS adx, CASE WHEN adx > 25 AND ma50 > ma200 * 1.02 THEN 'up' WHEN adx > 25 AND ma50 < ma200 * 0.98 THEN 'down' ELSE 'sideways' END AS trend FROM cross_ind LEFT JOIN ax USING (symbol, rn) WHERE back = 1", ADX))
 def c19_adx_trend(spark, sf_dir):
     return ob.adx_trend(src.daily_bars(spark, sf_dir))
 

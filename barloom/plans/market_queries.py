@@ -286,10 +286,27 @@ def f13(spark, sf_dir):
     return signals.position_risk(positions(spark, sf_dir)).select("account", "symbol", *r6("stop_loss", "take_profit"), "action")
 
 
-@query("f14_portfolio_gate", snap_sql(" SELECT round(least(round(sum(0.0001::DOUBLE * shares), 9), 1.5), 6) AS exposure, round(greatest(-min(profit_pct), 0), 6) AS drawdown_pct, CASE WHEN greatest(-min(profit_pct), 0) > 20 THEN 'drawdown' WHEN least(round(sum(0.0001::DOUBLE * shares), 9), 1.5) > 1 THEN 'exposure' ELSE 'allowed' END AS reason FROM pr", HOLD.lstrip(", ")))
+GATE = "array_to_string([x FOR x IN [CASE WHEN round(drawdown, 9) > 0.2 THEN 'portfolio_drawdown_limit' END, CASE WHEN round(day_loss, 9) > 0.02 THEN 'single_day_drawdown_limit' END, CASE WHEN round(exposure, 9) > 1 THEN 'manual_exposure_limit' END] IF x IS NOT NULL], ',')"
+
+
+@query("f15_portfolio_stats", snap_sql(f" SELECT *, {GATE} AS flags, {GATE} = '' AS allowed FROM (SELECT account % 10 AS desk, least(round(count(*) * 0.25::DOUBLE, 9), 1.5) AS exposure, round(greatest(-min(profit_pct), 0) / 100, 6) AS drawdown, round(greatest(-min(profit_pct), 0) / 100, 6) AS day_loss FROM pr GROUP BY account % 10)", HOLD.lstrip(", ")))
+def f15(spark, sf_dir):
+    """F14, F15 of the positions as they are, by desk."""
+    stats = signals.portfolio_stats(positions(spark, sf_dir).withColumn("desk", F.col("account") % 10), "desk")
+    return signals.portfolio_gate(stats).select("desk", "exposure", *r6("drawdown", "day_loss"), F.array_join("flags", ",").alias("flags"), "allowed")
+
+
+@query("f14_portfolio_gate", "WITH " + BARS + HOLD.split("pr AS (")[0].rstrip().rstrip(",") + f""", days AS (SELECT DISTINCT datetime::DATE AS day FROM bars),
+ line AS (SELECT account, h.symbol, shares, cost, d.day, close FROM hold h JOIN days d ON d.day >= (SELECT max(day) FROM days) - holding_days LEFT JOIN bars b ON b.symbol = h.symbol AND b.datetime::DATE = d.day),
+ priced AS (SELECT *, coalesce(last_value(close IGNORE NULLS) OVER (PARTITION BY account, symbol ORDER BY day), cost) AS price FROM line),
+ steps AS (SELECT *, coalesce(lag(price) OVER (PARTITION BY account, symbol ORDER BY day), cost) AS before FROM priced),
+ acc AS (SELECT account, day, sum(shares * price) AS value, sum(shares * before) AS before, sum(shares * price) / sum(shares * cost) AS r, least(count(*) * 0.25::DOUBLE, 1.5) AS exposure FROM steps GROUP BY account, day),
+ st AS (SELECT account, day, value, exposure, 1 - r / greatest(max(r) OVER (PARTITION BY account ORDER BY day), 1) AS drawdown, greatest(1 - value / before, 0) AS day_loss FROM acc)
+ SELECT account, day::VARCHAR AS day, round(value, 4) AS value, exposure, round(drawdown, 6) AS drawdown, round(day_loss, 6) AS day_loss, {GATE} AS flags, {GATE} = '' AS allowed FROM st""")
 def f14(spark, sf_dir):
-    """F14 and F15."""
-    return signals.portfolio_gate(positions(spark, sf_dir).withColumn("exposure", F.col("shares") * 0.0001)).select(*r6("exposure", "drawdown_pct"), "reason")
+    """F14 for every account and trade day since its purchase."""
+    days = signals.portfolio_gate(signals.account_days(src.holdings(spark, sf_dir), src.daily_bars(spark, sf_dir)))
+    return days.select("account", F.col("day").cast("string").alias("day"), F.round("value", 4).alias("value"), "exposure", *r6("drawdown", "day_loss"), F.array_join("flags", ",").alias("flags"), "allowed")
 
 
 @query("f18_position_sizing", snap_sql(" SELECT symbol, (floor(250000.0::DOUBLE / close / 100) * 100)::BIGINT AS base_shares, (floor(150000.0::DOUBLE / close / 100) * 100)::BIGINT AS mobile_shares FROM snap"))
@@ -308,7 +325,7 @@ sig AS (SELECT symbol, datetime AS d, rn AS i, CASE WHEN golden_cross AND zone =
 en AS (SELECT s.symbol, s.type, s.d, s.i + 1 AS entry_i, (SELECT min(x.i) FROM sig x WHERE x.symbol = s.symbol AND x.side = 'sell' AND x.i > s.i) AS sell_i, last_i FROM sig s JOIN lastrow USING (symbol) WHERE s.side = 'buy' AND s.i < last_i),
 ex AS (SELECT *, CASE WHEN sell_i > entry_i THEN sell_i + 1 END AS by_sell, least(coalesce(CASE WHEN sell_i > entry_i THEN sell_i + 1 END, entry_i + 40), entry_i + 40) AS want FROM en),
 tr AS (SELECT ex.symbol, ex.type, CASE WHEN want > last_i THEN 'window_end' WHEN by_sell IS NOT NULL AND by_sell <= entry_i + 40 THEN 'chan_sell' ELSE 'timeout' END AS reason,
-    (CASE WHEN want > last_i THEN o.close ELSE o.open END * (1 - 0.0003 - 0.001 - 0.0005) / (e.open * (1 + 0.0003 + 0.0005)) - 1) * 100 AS pnl_pct, date_diff('day', d, o.datetime) AS holding_days
+    (CASE WHEN want > last_i THEN o.close ELSE o.open END * (1 - 0.0003 - 0.001 - 0.0005) / (e.open * (1 + 0.0003 + 0.0005)) - 1) * 100 AS pnl_pct, date_diff('day', d, o.datetime) AS holding_days, d
   FROM ex JOIN cross_ind e ON e.symbol = ex.symbol AND e.rn = entry_i JOIN cross_ind o ON o.symbol = ex.symbol AND o.rn = least(want, last_i))"""
 G = "WITH RECURSIVE " + ",".join([BARS, INDICATORS, MERGED, FRACTALS, STROKES, POINTS]) + TRADES
 
@@ -546,17 +563,40 @@ def f21(spark, sf_dir):
  e AS MATERIALIZED (SELECT *, coalesce(lag(k) OVER (PARTITION BY symbol, buy ORDER BY seq), 0) AS before FROM k)
  SELECT symbol, k::BIGINT AS k, max(CASE WHEN buy THEN seq END) AS buy_seq, max(CASE WHEN NOT buy THEN seq END) AS sell_seq, sum(flow) AS pnl FROM e WHERE k > before GROUP BY symbol, k HAVING count(*) = 2""")
 def g10(spark, sf_dir):
-    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"]
-    t = src.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("symbol"), *order, F.when(F.col("l_returnflag") == "R", "BUY").otherwise("SELL").alias("side"), F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("flow"))
-    t = t.withColumn("seq", F.row_number().over(Window.partitionBy("symbol").orderBy(*order)))
-    return backtest.pair_trades(t).select("symbol", F.col("k").cast("long").alias("k"), "buy_seq", "sell_seq", "pnl")
+    return backtest.pair_trades(line_trades(spark, sf_dir)).select("symbol", F.col("k").cast("long").alias("k"), "buy_seq", "sell_seq", "pnl")
 
 
-@query("g13_regime_breakdown", G + """, b AS (SELECT symbol, type, reason AS regime, pnl_pct, holding_days FROM tr) SELECT regime, count(*) AS n, round(avg((pnl_pct > 0)::INT), 6) AS win_rate, round(sum(pnl_pct), 4) AS total_pnl, round(avg(holding_days), 6) AS avg_days FROM b GROUP BY regime""")
+def line_trades(spark, sf_dir):
+    """Line items as trades: returned ones buy, others sell."""
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"]
+    t = src.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("symbol"), *order, F.when(F.col("l_returnflag") == "R", "BUY").otherwise("SELL").alias("side"), F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("flow"))
+    return t.withColumn("seq", F.row_number().over(Window.partitionBy("symbol").orderBy(*order)))
+
+
+@query("g12_completed_trades", SQL["g10_trade_pairs"].split(" SELECT symbol, k::BIGINT AS k")[0] + """, p AS (SELECT symbol, k, max(CASE WHEN buy THEN seq END) AS seq, sum(flow) AS pnl FROM e WHERE k > before GROUP BY symbol, k HAVING count(*) = 2),
+ b AS (SELECT symbol, count(*) AS entries, sum(-flow) AS spent FROM t WHERE buy GROUP BY symbol)
+ SELECT symbol, entries, coalesce(n, 0) AS completed, entries - coalesce(n, 0) AS unmatched, round(coalesce(w, 0), 6)::DOUBLE AS completed_win_rate FROM b LEFT JOIN (SELECT symbol, count(*) AS n, avg((pnl > 0)::INT) AS w FROM p GROUP BY symbol) USING (symbol)""")
+def g12(spark, sf_dir):
+    """By symbol: entries, those completed by G10's pairs, those that stay unmatched, and the win rate of the completed."""
+    t = line_trades(spark, sf_dir)
+    entries = t.filter("side = 'BUY'").groupBy("symbol").agg(F.count(F.lit(1)).alias("entries"))
+    done = backtest.pair_trades(t).groupBy("symbol").agg(F.count(F.lit(1)).alias("completed"), F.avg((F.col("pnl") > 0).cast("int")).alias("w"))
+    open_ = backtest.unmatched_entries(t).groupBy("symbol").agg(F.count(F.lit(1)).alias("unmatched"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return entries.join(done, "symbol", "left").join(open_, "symbol", "left").select("symbol", "entries", zero("completed"), zero("unmatched"), F.round(F.coalesce("w", F.lit(0.0)), 6).alias("completed_win_rate"))
+
+
+@query("g13_regime_breakdown", G + ", " + REGIME.split("WITH RECURSIVE " + BARS + ",")[1] + """, rg AS (SELECT datetime::DATE AS day, regime FROM regime),
+ tg AS (SELECT coalesce(regime, 'unknown') AS regime, count(*) AS trade_count, round(avg((pnl_pct > 0)::INT), 6) AS win_rate, round(coalesce(avg(pnl_pct) FILTER (pnl_pct > 0), 0) / nullif(abs(avg(pnl_pct) FILTER (pnl_pct < 0)), 0), 6) AS profit_loss_ratio, round(avg(holding_days), 6) AS avg_holding_days, round(sum(pnl_pct), 4) AS total_pnl FROM tr ASOF LEFT JOIN rg ON tr.d::DATE >= rg.day GROUP BY 1),
+ sg AS (SELECT coalesce(regime, 'unknown') AS regime, count(*) AS signal_count FROM sig ASOF LEFT JOIN rg ON sig.d::DATE >= rg.day GROUP BY 1)
+ SELECT coalesce(tg.regime, sg.regime) AS regime, coalesce(trade_count, 0) AS trade_count, coalesce(signal_count, 0) AS signal_count, coalesce(win_rate, 0) AS win_rate, coalesce(profit_loss_ratio, 0) AS profit_loss_ratio, coalesce(avg_holding_days, 0) AS avg_holding_days, coalesce(total_pnl, 0) AS total_pnl FROM tg FULL JOIN sg ON tg.regime = sg.regime""")
 def g13(spark, sf_dir):
-    """The breakdown of trades by a label column; here their exit reason stands for the regime."""
-    out = backtest.breakdown(trades_of(spark, sf_dir).withColumn("regime", F.col("reason")), "regime")
-    return out.select("regime", "n", *r6("win_rate"), F.round("total_pnl", 4).alias("total_pnl"), *r6("avg_days"))
+    """Trades and signals by the regime of the index on the day of the signal."""
+    bars = src.daily_bars(spark, sf_dir)
+    found = backtest.collected_signals(ind.crosses(ind.with_macd(bars)), chan.chan_signals(bars))
+    dated = signals.regimes(src.index_bars(spark, sf_dir)).select("datetime", "regime")
+    out = backtest.breakdown(backtest.regime_on(backtest.win_trades(bars, found), dated), backtest.regime_on(found, dated))
+    return out.select("regime", "trade_count", "signal_count", *r6("win_rate", "profit_loss_ratio", "avg_holding_days"), F.round("total_pnl", 4).alias("total_pnl"))
 
 
 @query("g15_strategy_comparison")
@@ -623,6 +663,8 @@ def e16(spark, sf_dir):
     return screening.sell_gate(positions(spark, sf_dir).join(roe, "symbol", "left").join(vol, "symbol", "left")).select("account", "symbol", "reason")
 
 
-@query("f11_trend_entries")
+@query("f11_trend_entries", snap_sql(" SELECT symbol, regime, 'trend' AS strategy, act AS action, tsc::INT AS score FROM fl WHERE tf AND regime <> 'bear' AND (held OR s_i % 5 <> 0) ORDER BY score DESC, symbol LIMIT 10", STRAT.lstrip(", ")))
 def f11(spark, sf_dir):
-    return signals.trend_entries(pool_rows(spark, sf_dir)).select("symbol", "regime", "strategy", "action", "score")
+    """The ten best; the portfolios behind every fifth symbol take no new positions."""
+    rows = pool_rows(spark, sf_dir).withColumn("allowed", F.col("symbol").cast("int") % 5 != 0)
+    return signals.trend_entries(rows).select("symbol", "regime", "strategy", "action", "score")

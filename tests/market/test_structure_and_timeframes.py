@@ -141,3 +141,56 @@ def test_turns_and_gates(spark):
     assert got[3:] == [(True, False, False), (False, True, False), (False, False, True)]
     scores = spark.createDataFrame([("A", 8, 6, 6, 3), ("B", 8, 6, 5, 3), ("C", 9, 4, None, None)], "symbol string, quality int, valuation int, momentum int, vol_score int")
     assert {r.symbol: (r.buy, round(r.ratio, 4)) for r in screening.buy_gate(scores).collect()} == {"A": (True, 0.075), "B": (False, 0.075), "C": (False, 0.06)}
+
+
+def test_portfolio_gate(spark):
+    from barloom.operators import signals
+
+    stats = spark.createDataFrame([(0.25, 0.01, 0.6), (0.2, 0.02, 1.0), (0.0, 0.03, 1.1)], "drawdown double, day_loss double, exposure double")
+    flags = lambda **k: [(r.flags, r.allowed) for r in signals.portfolio_gate(stats, **k).collect()]
+    assert flags() == [(["portfolio_drawdown_limit"], False), ([], True), (["single_day_drawdown_limit", "manual_exposure_limit"], False)]
+    assert flags(despite_drawdown=True) == [(["portfolio_drawdown_limit"], True), ([], True), (["single_day_drawdown_limit", "manual_exposure_limit"], False)]
+    assert flags(disable_new=True)[1] == (["manual_disable_new_positions"], False) and flags(only_reduce=True)[1] == (["only_reduce_positions"], False)
+    held = spark.createDataFrame([("a", -10.0, None), ("a", 5.0, 0.5), ("b", 3.0, None)], "desk string, profit_pct double, exposure double")
+    assert {r.desk: (r.exposure, r.drawdown, r.day_loss) for r in signals.portfolio_stats(held, "desk").collect()} == {"a": (0.75, 0.1, 0.1), "b": (0.25, 0.0, 0.0)}
+
+
+def test_account_days(spark):
+    """Two positions of one account, bought on different days; a day without a bar keeps the last close."""
+    from barloom.operators import signals
+
+    day = lambda n: datetime(2025, 1, n)
+    prices = spark.createDataFrame([("X", day(1), 10.0), ("X", day(2), 12.0), ("X", day(4), 9.0), ("Y", day(1), 5.0), ("Y", day(3), 6.0), ("Y", day(4), 6.0)], "symbol string, datetime timestamp, close double")
+    own = spark.createDataFrame([(1, "X", 10, 10.0, 3), (1, "Y", 10, 5.0, 1)], "account int, symbol string, shares int, cost double, holding_days int")
+    got = {r.day.day: r for r in signals.account_days(own, prices).collect()}
+    assert {d: r.value for d, r in got.items()} == {1: 100.0, 2: 120.0, 3: 180.0, 4: 150.0}
+    assert got[3].day_loss == 0 and got[4].day_loss == pytest.approx(1 - 150 / 180)
+    assert got[4].drawdown == pytest.approx(1 - (150 / 150) / 1.2) and got[3].drawdown == 0 and got[4].exposure == 0.5
+
+
+def test_trend_waits_for_the_portfolio(spark):
+    from barloom.operators import signals
+
+    rows = [(s, "bull", 80, held, allowed) for s, held, allowed in (("A", False, True), ("B", False, False), ("C", True, False))]
+    df = spark.createDataFrame(rows, "symbol string, regime string, selection_score int, held boolean, allowed boolean").selectExpr("*", "1.0D slope", "true near_ma", "true above_ma", "'none' divergence", "false bear_trap", "false golden_cross", "1.0D volume_ratio", "0.0D price_change_pct", "false breakout")
+    of = lambda **k: {(r.symbol, r.action, r.score) for r in signals.strategy_signals(df, **k).collect()}
+    assert of() == {("A", "BUY", 107), ("C", "ADD", 107)} and of(only_reduce=True) == {("A", "BUY", 107)}
+
+
+def test_regimes_as_of_and_breakdown(spark):
+    from barloom.operators import signals  # noqa: F401
+
+    d = lambda n: datetime(2025, 1, n).date()
+    regimes = spark.createDataFrame([(datetime(2025, 1, 3), "bull"), (datetime(2025, 1, 6), "bear")], "datetime timestamp, regime string")
+    trades = spark.createDataFrame([(d(4), 4.0, 5), (d(5), -2.0, 3), (d(9), 0.0, 1)], "day date, pnl_pct double, holding_days int")
+    found = spark.createDataFrame([(d(2),), (d(3),), (d(4),)], "day date")
+    out = {r.regime: r for r in backtest.breakdown(backtest.regime_on(trades, regimes), backtest.regime_on(found, regimes)).collect()}
+    assert {k: (r.trade_count, r.signal_count) for k, r in out.items()} == {"bull": (2, 2), "bear": (1, 0), "unknown": (0, 1)}
+    assert (out["bull"].win_rate, out["bull"].profit_loss_ratio, out["bull"].avg_holding_days, out["bull"].total_pnl) == (0.5, 2.0, 4.0, 2.0)
+    assert out["bear"].profit_loss_ratio == 0 and out["unknown"].win_rate == 0
+
+
+def test_unmatched_entries(spark):
+    t = spark.createDataFrame([("X", 1, "SELL", 1.0), ("X", 2, "BUY", -1.0), ("X", 3, "BUY", -1.0), ("X", 4, "SELL", 2.0), ("X", 5, "BUY", -1.0)], "symbol string, seq int, side string, flow double")
+    assert {r.seq for r in backtest.unmatched_entries(t).collect()} == {3, 5}
+    assert [(r.k, r.buy_seq, r.sell_seq, r.pnl) for r in backtest.pair_trades(t).collect()] == [(1, 2, 4, 1.0)]
