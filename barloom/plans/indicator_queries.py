@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -317,8 +315,7 @@ def a19_report_periods(spark, sf_dir):
 @query("a21_report_files", from_bars(" SELECT symbol, datetime::DATE::VARCHAR AS day, close FROM bars"))
 def a21_report_files(spark, sf_dir):
     """All bars, written as Parquet by month into a folder of this run and read again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/barloom-report-{uuid.uuid4().hex}"
+    path = src.run_folder(spark, "report")
     out = dated(src.daily_bars(spark, sf_dir)).select("symbol", "day", "close", F.substring("day", 1, 7).alias("month"))
     # rows of a month go to at most four tasks, so that not every task writes a file for every month
     src.write_report(out.repartition(F.col("month"), F.pmod(F.xxhash64("symbol"), F.lit(4))), path, by=("month",))

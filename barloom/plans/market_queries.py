@@ -13,6 +13,8 @@ from barloom.plans.indicator_queries import r6, rsql
 from barloom.plans.sql import BARS, INDEX, INDICATORS, TICKS, macd
 from barloom.plans.structure_queries import DIVERGENCE, FRACTALS, MERGED, POINTS, STROKES, VOLUME_PATTERN, d19, points_sql
 from barloom.sources import tables as src
+from barloom.streaming import bars as stream
+from barloom.streaming.store import VersionedTable, unseen, upsert_stream
 
 QUERIES, SQL = {}, {}
 
@@ -668,3 +670,52 @@ def f11(spark, sf_dir):
     """The ten best; the portfolios behind every fifth symbol take no new positions."""
     rows = pool_rows(spark, sf_dir).withColumn("allowed", F.col("symbol").cast("int") % 5 != 0)
     return signals.trend_entries(rows).select("symbol", "regime", "strategy", "action", "score")
+
+
+RECORDS = G + """, re AS (SELECT tr.symbol AS ts_code, tr.d::DATE::VARCHAR AS entry_time, type, reason, pnl_pct, holding_days FROM tr)
+ SELECT 'run' AS run_id, ts_code, entry_time, NULL::VARCHAR AS exit_time, 'LONG' AS side, 0.0::DOUBLE AS entry_price, 0.0::DOUBLE AS exit_price, 100::BIGINT AS shares, holding_days::INT AS holding_days, 0.0::DOUBLE AS pnl, round(pnl_pct / 100, 6) AS pnl_ratio, 'unknown' AS regime, 'unknown' AS strategy_name, type AS entry_reason, reason AS exit_reason FROM re"""
+
+
+@query("g14_trade_records", RECORDS)
+def g14(spark, sf_dir):
+    """Closed trades as records, written as CSV and JSON lines and read again; what the two agree on."""
+    t = trades_of(spark, sf_dir).select(F.col("symbol").alias("ts_code"), F.col("day").cast("string").alias("entry_time"), F.lit(100).alias("shares"), "holding_days", F.round(F.col("pnl_pct") / 100, 6).alias("pnl_ratio"), F.col("type").alias("entry_reason"), F.col("reason").alias("exit_reason"))
+    path = src.run_folder(spark, "trades")
+    src.write_report(src.trade_records(t, "run"), f"{path}/csv", "csv")
+    whole = src.read_table(spark, f"{path}/csv", src.TRADES, "csv").filter("_corrupt is null").drop("_corrupt")
+    src.write_report(whole, f"{path}/json", "json")
+    return src.read_table(spark, f"{path}/json", src.TRADES, "json").filter("_corrupt is null").drop("_corrupt")
+
+
+EVENT_LOG = "event_id string, symbol string, signal_type string, confirmed_at string, score int"
+
+
+def event_stream(spark, sf_dir):
+    """The events table as a bounded stream. (A pattern, as a stream's plain path has to be a folder, and the table may be a file.)"""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+
+
+@query("i05_upserted_log", f"WITH {EVENTS} SELECT event_id, symbol, signal_type, confirmed_at, min(score) AS score FROM ids GROUP BY ALL")
+def i05(spark, sf_dir):
+    """Events taken into a stored log by a bounded stream, each id once; then the same stream again, which adds nothing."""
+    folder = src.run_folder(spark, "log")
+    day = F.date_format("ts", "yyyy-MM-dd")
+    rows = event_stream(spark, sf_dir).select(F.concat(F.lit("u"), "user_id").alias("symbol"), F.lit("1d").alias("timeframe"), F.col("event_type").alias("signal_type"), F.when(F.col("event_id") % 2 == 0, "buy").otherwise("sell").alias("side"), day.alias("confirmed_at"), (F.col("event_id") % 100).cast("int").alias("score"))
+    log = VersionedTable(spark, f"{folder}/log", EVENT_LOG, F.substring("confirmed_at", 1, 7))
+    for checkpoint in ("first", "again"):
+        upsert_stream(pool.with_event_id(rows), log, unseen(["event_id"]), f"{folder}/{checkpoint}", checkpoint)
+    return log.read()
+
+
+@query("i01_session_stream", """WITH t AS (SELECT event_type AS symbol, ts, coalesce(value, 0) AS price, CASE WHEN ts::TIME > TIME '09:30:00' AND ts::TIME <= TIME '11:30:00' THEN ts::DATE + INTERVAL 570 MINUTE WHEN ts::TIME > TIME '13:00:00' AND ts::TIME <= TIME '15:00:00' THEN ts::DATE + INTERVAL 780 MINUTE END AS start FROM events),
+ b AS (SELECT *, ceil(epoch_us(ts - start) / 3600000000)::BIGINT AS bucket, ceil(epoch_us(ts - start) / 1800000000)::BIGINT AS half FROM t WHERE start IS NOT NULL),
+ e AS (SELECT *, start + bucket * INTERVAL 60 MINUTE AS fin FROM b)
+ SELECT symbol, strftime(fin, '%Y-%m-%d %H:%M') AS at, arg_min(price, ts) AS open, max(price) AS high, min(price) AS low, arg_max(price, ts) AS close, count(*) AS volume FROM e WHERE fin <= (SELECT max(fin) FROM e) - INTERVAL 10 MINUTE GROUP BY symbol, fin HAVING count(DISTINCT half) = 2""")
+def i01(spark, sf_dir):
+    """Session bars of a bounded stream, those whose end the watermark has passed and whose halves both have ticks."""
+    folder = src.run_folder(spark, "sessions")
+    ticks = event_stream(spark, sf_dir).select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.coalesce("value", F.lit(0.0)).alias("price"), F.lit(1).cast("long").alias("qty"))
+    stream.run_once(stream.stream_sessions(ticks), f"{folder}/bars", f"{folder}/checkpoint")
+    out = spark.read.schema("symbol string, timeframe string, datetime timestamp, open double, high double, low double, close double, volume long").parquet(f"{folder}/bars")
+    return out.select("symbol", F.date_format("datetime", "yyyy-MM-dd HH:mm").alias("at"), "open", "high", "low", "close", "volume")

@@ -5,6 +5,9 @@ Prices are an integer walk, exact in any engine: each line item moves its suppli
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -108,14 +111,51 @@ def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def read_bars(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Bars from Parquet, CSV or JSON with the standard schema (CSV and JSON are not inferred)."""
-    schema = "symbol string, timeframe string, datetime timestamp, open double, high double, low double, close double, volume double, amount double, is_closed boolean"
-    reader = spark.read.schema(schema)
-    return reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
+BAR_SCHEMA = "symbol string, timeframe string, datetime timestamp, open double, high double, low double, close double, volume double, amount double, is_closed boolean"
+
+
+def run_folder(spark: SparkSession, what: str) -> str:
+    """A new folder for one run below spark.checkpoint.dir, which all machines share; a local session without one gets its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-barloom-")
+    return f"{base.rstrip('/')}/barloom-{what}-{uuid.uuid4().hex}"
+
 
+def read_table(spark: SparkSession, path: str, schema: str = BAR_SCHEMA, fmt: str = "parquet") -> DataFrame:
+    """Rows from Parquet, CSV or JSON lines with a given schema. Lines of CSV and JSON that do not fit it keep their text
+    in ``_corrupt`` (null for whole ones), with what could be read."""
+    if fmt == "parquet":
+        return spark.read.schema(schema).parquet(path)
+    reader = spark.read.schema(f"{schema}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
+    return reader.option("header", True).csv(path) if fmt == "csv" else reader.json(path)
 
-def write_report(df: DataFrame, path: str, fmt: str = "parquet", by: tuple[str, ...] = ()) -> None:
-    """Write a result table partitioned by run or date, replacing what was there."""
-    writer = df.write.mode("overwrite").format(fmt)
+
+def write_report(df: DataFrame, path: str, fmt: str = "parquet", by: tuple[str, ...] = (), only_touched: bool = False) -> None:
+    """A result table as Parquet, CSV (with header) or JSON lines, partitioned by run or date. Replaces the table that was
+    there, or with ``only_touched`` the partitions that the rows have."""
+    writer = df.write.mode("overwrite").format(fmt).option("header", True)
+    writer = writer.option("partitionOverwriteMode", "dynamic" if only_touched else "static")
     (writer.partitionBy(*by) if by else writer).save(path)
+
+
+#: The columns of a trades file, in order: fixed values.
+TRADE_COLUMNS = [
+    "run_id", "ts_code", "entry_time", "exit_time", "side", "entry_price", "exit_price", "shares", "holding_days", "pnl", "pnl_ratio", "regime", "strategy_name", "entry_reason", "exit_reason",
+]
+TRADES = "run_id string, ts_code string, entry_time string, exit_time string, side string, entry_price double, exit_price double, shares long, holding_days int, pnl double, pnl_ratio double, regime string, strategy_name string, entry_reason string, exit_reason string"
+
+
+def trade_records(trades: DataFrame, run_id: str) -> DataFrame:
+    """Closed trades as records of the fixed columns; what is missing falls back to 0, unknown, LONG or an empty text."""
+    empty = {"side": "LONG", "regime": "unknown", "strategy_name": "unknown", "entry_reason": "", "exit_reason": ""}
+    kinds = dict(x.split() for x in TRADES.split(", "))
+    out = []
+    for c in TRADE_COLUMNS:
+        value = F.lit(run_id) if c == "run_id" else F.col(c) if c in trades.columns else F.lit(None)
+        default = F.lit(empty[c]) if c in empty else F.lit(0) if kinds[c] in ("double", "long", "int") else F.lit(None)
+        text = F.nullif(value.cast("string"), F.lit("")) if c in ("side", "regime", "strategy_name") else value
+        out.append(F.coalesce(text, default).cast(kinds[c]).alias(c))
+    return trades.select(*out)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from barloom.operators.bars import SESSIONS
+
 STATE = "n int, e12 double, e26 double, dea double, dif0 double, dea0 double"
 ALERT = "symbol string, datetime timestamp, close double, dif double, dea double, golden_cross boolean, death_cross boolean"
 
@@ -23,6 +25,28 @@ def stream_hours(ticks: DataFrame, delay: str = "2 hours") -> DataFrame:
     return out.select("symbol", F.col("window.end").alias("datetime"), "open", "high", "low", "close", "volume")
 
 
+def stream_sessions(ticks: DataFrame, target: int = 60, source: int = 30, delay: str = "10 minutes", sessions=SESSIONS) -> DataFrame:
+    """Bars of ``target`` minutes aligned to trading sessions, of ticks (symbol, ts, price, qty).
+
+    A tick belongs to the bucket whose end is the watermarked key, so a bar comes once the watermark passes that end. Bars with
+    a stretch of ``source`` minutes without ticks are incomplete and left out; later ticks are dropped and counted by Spark.
+    """
+    if target % source:
+        raise ValueError("the target must be a multiple of the source")
+    clock = F.date_format("ts", "HH:mm:ss.SSSSSS")
+    start = F.coalesce(*[F.when((clock > a) & (clock <= f"{z}.000000"), F.unix_timestamp(F.concat(F.date_format("ts", "yyyy-MM-dd "), F.lit(a)))) for a, z in sessions])
+    rows = ticks.withColumn("_start", start).filter("_start is not null")
+    minute = (F.unix_micros("ts") - F.col("_start") * 1_000_000) / 60_000_000  # above 0, up to the session's length
+    bucket = F.ceil(minute / target).cast("long")
+    slot = F.ceil(minute / source).cast("long") - 1 - (bucket - 1) * (target // source)
+    rows = rows.withColumn("end", F.timestamp_seconds(F.col("_start") + bucket * target * 60)).withColumn("_slot", F.call_function("shiftleft", F.lit(1), slot.cast("int")))
+    out = rows.withWatermark("end", delay).groupBy("symbol", "end").agg(
+        F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"), F.sum("qty").alias("volume"), F.bit_or("_slot").alias("_slots")
+    )
+    complete = out.filter(F.col("_slots") == (1 << (target // source)) - 1)
+    return complete.select("symbol", F.lit(f"{target}m").alias("timeframe"), F.col("end").alias("datetime"), "open", "high", "low", "close", "volume")
+
+
 def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     n, e12, e26, dea, last_dif, last_dea = state.get if state.exists else (0, 0.0, 0.0, 0.0, 0.0, 0.0)
     pdf = pd.concat(list(frames)).sort_values("datetime", kind="stable")
