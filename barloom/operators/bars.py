@@ -80,11 +80,18 @@ def restrict(df: DataFrame, watchlist: DataFrame) -> DataFrame:
     return df.join(wanted, F.upper(F.trim(df["symbol"])) == F.col("_w"), "left_semi")
 
 
-def liquid(bars: DataFrame, n: int = 30, least: float = 1e7) -> DataFrame:
-    """Symbols whose mean amount over the last n bars is large enough."""
+def liquid(bars: DataFrame, n: int = 30, least: float = 1e7, listed: DataFrame | None = None, as_of: str | Column | None = None, min_age: int = 500) -> DataFrame:
+    """Symbols whose mean amount over the last n bars is large enough; of ``listed`` (symbol, name, list_date) those without
+    ST or * in the name that have been listed for ``min_age`` days as of a date."""
     back = Window.partitionBy(*KEY).orderBy(F.col("datetime").desc())
     last = bars.withColumn("_b", F.row_number().over(back)).filter(F.col("_b") <= n)
-    return last.groupBy("symbol").agg(F.avg("amount").alias("mean_amount")).filter(F.col("mean_amount") >= least)
+    out = last.groupBy("symbol").agg(F.avg("amount").alias("mean_amount")).filter(F.col("mean_amount") >= least)
+    if listed is None:
+        return out
+    day = F.lit(as_of).cast("date") if isinstance(as_of, str) else as_of
+    plain = ~F.coalesce(F.col("name").contains("ST") | F.col("name").contains("*"), F.lit(False))
+    old = F.coalesce(F.datediff(day, "list_date") >= min_age, F.lit(False))
+    return out.join(listed.filter(plain & old).select("symbol").distinct(), "symbol", "left_semi")
 
 
 def fix_turnover(df: DataFrame) -> DataFrame:
@@ -101,11 +108,14 @@ def latest_fundamentals(reports: DataFrame, order: list[str]) -> DataFrame:
 
 
 def daily_basics(bars: DataFrame, per_share: DataFrame) -> DataFrame:
-    """Of the last bar: volume against the five bars before, and price to earnings (null for no or zero earnings)."""
+    """A15 of the last bar: volume against the five bars before, price to earnings and to book (null for none or zero), and the
+    market value of the outstanding shares in units of 10,000, as far as ``per_share`` has eps, bps and shares."""
     before = by_time().rowsBetween(-5, -1)
     mean = F.when(F.count("volume").over(before) == 5, F.avg("volume").over(before))
     rows = latest(bars.withColumn("volume_ratio", F.col("volume") / F.nullif(mean, F.lit(0.0))))
-    return rows.join(per_share, "symbol", "left").withColumn("pe", F.col("close") / F.nullif(F.col("eps"), F.lit(0.0)))
+    rows = rows.join(per_share, "symbol", "left").withColumn("pe", F.col("close") / F.nullif(F.col("eps"), F.lit(0.0)))
+    has = lambda c, value: value if c in per_share.columns else F.lit(None).cast("double")
+    return rows.withColumns({"pb": has("bps", F.col("close") / F.nullif(F.col("bps"), F.lit(0.0))), "total_mv": has("shares", F.col("close") * F.nullif(F.col("shares"), F.lit(0.0)) / 10000)})
 
 
 def month_days(bars: DataFrame) -> DataFrame:
@@ -113,10 +123,23 @@ def month_days(bars: DataFrame) -> DataFrame:
     return bars.groupBy(F.trunc(day, "month").alias("month")).agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"))
 
 
-def listing_cutoff(bars: DataFrame, n: int = 120) -> DataFrame:
-    """The n-th last trade date, from the distinct dates."""
+def trade_days(bars: DataFrame) -> DataFrame:
+    """The calendar as a table of ordinals (day, n from 1): n days back is an equi-join on n. It has one row a day."""
     days = bars.select(F.to_date("datetime").alias("day")).distinct()
-    return days.orderBy(F.col("day").desc()).limit(n).groupBy().agg(F.min("day").alias("day"))
+    return days.withColumn("n", F.row_number().over(Window.orderBy("day")))
+
+
+def listing_cutoff(days: DataFrame, n: int = 120) -> DataFrame:
+    """The n-th last trade day (day, n of ``trade_days``); of a shorter calendar the last day less n * 7 / 5 + 30 days."""
+    last = days.agg(F.max("n").alias("_n"), F.max("day").alias("_day"), F.max_by("day", "n").alias("_last"))
+    found = last.join(days.select("day", (F.col("n") + n - 1).alias("_n")), "_n", "left")
+    return found.filter("_day is not null").select(F.coalesce("day", F.date_sub("_last", int(n * 7 / 5) + 30)).alias("day"))
+
+
+def on_trade_days(rows: DataFrame, days: DataFrame, ts: str = "ts") -> DataFrame:
+    """Rows within the sessions of a trade day, so not on holidays."""
+    known = days.select(F.col("day").alias("_day"))
+    return rows.filter(in_session(F.col(ts))).join(known, F.to_date(rows[ts]) == F.col("_day"), "left_semi")
 
 
 def in_session(ts: Column) -> Column:

@@ -133,6 +133,17 @@ def volume_price_state(df: DataFrame) -> DataFrame:
     return df.withColumn("vp_state", F.when(F.col("vol5_before").isNotNull(), state))
 
 
+def volume_sums(df: DataFrame, short: int = 5, long: int = 20) -> DataFrame:
+    """Mean volumes of short and long windows as a ratio and a status (1, 0, -1), sums of MACD and signal over the short one,
+    and the direction of the 250-bar average."""
+    a, z = F.avg("volume").over(trailing(short)), F.avg("volume").over(trailing(long))
+    sign = lambda x: F.coalesce(F.signum(F.round(x, 9)), F.lit(0.0)).cast("int")
+    return df.withColumns({
+        "short_long_ratio": a / F.nullif(z, F.lit(0.0)), "volume_status": sign(a - z), "dif_sum": F.sum("dif0").over(trailing(short)),
+        "signal_sum": F.sum("dea0").over(trailing(short)), "ma250_direction": sign(F.col("ma250") - lag("ma250")),
+    })
+
+
 def chip_distribution(df: DataFrame, n: int = 20) -> DataFrame:
     """Shares of the last n bars' volume that traded below 0.95 and above 1.05 times the present close."""
     chips = F.collect_list(F.struct("close", "volume")).over(trailing(n))

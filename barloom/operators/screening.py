@@ -76,11 +76,13 @@ def banded(x: Column, *bands: tuple[float, int]) -> Column:
     return out.otherwise(0)
 
 
-def quality_score(df: DataFrame) -> DataFrame:
-    """Return on equity, margin and research against the industry's median, cash flow, debt, growth."""
+def quality_score(df: DataFrame, lenders: tuple = ()) -> DataFrame:
+    """Return on equity, margin and research against the industry's median, cash flow, debt, growth. Industries of
+    ``lenders`` (banks and insurers) get a point for debt below 80."""
     df = median_by(df, "industry", "gross_margin", "rd_ratio")
     vs = lambda c: F.when(F.col(c) > F.col(f"median_{c}") * 1.2, 2).when(F.col(c) > F.col(f"median_{c}"), 1).otherwise(0)
-    debt = F.when(F.col("debt_ratio") < 40, 2).when(F.col("debt_ratio") < 60, 1).otherwise(0)
+    usual = F.when(F.col("debt_ratio") < 40, 2).when(F.col("debt_ratio") < 60, 1).otherwise(0)
+    debt = F.when(F.col("industry").isin(*lenders), F.when(F.col("debt_ratio") < 80, 1).otherwise(0)).otherwise(usual) if lenders else usual
     score = banded(F.col("roe"), (15, 3), (10, 2), (8, 1)) + vs("gross_margin") + F.when(F.col("ocf_to_profit") > 1, 2).when(F.col("ocf_to_profit") > 0.8, 1).otherwise(0) + debt + vs("rd_ratio") + banded(F.col("profit_growth"), (0.3, 2), (0.1, 1))
     return df.withColumn("quality", score)
 

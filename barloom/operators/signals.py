@@ -13,8 +13,11 @@ def cuts(x: Column, high: float, low: float, weight: float) -> tuple[Column, Col
     return F.when(x >= high, weight).otherwise(0.0), F.when(x <= low, weight).otherwise(0.0)
 
 
-def regimes(index_bars: DataFrame) -> DataFrame:
-    """F01-F03 for every date: metrics, scores of bull, bear and range, and the decision."""
+def regimes(index_bars: DataFrame, override: str | None = None) -> DataFrame:
+    """F01-F03 for every date: metrics, scores of bull, bear and range, what speaks for each side, and the decision
+    (``auto_regime``), which an override by hand replaces in ``regime``."""
+    if override not in (None, "bull", "bear", "range"):
+        raise ValueError(f"no such regime: {override}")
     bars = index_bars.withColumns({c: F.col("close") for c in ("open", "high", "low") if c not in index_bars.columns})
     df = with_macd(bars).withColumn("ma20", sma("close", 20)).withColumn("ma250", sma("close", 250))
     df = df.withColumn("before", F.lag("ma250", 19).over(by_time())).filter("ma250 is not null")
@@ -27,7 +30,10 @@ def regimes(index_bars: DataFrame) -> DataFrame:
     bear = F.round(sum((p[1] for p in parts), F.lit(0.0)), 4)
     calm = F.round(sum((F.when(F.abs(c) < cut, w).otherwise(0.0) + F.when(F.abs(c) <= band, more).otherwise(0.0) for c, cut, w, band, more in flat), F.lit(0.0)), 4)
     df = df.withColumns({"bull": bull, "bear": bear, "calm": calm})
-    return df.withColumn("regime", decide(F.col("bull"), F.col("bear"), F.col("calm")))
+    names = ["price", "average", "slope", "macd"]
+    reasons = lambda side: F.array_compact(F.array(*[F.when(p[side] > 0, n) for p, n in zip(parts, names, strict=True)]))
+    df = df.withColumns({"bull_reasons": reasons(0), "bear_reasons": reasons(1), "auto_regime": decide(F.col("bull"), F.col("bear"), F.col("calm"))})
+    return df.withColumn("regime", F.lit(override) if override else F.col("auto_regime"))
 
 
 def decide(bull: Column, bear: Column, calm: Column) -> Column:

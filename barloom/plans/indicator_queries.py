@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from barloom.functions import symbols as fs
 from barloom.operators import bars as ob
+from barloom.operators import chan
 from barloom.operators import indicators as ind
-from barloom.plans.sql import BARS, TICKS, from_bars, from_indicators
+from barloom.plans.sql import BARS, DIVERGENCE, TICKS, from_bars, from_indicators
 from barloom.sources import tables as src
 
 QUERIES, SQL = {}, {}
@@ -89,10 +90,14 @@ def c15_latest_macd(spark, sf_dir):
     return last.select("symbol", *r6("dif", "dea", "hist", "close", "volume_ratio"), "zone", "golden_cross", "death_cross", "cross_quality", status.alias("status"))
 
 
-@query("c16_latest_snapshot", from_indicators(" SELECT symbol, " + rsql("close", "ma250") + ", round((close - ma250) / ma250, 6) AS distance, " + rsql("dif0", "dea0", "hist0", "volume_ratio30") + ", close > ma250 AS above FROM cross_ind WHERE back = 1 AND rn >= 250"))
+@query("c16_latest_snapshot", from_indicators(" SELECT symbol, " + rsql("close", "ma250", "ma250_slope") + ", round((close - ma250) / ma250, 6) AS distance, abs(close - ma250) / ma250 < 0.05 AS near, " + rsql("dif0", "dea0", "hist0", "volume_ratio30") + """, round(close - ma250, 9) > 0 AS above, divergence,
+  g AS golden_cross, x AS death_cross FROM (SELECT *, dif0 > dea0 AND lag(dif0) OVER (PARTITION BY symbol ORDER BY rn) <= lag(dea0) OVER (PARTITION BY symbol ORDER BY rn) AS g, dif0 < dea0 AND lag(dif0) OVER (PARTITION BY symbol ORDER BY rn) >= lag(dea0) OVER (PARTITION BY symbol ORDER BY rn) AS x FROM cross_ind) JOIN div USING (symbol) WHERE back = 1 AND rn >= 250""", DIVERGENCE))
 def c16_latest_snapshot(spark, sf_dir):
-    last = ind.latest(ind.enriched(src.daily_bars(spark, sf_dir))).filter("n_rows >= 250")
-    return last.select("symbol", *r6("close", "ma250"), F.round((F.col("close") - F.col("ma250")) / F.col("ma250"), 6).alias("distance"), *r6("dif0", "dea0", "hist0", "volume_ratio30"), (F.col("close") > F.col("ma250")).alias("above"))
+    df = ind.with_long_trend(ind.with_averages(ind.with_macd(src.daily_bars(spark, sf_dir))))
+    golden = (F.col("dif0") > F.col("dea0")) & (ind.lag("dif0") <= ind.lag("dea0"))
+    death = (F.col("dif0") < F.col("dea0")) & (ind.lag("dif0") >= ind.lag("dea0"))
+    last = ind.latest(df.withColumns({"golden_cross": golden, "death_cross": death})).filter("n_rows >= 250").join(chan.divergences(df), ind.KEY)
+    return last.select("symbol", *r6("close", "ma250", "ma250_slope"), F.round("ma250_distance", 6).alias("distance"), F.col("near_ma250").alias("near"), *r6("dif0", "dea0", "hist0", "volume_ratio30"), F.col("above_ma250").alias("above"), "divergence", "golden_cross", "death_cross")
 
 
 @query("c20_volume_price_state", from_bars(""", n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY datetime) AS rn FROM bars),
@@ -111,13 +116,11 @@ def c21_chip_distribution(spark, sf_dir):
     return dated(ind.chip_distribution(src.daily_bars(spark, sf_dir))).select("symbol", "day", *r6("profit_chips", "trapped_chips"))
 
 
-@query("c22_volume_sums", from_indicators(""" SELECT symbol, datetime::DATE::VARCHAR AS day, round(avg(volume) OVER a / avg(volume) OVER b, 6) AS short_long_ratio, round(sum(dif0) OVER a, 6) AS dif_sum,
- coalesce(sign(round(ma250 - p250, 9)), 0)::INT AS ma250_direction FROM (SELECT *, lag(ma250) OVER (PARTITION BY symbol ORDER BY rn) AS p250 FROM cross_ind) WHERE true
- WINDOW a AS (PARTITION BY symbol ORDER BY rn ROWS 4 PRECEDING), b AS (PARTITION BY symbol ORDER BY rn ROWS 19 PRECEDING)"""))
+@query("c22_volume_sums", from_indicators(""" SELECT symbol, datetime::DATE::VARCHAR AS day, round(v5 / v20, 6) AS short_long_ratio, sign(round(v5 - v20, 9))::INT AS volume_status, round(d5, 6) AS dif_sum, round(s5, 6) AS signal_sum, coalesce(sign(round(ma250 - p250, 9)), 0)::INT AS ma250_direction
+ FROM (SELECT *, lag(ma250) OVER (PARTITION BY symbol ORDER BY rn) AS p250, avg(volume) OVER a AS v5, avg(volume) OVER b AS v20, sum(dif0) OVER a AS d5, sum(dea0) OVER a AS s5 FROM cross_ind WINDOW a AS (PARTITION BY symbol ORDER BY rn ROWS 4 PRECEDING), b AS (PARTITION BY symbol ORDER BY rn ROWS 19 PRECEDING)) WHERE rn >= 20"""))
 def c22_volume_sums(spark, sf_dir):
-    df = ind.with_averages(ind.with_macd(src.daily_bars(spark, sf_dir)))
-    ratio = F.avg("volume").over(ind.trailing(5)) / F.avg("volume").over(ind.trailing(20))
-    return dated(df).select("symbol", "day", F.round(ratio, 6).alias("short_long_ratio"), F.round(F.sum("dif0").over(ind.trailing(5)), 6).alias("dif_sum"), F.coalesce(F.signum(F.round(F.col("ma250") - ind.lag("ma250"), 9)), F.lit(0.0)).cast("int").alias("ma250_direction"))
+    df = ind.volume_sums(ind.with_averages(ind.with_macd(src.daily_bars(spark, sf_dir)))).filter("n_rows >= 20")
+    return dated(df).select("symbol", "day", *r6("short_long_ratio"), "volume_status", *r6("dif_sum", "signal_sum"), "ma250_direction")
 
 
 #: Wilder's sums from the 14th change on, then the mean of the index from the 14th of those.
@@ -239,9 +242,14 @@ def a07_watchlist(spark, sf_dir):
     return ob.restrict(src.daily_bars(spark, sf_dir), listed).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a08_liquid_pool", from_bars(" SELECT symbol, round(avg(amount), 6) AS mean_amount FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY datetime DESC) AS b FROM bars) WHERE b <= 30 GROUP BY symbol HAVING avg(amount) >= 200000"))
+@query("a08_liquid_pool", from_bars(""" SELECT symbol, round(avg(amount), 6) AS mean_amount FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY datetime DESC) AS b FROM bars) JOIN supplier ON s_suppkey::VARCHAR = symbol
+ WHERE b <= 30 AND s_suppkey % 7 <> 0 AND s_suppkey % 11 <> 0 AND s_suppkey % 5 <> 0 GROUP BY symbol HAVING avg(amount) >= 200000"""))
 def a08_liquid_pool(spark, sf_dir):
-    return ob.liquid(src.daily_bars(spark, sf_dir), 30, 200_000).select("symbol", *r6("mean_amount"))
+    """Amounts here are of some 250,000, so the limit is lowered to 200,000. Every seventh name is ST, every eleventh starred, every fifth listed lately."""
+    k = F.col("s_suppkey")
+    name = F.when(k % 7 == 0, F.concat(F.lit("ST"), "s_name")).when(k % 11 == 0, F.concat(F.lit("*"), "s_name")).otherwise(F.col("s_name"))
+    listed = src.table(spark, sf_dir, "supplier").select(k.cast("string").alias("symbol"), name.alias("name"), F.when(k % 5 == 0, F.lit("2000-12-01")).otherwise("1990-01-01").cast("date").alias("list_date"))
+    return ob.liquid(src.daily_bars(spark, sf_dir), 30, 200_000, listed, "2001-12-01").select("symbol", *r6("mean_amount"))
 
 
 @query("a09_normalize_symbol", "SELECT p_partkey, lpad((p_partkey * 7919 % 1000000)::VARCHAR, 6, '0') || '.' || CASE substr(lpad((p_partkey * 7919 % 1000000)::VARCHAR, 6, '0'), 1, 1) WHEN '6' THEN 'SH' WHEN '4' THEN 'BJ' WHEN '8' THEN 'BJ' WHEN '9' THEN 'BJ' ELSE 'SZ' END AS symbol FROM part")
@@ -283,10 +291,11 @@ def a14_latest_fundamentals(spark, sf_dir):
 
 
 @query("a15_daily_basics", from_bars(""", n AS (SELECT *, row_number() OVER k AS rn, avg(volume) OVER (PARTITION BY symbol ORDER BY datetime ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS v5, row_number() OVER (PARTITION BY symbol ORDER BY datetime DESC) AS b FROM bars WINDOW k AS (PARTITION BY symbol ORDER BY datetime))
- SELECT symbol, round(CASE WHEN rn > 5 THEN volume / v5 END, 6) AS volume_ratio, round(close / nullif(s_suppkey % 4, 0), 6) AS pe FROM n JOIN supplier ON s_suppkey::VARCHAR = symbol WHERE b = 1"""))
+ SELECT symbol, round(CASE WHEN rn > 5 THEN volume / v5 END, 6) AS volume_ratio, round(close / nullif(s_suppkey % 4, 0), 6) AS pe, round(close / nullif(s_suppkey % 6, 0), 6) AS pb, round(close * nullif(s_suppkey % 9, 0) * 1000 / 10000, 6) AS total_mv FROM n JOIN supplier ON s_suppkey::VARCHAR = symbol WHERE b = 1"""))
 def a15_daily_basics(spark, sf_dir):
-    eps = src.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("symbol"), (F.col("s_suppkey") % 4).cast("double").alias("eps"))
-    return ob.daily_basics(src.daily_bars(spark, sf_dir), eps).select("symbol", *r6("volume_ratio", "pe"))
+    k = F.col("s_suppkey")
+    per_share = src.table(spark, sf_dir, "supplier").select(k.cast("string").alias("symbol"), (k % 4).cast("double").alias("eps"), (k % 6).cast("double").alias("bps"), (k % 9 * 1000).cast("double").alias("shares"))
+    return ob.daily_basics(src.daily_bars(spark, sf_dir), per_share).select("symbol", *r6("volume_ratio", "pe", "pb", "total_mv"))
 
 
 @query("a16_month_first_days", from_bars(" SELECT date_trunc('month', datetime)::DATE::VARCHAR AS month, min(datetime)::DATE::VARCHAR AS first_day, max(datetime)::DATE::VARCHAR AS last_day FROM bars GROUP BY 1"))
@@ -294,14 +303,21 @@ def a16_month_first_days(spark, sf_dir):
     return as_text(ob.month_days(src.daily_bars(spark, sf_dir)))
 
 
-@query("a17_listing_cutoff", from_bars(" SELECT day FROM (SELECT datetime::DATE::VARCHAR AS day, row_number() OVER (ORDER BY datetime::DATE DESC) AS rn FROM (SELECT DISTINCT datetime FROM bars)) WHERE rn = 120"))
+@query("a17_listing_cutoff", from_bars(""", d AS (SELECT DISTINCT datetime::DATE AS day FROM bars), o AS (SELECT day, row_number() OVER (ORDER BY day DESC) AS back FROM d)
+ SELECT 120 AS days, (SELECT day FROM o WHERE back = 120)::VARCHAR AS day UNION ALL SELECT 5000, ((SELECT max(day) FROM d) - INTERVAL 7030 DAY)::DATE::VARCHAR"""))
 def a17_listing_cutoff(spark, sf_dir):
-    return as_text(ob.listing_cutoff(src.daily_bars(spark, sf_dir), 120))
+    """120 trade days back, and 5,000, which the calendar does not have."""
+    days = ob.trade_days(src.daily_bars(spark, sf_dir))
+    of = lambda n: ob.listing_cutoff(days, n).select(F.lit(n).alias("days"), F.col("day").cast("string").alias("day"))
+    return of(120).unionByName(of(5000))
 
 
-@query("a18_session_filter", "SELECT event_type, count(*) AS n FROM events WHERE isodow(ts) <= 5 AND (strftime(ts, '%H:%M:%S') BETWEEN '09:30:00' AND '11:30:00' OR strftime(ts, '%H:%M:%S') BETWEEN '13:00:00' AND '15:00:00') GROUP BY event_type")
+@query("a18_session_filter", "SELECT event_type, count(*) AS n FROM events WHERE isodow(ts) <= 5 AND (strftime(ts, '%H:%M:%S') BETWEEN '09:30:00' AND '11:30:00' OR strftime(ts, '%H:%M:%S') BETWEEN '13:00:00' AND '15:00:00') AND ts::DATE IN (SELECT ts::DATE FROM events WHERE event_type = 'purchase') AND day(ts) <> 1 GROUP BY event_type")
 def a18_session_filter(spark, sf_dir):
-    return src.table(spark, sf_dir, "events").filter(ob.in_session(F.col("ts"))).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    """The calendar here is the days with a purchase, without the first of a month as a holiday."""
+    e = src.table(spark, sf_dir, "events")
+    days = ob.trade_days(e.filter("event_type = 'purchase' and day(ts) <> 1").withColumnRenamed("ts", "datetime"))
+    return ob.on_trade_days(e, days).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("a19_report_periods", """SELECT DISTINCT d::VARCHAR AS day, CASE WHEN m >= 10 THEN make_date(y, 9, 30) WHEN m >= 7 THEN make_date(y, 6, 30) WHEN m >= 4 THEN make_date(y, 3, 31) ELSE make_date(y - 1, 9, 30) END::VARCHAR AS period,

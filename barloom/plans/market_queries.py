@@ -184,12 +184,16 @@ FUND = "WITH " + SNAP.split("snap AS (")[0].rstrip().rstrip(",") + MEDIANS
 
 
 QUALITY = """(CASE WHEN roe > 15 THEN 3 WHEN roe > 10 THEN 2 WHEN roe > 8 THEN 1 ELSE 0 END + CASE WHEN gross_margin > mg * 1.2 THEN 2 WHEN gross_margin > mg THEN 1 ELSE 0 END + CASE WHEN ocf_to_profit > 1 THEN 2 WHEN ocf_to_profit > 0.8 THEN 1 ELSE 0 END
- + CASE WHEN debt_ratio < 40 THEN 2 WHEN debt_ratio < 60 THEN 1 ELSE 0 END + CASE WHEN rd_ratio > mr * 1.2 THEN 2 WHEN rd_ratio > mr THEN 1 ELSE 0 END + CASE WHEN profit_growth > 0.3 THEN 2 WHEN profit_growth > 0.1 THEN 1 ELSE 0 END)::INT"""
+ + CASE WHEN industry IN (3, 7) THEN (debt_ratio < 80)::INT WHEN debt_ratio < 40 THEN 2 WHEN debt_ratio < 60 THEN 1 ELSE 0 END + CASE WHEN rd_ratio > mr * 1.2 THEN 2 WHEN rd_ratio > mr THEN 1 ELSE 0 END + CASE WHEN profit_growth > 0.3 THEN 2 WHEN profit_growth > 0.1 THEN 1 ELSE 0 END)::INT"""
+
+
+#: Nations that stand for the industries of banks and insurers.
+LENDERS = (3, 7)
 
 
 @query("e11_quality_score", FUND + f" SELECT symbol, {QUALITY} AS quality FROM fund JOIN m USING (industry)")
 def e11(spark, sf_dir):
-    return screening.quality_score(src.fundamentals(spark, sf_dir)).select("symbol", "quality")
+    return screening.quality_score(src.fundamentals(spark, sf_dir), LENDERS).select("symbol", "quality")
 
 
 VALUE = """(CASE WHEN pe > 0 AND pe < mp * 0.7 THEN 3 WHEN pe > 0 AND pe < mp THEN 2 ELSE 0 END + CASE WHEN ps > 0 AND ps < ms * 0.7 THEN 2 WHEN ps > 0 AND ps < ms THEN 1 ELSE 0 END
@@ -230,10 +234,20 @@ ic AS (SELECT *, round(CASE WHEN p >= 0.02 THEN 0.35 ELSE 0 END + CASE WHEN m >=
 regime AS (SELECT *, CASE WHEN bull > bear AND bull > calm THEN 'bull' WHEN bear > bull AND bear > calm THEN 'bear' ELSE 'range' END AS regime FROM ic)"""
 
 
-@query("f02_regime", REGIME + " SELECT datetime::DATE::VARCHAR AS day, bull, bear, calm, regime FROM regime")
+SIDES = ", ".join(f"array_to_string([x FOR x IN [CASE WHEN p {o} {s}0.02 THEN 'price' END, CASE WHEN m {o} {s}0.01 THEN 'average' END, CASE WHEN s {o} {s}0.01 THEN 'slope' END, CASE WHEN h {o[0]} 0 THEN 'macd' END] IF x IS NOT NULL], ',') AS {n}_reasons" for o, s, n in ((">=", "", "bull"), ("<=", "-", "bear")))
+
+
+@query("f02_regime", REGIME + f" SELECT datetime::DATE::VARCHAR AS day, bull, bear, calm, regime, {SIDES} FROM regime")
 def f02(spark, sf_dir):
     """F01 to F03 for every date."""
-    return signals.regimes(src.index_bars(spark, sf_dir)).select(F.date_format("datetime", "yyyy-MM-dd").alias("day"), "bull", "bear", "calm", "regime")
+    return signals.regimes(src.index_bars(spark, sf_dir)).select(F.date_format("datetime", "yyyy-MM-dd").alias("day"), "bull", "bear", "calm", "regime", *[F.array_join(c, ",").alias(c) for c in ("bull_reasons", "bear_reasons")])
+
+
+@query("f03_forced_regime", REGIME + " SELECT datetime::DATE::VARCHAR AS day, regime AS auto_regime, 'bear' AS final_regime FROM regime")
+def f03(spark, sf_dir):
+    """The decision overridden by hand, with the one it replaces."""
+    df = signals.regimes(src.index_bars(spark, sf_dir), override="bear")
+    return df.select(F.date_format("datetime", "yyyy-MM-dd").alias("day"), "auto_regime", F.col("regime").alias("final_regime"))
 
 
 @query("f04_simple_regime", "WITH RECURSIVE " + BARS + "," + INDICATORS + " SELECT symbol, datetime::DATE::VARCHAR AS day, CASE WHEN close / ma250 - 1 > 0.05 THEN 0.7 WHEN close / ma250 - 1 < -0.05 THEN 0.3 ELSE 0.5 END::DOUBLE AS target_exposure FROM cross_ind WHERE ma250 IS NOT NULL")
@@ -645,7 +659,7 @@ SCORES = [FUND_CTES, OWN_PB.lstrip(", "), MOMENTUM.lstrip(", "), VOLUME_PATTERN.
 
 def all_scores(spark, sf_dir):
     """Quality, valuation, momentum and volume pattern of each symbol."""
-    scores = screening.quality_score(valued(spark, sf_dir)).select("symbol", "quality", "valuation")
+    scores = screening.quality_score(valued(spark, sf_dir), LENDERS).select("symbol", "quality", "valuation")
     return scores.join(e13(spark, sf_dir), "symbol", "left").join(d19(spark, sf_dir).select("symbol", F.col("score").alias("vol_score")), "symbol", "left")
 
 

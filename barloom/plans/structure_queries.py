@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barloom.operators import chan, screening
 from barloom.operators import indicators as ind
 from barloom.plans.indicator_queries import dated, r6
-from barloom.plans.sql import BARS, INDICATORS, from_indicators
+from barloom.plans.sql import BARS, DIVERGENCE, INDICATORS, from_indicators
 from barloom.sources import tables as src
 
 QUERIES, SQL = {}, {}
@@ -194,16 +194,6 @@ def d15(spark, sf_dir):
     return dated(of(1).unionByName(of(5))).select("symbol", "day", "bars", "fresh_buy", "fresh_sell", F.array_join(F.array_sort("fresh.type"), ",").alias("types"))
 
 
-DIVERGENCE = """
-dr AS (SELECT symbol, -back AS i, close, hist0 AS h, sign(hist0)::INT AS s FROM cross_ind WHERE back <= 60),
-ds AS (SELECT *, sum(n) OVER (PARTITION BY symbol ORDER BY i) AS run FROM (SELECT *, coalesce(s <> lag(s) OVER (PARTITION BY symbol ORDER BY i), true)::INT AS n FROM dr)),
-dg AS (SELECT symbol, run, s, sum(abs(h)) AS area, arg_min(close, (CASE WHEN s < 0 THEN h ELSE -h END, i)) AS price FROM ds WHERE s <> 0 GROUP BY symbol, run, s HAVING count(*) >= 2),
-dk AS (SELECT *, row_number() OVER (PARTITION BY symbol, s ORDER BY run DESC) AS r FROM dg),
-div AS (SELECT a.symbol, CASE WHEN count(*) FILTER (false) > 0 THEN '' WHEN max(CASE WHEN s = -1 AND r = 1 THEN price END) < max(CASE WHEN s = -1 AND r = 2 THEN price END) AND round(max(CASE WHEN s = -1 AND r = 1 THEN area END) - max(CASE WHEN s = -1 AND r = 2 THEN area END), 9) < 0 THEN 'bullish'
-    WHEN max(CASE WHEN s = 1 AND r = 1 THEN price END) > max(CASE WHEN s = 1 AND r = 2 THEN price END) AND round(max(CASE WHEN s = 1 AND r = 1 THEN area END) - max(CASE WHEN s = 1 AND r = 2 THEN area END), 9) < 0 THEN 'bearish' ELSE 'none' END AS divergence
-  FROM (SELECT DISTINCT symbol FROM dr) a LEFT JOIN dk ON dk.symbol = a.symbol GROUP BY a.symbol)""".replace("WHEN count(*) FILTER (false) > 0 THEN '' ", "")
-
-
 @query("d01_divergence", from_indicators(" SELECT symbol, divergence FROM div", DIVERGENCE))
 def d01(spark, sf_dir):
     return chan.divergences(ind.with_macd(src.daily_bars(spark, sf_dir))).select("symbol", "divergence")
