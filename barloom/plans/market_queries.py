@@ -48,18 +48,28 @@ def snap_sql(select: str, *more: str) -> str:
     return "WITH RECURSIVE " + ",".join([BARS, INDICATORS, DIVERGENCE, SNAP, *more]) + select
 
 
+#: What a snapshot needs of the bars with indicators.
+SNAPSHOT = ["close", "n_rows", "hist0", "ma250", "ma250_slope", "ma250_distance", "near_ma250", "above_ma250", "volume_ratio30", "pct_change", "volatility", "golden_cross", "death_cross", "breakout20", "ma_up", "turn_up", "heavy_flat"]
+
+
 def snapshot(spark, sf_dir):
-    """Latest technical state of every supplier with 250 bars or more, with its fundamentals: the 250-bar average, volume against 30 bars."""
-    df = ind.with_long_trend(ind.enriched(src.daily_bars(spark, sf_dir)))
+    """Latest technical state of every supplier with 250 bars or more, with its fundamentals: the 250-bar average, volume against 30 bars.
+
+    Bars with indicators are written once for the branches that look back over them, and deleted when the result is.
+    """
+    df = screening.turns(ind.with_long_trend(ind.enriched(src.daily_bars(spark, sf_dir))))
+    df, folder = src.written(df.select(*ind.KEY, "datetime", *SNAPSHOT), "indicators")
     kinds = chan.divergences(df)
     traps = chan.bear_traps(df, kinds)
-    last = ind.latest(screening.turns(df)).filter("n_rows >= 250").join(kinds, ind.KEY).join(traps, ind.KEY)
+    last = ind.latest(df).filter("n_rows >= 250").join(kinds, ind.KEY).join(traps, ind.KEY)
     flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
     tech = last.select(
         "symbol", "close", F.col("ma250_slope").alias("slope"), F.round(F.col("ma250_distance") * 100, 9).alias("close_vs_ma"), F.col("volume_ratio30").alias("volume_ratio"), F.round(F.col("pct_change") * 100, 9).alias("price_change_pct"), "divergence",
         F.round(F.col("volatility") * 100, 9).alias("volatility_pct"), F.col("near_ma250").alias("near_ma"), F.col("above_ma250").alias("above_ma"), flag("golden_cross"), flag("death_cross"), F.col("breakout20").alias("breakout"), "bear_trap", "ma_up", "turn_up", "heavy_flat",
     )
-    return src.fundamentals(spark, sf_dir).join(tech, "symbol")
+    found, _ = src.written(src.fundamentals(spark, sf_dir).join(tech, "symbol"), "snapshot")
+    src.delete(spark, folder)
+    return found
 
 
 @query("e01_selection_input", snap_sql(" SELECT symbol, roe, pe, " + rsql("slope", "close_vs_ma", "volume_ratio", "price_change_pct") + ", divergence, bear_trap FROM snap"))
@@ -269,10 +279,10 @@ sg AS (SELECT symbol, regime, 'trend' AS strategy, act AS action, tsc AS score F
  UNION ALL SELECT symbol, regime, 'defensive', 'BUY', gsc FROM fl WHERE regime = 'bear' AND NOT held AND bear_trap AND gsc >= 72)"""
 
 
-def pool_rows(spark, sf_dir):
+def pool_rows(spark, sf_dir, snap=None):
     k = F.col("symbol").cast("int")
     regime = F.when(k % 3 == 0, "bull").when(k % 3 == 1, "range").otherwise("bear")
-    return snapshot(spark, sf_dir).withColumns({"regime": regime, "held": k % 2 == 0, "selection_score": 40 + k % 50})
+    return (snapshot(spark, sf_dir) if snap is None else snap).withColumns({"regime": regime, "held": k % 2 == 0, "selection_score": 40 + k % 50})
 
 
 @query("f09_routed_signals", snap_sql(" SELECT symbol, regime, strategy, action, score::INT AS score FROM sg", STRAT.lstrip(", ")))
@@ -291,8 +301,8 @@ pr AS (SELECT account, h.symbol, round((close / cost - 1) * 100, 9) AS profit_pc
   round(8.0::DOUBLE * CASE WHEN holding_days >= 40 THEN 1.25 ELSE 1 END * CASE WHEN volatility_pct >= 35 THEN 1.2 ELSE 1 END, 6) AS stop_loss, round(30.0::DOUBLE * CASE WHEN holding_days >= 40 THEN 1.1 ELSE 1 END * CASE WHEN volatility_pct >= 35 THEN 1.1 ELSE 1 END, 6) AS take_profit FROM hold h JOIN snap USING (symbol))"""
 
 
-def positions(spark, sf_dir):
-    df = src.holdings(spark, sf_dir).join(snapshot(spark, sf_dir).select("symbol", "close", "volatility_pct", "above_ma", "slope", "divergence", "near_ma", "volume_ratio", "golden_cross", "death_cross", "price_change_pct"), "symbol")
+def positions(spark, sf_dir, snap=None):
+    df = src.holdings(spark, sf_dir).join((snapshot(spark, sf_dir) if snap is None else snap).select("symbol", "close", "volatility_pct", "above_ma", "slope", "divergence", "near_ma", "volume_ratio", "golden_cross", "death_cross", "price_change_pct"), "symbol")
     return df.withColumn("profit_pct", F.round((F.col("close") / F.col("cost") - 1) * 100, 9)).withColumn("regime", F.when(F.col("account") % 3 == 0, "bear").otherwise("bull"))
 
 
@@ -517,10 +527,10 @@ def f16(spark, sf_dir):
     return signals.exit_signals(positions(spark, sf_dir)).select("account", "symbol", "action", "score")
 
 
-def held(spark, sf_dir):
+def held(spark, sf_dir, snap=None):
     """Positions with their base and mobile shares (6 to 4), some of them in a range market."""
     base = F.floor(F.col("shares") * 6 / 10).cast("long")
-    return positions(spark, sf_dir).withColumn("regime", F.when(F.col("account") % 3 == 1, "range").otherwise(F.col("regime"))).withColumns({"base_shares": base, "mobile_shares": F.col("shares") - base})
+    return positions(spark, sf_dir, snap).withColumn("regime", F.when(F.col("account") % 3 == 1, "range").otherwise(F.col("regime"))).withColumns({"base_shares": base, "mobile_shares": F.col("shares") - base})
 
 
 @query("f17_t_trading", snap_sql(""" SELECT account, symbol, coalesce(CASE WHEN r = 'bull' AND up AND near_ma AND volume_ratio >= 1 THEN 'positive_t_buy' WHEN r = 'bull' AND down AND mobile > 0 THEN 'positive_t_sell'
@@ -547,23 +557,24 @@ merged AS (
 MERGED_SIGNALS = [x.lstrip(", ") for x in (STRAT, HOLD, EXITS, MERGE)]
 
 
-def merged_of(spark, sf_dir):
+def merged_of(spark, sf_dir, snap):
     """Routed signals, one a symbol, with exits, T trades and risk alerts of the positions."""
-    routed = signals.resolve_conflicts(signals.strategy_signals(pool_rows(spark, sf_dir)))
-    return signals.merged_signals(routed, held(spark, sf_dir))
+    routed = signals.resolve_conflicts(signals.strategy_signals(pool_rows(spark, sf_dir, snap)))
+    return signals.merged_signals(routed, held(spark, sf_dir, snap))
 
 
 @query("f20_merged_signals", snap_sql(" SELECT symbol, action, score, origin FROM merged", *MERGED_SIGNALS))
 def f20(spark, sf_dir):
-    return merged_of(spark, sf_dir)
+    return merged_of(spark, sf_dir, snapshot(spark, sf_dir))
 
 
 @query("e19_signal_summary", snap_sql(""" SELECT * FROM (SELECT 'signal' AS part, symbol, action AS what, score FROM merged WHERE score >= 85 ORDER BY score DESC, symbol, origin, action LIMIT 5)
  UNION ALL SELECT * FROM (SELECT 'candidate', symbol, fundamental_reason, (CASE WHEN fundamental_reason = 'pass' THEN 40 ELSE 0 END + CASE WHEN t THEN 25 ELSE 0 END + CASE WHEN v THEN 35 ELSE 0 END)::INT AS score FROM sel ORDER BY score DESC, symbol::INT LIMIT 5)""", *MERGED_SIGNALS))
 def e19(spark, sf_dir):
     """The five best candidates, and the five best of all signals that reach 85."""
-    best = screening.top(screening.select_stocks(snapshot(spark, sf_dir)), 5, F.col("score").desc(), F.col("symbol").cast("int"))
-    urgent = screening.top(merged_of(spark, sf_dir).filter("score >= 85"), 5, F.col("score").desc(), F.col("symbol"), F.col("origin"), F.col("action"))
+    snap = snapshot(spark, sf_dir)
+    best = screening.top(screening.select_stocks(snap), 5, F.col("score").desc(), F.col("symbol").cast("int"))
+    urgent = screening.top(merged_of(spark, sf_dir, snap).filter("score >= 85"), 5, F.col("score").desc(), F.col("symbol"), F.col("origin"), F.col("action"))
     return urgent.select(F.lit("signal").alias("part"), "symbol", F.col("action").alias("what"), "score").unionByName(best.select(F.lit("candidate").alias("part"), "symbol", F.col("fundamental_reason").alias("what"), "score"))
 
 

@@ -124,6 +124,19 @@ def run_folder(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/barloom-{what}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """The rows written to a folder of this run and read again, and the folder: a result that several branches use is made once."""
+    path = run_folder(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def read_table(spark: SparkSession, path: str, schema: str = BAR_SCHEMA, fmt: str = "parquet") -> DataFrame:
     """Rows from Parquet, CSV or JSON lines with a given schema. Lines of CSV and JSON that do not fit it keep their text
     in ``_corrupt`` (null for whole ones), with what could be read."""
