@@ -118,6 +118,17 @@ def momentum_arms(df: DataFrame) -> DataFrame:
     return df.withColumn("arms", points).drop("_ma20", "_ma60", "_c1", "_c2", "_m2")
 
 
+def price_position(df: DataFrame, days: int = 180) -> DataFrame:
+    """Of each symbol's last bar, whether its price is low (high): two of three of in the lower (upper) 30 % of the closes of the
+    last ``days``, below 0.9 (above 1.2) times the 120-bar average, outside the lower (upper) band."""
+    newest = F.max("datetime").over(Window.partitionBy(*indicators.KEY))
+    late = df.withColumn("_z", newest).filter(F.col("datetime") >= F.col("_z") - F.expr(f"interval {days} days"))
+    q = late.groupBy("symbol").agg(F.percentile("close", 0.3).alias("_q30"), F.percentile("close", 0.7).alias("_q70"))
+    votes = lambda *c: sum((F.coalesce(x, F.lit(False)).cast("int") for x in c), F.lit(0)) >= 2
+    last, c = indicators.latest(df).join(q, "symbol"), F.col("close")
+    return last.select("symbol", votes(c <= F.col("_q30"), c < 0.9 * F.col("ma120"), c < F.col("boll_low")).alias("is_low"), votes(c >= F.col("_q70"), c > 1.2 * F.col("ma120"), c > F.col("boll_up")).alias("is_high"))
+
+
 def volume_pattern(last5: DataFrame, position: DataFrame) -> DataFrame:
     """D19 from each symbol's last five bars and its price position (is_low, is_high): +3 heavy volume with a rise below 2 % at a low, -3 very heavy volume with one below 1 % at a high, +1 a doji on volume that shrank."""
     change = F.col("pct_change") * 100

@@ -221,18 +221,14 @@ def d17(spark, sf_dir):
     return dated(chan.pivot_divergence(ind.with_macd(src.daily_bars(spark, sf_dir)))).select("symbol", "day", "kind", "divergence")
 
 
-@query("d18_price_position", from_indicators(""", pq AS (SELECT symbol, quantile_cont(close, 0.3) AS q30, quantile_cont(close, 0.7) AS q70 FROM cross_ind GROUP BY symbol)
+@query("d18_price_position", from_indicators(""", pq AS (SELECT symbol, quantile_cont(close, 0.3) AS q30, quantile_cont(close, 0.7) AS q70 FROM (SELECT *, max(datetime) OVER (PARTITION BY symbol) AS z FROM cross_ind) WHERE datetime >= z - INTERVAL 180 DAY GROUP BY symbol)
  SELECT symbol, ((close <= q30)::INT + coalesce(close < 0.9 * ma120, false)::INT + coalesce(close < ma20 - 2 * boll_sd, false)::INT) >= 2 AS is_low, ((close >= q70)::INT + coalesce(close > 1.2 * ma120, false)::INT + coalesce(close > ma20 + 2 * boll_sd, false)::INT) >= 2 AS is_high
  FROM cross_ind JOIN pq USING (symbol) WHERE back = 1"""))
 def d18(spark, sf_dir):
-    df = ind.with_trends(ind.with_averages(src.daily_bars(spark, sf_dir)))
-    q = df.groupBy("symbol").agg(F.percentile("close", 0.3).alias("q30"), F.percentile("close", 0.7).alias("q70"))
-    votes = lambda *c: sum((F.coalesce(x, F.lit(False)).cast("int") for x in c), F.lit(0)) >= 2
-    last, c = ind.latest(df).join(q, "symbol"), F.col("close")
-    return last.select("symbol", votes(c <= F.col("q30"), c < 0.9 * F.col("ma120"), c < F.col("boll_low")).alias("is_low"), votes(c >= F.col("q70"), c > 1.2 * F.col("ma120"), c > F.col("boll_up")).alias("is_high"))
+    return screening.price_position(ind.with_trends(ind.with_averages(src.daily_bars(spark, sf_dir))))
 
 
-VOLUME_PATTERN = """, vq AS (SELECT symbol, quantile_cont(close, 0.3) AS q30, quantile_cont(close, 0.7) AS q70 FROM cross_ind GROUP BY symbol),
+VOLUME_PATTERN = """, vq AS (SELECT symbol, quantile_cont(close, 0.3) AS q30, quantile_cont(close, 0.7) AS q70 FROM (SELECT *, max(datetime) OVER (PARTITION BY symbol) AS z FROM cross_ind) WHERE datetime >= z - INTERVAL 180 DAY GROUP BY symbol),
  vs AS (SELECT symbol, ((close <= q30)::INT + coalesce(close < 0.9 * ma120, false)::INT + coalesce(close < ma20 - 2 * boll_sd, false)::INT) >= 2 AS is_low, ((close >= q70)::INT + coalesce(close > 1.2 * ma120, false)::INT + coalesce(close > ma20 + 2 * boll_sd, false)::INT) >= 2 AS is_high FROM cross_ind JOIN vq USING (symbol) WHERE back = 1),
  vd AS (SELECT *, volume < 0.8 * lag(volume) OVER (PARTITION BY symbol ORDER BY rn) AND abs(pct_change * 100) < 1 AND abs(close - open) / nullif(open, 0) < 0.005 AS doji FROM cross_ind WHERE back <= 5),
  vp AS (SELECT symbol, (max(coalesce(volume_ratio > 1.5 AND pct_change * 100 < 2, false)::INT) * 3 * any_value(is_low)::INT - max(coalesce(volume_ratio > 2 AND pct_change * 100 < 1, false)::INT) * 3 * any_value(is_high)::INT + max(coalesce(doji, false)::INT))::INT AS vol_score FROM vd JOIN vs USING (symbol) GROUP BY symbol)"""
@@ -241,4 +237,4 @@ VOLUME_PATTERN = """, vq AS (SELECT symbol, quantile_cont(close, 0.3) AS q30, qu
 @query("d19_volume_pattern", from_indicators(VOLUME_PATTERN + " SELECT symbol, vol_score AS score FROM vp"))
 def d19(spark, sf_dir):
     df = ind.with_trends(ind.with_averages(src.daily_bars(spark, sf_dir)))
-    return screening.volume_pattern(ind.last_bars(df, 5), d18(spark, sf_dir)).select("symbol", "score")
+    return screening.volume_pattern(ind.last_bars(df, 5), screening.price_position(df)).select("symbol", "score")

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from barloom.operators.bars import SESSIONS
 
 STATE = "n int, e12 double, e26 double, dea double, dif0 double, dea0 double"
-ALERT = "symbol string, datetime timestamp, close double, dif double, dea double, golden_cross boolean, death_cross boolean"
+ALERT = "symbol string, timeframe string, datetime timestamp, close double, dif double, dea double, golden_cross boolean, death_cross boolean"
 
 
 def stream_hours(ticks: DataFrame, delay: str = "2 hours") -> DataFrame:
@@ -58,15 +58,15 @@ def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
         dif = e12 - e26
         dea = dif if n <= 26 else blend(dea, dif, 9)
         ready = n > 34
-        rows.append((key[0], at, close, dif if n >= 26 else None, dea if n >= 34 else None, ready and dif > dea and last_dif <= last_dea, ready and dif < dea and last_dif >= last_dea))
+        rows.append((*key, at, close, dif if n >= 26 else None, dea if n >= 34 else None, ready and dif > dea and last_dif <= last_dea, ready and dif < dea and last_dif >= last_dea))
         last_dif, last_dea = dif, dea
     state.update((n, e12, e26, dea, last_dif, last_dea))
     yield pd.DataFrame(rows, columns=[x.split()[0] for x in ALERT.split(", ")])
 
 
 def stream_macd(bars: DataFrame) -> DataFrame:
-    """MACD and crosses bar by bar; the state of a symbol is six numbers."""
-    return bars.groupBy("symbol").applyInPandasWithState(_step, ALERT, STATE, "append", GroupStateTimeout.NoTimeout)
+    """MACD and crosses bar by bar; the state of a symbol and timeframe is six numbers."""
+    return bars.groupBy("symbol", "timeframe").applyInPandasWithState(_step, ALERT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def dedup_events(events: DataFrame, delay: str = "1 day") -> DataFrame:

@@ -161,17 +161,18 @@ def test_streams_equal_batches(spark, tmp_path):
         spark.createDataFrame(rows[k * 200 : k * 200 + 200], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/ticks")
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/ticks")
     stream.run_once(stream.stream_hours(source, "30 days"), f"{tmp_path}/hours", f"{tmp_path}/c1")
-    bars_schema = "symbol string, datetime timestamp, close double"
-    closes = [(s, datetime(2025, 1, 1) + timedelta(days=i), float(50 + 5 * np.sin(i / 6) + (s == "B"))) for i in range(120) for s in "AB"]
+    bars_schema = "symbol string, timeframe string, datetime timestamp, close double"
+    keys = [("A", "1d"), ("A", "60m"), ("B", "1d")]
+    closes = [(s, t, datetime(2025, 1, 1) + timedelta(days=i), float(50 + 5 * np.sin(i / 6 + (t == "60m")) + (s == "B"))) for i in range(120) for s, t in keys]
     for k in range(2):
-        spark.createDataFrame(closes[k * 120 : k * 120 + 120], bars_schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/bars")
+        spark.createDataFrame(closes[k * 180 : k * 180 + 180], bars_schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/bars")
     src = spark.readStream.schema(bars_schema).parquet(f"{tmp_path}/bars")
     stream.run_once(stream.stream_macd(src), f"{tmp_path}/alerts", f"{tmp_path}/c2")
-    got = {(r.symbol, r.datetime): r for r in spark.read.parquet(f"{tmp_path}/alerts").collect()}
-    for s in "AB":
-        pdf = kernels.macd_frame(pd.DataFrame([(t, c) for x, t, c in closes if x == s], columns=["datetime", "close"]))
+    got = {(r.symbol, r.timeframe, r.datetime): r for r in spark.read.parquet(f"{tmp_path}/alerts").collect()}
+    for key in keys:
+        pdf = kernels.macd_frame(pd.DataFrame([(at, c) for *k, at, c in closes if tuple(k) == key], columns=["datetime", "close"]))
         for r in pdf.itertuples():
-            g = got[s, r.datetime.to_pydatetime()]
+            g = got[*key, r.datetime.to_pydatetime()]
             assert (g.dif is None) == np.isnan(r.dif) and (g.dea is None) == np.isnan(r.dea)
             assert g.dea is None or g.dea == pytest.approx(r.dea)
     assert any(r.golden_cross for r in got.values())

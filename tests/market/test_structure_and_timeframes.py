@@ -194,3 +194,13 @@ def test_unmatched_entries(spark):
     t = spark.createDataFrame([("X", 1, "SELL", 1.0), ("X", 2, "BUY", -1.0), ("X", 3, "BUY", -1.0), ("X", 4, "SELL", 2.0), ("X", 5, "BUY", -1.0)], "symbol string, seq int, side string, flow double")
     assert {r.seq for r in backtest.unmatched_entries(t).collect()} == {3, 5}
     assert [(r.k, r.buy_seq, r.sell_seq, r.pnl) for r in backtest.pair_trades(t).collect()] == [(1, 2, 4, 1.0)]
+
+
+def test_price_position_of_the_last_half_year(spark):
+    """Low closes a year ago do not count: the last close is the lowest of the half year, and below its band."""
+    start = datetime(2024, 1, 1)
+    rows = [("X", "1d", start + timedelta(days=i), 10.0 if i < 150 else 50.0 if i < 399 else 40.0, None, 45.0, 55.0) for i in range(400)]
+    rows += [("Y", "1d", start + timedelta(days=i), 50.0 if i < 399 else 60.0, 49.0, 45.0, 55.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "symbol string, timeframe string, datetime timestamp, close double, ma120 double, boll_low double, boll_up double")
+    of = lambda days: {r.symbol: (r.is_low, r.is_high) for r in screening.price_position(df, days).collect()}
+    assert of(180) == {"X": (True, False), "Y": (False, True)} and of(1000)["X"] == (False, False)
