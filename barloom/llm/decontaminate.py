@@ -5,7 +5,7 @@ words is a pattern (an item of fewer words is one pattern), written with a space
 alike and scanned once. Hits are mapped to word positions, and to character offsets of the original text.
 
 The automaton is built from a block of items whose patterns take about ``block_bytes``. A benchmark beyond that comes in
-several blocks, which are scanned one after another: driver and workers hold one block at a time, and the documents are
+several blocks, which are scanned one after another: driver and workers hold one block at a time (the driver the next one as well), and the documents are
 read once a block.
 
 Cases: null or wordless texts have no words and no hits; null or wordless items have no patterns. Very long texts and
