@@ -14,7 +14,7 @@ from barloom.plans.sql import BARS, INDEX, INDICATORS, TICKS, macd
 from barloom.plans.structure_queries import DIVERGENCE, FRACTALS, MERGED, POINTS, STROKES, VOLUME_PATTERN, d19, points_sql
 from barloom.sources import tables as src
 from barloom.streaming import bars as stream
-from barloom.streaming.store import VersionedTable, unseen, upsert_stream
+from barloom.streaming.store import VersionedTable, route_stream, unseen, upsert_stream
 
 QUERIES, SQL = {}, {}
 
@@ -721,18 +721,34 @@ def event_stream(spark, sf_dir):
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
 
 
+def logged_stream(spark, sf_dir):
+    """The stream of market events with their ids."""
+    day = F.date_format("ts", "yyyy-MM-dd")
+    rows = event_stream(spark, sf_dir).select(F.concat(F.lit("u"), "user_id").alias("symbol"), F.lit("1d").alias("timeframe"), F.col("event_type").alias("signal_type"), F.when(F.col("event_id") % 2 == 0, "buy").otherwise("sell").alias("side"), day.alias("confirmed_at"), (F.col("event_id") % 100).cast("int").alias("score"))
+    return pool.with_event_id(rows)
+
+
 @query("i05_upserted_log", f"WITH {EVENTS} SELECT event_id, symbol, signal_type, confirmed_at, min(score) AS score FROM ids GROUP BY ALL")
 def i05(spark, sf_dir):
     """Events taken into a stored log by a bounded stream, each id once; then the same stream again, which adds nothing."""
     folder = src.run_folder(spark, "log")
-    day = F.date_format("ts", "yyyy-MM-dd")
-    rows = event_stream(spark, sf_dir).select(F.concat(F.lit("u"), "user_id").alias("symbol"), F.lit("1d").alias("timeframe"), F.col("event_type").alias("signal_type"), F.when(F.col("event_id") % 2 == 0, "buy").otherwise("sell").alias("side"), day.alias("confirmed_at"), (F.col("event_id") % 100).cast("int").alias("score"))
     log = VersionedTable(spark, f"{folder}/log", EVENT_LOG, F.substring("confirmed_at", 1, 7))
     for checkpoint in ("first", "again"):
-        upsert_stream(pool.with_event_id(rows), log, unseen(["event_id"]), f"{folder}/{checkpoint}", checkpoint)
+        upsert_stream(logged_stream(spark, sf_dir), log, unseen(["event_id"]), f"{folder}/{checkpoint}", checkpoint)
     return log.read()
 
 
+@query("i04_stale_events", f"WITH {EVENTS}, d AS (SELECT DISTINCT event_id, confirmed_at FROM ids) SELECT confirmed_at AS day, CASE WHEN confirmed_at < '2024-01-15' THEN 'stale' ELSE 'current' END AS state, count(*) AS n FROM d GROUP BY confirmed_at")
+def i04(spark, sf_dir):
+    """A bounded stream whose events from before the expected trade date go to a side table; both counted by day."""
+    folder = src.run_folder(spark, "stale")
+    late = F.col("confirmed_at") < "2024-01-15"
+    tables = {name: VersionedTable(spark, f"{folder}/{name}", EVENT_LOG, F.substring("confirmed_at", 1, 7)) for name in ("current", "stale")}
+    route_stream(logged_stream(spark, sf_dir), [(tables["current"], ~late, unseen(["event_id"])), (tables["stale"], late, unseen(["event_id"]))], f"{folder}/checkpoint")
+    counted = [t.read().groupBy(F.col("confirmed_at").alias("day")).agg(F.count(F.lit(1)).alias("n")).withColumn("state", F.lit(name)) for name, t in tables.items()]
+    return counted[0].unionByName(counted[1]).select("day", "state", "n")
+
+
 @query("i01_session_stream", """WITH t AS (SELECT event_type AS symbol, ts, coalesce(value, 0) AS price, CASE WHEN ts::TIME > TIME '09:30:00' AND ts::TIME <= TIME '11:30:00' THEN ts::DATE + INTERVAL 570 MINUTE WHEN ts::TIME > TIME '13:00:00' AND ts::TIME <= TIME '15:00:00' THEN ts::DATE + INTERVAL 780 MINUTE END AS start FROM events),
  b AS (SELECT *, ceil(epoch_us(ts - start) / 3600000000)::BIGINT AS bucket, ceil(epoch_us(ts - start) / 1800000000)::BIGINT AS half FROM t WHERE start IS NOT NULL),
  e AS (SELECT *, start + bucket * INTERVAL 60 MINUTE AS fin FROM b)

@@ -112,6 +112,20 @@ class VersionedTable:
 
 def upsert_stream(rows: DataFrame, table: VersionedTable, merge: Merge, checkpoint: str, name: str = "stream") -> None:
     """Take in what is there, batch by batch, and stop; a rerun goes on where the last one ended, or died."""
-    write = lambda batch, batch_id: table.apply(batch, batch_id, name, merge)
+    route_stream(rows, [(table, F.lit(True), merge)], checkpoint, name)
+
+
+def route_stream(rows: DataFrame, routes: list[tuple[VersionedTable, Column, Merge]], checkpoint: str, name: str = "stream") -> None:
+    """Like ``upsert_stream`` into several tables, each taking the rows of its condition (stale events go to a side table).
+
+    Every table leaves out a batch that it has, so a death between two of them is made good by the rerun.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        for table, condition, merge in routes:
+            table.apply(batch.filter(condition), batch_id, name, merge)
+        batch.unpersist()
+
     query = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

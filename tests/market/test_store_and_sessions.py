@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.streaming import bars as stream
-from barloom.streaming.store import VersionedTable, newest, unseen, upsert_stream
+from barloom.streaming.store import VersionedTable, newest, route_stream, unseen, upsert_stream
 
 SCHEMA = "symbol string, datetime timestamp, close double"
 
@@ -112,3 +112,18 @@ def test_only_touched_partitions(spark, tmp_path):
     src.write_report(frame(("r1", "2025-02", 3), ("r2", "2025-01", 4)), path, by=by, only_touched=True)
     assert sorted((r.run, r.month, r.x) for r in spark.read.parquet(path).collect()) == [("r1", "2025-01", 1), ("r1", "2025-02", 3), ("r2", "2025-01", 4)]
     assert sorted(p.name for p in (tmp_path / "report/run=r1/month=2025-01").glob("*.parquet")) == kept
+
+
+def test_stale_rows_go_aside(spark, tmp_path):
+    """The stream dies between its two tables; the rerun fills the second and leaves the first as it is."""
+    batch_of(spark, ("A", 1, 5, 1.0), ("A", 2, 5, 2.0), ("B", 2, 6, 3.0)).coalesce(1).write.parquet(f"{tmp_path}/in")
+    current, stale = table(spark, tmp_path / "current"), table(spark, tmp_path / "stale")
+    late, merge = F.col("datetime") < "2025-02-01", newest(["symbol", "datetime"])
+    run = lambda: route_stream(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), [(current, ~late, merge), (stale, late, merge)], f"{tmp_path}/c")
+    switch, stale._switch = stale._switch, lambda pointer: 1 / 0
+    with pytest.raises(Exception, match="division by zero"):
+        run()
+    assert len(rows_of(current)) == 2 and rows_of(stale) == []
+    stale._switch = switch
+    run()
+    assert rows_of(current) == [("A", 2, 5, 2.0), ("B", 2, 6, 3.0)] and rows_of(stale) == [("A", 1, 5, 1.0)] and current.pointer()["version"] == 1
