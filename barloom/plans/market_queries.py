@@ -519,6 +519,13 @@ def e18(spark, sf_dir):
     return screening.top(screening.screen(snapshot(spark, sf_dir), tests).select("symbol", "roe"), 3, F.col("roe").desc(), F.col("symbol"))
 
 
+@query("e18_trend_screen", snap_sql(" SELECT symbol, roe, round(close_vs_ma, 6) AS close_vs_ma FROM snap WHERE roe >= 10 AND pe <= 30 AND debt_ratio <= 50 AND avg_turnover BETWEEN 1 AND 20 AND close_vs_ma >= 0"))
+def e18_trend(spark, sf_dir):
+    """Return, price, debt and turnover of symbols that are not below their 250-bar average."""
+    tests = {"roe": F.col("roe") >= 10, "pe": F.col("pe") <= 30, "debt": F.col("debt_ratio") <= 50, "turnover": F.col("avg_turnover").between(1, 20), "trend": F.col("close_vs_ma") >= 0}
+    return screening.screen(snapshot(spark, sf_dir), tests).select("symbol", "roe", *r6("close_vs_ma"))
+
+
 EXITS = """, ex AS (SELECT pr.account, pr.symbol, CASE WHEN pr.profit_pct <= -stop_loss OR (NOT pr.above_ma AND pr.slope < 0) THEN 'SELL' WHEN pr.profit_pct >= take_profit OR pr.regime = 'bear' AND pr.profit_pct < 0 OR divergence = 'bearish' OR pr.profit_pct > 20 OR volume_ratio > 1.8 AND death_cross OR NOT pr.above_ma AND pr.profit_pct > 0 THEN 'REDUCE' END AS action FROM pr JOIN snap USING (symbol))"""
 
 
