@@ -214,11 +214,23 @@ def nav_metrics(nav: DataFrame, value: str = "close") -> DataFrame:
     by = Window.partitionBy("symbol").orderBy("datetime")
     step = F.col(value) / F.lag(value).over(by) - 1
     rows = nav.withColumn("step", step).withColumn("peak", F.max(value).over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("dd", 1 - F.col(value) / F.col("peak"))
-    out = rows.groupBy("symbol").agg(F.min_by(value, "datetime").alias("first"), F.max_by(value, "datetime").alias("last"), F.datediff(F.max("datetime"), F.min("datetime")).alias("days"), F.max("dd").alias("max_drawdown"), F.avg("step").alias("mean"), F.stddev_pop("step").alias("sd"), F.avg((F.col("step") > 0).cast("int")).alias("win_rate"))
+    out = rows.groupBy("symbol").agg(F.min_by(value, "datetime").alias("first"), F.max_by(value, "datetime").alias("last"), F.datediff(F.max("datetime"), F.min("datetime")).alias("days"), F.count(F.lit(1)).alias("values"), F.max("dd").alias("max_drawdown"), F.avg("step").alias("mean"), F.stddev_pop("step").alias("sd"), F.avg((F.col("step") > 0).cast("int")).alias("win_rate"))
     ret = F.col("last") / F.col("first") - 1
     return out.withColumn("total_return", ret).withColumn("annual_return", F.pow(1 + ret, 365 / F.greatest("days", F.lit(1))) - 1).withColumn("sharpe", (F.col("mean") - 0.03 / 365) / F.nullif(F.col("sd"), F.lit(0.0)) * F.sqrt(F.lit(252.0)))
 
 
+def symbol_report(nav: DataFrame, trades: DataFrame, capital: float) -> DataFrame:
+    """``nav_metrics`` with the closed trades (pnl, amount) of each symbol: their number, win rate, mean profit to mean loss,
+    and turnover a year of 252 values. Without wins or without losing trades the ratio is 0, as are the others without trades."""
+    gain, loss = F.when(F.col("pnl") > 0, F.col("pnl")), F.when(F.col("pnl") < 0, -F.col("pnl"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    t = trades.groupBy("symbol").agg(F.count(F.lit(1)).alias("trades"), F.count(gain).alias("wins"), zero(F.sum(gain)).alias("gained"), zero(F.sum(loss)).alias("lost"), F.sum("amount").alias("amount"))
+    rest = F.col("trades") - F.col("wins")
+    ratio = F.when((F.col("wins") > 0) & (rest > 0), F.col("gained") / F.col("wins") / F.nullif(F.col("lost") / rest, F.lit(0.0)))
+    out = nav.join(t, "symbol", "left").withColumns({"trade_win_rate": zero(F.col("wins") / F.col("trades")), "profit_loss_ratio": zero(ratio), "turnover": zero(F.col("amount")) / (2 * capital) / (F.col("values") / 252)})
+    return out.withColumn("trades", F.coalesce("trades", F.lit(0))).drop("wins", "gained", "lost", "amount")
+
+
 def rebalance(scores: DataFrame, n: int) -> DataFrame:
     """By month, what to buy and sell to hold the n best: set differences of each month with the one before."""
     by = Window.partitionBy("month").orderBy(F.col("score").desc(), "symbol")

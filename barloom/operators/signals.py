@@ -160,6 +160,21 @@ def valued_positions(df: DataFrame) -> DataFrame:
     return out.withColumn("avg_cost", F.col("total_cost") / F.col("shares")).withColumn("market_value", F.col("shares") * F.col("price")).withColumn("profit_rate", F.col("market_value") / F.col("total_cost") - 1)
 
 
+def valued_tranches(lots: DataFrame, prices: DataFrame) -> DataFrame:
+    """positions of (account, symbol) from lots (tranche base or mobile, shares, price), valued at ``current_price`` of the symbol.
+
+    A tranche costs the mean price of its lots by shares, and 0 without shares, as do rates without cost. Positions without a price are left out.
+    """
+    mine = lambda c, kind: F.coalesce(F.sum(F.when(F.col("tranche") == kind, c)), F.lit(0))
+    paid = F.col("shares") * F.col("price")
+    sums = lots.groupBy("account", "symbol").agg(*[mine(c, k).alias(f"{k}_{n}") for k in ("base", "mobile") for c, n in ((F.col("shares"), "shares"), (paid, "paid"))])
+    cost = lambda k: F.coalesce(F.col(f"{k}_paid") / F.nullif(F.col(f"{k}_shares"), F.lit(0)), F.lit(0.0))
+    out = sums.join(prices.select("symbol", "current_price"), "symbol").withColumns({"base_cost": cost("base"), "mobile_cost": cost("mobile"), "shares": F.col("base_shares") + F.col("mobile_shares"), "total_cost": F.col("base_paid") + F.col("mobile_paid")})
+    out = out.withColumns({"market_value": F.col("shares") * F.col("current_price"), "average_cost": F.coalesce(F.col("total_cost") / F.nullif(F.col("shares"), F.lit(0)), F.lit(0.0))})
+    out = out.withColumn("profit_loss", F.col("market_value") - F.col("total_cost"))
+    return out.withColumn("profit_rate", F.coalesce(F.col("profit_loss") / F.nullif(F.col("total_cost"), F.lit(0.0)), F.lit(0.0))).drop("base_paid", "mobile_paid")
+
+
 def sized(df: DataFrame, cash: float = 1_000_000, lot: int = 100) -> DataFrame:
     """base and mobile shares in whole lots: 25 % and 15 % of the capital."""
     base, mobile = min(0.25, (1 - 0.25) / 3, 0.40), min(0.25, 0.40 - 0.25)

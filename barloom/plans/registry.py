@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from barloom.plans import indicator_queries, market_queries, structure_queries
+from barloom.plans import indicator_queries, market_queries, sketch_queries, structure_queries
 
-MODULES = [indicator_queries, structure_queries, market_queries]
+MODULES = [indicator_queries, structure_queries, market_queries, sketch_queries]
 
 
 def queries() -> dict:

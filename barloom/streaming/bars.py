@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from barloom.operators.bars import SESSIONS
 
-STATE = "n int, e12 double, e26 double, dea double, dif0 double, dea0 double"
+STATE = "n int, e12 double, e26 double, dea double, dif0 double, dea0 double, at long"
+_FIELDS = [(x.split()[0], float if x.endswith("double") else int) for x in STATE.split(", ")]
 ALERT = "symbol string, timeframe string, datetime timestamp, close double, dif double, dea double, golden_cross boolean, death_cross boolean"
 
 
@@ -47,26 +49,74 @@ def stream_sessions(ticks: DataFrame, target: int = 60, source: int = 30, delay:
     return complete.select("symbol", F.lit(f"{target}m").alias("timeframe"), F.col("end").alias("datetime"), "open", "high", "low", "close", "volume")
 
 
-def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    n, e12, e26, dea, last_dif, last_dea = state.get if state.exists else (0, 0.0, 0.0, 0.0, 0.0, 0.0)
-    pdf = pd.concat(list(frames)).sort_values("datetime", kind="stable")
+def _advance(state: tuple | None, pdf: pd.DataFrame) -> tuple[tuple, list[tuple]]:
+    """The state after these bars, and a row for each. Bars that are not after the last one seen change nothing."""
+    n, e12, e26, dea, last_dif, last_dea, last_at = state or (0, 0.0, 0.0, 0.0, 0.0, 0.0, None)
     rows = []
     blend = lambda old, x, span: ((1 - 2 / (span + 1)) * old + 2 / (span + 1) * x)
+    pdf = pdf.sort_values("datetime", kind="stable")
     for at, close in zip(pdf["datetime"], pdf["close"], strict=True):
+        micros = pd.Timestamp(at).value // 1000
+        if last_at is not None and micros <= last_at:
+            continue
         n += 1
         e12, e26 = (close, close) if n == 1 else (blend(e12, close, 12), blend(e26, close, 26))
         dif = e12 - e26
         dea = dif if n <= 26 else blend(dea, dif, 9)
         ready = n > 34
-        rows.append((*key, at, close, dif if n >= 26 else None, dea if n >= 34 else None, ready and dif > dea and last_dif <= last_dea, ready and dif < dea and last_dif >= last_dea))
-        last_dif, last_dea = dif, dea
-    state.update((n, e12, e26, dea, last_dif, last_dea))
-    yield pd.DataFrame(rows, columns=[x.split()[0] for x in ALERT.split(", ")])
+        rows.append((at, close, dif if n >= 26 else None, dea if n >= 34 else None, ready and dif > dea and last_dif <= last_dea, ready and dif < dea and last_dif >= last_dea))
+        last_dif, last_dea, last_at = dif, dea, micros
+    return (n, e12, e26, dea, last_dif, last_dea, last_at), rows
 
 
-def stream_macd(bars: DataFrame) -> DataFrame:
-    """MACD and crosses bar by bar; the state of a symbol and timeframe is six numbers."""
-    return bars.groupBy("symbol", "timeframe").applyInPandasWithState(_step, ALERT, STATE, "append", GroupStateTimeout.NoTimeout)
+class MacdProcessor(StatefulProcessor):
+    """One value a key, in the session's state store."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("macd", STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state, out = _advance(self.state.get(), pd.concat(list(rows)))
+        self.state.update(state)
+        yield pd.DataFrame([(*key, *r) for r in out], columns=[x.split()[0] for x in ALERT.split(", ")])
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
+        first = initialState.iloc[0]
+        self.state.update(tuple(kind(first[name]) for name, kind in _FIELDS))
+
+    def close(self) -> None:
+        pass
+
+
+def macd_state(bars: DataFrame) -> DataFrame:
+    """What ``stream_macd`` would hold after these bars, by symbol and timeframe; its initial state."""
+
+    def last(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *_advance(None, pdf)[0])], columns=["symbol", "timeframe", *(name for name, _ in _FIELDS)])
+
+    return bars.select("symbol", "timeframe", "datetime", "close").groupBy("symbol", "timeframe").applyInPandas(last, f"symbol string, timeframe string, {STATE}")
+
+
+def stream_macd(bars: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """MACD and crosses bar by bar, going on from the bars of ``history`` if given; bars of a key come in time order.
+
+    The state of a symbol and timeframe is seven numbers. Needs the RocksDB state store (``rocksdb`` sets it while a query starts).
+    """
+    first = None if history is None else macd_state(history).groupBy("symbol", "timeframe")
+    rows = bars.select("symbol", "timeframe", "datetime", "close").groupBy("symbol", "timeframe")
+    return rows.transformWithStateInPandas(MacdProcessor(), ALERT, "append", "none", first)
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, whatever the session says."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
 def dedup_events(events: DataFrame, delay: str = "1 day") -> DataFrame:
