@@ -4,9 +4,11 @@ Words are runs of ``[0-9A-Za-z]`` and non-ASCII characters, with A-Z in lower ca
 words is a pattern (an item of fewer words is one pattern), written with a space at either end; a document is written
 alike and scanned once. Hits are mapped to word positions, and to character offsets of the original text.
 
-The automaton is built from a block of items whose patterns take about ``block_bytes``. A benchmark beyond that comes in
-several blocks, which are scanned one after another: driver and workers hold one block at a time (the driver the next one as well), and the documents are
-read once a block.
+The automaton is built from a block of items whose patterns take at most about ``block_bytes``: a trie has no more nodes than
+its patterns have bytes, and a node takes about 50 bytes, so the default of 8 MB is about 0.4 GB in a Python worker. Items go in
+as pieces of bounded length that overlap by ``n`` - 1 words, so that a very long item is no exception. A benchmark
+beyond one block comes in several, which are scanned one after another: driver and workers hold one block at a time, and the
+documents are read once a block.
 
 Cases: null or wordless texts have no words and no hits; null or wordless items have no patterns. Very long texts and
 items are taken whole. Repeated items count once per item_id; repeated documents are judged alike. Overlapping windows hit
@@ -33,6 +35,8 @@ from barloom.llm.common import Scratch
 
 #: Bytes: A-Z to a-z; 0-9, a-z and all beyond ASCII stay; everything else parts words.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
+#: Bytes of the patterns of one block.
+BLOCK_BYTES = 8 << 20
 WORD_RE = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
@@ -102,49 +106,72 @@ def spans_of(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(items: DataFrame, block_bytes: int) -> Iterator[pd.DataFrame]:
-    """The items in blocks of bounded size, read one after another; no items make one empty block.
+def _pieces(items: DataFrame, n: int, most: int = 4096) -> DataFrame:
+    """The items as normalised pieces of at most about ``most`` words that have the same windows; wordless items have none."""
 
-    An item's share is what its patterns take at most: a window of ``n`` words for each word. Blocks are ranges of the
-    items' hash whose bounds come from sums by 4,096 hash ranges, so a block exceeds the size only by one such range.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for item_id, text in zip(pdf["item_id"], pdf["text"], strict=True):
+                words = fold(text)
+                for i in range(0, max(1, len(words) - n + 1) if words else 0, most):
+                    out.append((item_id, b" ".join(words[i : i + most + n - 1]).decode("utf-8", "surrogatepass")))
+            yield pd.DataFrame(out, columns=["item_id", "text"])
+
+    return items.mapInPandas(run, "item_id string, text string")
+
+
+def _blocks(pieces: DataFrame, n: int, block_bytes: int) -> list[DataFrame]:
+    """The pieces in blocks of bounded size; no pieces make one empty block.
+
+    Blocks are ranges of the pieces' hash whose bounds come from sums by 4,096 hash ranges, each of at most that many further
+    ones where a range alone is too large, so a block exceeds the size only by one such range.
     """
-    size = F.coalesce(F.octet_length("text"), F.lit(0)) * 10 + 64  # a window takes about ten words
-    bucket = F.shiftrightunsigned(F.xxhash64("item_id", "text"), 52).alias("bucket")
-    sums = items.groupBy(bucket).agg(F.sum(size).alias("size")).orderBy("bucket").collect()  # at most 4,096 rows
+    size = (F.octet_length("text") + 1) * n + 2  # a word is in n windows at most
+    fine = F.shiftrightunsigned(F.xxhash64("item_id", "text"), 40)  # 24 bits
+    coarse = F.shiftrightunsigned(fine, 12)
+    sums = pieces.groupBy(coarse.alias("c")).agg(F.sum(size).alias("size")).orderBy("c").collect()  # at most 4,096 rows
     cuts, total = [0], 0
-    for r in sums:
-        if total and total + r["size"] > block_bytes:
-            cuts.append(r["bucket"])
+
+    def take(start: int, amount: int) -> None:
+        nonlocal total
+        if total and total + amount > block_bytes:
+            cuts.append(start)
             total = 0
-        total += r["size"]
-    for low, high in zip(cuts, [*cuts[1:], 4096], strict=True):
-        part = items if len(cuts) == 1 else items.filter((bucket >= low) & (bucket < high))
-        yield part.orderBy("item_id", "text").toPandas()
+        total += amount
+
+    for r in sums:
+        if r["size"] <= block_bytes:
+            take(r["c"] << 12, r["size"])
+            continue
+        for x in pieces.filter(coarse == r["c"]).groupBy(fine.alias("f")).agg(F.sum(size).alias("size")).orderBy("f").collect():  # at most 4,096 rows
+            take(x["f"], x["size"])
+    return [pieces.filter((fine >= low) & (fine < high)) for low, high in zip(cuts, [*cuts[1:], 1 << 24], strict=True)]
 
 
 def _by_block(rows: DataFrame, items: DataFrame, n: int, block_bytes: int, item_id_col: str, item_text_col: str, scan) -> DataFrame:
     """``scan(rows, start, last)`` for one block of items after another; start gives the block's scanner and item ids.
 
-    A single block is scanned when the result is read. Of more, each is broadcast, scanned and written before the next, so
-    that memory holds one block and its automaton, however large the benchmark is.
+    The last block is scanned when the result is read. Each before it is broadcast, scanned, written and let go before the next
+    is fetched, so that memory holds one block and its automaton, however large the benchmark is.
     """
     items = items.select(F.col(item_id_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text"))
     context, scratch = items.sparkSession.sparkContext, Scratch(items.sparkSession)
-    blocks = _blocks(items, block_bytes)
-    block, shared = next(blocks), None
-    while block is not None:
-        following = next(blocks, None)
-        if shared:
-            shared.unpersist()
-        shared, key = context.broadcast(block), uuid.uuid4().hex
-        rows = scan(rows, lambda b=shared, k=key: (Scanner.of(k, b.value, n), b.value["item_id"].tolist()), following is None)
-        if following is not None:
+    pieces = scratch.write(_pieces(items, n))
+    blocks = _blocks(pieces, n, block_bytes)
+    for i, block in enumerate(blocks):
+        shared, key = context.broadcast(block.orderBy("item_id", "text").toPandas()), uuid.uuid4().hex
+        before, rows = rows, scan(rows, lambda b=shared, k=key: (Scanner.of(k, b.value, n), b.value["item_id"].tolist()), i == len(blocks) - 1)
+        if i < len(blocks) - 1:
             rows = scratch.write(rows)
-        block = following
+            shared.unpersist()
+            if i:
+                scratch.drop(before)
+    scratch.drop(pieces)
     return rows
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 10, block_bytes: int = 64 << 20, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 10, block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows without a hit, with all their columns. Each block scans what the one before left."""
 
     def scan(rows, start, last):
@@ -158,7 +185,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 10, block_byte
 
 
 def find_contamination(
-    docs: DataFrame, items: DataFrame, n: int = 10, block_bytes: int = 64 << 20,
+    docs: DataFrame, items: DataFrame, n: int = 10, block_bytes: int = BLOCK_BYTES,
     id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, item_ids (array, sorted as strings), spans (array of start, end).

@@ -4,7 +4,7 @@ DataFrame operations only. Headers are the sentences of a file that mention lice
 also taken whole. Equal pieces are counted and scored once. Term weights come from all pieces of all files and the
 templates. A file without a licence of its own inherits from the licence file of its nearest ancestor directory.
 
-Cases: null and empty texts have no pieces. A null path belongs to no directory: it neither inherits nor gives. Of several
+Cases: null and empty texts have no pieces. Very long texts are taken whole; their pieces go by md5 where they need not be read. A null path belongs to no directory: it neither inherits nor gives. Of several
 licence files in one directory the best score wins, then the smallest name and path. Rows with equal paths keep a row
 each. An empty table gives an empty result. Other columns are kept out of the joins, so their names may clash.
 """
@@ -44,6 +44,8 @@ MENTION = r"(?i)licen[cs]e|copyright|rights reserved|spdx|permission is hereby|c
 FILE_NAME = r"(?i)^(licen[cs]e|copying|unlicense)"
 TERM = "[a-z0-9]+(?:[.][0-9]+)*"
 THRESHOLD = 0.6
+#: Terms of one in so many rows or more are broadcast with their weights.
+FREQUENT = 10_000
 
 
 def _terms(text: Column) -> Column:
@@ -55,24 +57,34 @@ def _counted(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.select(*key, F.explode(_terms(F.col("piece"))).alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def scored_pieces(pieces: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def scored_pieces(pieces: DataFrame, threshold: float = THRESHOLD, share: int = FREQUENT, scratch: Scratch | None = None) -> DataFrame:
     """(pid, piece, n): distinct pieces, their md5 and numbers -> pid, license, score of those near a template.
 
-    idf = ln((1 + N) / (1 + df)) + 1, over all pieces and templates.
+    idf = ln((1 + N) / (1 + df)) + 1, over all pieces and templates. Terms of templates, and terms that take one in
+    ``share`` of all (piece, term) rows or more, meet their weights by broadcast: they number at most ``share`` and the terms
+    of the fixed templates. The others are joined by term, and none of them is hot. Only terms of templates enter products; of
+    all others a piece needs but the sum of squares.
     """
-    spark = pieces.sparkSession
+    spark, scratch = pieces.sparkSession, scratch or Scratch(pieces.sparkSession)
     templates = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(TEMPLATES)], "tpl int, license string, piece string")
-    tf = _counted(pieces, ["pid", "n"])
+    tf = scratch.write(_counted(pieces, ["pid", "n"]))
     tpl = _counted(templates, ["tpl", "license"])
-    df = tf.select("term", "n").unionByName(tpl.select("term", F.lit(1).cast("long").alias("n"))).groupBy("term").agg(F.sum("n").alias("df"))
+    of_template = tpl.select("term", F.lit(1).cast("long").alias("n"), F.lit(0).alias("row"), F.lit(True).alias("fixed"))
+    df = tf.select("term", "n", F.lit(1).alias("row"), F.lit(False).alias("fixed")).unionByName(of_template).groupBy("term").agg(F.sum("n").alias("df"), F.sum("row").alias("rows"), F.max("fixed").alias("fixed"))
+    df = scratch.write(df)
     total = (pieces.agg(F.sum("n")).first()[0] or 0) + len(TEMPLATES)
-    idf = df.select("term", (F.log(F.lit(float(total + 1)) / (F.col("df") + 1)) + 1).alias("idf"))
-    weigh = lambda x: x.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    by_tpl = weigh(tpl).withColumn("tnorm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("tpl"))))
-    sides = by_tpl.select("term", "tpl", "license", (F.col("w") / F.col("tnorm")).alias("tw"))
-    own = weigh(tf).select("pid", "term", "w")
-    norm = own.groupBy("pid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("pnorm"))
-    dots = own.join(sides, "term").groupBy("pid", "tpl", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    rows = df.agg(F.sum("rows")).first()[0] or 0
+    often = F.col("fixed") | (F.col("rows") * share >= rows)
+    idf = df.select("term", "fixed", (F.log(F.lit(float(total + 1)) / (F.col("df") + 1)) + 1).alias("idf"), often.alias("often"))
+    frequent = F.broadcast(idf.filter("often").drop("often"))  # at most share + terms of TEMPLATES rows
+    weight = F.col("tf") * F.col("idf")
+    known = tf.join(frequent, "term").withColumn("w", weight)
+    rare = tf.join(frequent, "term", "left_anti").join(idf.filter("not often"), "term").withColumn("w", weight)
+    squares = known.select("pid", "w").unionByName(rare.select("pid", "w"))
+    norm = squares.groupBy("pid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("pnorm"))
+    by_tpl = tpl.join(frequent, "term").withColumn("w", weight).withColumn("tnorm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("tpl"))))
+    sides = F.broadcast(by_tpl.select("term", "tpl", "license", (F.col("w") / F.col("tnorm")).alias("tw")))  # the terms of TEMPLATES
+    dots = known.filter("fixed").join(sides, "term").groupBy("pid", "tpl", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
     scores = dots.join(norm, "pid").withColumn("score", F.round(F.col("dot") / F.col("pnorm"), 6)).filter(F.col("score") >= threshold)
     best = scores.groupBy("pid").agg(F.min(F.struct((-F.col("score")).alias("neg"), "license")).alias("b"))
     return best.select("pid", F.col("b.license").alias("license"), (-F.col("b.neg")).alias("score"))
@@ -93,7 +105,7 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     # pieces go by their md5: a whole licence file must not travel along with each of its terms
     held = rows.select("row", F.explode("pieces").alias("piece")).withColumn("pid", F.md5("piece"))
     distinct = scratch.write(held.groupBy("pid").agg(F.first("piece").alias("piece"), F.count(F.lit(1)).alias("n")))
-    scored = scratch.write(scored_pieces(distinct, threshold))
+    scored = scratch.write(scored_pieces(distinct, threshold, scratch=scratch))
     own = held.select("row", "pid").join(scored, "pid").groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("neg"), "license")).alias("b"))
     slim = rows.select("row", "doc_id", "path", "dir", "is_file")
     slim = scratch.write(slim.join(own, "row", "left").select("doc_id", "path", "dir", "is_file", F.col("b.license").alias("own_license"), (-F.col("b.neg")).alias("own_score")))

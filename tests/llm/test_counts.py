@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import numpy as np
 import pytest
 
 from barloom.llm import decontaminate, mixing, quality_rules, tokens
@@ -107,6 +108,7 @@ def test_decontaminate(spark):
         found = decontaminate.find_contamination(d, i, block_bytes=block).collect()
         got = {r.doc_id: (r.n_words, r.n_hit, len(r.item_ids), hashlib.sha256(",".join(r.item_ids).encode()).hexdigest()) for r in found}
         assert got == brute(docs, items)
+    assert decontaminate.drop_contaminated(d, i, block_bytes=300).count() == len(docs) - sum(v[1] > 0 for v in got.values())
     spans = {r.doc_id: [docs[r.doc_id - 1][1][s.start : s.end] for s in r.spans] for r in found}
     assert spans[1] == [long] and spans[2] == ["short ITEM é short item"]
     assert decontaminate.find_contamination(odd(spark), i).count() == 10
@@ -119,6 +121,22 @@ def test_decontaminate(spark):
     assert {d: got[d] for d in near} == brute([x for x in sf_docs if x[0] in near], sf_items)
 
 
+def test_blocks_are_bounded(spark):
+    rng = np.random.default_rng(3)
+    text = " ".join(f"w{x}" for x in rng.integers(0, 5000, 30_000))  # one item larger than any block
+    items = [(1, text), (2, "Just a few words"), (3, None), (3, "w1 w2 w3"), (None, "item without an id")]
+    frame = spark.createDataFrame(items, "item_id string, text string")
+    pieces = decontaminate._pieces(frame, 10, most=500)
+    blocks = [b.toPandas() for b in decontaminate._blocks(pieces, 10, 200_000)]
+    sizes = [sum(map(len, decontaminate.patterns(b, 10))) for b in blocks]
+    assert len(blocks) > 5 and max(sizes) <= 200_000
+    assert set().union(*(decontaminate.patterns(b, 10) for b in blocks)) == set(decontaminate.patterns(frame.toPandas(), 10))
+    words = text.split()
+    docs = spark.createDataFrame([(1, " ".join(words[12_345:12_400])), (2, "nothing of it"), (3, "x item without an id")], "doc_id long, text string")
+    found = {r.doc_id: r for r in decontaminate.find_contamination(docs, frame, block_bytes=1_000_000).collect()}
+    assert (found[1].n_hit, found[1].item_ids) == (55, ["1"]) and found[2].n_hit == 0 and (found[3].n_hit, found[3].item_ids) == (4, [])
+
+
 def features(text):
     text = text or ""
     words = WORD.findall(text)

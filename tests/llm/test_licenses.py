@@ -82,6 +82,14 @@ def test_documents(spark):
     assert got(spark.createDataFrame(rows)) == want and sum(r[2] is not None for r in want) > 3
 
 
+def test_hot_and_rare_terms_weigh_alike(spark):
+    rows = spark.read.parquet(sf("documents", "sf0.01")).filter("text rlike '(?i)licen'").select("text").limit(300).collect()
+    texts = sorted({r.text for r in rows}) + ["license " * 500 + t for _, t in licenses.TEMPLATES[:5]]
+    pieces = spark.createDataFrame([(str(i), t, 1 + i % 3) for i, t in enumerate(texts)], "pid string, piece string, n long")
+    scored = [sorted(map(tuple, licenses.scored_pieces(pieces, 0.1, share).collect())) for share in (0, 50, 10**9)]  # none, some and all terms by broadcast
+    assert scored[0] == scored[1] == scored[2] and len(scored[0]) > 3
+
+
 def test_odd_rows(spark):
     docs = odd(spark).withColumnRenamed("word", "path")
     assert licenses.scan_licenses(docs).count() == 10 and licenses.scan_licenses(empty(spark).withColumnRenamed("word", "path")).count() == 0
