@@ -1,4 +1,6 @@
-"""Operators 5 and 6: held-out accuracy, determinism, odd rows."""
+"""Operators 5 and 6: held-out accuracy, plain loops over tables and weights, determinism, odd rows."""
+
+import math
 
 import numpy as np
 import pytest
@@ -68,6 +70,43 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([f for t, f in found if t]) >= 0.85 and np.mean([f for t, f in found if not t]) <= 0.01
 
 
+def test_scores_equal_plain_loops(spark):
+    """One entry of each table, or one weight a feature, at a time."""
+    docs = spark.read.parquet(f"{SF.replace('0.01', '0.001')}/documents.parquet").select("doc_id", "text").unionByName(odd(spark).select("doc_id", "text"))
+    learn, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    logistic = lambda x: 1 / (1 + math.exp(-min(max(x, -30), 30)))
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    key = lambda t: (str(t[0]), *t[1:])
+
+    additive = quality_model.train(learn, labels)
+    assert additive.pairs and sum(np.abs(t).sum() for t in additive.tables) > 0
+    want = []
+    for doc_id, text in texts:
+        x = [float(v) for v in quality_model.feature_matrix([text])[0]]
+        place = lambda edges: [sum(e <= v for e in part) for v, part in zip(x, edges, strict=True)]  # noqa: B023, E731
+        fine, coarse = place(additive.edges), place(additive.coarse)
+        total = additive.intercept + sum(float(t[b]) for t, b in zip(additive.tables, fine, strict=True)) + sum(float(t[coarse[i]][coarse[j]]) for (i, j), t in additive.pairs.items())
+        want.append((doc_id, logistic(total)))
+    got = [(r.doc_id, r.score) for r in quality_model.score(docs, additive).collect()]
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert g[0] == w[0] and g[1] == pytest.approx(w[1], abs=1e-9)
+
+    ordinal = toxicity.train(learn, labels)
+    want = []
+    for doc_id, text in texts:
+        words, dot = toxicity.words_of(text), 0.0
+        for name, at in ordinal.vocabulary.items():
+            n = sum(w.startswith(name[1:]) and len(w) > len(name) - 1 for w in words) if name[0] == "^" else words.count(name)
+            dot += float(ordinal.weights[at]) * math.log(1 + n)
+        above = [logistic(dot - float(t)) for t in ordinal.theta]
+        grades = [a - b for a, b in zip([1.0, *above], [*above, 0.0], strict=True)]
+        want.append((doc_id, sum(above), above[0], grades.index(max(grades)), above[0] > ordinal.cut))
+    got = [(r.doc_id, r.severity, r.p_toxic, r.grade, r.toxic) for r in toxicity.grade_documents(docs, ordinal).collect()]
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert g[0] == w[0] and g[3:] == w[3:] and g[1:3] == pytest.approx(w[1:3], abs=1e-9)
+    assert any(w[4] for w in want) and not all(w[4] for w in want)
+
+
 @pytest.mark.parametrize("labelled", [True, False])
 def test_odd_rows(spark, labelled):
     labels = spark.createDataFrame([(4, 1, 0), (7, 0, 1), (None, 1, 1), (99, 1, 1)] if labelled else [], "doc_id long, quality int, toxic int")
