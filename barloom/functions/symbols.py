@@ -24,13 +24,15 @@ def provider_forms(raw: Column) -> Column:
     return F.struct(code.alias("code"), market.alias("market"), F.concat(F.when(market == "SH", "1.").otherwise("0."), code).alias("secid"), F.concat(F.lower(market), code).alias("prefixed"))
 
 
-def extract_symbols(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Distinct symbols of free text by first place: id, symbol, name (what is left of a piece with a single symbol)."""
+def extract_symbols(df: DataFrame, id_col: str, text_col: str, by_name: bool = False) -> DataFrame:
+    """Distinct symbols of free text by first place: id, symbol, name (what is left of a piece with a single symbol).
+
+    ``by_name`` keeps a symbol once for each name that it has in the text."""
     pieces = df.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, r"[\n,;，；、]")).alias("pos", "piece"))
     found = pieces.withColumn("codes", F.regexp_extract_all(F.upper("piece"), F.lit(r"(?<![0-9])((?:SH|SZ|BJ)?\d{6}(?:[.](?:SH|SZ|BJ))?)(?![0-9])"), F.lit(1)))
     name = F.when(F.size("codes") == 1, F.trim(F.replace(F.upper("piece"), F.col("codes")[0], F.lit(""))))
     rows = found.withColumn("name", name).select("id", "pos", "name", F.posexplode("codes").alias("k", "raw")).withColumn("symbol", normalize_symbol(F.col("raw")))
-    first = Window.partitionBy("id", "symbol").orderBy("pos", "k")
+    first = Window.partitionBy("id", "symbol", *["name"] * by_name).orderBy("pos", "k")
     return rows.withColumn("rn", F.row_number().over(first)).filter("rn = 1 and symbol is not null").select("id", "symbol", "name")
 
 

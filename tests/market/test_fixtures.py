@@ -257,3 +257,17 @@ def test_momentum_bands(spark):
     assert [r[0] for r in rows.select(screening.momentum_score(rows)).collect()] == [2, 0, 3, 0]
     rows = spark.createDataFrame([(25.0,), (30.0,), (35.0,), (20.0,), (45.0,)], "rsi double").selectExpr("*", "0.0D AS hist0", "0.0D AS hist0_before", "0.0D AS hist0_before2", *base)
     assert [r[0] for r in rows.select(screening.momentum_score(rows)).collect()] == [3, 0, 2, 1, 0]
+
+
+def test_symbol_once_for_each_name(spark):
+    df = spark.createDataFrame([(1, "sh600123 big co,600123,600123")], "id long, text string")
+    rows = lambda **kw: sorted((r.symbol, r.name) for r in fs.extract_symbols(df, "id", "text", **kw).collect())
+    assert rows(by_name=True) == [("600123.SH", ""), ("600123.SH", "BIG CO")] and rows() == [("600123.SH", "BIG CO")]
+
+
+def test_vwap_of_prices_below_zero(spark):
+    """Two hours of a walk that crossed zero: amounts have the sign of the price, and both hours count."""
+    at = datetime(2025, 1, 2)
+    rows = [("X", "60m", at + timedelta(hours=10), 1.0, 1.0, 1.0, 1.0, 3.0, 300.0), ("X", "60m", at + timedelta(hours=11), -2.0, -2.0, -2.0, -2.0, 6.0, -1200.0)]
+    df = spark.createDataFrame(rows, "symbol string, timeframe string, datetime timestamp, open double, high double, low double, close double, volume double, amount double")
+    assert bars.intraday_summary(df).first()["vwap"] == pytest.approx(-1.0)
