@@ -203,12 +203,12 @@ def intraday_summary(bars: DataFrame) -> DataFrame:
     """Of each symbol's last day: volume-weighted price, and change from the first open to the last close."""
     day = F.to_date("datetime")
     last = bars.withColumn("_last", F.max(day).over(Window.partitionBy("symbol"))).filter(day == F.col("_last"))
-    traded = (F.col("amount") > 0) & (F.col("volume") > 0)
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3
     weight = F.when(F.col("volume") > 0, F.col("volume")).otherwise(1.0)
     first, end = F.min_by("open", "datetime"), F.max_by("close", "datetime")
-    out = last.groupBy("symbol").agg(F.sum(F.when(traded, F.col("amount"))).alias("a"), F.sum(F.when(traded, F.col("volume") * 100)).alias("v"), F.sum(typical * weight).alias("t"), F.sum(weight).alias("w"), first.alias("first"), end.alias("end"))
-    return out.select("symbol", F.coalesce(F.col("a") / F.nullif(F.col("v"), F.lit(0.0)), F.col("t") / F.col("w")).alias("vwap"), F.when(F.col("first") == 0, 0.0).otherwise((F.col("end") - F.col("first")) / F.col("first")).alias("change"))
+    out = last.groupBy("symbol").agg(F.sum("amount").alias("a"), F.sum(F.col("volume") * 100).alias("v"), F.sum(typical * weight).alias("t"), F.sum(weight).alias("w"), first.alias("first"), end.alias("end"))
+    vwap = F.when((F.col("a") != 0) & (F.col("v") > 0), F.col("a") / F.col("v"))  # an amount has the sign of its prices
+    return out.select("symbol", F.coalesce(vwap, F.col("t") / F.col("w")).alias("vwap"), F.when(F.col("first") == 0, 0.0).otherwise((F.col("end") - F.col("first")) / F.col("first")).alias("change"))
 
 
 def adx_trend(bars: DataFrame) -> DataFrame:
