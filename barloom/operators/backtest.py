@@ -36,10 +36,10 @@ def win_trades(bars: DataFrame, signals: DataFrame, hold: int = 40, commission:
     """
     b = bars.select("symbol", F.to_date("datetime").alias("day"), "open", "close").withColumn("i", F.row_number().over(by_day()))
     n = b.groupBy("symbol").agg(F.max("i").alias("last_i"))
-    ahead = by_day().rowsBetween(1, Window.unboundedFollowing)
+    ahead = Window.partitionBy("symbol").orderBy(F.col("day").desc()).rowsBetween(Window.unboundedPreceding, -1)
     sells = signals.filter("side = 'sell'").select("symbol", "day").distinct().withColumn("sell", F.lit(1))
     buys = signals.filter("side = 'buy'").select("symbol", "day", "type")
-    line = b.join(sells, ["symbol", "day"], "left").withColumn("next_sell", F.min(F.when(F.col("sell") == 1, F.struct("day", "i"))).over(ahead))
+    line = b.join(sells, ["symbol", "day"], "left").withColumn("next_sell", F.last(F.when(F.col("sell") == 1, F.struct("day", "i")), ignorenulls=True).over(ahead))
     entry = line.withColumn("entry_i", F.col("i") + 1).withColumn("entry_open", F.lead("open").over(by_day())).select("symbol", "day", "entry_i", "entry_open", F.col("next_sell.i").alias("sell_i"))
     t = buys.join(entry, ["symbol", "day"]).filter("entry_open > 0").join(n, "symbol")
     by_sell = F.when(F.col("sell_i") + 1 > F.col("entry_i") + 0, F.when(F.col("sell_i") > F.col("entry_i"), F.col("sell_i") + 1))
