@@ -69,7 +69,7 @@ CASES = {
 
 
 def marked(spark, sf_dir):
-    df = ind.with_macd(src.daily_bars(spark, sf_dir)).withColumn("ma250", ind.sma("close", 250))
+    df = ind.with_mean(ind.with_macd(src.daily_bars(spark, sf_dir)), "close", 250, "ma250")
     return sketches.trend_marks(sketches.divergence_marks(df))
 
 
@@ -95,7 +95,7 @@ LAST = f", lm AS (SELECT symbol, div_area5 AS mark, NOT {gt('m1', 'ma250')} AS s
 
 
 def last_marks(spark, sf_dir):
-    df = sketches.trend_marks(sketches.divergence_marks(ind.with_macd(src.daily_bars(spark, sf_dir)).withColumn("ma250", ind.sma("close", 250))))
+    df = sketches.trend_marks(sketches.divergence_marks(ind.with_mean(ind.with_macd(src.daily_bars(spark, sf_dir)), "close", 250, "ma250")))
     ratio = lambda a, n: F.round(a / F.nullif(ind.sma("volume", n), F.lit(0.0)), 9)
     df = df.withColumns({
         "steady": ~ind.above(ind.lag("ma250"), "ma250"), "v30": ratio(F.col("volume"), 30), "v5": ratio(ind.sma("volume", 5), 20),
