@@ -87,7 +87,7 @@ def test_daily_bars_sort_once(spark):
     assert "SortAggregate" not in plan and plan.count("Window [") == 1
 
 
-@pytest.mark.parametrize("name", ["c16_latest_snapshot", "c22_volume_sums", "d06_stroke_area", "e07_side_scores", "e09_zero_axis_scan", "h02_event_generation"])
+@pytest.mark.parametrize("name", ["c16_latest_snapshot", "c22_volume_sums", "d01_divergence", "d06_stroke_area", "e07_side_scores", "e09_zero_axis_scan", "h02_event_generation"])
 def test_one_kernel_and_no_join(spark, name):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("MapInArrow") == 1 and "Join" not in plan
